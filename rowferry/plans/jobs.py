@@ -270,6 +270,14 @@ def _sql_import(spark: SparkSession, spec: JobSpec, runtime, result: JobResult,
     result.rows = _write_counted(rows, JobSpec(**{**spec.__dict__, "mappings": ()}))
 
 
+def view_name(table: str) -> str:
+    """The name a source table goes by in a job's SQL: no folder, no schema, no file suffix."""
+    base = table.rsplit("/", 1)[-1]
+    for suffix in (".parquet", ".csv", ".json"):
+        base = base.removesuffix(suffix)
+    return base.rsplit(".", 1)[-1]
+
+
 def query_rows(spark: SparkSession, spec: JobSpec, runtime: Mapping[str, str] | None = None) -> DataFrame:
     """The rows of a job's SQL: its source tables become views and Spark runs the query over them.
 
@@ -277,7 +285,7 @@ def query_rows(spark: SparkSession, spec: JobSpec, runtime: Mapping[str, str] |
     values, never row data, go through the driver.
     """
     for table in spec.source_tables:
-        read_endpoint(spark, spec.source, table).createOrReplaceTempView(table.split(".")[-1].split(".parquet")[0])
+        read_endpoint(spark, spec.source, table).createOrReplaceTempView(view_name(table))
     return parameterised_query(spark, spec.sql, spec.params, runtime)
 
 
