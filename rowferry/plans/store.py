@@ -20,9 +20,15 @@ from rowferry.session import children, exists, remove
 BUCKET = "_bucket"
 
 
-def hash_bucket(keys: Sequence[str], n: int) -> Column:
-    """Spread keys evenly over ``n`` buckets."""
-    return F.pmod(F.xxhash64(*[column(k) for k in keys]), F.lit(n)).cast("int")
+def hash_bucket(df: DataFrame, keys: Sequence[str], n: int) -> Column:
+    """Spread keys evenly over ``n`` buckets.
+
+    Hashes the text of a key, so an int and a bigint of one value agree, and
+    timestamps as instants, so the session's zone does not matter.
+    """
+    instant = T.TimestampType
+    parts = [F.unix_micros(column(k)) if isinstance(df.schema[k].dataType, instant) else column(k).cast("string") for k in keys]
+    return F.pmod(F.xxhash64(*parts), F.lit(n)).cast("int")
 
 
 def range_bucket(key: str, width: int) -> Column:
@@ -38,9 +44,12 @@ class KeyedTable:
     key, such as ``range_bucket`` for keys that grow with time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64, bucket_by: Column | None = None):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 16, bucket_by: Column | None = None):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
-        self.bucket = hash_bucket(keys, buckets) if bucket_by is None else bucket_by
+        self.buckets, self.bucket_by = buckets, bucket_by
+
+    def bucket_of(self, df: DataFrame) -> Column:
+        return hash_bucket(df, self.keys, self.buckets) if self.bucket_by is None else self.bucket_by
 
     def _commits(self) -> list[int]:
         found = []
@@ -87,7 +96,9 @@ class KeyedTable:
 
     def touched_by(self, *keyed: DataFrame) -> set[int]:
         """Buckets that hold any of the keys given; at most one number per bucket."""
-        numbers = [df.select(self.bucket.alias("b")).distinct() for df in keyed]
+        types = self.schema()
+        typed = [df.select([column(k).cast(types[k].dataType).alias(k) for k in self.keys]) for df in keyed]
+        numbers = [df.select(self.bucket_of(df).alias("b")).distinct() for df in typed]
         whole = numbers[0]
         for more in numbers[1:]:
             whole = whole.unionByName(more)
@@ -103,7 +114,7 @@ class KeyedTable:
         """
         number = self.last_commit() + 1 if number is None else number
         data, log = f"{self.path}/data/c={number}", f"{self.path}/commits/c={number}"
-        out = rows.withColumn(BUCKET, self.bucket)
+        out = rows.withColumn(BUCKET, self.bucket_of(rows))
         out = out if placed else out.hint("rebalance", F.col(BUCKET))
         out.write.mode("overwrite").partitionBy(BUCKET).parquet(data)
         if touched is None:

@@ -79,7 +79,8 @@ def replicate(
             good, bad = split_feed(held, target.keys)
             rejects = bad.select(F.lit(batch_id).cast("long").alias("batch_id"), "reason", F.to_json(F.struct(*bad.drop("reason").columns)).alias("event"))
             rejects.write.mode("overwrite").json(f"{dead_letter}/batch={batch_id}")
-            images = [good.select(F.col(f"{side}.*")) for side in ("before", "after") if side in good.columns]
+            sides = [s for s in ("before", "after") if s in good.columns]
+            images = [good.where(F.col(s).isNotNull()).select(f"{s}.*") for s in sides]
             keyed = [i.select(*target.keys) for i in images if all(k in i.columns for k in target.keys)]
             # What the batch amounts to is staged: one row per key, of a size that is then known.
             with Staged(fold_events(good, target.keys, mode, hot_events), "batch") as folded:
