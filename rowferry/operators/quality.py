@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowferry.functions.compare import values_match
 from rowferry.operators.mapping import column
 from rowferry.operators.merge import keep_first
+from rowferry.session import Staged
 
 # Rows sampled by default, and the limits of the status rules.
 SAMPLE_SIZE = 50
 MAX_COUNT_DIFF = 0.01
 MIN_MATCH_RATIO = 0.98
 
-# A sample up to this many rows may be broadcast to the target scan.
-BROADCAST_SAMPLE = 100_000
+# The most keys a sample may hold: they pass through the driver and are broadcast.
+MAX_SAMPLE = 10_000
 
 
 def row_counts(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -28,16 +29,18 @@ def row_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     return s.unionByName(t).agg(F.sum("source_rows").alias("source_rows"), F.sum("target_rows").alias("target_rows"))
 
 
-def pick_rows(df: DataFrame, keys: Sequence[str], n: int = SAMPLE_SIZE, how: str = "random", seed: int = 42) -> DataFrame:
-    """``n`` rows to verify: by key hash (the same rows every time) or the first by key.
+def pick_keys(df: DataFrame, keys: Sequence[str], n: int = SAMPLE_SIZE, how: str = "random", seed: int = 42) -> DataFrame:
+    """Keys of ``n`` rows to verify: by key hash (the same rows every time) or the first by key.
 
-    A top-n per map task, so only ``n`` rows of each task reach the final merge.
+    A top-n over the key columns alone: each task keeps ``n`` keys at most.
     """
+    by_key = [column(k) for k in keys]
+    narrow = df.select(*by_key)
     if how == "first":
-        return df.orderBy(*[column(k) for k in keys]).limit(n)
+        return narrow.orderBy(*by_key).limit(n)
     if how != "random":
         raise ValueError(f"unknown sampling: {how}")
-    return df.orderBy(F.xxhash64(*[column(k) for k in keys], F.lit(seed)), *[column(k) for k in keys]).limit(n)
+    return narrow.orderBy(F.xxhash64(*by_key, F.lit(seed)), *by_key).limit(n)
 
 
 def _sides(source: DataFrame, target: DataFrame, keys, pairs):
@@ -76,24 +79,28 @@ def sample_compare(
 ) -> DataFrame:
     """One row ``(sample_total, sample_matched)`` over ``n`` source rows.
 
-    The sample has at most ``n`` rows, so it is broadcast to one scan of the
-    target; a sampled key that is missing there counts as unmatched. Target
-    repeats of a key fold into one flag before the shuffle.
+    The sampled keys, ``n`` at most, are read first and then filter both sides
+    as a literal list: parquet skips row groups by it, a database uses its
+    index. A key missing from the target counts as unmatched. The first source
+    row of a key stands for it; target repeats fold into one flag.
     """
-    s, t, k = _sides(pick_rows(source, keys, n, how, seed), target, keys, pairs)
-    side = F.broadcast(s) if n <= BROADCAST_SAMPLE else s
-    hits = (
-        t.join(side, k)
-        .groupBy(*k)
-        .agg(F.max(_all(_column_matches(s, t, len(pairs), tolerance)).cast("long")).alias("hit"))
-        .agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("sample_matched"))
-    )
-    total = source.agg(F.least(F.count("*"), F.lit(n).cast("long")).alias("sample_total"))
-    zero = F.lit(0).cast("long")
-    return (
-        total.withColumn("sample_matched", zero)
-        .unionByName(hits.select(zero.alias("sample_total"), "sample_matched"))
-        .agg(F.sum("sample_total").alias("sample_total"), F.sum("sample_matched").alias("sample_matched"))
+    if n > MAX_SAMPLE:
+        raise ValueError(f"a sample holds {MAX_SAMPLE} rows at most; use the full comparison")
+    picked = sorted({tuple(r) for r in pick_keys(source, keys, n, how, seed).collect()}, key=repr)
+    s, t, k = _sides(source, target, keys, pairs)
+    for i, name in enumerate(k):
+        values = list({p[i] for p in picked})
+        s, t = s.where(column(name).isin(values)), t.where(column(name).isin(values))
+    if len(k) > 1:
+        # Several key columns: the lists let other combinations through, the exact keys do not.
+        spark = source.sparkSession
+        wanted = F.broadcast(spark.createDataFrame(picked, s.select(*k).schema))
+        s, t = s.join(wanted, k, "left_semi"), t.join(wanted, k, "left_semi")
+    first = F.broadcast(keep_first(s, k, []))
+    hit = F.max(_all(_column_matches(s, t, len(pairs), tolerance)).cast("long"))
+    flags = t.join(first, k).groupBy(*k).agg(hit.alias("hit"))
+    return flags.agg(
+        F.lit(len(picked)).cast("long").alias("sample_total"), F.coalesce(F.sum("hit"), F.lit(0)).alias("sample_matched")
     )
 
 
@@ -142,13 +149,11 @@ def check_quality(
     return with_status(counts)
 
 
-def differing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Keys whose rows are not bit-equal on both sides, without moving the rows.
+DIFFERS = "source_rows <> 1 OR target_rows <> 1 OR ds <> dt"
 
-    Only the key and one 8-byte row digest per row are shuffled, folded in the
-    map tasks, so two nearly equal wide tables compare at a small part of their
-    size. Keys repeated on a side are listed too: a digest cannot clear them.
-    """
+
+def key_digests(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Per key the number of rows and a digest of the compared columns, for both sides."""
     s, t, k = _sides(source, target, keys, pairs)
     types = {i: (s.schema[f"s{i}"].dataType, t.schema[f"t{i}"].dataType) for i in range(len(pairs))}
 
@@ -159,14 +164,22 @@ def differing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], pa
 
     null = F.lit(None).cast("long")
     rows = s.select(*k, digest("s").alias("ds"), null.alias("dt")).unionByName(t.select(*k, null.alias("ds"), digest("t").alias("dt")))
-    return (
-        rows.groupBy(*k)
-        .agg(F.count("ds").alias("source_rows"), F.count("dt").alias("target_rows"), F.max("ds").alias("ds"), F.max("dt").alias("dt"))
-        .where("source_rows <> 1 OR target_rows <> 1 OR ds <> dt")
-        .select(*[F.col(f"k{i}").alias(name) for i, name in enumerate(keys)], "source_rows", "target_rows")
+    return rows.groupBy(*k).agg(
+        F.count("ds").alias("source_rows"), F.count("dt").alias("target_rows"), F.max("ds").alias("ds"), F.max("dt").alias("dt")
     )
 
 
+def differing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Keys whose rows are not bit-equal on both sides, without moving the rows.
+
+    Only the key and one 8-byte row digest per row are shuffled, folded in the
+    map tasks, so two nearly equal wide tables compare at a small part of their
+    size. Keys repeated on a side are listed too: a digest cannot clear them.
+    """
+    names = [F.col(f"k{i}").alias(name) for i, name in enumerate(keys)]
+    return key_digests(source, target, keys, pairs).where(DIFFERS).select(*names, "source_rows", "target_rows")
+
+
 def full_compare(
     source: DataFrame,
     target: DataFrame,
@@ -197,3 +210,37 @@ def full_compare(
         F.count_if(there & ~here).alias("extra"),
         *[F.count_if(both & ~m).alias(f"diff_{a}") for m, (a, _) in zip(matches, pairs)],
     )
+
+
+def compare_tables(
+    source: DataFrame, target: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], tolerance: float = 1e-4
+) -> DataFrame:
+    """``full_compare`` of two large tables that should be nearly equal, with little moved.
+
+    One pass of row digests finds the keys that differ at all; only the rows of
+    those keys are then compared field by field. The differing keys are staged,
+    so their size decides between a broadcast and a shuffle.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    grouped = key_digests(source, target, keys, pairs).observe(seen, F.count_if(F.col("source_rows") > 0).alias("source_keys"))
+    k = [f"k{i}" for i in range(len(keys))]
+    staged = Staged(grouped.where(DIFFERS).select(*k), "differing")
+    wanted = F.broadcast(staged.df) if staged.small else staged.df
+    s, t, _ = _sides(source, target, keys, pairs)
+
+    def only(side: DataFrame) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in k]
+        return side.join(wanted.select([F.col(c).alias(f"w_{c}") for c in k]), same, "left_semi")
+
+    names = [(f"s{i}", f"t{i}") for i in range(len(pairs))]
+    rest = full_compare(only(s), only(t), k, names, tolerance)
+    equal = seen.get["source_keys"] - rest.first()["source_keys"]
+    return rest.select(
+        (F.col("source_keys") + equal).alias("source_keys"),
+        (F.col("matched") + equal).alias("matched"),
+        "missing",
+        "extra",
+        *[F.col(f"diff_s{i}").alias(f"diff_{a}") for i, (a, _) in enumerate(pairs)],
+    )

@@ -107,13 +107,13 @@ def _write_keyed(df: DataFrame, table: KeyedTable, write: str, order_by: Sequenc
         if table.last_commit() < 0:
             table.commit(M.insert_checked(fresh.limit(0), fresh, keys) if write == "append" else fresh)
             return
-        make = {
-            "append": lambda old: old.unionByName(M.insert_checked(old, fresh, keys)),
-            "skip": lambda old: old.unionByName(M.insert_skip(old, fresh, keys, order_by)),
-            "upsert": lambda old: M.upsert_settled(old, fresh, keys, staged.small),
-            "replace": lambda old: M.replace_settled(old, fresh, keys, staged.small),
-        }[write]
-        table.merge([fresh], make, placed=staged.small)
+        if write == "append":
+            table.add(fresh, lambda old: M.insert_checked(old, fresh, keys))
+        elif write == "skip":
+            table.add(fresh, lambda old: M.insert_skip(old, fresh, keys, order_by))
+        else:
+            settle = M.upsert_settled if write == "upsert" else M.replace_settled
+            table.merge([fresh], lambda old: settle(old, fresh, keys, staged.small), placed=staged.small)
 
 
 def read_target(spark: SparkSession, e: Endpoint, table: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -301,7 +301,9 @@ def copy_in_chunks(
 
     Chunk edges are quantiles of the key, kept with the copy at its first run,
     so chunks hold like numbers of rows and a later run means the same ranges.
-    Chunks whose folder carries the commit marker are skipped. ``fail_after``
+    Chunks whose folder carries the commit marker are skipped. Each chunk is one
+    filtered scan, so this suits sources that find a key range by index or by
+    sorted files; ``copy_files_in_chunks`` suits unsorted files. ``fail_after``
     stops after that many chunks, for tests of the restart.
     """
     spark = source.sparkSession
@@ -330,5 +332,34 @@ def copy_in_chunks(
     return written
 
 
+def copy_files_in_chunks(
+    source: DataFrame, path: str, files_per_chunk: int = 1000, mappings: Sequence = (), fail_after: int | None = None
+) -> int:
+    """The resumable copy of a parquet table in chunks of its files, so no file is read twice.
+
+    The file list of the first run is kept with the copy; files that appear
+    later belong to a later copy.
+    """
+    spark = source.sparkSession
+    list_at = f"{path}/files"
+    if not exists(spark, f"{list_at}/_SUCCESS"):
+        names = sorted(source.inputFiles())
+        rows = [(i // files_per_chunk, n) for i, n in enumerate(names)]
+        spark.createDataFrame(rows, "chunk int, file string").coalesce(1).write.mode("overwrite").parquet(list_at)
+    planned = spark.read.parquet(list_at)
+    written = 0
+    for (chunk,) in planned.select("chunk").distinct().orderBy("chunk").collect():
+        out = f"{path}/rows/chunk={chunk}"
+        if exists(spark, f"{out}/_SUCCESS"):
+            continue
+        if fail_after is not None and written == fail_after:
+            raise RuntimeError(f"stopped after {written} chunks")
+        names = [r["file"] for r in planned.where(F.col("chunk") == chunk).collect()]
+        part = spark.read.schema(source.schema).parquet(*names)
+        map_columns(part, mappings).write.mode("overwrite").parquet(out)
+        written += 1
+    return written
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("chunk")

@@ -197,6 +197,16 @@ WITH n AS (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem WHERE l_
      o AS (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
 SELECT n.l_orderkey, n.l_linenumber, n.c AS new_rows, COALESCE(o.c, 0) AS existing_rows
 FROM n LEFT JOIN o USING (l_orderkey, l_linenumber) WHERE n.c + COALESCE(o.c, 0) > 1""",
+    "append_job": "SELECT * FROM customer",
+    "structure_job": "SELECT s_suppkey, s_nationkey, CAST(NULL AS VARCHAR) AS s_name, CAST(NULL AS DOUBLE) AS s_acctbal FROM supplier",
+    "export_query": """
+SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(count(*) AS VARCHAR) AS orders, CAST(min(o_orderkey) AS VARCHAR) AS first_order
+FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey""",
+    "feed_rejects": f"""
+WITH {FEED}
+SELECT seq, CASE WHEN seq % 97 = 0 THEN 'T' ELSE op END AS op,
+       CASE WHEN seq % 97 = 0 THEN 'unknown operation' WHEN seq % 89 = 0 THEN 'no row image' ELSE 'null key' END AS reason
+FROM feed WHERE seq % 97 = 0 OR seq % 89 = 0 OR seq % 83 = 0""",
     "csv_round_trip": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, COALESCE(lang, '') AS lang, COALESCE(text, '') AS text FROM documents",
     "type_map": f"""
 WITH {CATALOG}, {_mapped('postgresql')}, {_mapped('oracle')}
@@ -239,6 +249,7 @@ SELECT count(*) AS sample_total,
          AND s.o_custkey = d.o_custkey AND s.o_orderstatus = d.o_orderstatus AND s.o_orderdate = d.o_orderdate
          AND s.o_orderpriority = d.o_orderpriority) AS sample_matched
 FROM sample s LEFT JOIN drifted d ON d.o_orderkey = s.o_orderkey""",
+    "quality_random_sample": "SELECT least(count(*), 50) AS sample_total, least(count(*), 50) AS sample_matched FROM orders",
     "quality_status": """
 SELECT count(*) AS source_rows, count(*) AS target_rows, least(count(*), 50) AS sample_total,
        count(*) FILTER (WHERE n <= 50 AND o_orderkey % 20 <> 0) AS sample_matched,
@@ -250,6 +261,13 @@ SELECT count(*) AS source_keys,
        count(*) FILTER (WHERE NOT there) AS missing, CAST(0 AS BIGINT) AS extra,
        count(*) FILTER (WHERE there AND NOT same_q) AS diff_l_quantity, CAST(0 AS BIGINT) AS diff_l_extendedprice,
        count(*) FILTER (WHERE there AND NOT same_r) AS diff_l_returnflag, CAST(0 AS BIGINT) AS diff_l_shipdate
+FROM (SELECT l_orderkey % 50 <> 0 AS there, l_partkey % 70 <> 0 AS same_q, l_suppkey % 9 <> 0 AS same_r FROM lineitem)""",
+    "compare_tables": """
+SELECT count(*) AS source_keys,
+       count(*) FILTER (WHERE there AND same_q AND same_r) AS matched,
+       count(*) FILTER (WHERE NOT there) AS missing, CAST(0 AS BIGINT) AS extra,
+       count(*) FILTER (WHERE there AND NOT same_q) AS diff_l_quantity, CAST(0 AS BIGINT) AS diff_l_extendedprice,
+       count(*) FILTER (WHERE there AND NOT same_r) AS diff_l_returnflag, CAST(0 AS BIGINT) AS diff_l_shipdate
 FROM (SELECT l_orderkey % 50 <> 0 AS there, l_partkey % 70 <> 0 AS same_q, l_suppkey % 9 <> 0 AS same_r FROM lineitem)""",
     "differing_keys": """
 SELECT o_orderkey, CAST(1 AS BIGINT) AS source_rows, CAST(CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE 1 END AS BIGINT) AS target_rows

@@ -10,6 +10,7 @@ from rowferry.model import Endpoint, FieldMapping, JobSpec, ParamDef, ParamOptio
 from rowferry.operators import changes as X
 from rowferry.operators import filters, mapping, merge, paging, quality, schema, shards
 from rowferry.plans import jobs, reports
+from rowferry.plans.preview import export_job
 from rowferry.plans.store import KeyedTable
 from rowferry.session import scratch_path
 from rowferry.sources import documents, files
@@ -192,6 +193,58 @@ def duplicate_keys(spark, d):
     return merge.duplicate_keys(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), ["l_orderkey", "l_linenumber"])
 
 
+def append_job(spark, d):
+    """A keyed append in two runs: the second adds files and rewrites nothing."""
+    out = scratch_path(spark, "append")
+    target = Endpoint("parquet", path=out)
+    base = dict(
+        name="customer-append",
+        source=Endpoint("parquet", path=d),
+        source_table="customer.parquet",
+        target=target,
+        target_table="customer",
+        keys=["c_custkey"],
+        quality=False,
+    )
+    done(jobs.run_job(spark, JobSpec(**base, filter="c_nationkey < 10"), out))
+    done(jobs.run_job(spark, JobSpec(**base, filter="c_nationkey >= 10"), out))
+    return jobs.read_target(spark, target, "customer", ["c_custkey"])
+
+
+def structure_job(spark, d):
+    """Structure and data in one job, then the structure again after the target drifted."""
+    out = scratch_path(spark, "structure")
+    target = Endpoint("parquet", path=out)
+    base = dict(
+        name="supplier-both",
+        source=Endpoint("parquet", path=d),
+        source_table="supplier.parquet",
+        target=target,
+        target_table="supplier",
+        keys=["s_suppkey"],
+        quality=False,
+    )
+    maps = [FieldMapping("s_suppkey"), FieldMapping("s_name", "s_label"), FieldMapping("s_nationkey"), FieldMapping("s_acctbal", enabled=False)]
+    done(jobs.run_job(spark, JobSpec(**base, kind="both", mappings=maps), out))
+    done(jobs.run_job(spark, JobSpec(**base, kind="structure", allow_drop=True), out))
+    return jobs.read_target(spark, target, "supplier", ["s_suppkey"])
+
+
+def export_query(spark, d):
+    """A parameterised query exported as CSV and read back as text."""
+    out = scratch_path(spark, "export")
+    spec = JobSpec(
+        name="order counts",
+        kind="sql_import",
+        source=Endpoint("parquet", path=d),
+        source_tables=["orders.parquet"],
+        target=Endpoint("csv", path=out),
+        sql="SELECT o_custkey, count(*) AS orders, min(o_orderkey) AS first_order FROM orders WHERE o_orderstatus = {{status}} GROUP BY o_custkey",
+        params=[ParamDef("status", required=True)],
+    )
+    return files.read_csv(spark, export_job(spark, spec, {"status": "F"}))
+
+
 def csv_round_trip(spark, d):
     """Texts with quotes, commas and newlines go out as CSV and come back as they were."""
     out = scratch_path(spark, "csv")
@@ -280,13 +333,19 @@ def quality_sample(spark, d):
     return quality.sample_compare(orders, drifted_orders(orders), ["o_orderkey"], _order_pairs(orders), how="first")
 
 
+def quality_random_sample(spark, d):
+    """The sample picked by key hash, of a target that holds every row as it is: all must match."""
+    orders = table(spark, d, "orders")
+    return quality.sample_compare(orders, orders, ["o_orderkey"], _order_pairs(orders))
+
+
 def quality_status(spark, d):
     orders = table(spark, d, "orders")
     target = orders.withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 20 == 0, 1).otherwise(0))
     return quality.check_quality(orders, target, _order_pairs(orders), ["o_orderkey"], how="first")
 
 
-def full_compare(spark, d):
+def _drifted_lines(spark, d):
     lines = table(spark, d, "lineitem")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     target = lines.where("l_orderkey % 50 <> 0").select(
@@ -296,8 +355,17 @@ def full_compare(spark, d):
         F.when(F.col("l_suppkey") % 9 == 0, "X").otherwise(F.col("l_returnflag")).alias("l_returnflag"),
         "l_shipdate",
     )
-    pairs = [(c, c) for c in ("l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")]
-    return quality.full_compare(lines, target, keys, pairs)
+    return lines, target, keys, [(c, c) for c in ("l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")]
+
+
+def full_compare(spark, d):
+    return quality.full_compare(*_drifted_lines(spark, d))
+
+
+def compare_tables(spark, d):
+    """The same comparison by digests first, then fields of the keys that differ."""
+    lines, target, keys, pairs = _drifted_lines(spark, d)
+    return quality.compare_tables(lines, target.withColumn("l_extendedprice", F.col("l_extendedprice") - 0.00001), keys, pairs)
 
 
 def differing_keys(spark, d):
@@ -449,6 +517,15 @@ def mapped_feed(spark, d):
     return X.apply_changes(target, event_feed(spark, d), ["user_id"], mode="upsert", mappings=maps)
 
 
+def feed_rejects(spark, d):
+    """The events of a feed that cannot be applied, with the reason."""
+    feed = event_feed(spark, d)
+    op = F.when(F.col("seq") % 97 == 0, "T").otherwise(F.col("op"))
+    after = F.when(F.col("seq") % 89 != 0, F.col("after").withField("user_id", F.when(F.col("seq") % 83 != 0, F.col("after.user_id"))))
+    _, bad = X.split_feed(feed.select("seq", op.alias("op"), after.alias("after")), ["user_id"])
+    return bad.select("seq", "op", "reason")
+
+
 def stream_replicate(spark, d):
     """The feed as a stream: four deliveries, a restart before each, and some bad events among them."""
     out = scratch_path(spark, "stream")
@@ -545,12 +622,12 @@ def run_summary(spark, d):
 QUERIES = [
     table_scan, filtered_count, filtered_copy, mapped_copy, or_filter_with_watermark, incremental_id, incremental_ts,
     incremental_two_runs, next_watermark, point_lookup, key_bounds, shard_counts, shard_union, resumed_copy,
-    insert_skip, upsert, upsert_last_wins, upsert_job, replace_docs, duplicate_keys, csv_round_trip,
-    type_map, catalog_primary_keys, auto_map, create_table_ddl, schema_diff, alter_ddl,
-    quality_counts, quality_sample, quality_status, full_compare, differing_keys, tolerant_match,
-    param_query, sql_import, preview_page, page_offset, page_deep,
+    insert_skip, upsert, upsert_last_wins, upsert_job, append_job, replace_docs, duplicate_keys, csv_round_trip,
+    type_map, catalog_primary_keys, auto_map, create_table_ddl, schema_diff, alter_ddl, structure_job,
+    quality_counts, quality_sample, quality_random_sample, quality_status, full_compare, compare_tables, differing_keys, tolerant_match,
+    param_query, export_query, sql_import, preview_page, page_offset, page_deep,
     apply_changes_strict, apply_changes_upsert, apply_changes_hot, apply_key_moves, apply_unchanged_values, apply_keyless,
-    mapped_feed, stream_replicate,
+    mapped_feed, feed_rejects, stream_replicate,
     flatten_documents, document_filter, document_round_trip,
     run_report, latest_runs, latest_files, run_summary,
 ]

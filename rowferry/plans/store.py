@@ -2,8 +2,8 @@
 
 A keyed table is split into buckets by its key. A commit writes new files only
 for the buckets it touched, beside the old ones, and becomes visible when the
-list of those buckets is written; readers take each bucket's newest commit.
-Nothing is overwritten in place, so a failed or repeated job harms no reader.
+list of those buckets is written; readers take each bucket's last rewrite and
+the additions since. Nothing is overwritten in place, so a failed or repeated job harms no reader.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from rowferry.model import RUN_LOG_SCHEMA, WATERMARK_SCHEMA, JobResult
 from rowferry.operators.mapping import column
-from rowferry.session import children, exists, remove
+from rowferry.session import children, exists, matching, remove
 
 BUCKET = "_bucket"
+LOG = "bucket int, commit long, added boolean, schema string"
 
 
 def hash_bucket(df: DataFrame, keys: Sequence[str], n: int) -> Column:
@@ -52,25 +53,23 @@ class KeyedTable:
         return hash_bucket(df, self.keys, self.buckets) if self.bucket_by is None else self.bucket_by
 
     def _commits(self) -> list[int]:
-        found = []
-        for name in children(self.spark, f"{self.path}/commits"):
-            if exists(self.spark, f"{self.path}/commits/{name}/_SUCCESS"):
-                found.append(int(name.partition("=")[2]))
-        return sorted(found)
+        marks = matching(self.spark, f"{self.path}/commits/c=*/_SUCCESS")
+        return sorted(int(m.rsplit("/", 2)[1].partition("=")[2]) for m in marks)
 
     def last_commit(self) -> int:
         """The newest visible commit, -1 before the first."""
         return max(self._commits(), default=-1)
 
     def _current(self) -> list[tuple[int, int]]:
-        """(bucket, commit) pairs that make up the table; one per bucket at most."""
+        """(bucket, commit) pairs that make up the table: each bucket's last rewrite and what was added since."""
         done = self._commits()
         if not done:
             return []
-        paths = [f"{self.path}/commits/c={c}" for c in done]
-        log = self.spark.read.schema("bucket int, commit long").parquet(*paths)
-        rows = log.where("bucket IS NOT NULL").groupBy("bucket").agg(F.max("commit").alias("commit")).collect()
-        return [(r["bucket"], r["commit"]) for r in rows]
+        log = self.spark.read.schema(LOG).parquet(*[f"{self.path}/commits/c={c}" for c in done]).where("bucket IS NOT NULL")
+        rewrite = F.coalesce(F.max(F.when(~F.col("added"), F.col("commit"))), F.lit(-1))
+        state = log.groupBy("bucket").agg(rewrite.alias("base"), F.collect_list("commit").alias("all"))
+        pairs = state.select("bucket", F.explode(F.filter("all", lambda c: c >= F.col("base"))).alias("commit"))
+        return [(r["bucket"], r["commit"]) for r in pairs.collect()]
 
     def read(self, only: set[int] | None = None, schema: T.StructType | None = None) -> DataFrame:
         """The table as of the newest commit, or just some of its buckets."""
@@ -91,7 +90,7 @@ class KeyedTable:
         done = self._commits()
         if not done:
             raise ValueError(f"no table at {self.path}")
-        text = self.spark.read.schema("bucket int, commit long, schema string").parquet(f"{self.path}/commits/c={done[-1]}")
+        text = self.spark.read.schema(LOG).parquet(f"{self.path}/commits/c={done[-1]}")
         return T.StructType.fromJson(json.loads(text.where("schema IS NOT NULL").first()["schema"]))
 
     def touched_by(self, *keyed: DataFrame) -> set[int]:
@@ -104,8 +103,12 @@ class KeyedTable:
             whole = whole.unionByName(more)
         return {r["b"] for r in whole.distinct().collect() if r["b"] is not None}
 
-    def commit(self, rows: DataFrame, touched: set[int] | None = None, number: int | None = None, placed: bool = False) -> int:
-        """Write the new rows of the touched buckets (all of them by default) as one commit.
+    def commit(
+        self, rows: DataFrame, touched: set[int] | None = None, number: int | None = None, placed: bool = False, added: bool = False
+    ) -> int:
+        """Write the rows of the touched buckets (all of them by default) as one commit.
+
+        They replace what those buckets held, unless they are ``added`` to it.
 
         Rows are rebalanced by bucket first: adaptive execution packs small
         buckets together and splits large ones, so files come out of even size.
@@ -118,11 +121,10 @@ class KeyedTable:
         out = out if placed else out.hint("rebalance", F.col(BUCKET))
         out.write.mode("overwrite").partitionBy(BUCKET).parquet(data)
         if touched is None:
-            written = {int(n.partition("=")[2]) for n in children(self.spark, data) if n.startswith(f"{BUCKET}=")}
-            touched = written | {b for b, _ in self._current()}
-        marks = [(b, number, None) for b in sorted(touched)] + [(None, number, rows.schema.json())]
-        shape = "bucket int, commit long, schema string"
-        self.spark.createDataFrame(marks, shape).coalesce(1).write.mode("overwrite").parquet(log)
+            touched = {int(n.partition("=")[2]) for n in children(self.spark, data) if n.startswith(f"{BUCKET}=")}
+            touched |= set() if added else {b for b, _ in self._current()}
+        marks = [(b, number, added, None) for b in sorted(touched)] + [(None, number, added, rows.schema.json())]
+        self.spark.createDataFrame(marks, LOG).coalesce(1).write.mode("overwrite").parquet(log)
         return number
 
     def merge(
@@ -142,6 +144,11 @@ class KeyedTable:
         touched = self.touched_by(*touched_keys)
         return self.commit(make(self.read(touched)), touched, number, placed)
 
+    def add(self, keyed: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int:
+        """Add rows beside the old ones: ``make`` gets the old rows near the given keys and returns just the new ones."""
+        old = self.read(self.touched_by(keyed))
+        fresh = make(old).select([column(f.name).cast(f.dataType).alias(f.name) for f in old.schema.fields])
+        return self.commit(fresh, added=True)
 
     def sync_structure(self, columns: DataFrame, mappings: DataFrame | None = None, allow_drop: bool = False) -> int:
         """Bring the table to a catalog's structure: make it empty, or add, cast and (if allowed) drop columns."""

@@ -61,6 +61,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths a glob pattern finds."""
+    fs, p = _fs(spark, pattern)
+    return [s.getPath().toString() for s in fs.globStatus(p) or []]
+
+
 def size_of(spark: SparkSession, path: str) -> int:
     """Bytes below a path."""
     fs, p = _fs(spark, path)

@@ -185,9 +185,9 @@ def test_quality_status(spark, n, missing, drift, by, status):
 
 def test_sample_is_the_same_every_time(spark):
     df = spark.range(1000)
-    first = {r["id"] for r in quality.pick_rows(df, ["id"]).collect()}
-    assert first == {r["id"] for r in quality.pick_rows(df.repartition(7), ["id"]).collect()} and len(first) == 50
-    assert {r["id"] for r in quality.pick_rows(df, ["id"], how="first").collect()} == set(range(50))
+    first = {r["id"] for r in quality.pick_keys(df, ["id"]).collect()}
+    assert first == {r["id"] for r in quality.pick_keys(df.repartition(7), ["id"]).collect()} and len(first) == 50
+    assert {r["id"] for r in quality.pick_keys(df, ["id"], how="first").collect()} == set(range(50))
 
 
 def test_texts_that_start_alike_do_not_match(spark):
