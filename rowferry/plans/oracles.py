@@ -181,7 +181,7 @@ SELECT COALESCE(d.o_orderkey, s.o_orderkey) AS o_orderkey, d.o_custkey,
 FROM drifted d FULL JOIN src s ON s.o_orderkey = d.o_orderkey""",
     "upsert_last_wins": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate FROM lineitem
-QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC) = 1""",
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_shipdate DESC, l_quantity DESC) = 1""",
     "upsert_job": """
 SELECT o_orderkey, o_custkey,
        CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
@@ -261,14 +261,16 @@ SELECT count(*) AS source_keys,
        count(*) FILTER (WHERE NOT there) AS missing, CAST(0 AS BIGINT) AS extra,
        count(*) FILTER (WHERE there AND NOT same_q) AS diff_l_quantity, CAST(0 AS BIGINT) AS diff_l_extendedprice,
        count(*) FILTER (WHERE there AND NOT same_r) AS diff_l_returnflag, CAST(0 AS BIGINT) AS diff_l_shipdate
-FROM (SELECT l_orderkey % 50 <> 0 AS there, l_partkey % 70 <> 0 AS same_q, l_suppkey % 9 <> 0 AS same_r FROM lineitem)""",
+FROM (SELECT l_orderkey % 50 <> 0 AS there, l_partkey % 70 <> 0 AS same_q, l_suppkey % 9 <> 0 AS same_r
+      FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem))""",
     "compare_tables": """
 SELECT count(*) AS source_keys,
        count(*) FILTER (WHERE there AND same_q AND same_r) AS matched,
        count(*) FILTER (WHERE NOT there) AS missing, CAST(0 AS BIGINT) AS extra,
        count(*) FILTER (WHERE there AND NOT same_q) AS diff_l_quantity, CAST(0 AS BIGINT) AS diff_l_extendedprice,
        count(*) FILTER (WHERE there AND NOT same_r) AS diff_l_returnflag, CAST(0 AS BIGINT) AS diff_l_shipdate
-FROM (SELECT l_orderkey % 50 <> 0 AS there, l_partkey % 70 <> 0 AS same_q, l_suppkey % 9 <> 0 AS same_r FROM lineitem)""",
+FROM (SELECT l_orderkey % 50 <> 0 AS there, l_partkey % 70 <> 0 AS same_q, l_suppkey % 9 <> 0 AS same_r
+      FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem))""",
     "differing_keys": """
 SELECT o_orderkey, CAST(1 AS BIGINT) AS source_rows, CAST(CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE 1 END AS BIGINT) AS target_rows
 FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 70 = 0""",

@@ -157,7 +157,7 @@ def upsert(spark, d):
 
 def upsert_last_wins(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    keys, order = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"]
+    keys, order = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
     target = merge.keep_first(lines, keys, order).withColumn("l_quantity", F.lit(0.0)).where("l_linenumber <= 3")
     return merge.upsert(target, lines, keys, order)
 
