@@ -21,11 +21,17 @@ MIN_MATCH_RATIO = 0.98
 MAX_SAMPLE = 10_000
 
 
-def row_counts(source: DataFrame, target: DataFrame) -> DataFrame:
-    """One row ``(source_rows, target_rows)``; each side is one partial count."""
+def row_counts(source: DataFrame, target: DataFrame, counted: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """One row ``(source_rows, target_rows)``; each side is one partial count unless it is given."""
     zero = F.lit(0).cast("long")
-    s = source.agg(F.count("*").alias("source_rows")).withColumn("target_rows", zero)
-    t = target.agg(F.count("*").alias("target_rows")).select(zero.alias("source_rows"), "target_rows")
+
+    def one(df: DataFrame, name: str, known: int | None) -> DataFrame:
+        if known is None:
+            return df.agg(F.count("*").alias(name))
+        return df.sparkSession.range(0, 1, 1, 1).select(F.lit(known).cast("long").alias(name))
+
+    s = one(source, "source_rows", counted[0]).withColumn("target_rows", zero)
+    t = one(target, "target_rows", counted[1]).select(zero.alias("source_rows"), "target_rows")
     return s.unionByName(t).agg(F.sum("source_rows").alias("source_rows"), F.sum("target_rows").alias("target_rows"))
 
 
@@ -131,16 +137,17 @@ def check_quality(
     n: int = SAMPLE_SIZE,
     how: str = "random",
     target_filter: str = "",
+    counted: tuple[int | None, int | None] = (None, None),
 ) -> DataFrame:
     """One row: both counts, the sample outcome and the status.
 
     ``source`` comes filtered as the copy was; the target is counted whole
     unless ``target_filter`` narrows it to the copied slice. Without keys the
-    sample is skipped.
+    sample is skipped. ``counted`` gives counts a source has already made.
     """
-    counted = target.where(target_filter) if target_filter else target
+    slice_ = target.where(target_filter) if target_filter else target
     zero = F.lit(0).cast("long")
-    counts = row_counts(source, counted).withColumn("sample_total", zero).withColumn("sample_matched", zero)
+    counts = row_counts(source, slice_, counted).withColumn("sample_total", zero).withColumn("sample_matched", zero)
     if keys:
         sample = sample_compare(source, target, keys, pairs, n, how)
         counts = counts.unionByName(sample.select(zero.alias("source_rows"), zero.alias("target_rows"), "*")).agg(

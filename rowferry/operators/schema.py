@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from rowferry.functions.names import quote_column
 from rowferry.functions.typemap import map_types, spark_type
@@ -188,13 +188,12 @@ def as_spark_types(columns: DataFrame) -> DataFrame:
     return columns.sparkSession.createDataFrame([tuple(t[c] for c in COLUMNS_SCHEMA.names) for t in typed], COLUMNS_SCHEMA)
 
 
-def reshape(df: DataFrame, diffs: DataFrame) -> DataFrame:
+def reshape(df: DataFrame, steps: Iterable[Row]) -> DataFrame:
     """A file-backed table after its structure differences (in Spark types): added, cast and dropped columns.
 
-    The differences are one table's, so the driver reads a handful of rows; the
-    table itself is only given a new select list.
+    ``steps`` are the ordered difference rows of this one table; the table
+    itself is only given a new select list.
     """
-    steps = diffs.orderBy("position").collect()
     out = df
     for step in steps:
         if step["action"] == "add":

@@ -18,7 +18,7 @@ from rowferry.operators.mapping import column, column_pairs, map_columns
 from rowferry.operators.quality import check_quality
 from rowferry.operators.shards import is_integer_key
 from rowferry.plans.store import KeyedTable, append_parquet, as_log_row, run_log, watermarks
-from rowferry.session import Staged, exists
+from rowferry.session import Staged, exists, shared_dir, small_frame
 from rowferry.sources import documents, files, jdbc, workbooks
 
 FILE_KINDS = ("csv", "excel")
@@ -238,7 +238,14 @@ def _quality(spark: SparkSession, spec: JobSpec, source: DataFrame, last: str, u
         names = dict(pairs)
         target = read_target(spark, spec.target, spec.target_table, [names.get(k, k) for k in spec.keys])
         keys = [k for k in spec.keys if k in names and is_integer_key(source, k)]
-        row = check_quality(picked, target, pairs, keys if len(keys) == 1 == len(spec.keys) else ()).first().asDict()
+        # A database counts its own rows; one number comes over the wire.
+        whole = not spec.filter and not spec.watermark
+        counted = (
+            jdbc.count_rows(spark, spec.source, spec.source_table) if whole and spec.source.kind in jdbc.DRIVERS else None,
+            jdbc.count_rows(spark, spec.target, spec.target_table) if spec.target.kind in jdbc.DRIVERS else None,
+        )
+        usable = keys if len(keys) == 1 == len(spec.keys) else ()
+        row = check_quality(picked, target, pairs, usable, counted=counted).first().asDict()
         row["quality_status"] = row.pop("status")
         return row
     except Exception:  # noqa: BLE001
@@ -263,7 +270,7 @@ def _sql_import(spark: SparkSession, spec: JobSpec, runtime, result: JobResult,
         raise ValueError("a SQL import needs a SQL source")
     rows = query_rows(spark, spec, runtime)
     if spec.target.kind == "csv":
-        result.file_path = export_path(spec.target.path, spec.name, started)
+        result.file_path = export_path(spec.target.path or shared_dir(spark), spec.name, started)
         files.write_csv(rows, result.file_path, rows.columns)
         result.rows = files.read_csv(spark, result.file_path).count()
         return
@@ -311,7 +318,7 @@ def copy_in_chunks(
     if not exists(spark, f"{edges_at}/_SUCCESS"):
         cut = source.agg(F.percentile_approx(column(key), [i / chunks for i in range(1, chunks)] or [1.0], 10_000).alias("q")).first()["q"]
         edges = json.dumps(sorted(set(cut or []))) if chunks > 1 else "[]"
-        spark.createDataFrame([(edges,)], "edges string").coalesce(1).write.mode("overwrite").json(edges_at)
+        small_frame(spark, [(edges,)], "edges string").write.mode("overwrite").json(edges_at)
     edges = json.loads(spark.read.schema("edges string").json(edges_at).first()["edges"])
     c, written = column(key), 0
     for i in range(len(edges) + 1):
@@ -345,7 +352,7 @@ def copy_files_in_chunks(
     if not exists(spark, f"{list_at}/_SUCCESS"):
         names = sorted(source.inputFiles())
         rows = [(i // files_per_chunk, n) for i, n in enumerate(names)]
-        spark.createDataFrame(rows, "chunk int, file string").coalesce(1).write.mode("overwrite").parquet(list_at)
+        small_frame(spark, rows, "chunk int, file string").write.mode("overwrite").parquet(list_at)
     planned = spark.read.parquet(list_at)
     written = 0
     for (chunk,) in planned.select("chunk").distinct().orderBy("chunk").collect():

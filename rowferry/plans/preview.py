@@ -11,6 +11,7 @@ from rowferry.functions.names import export_path
 from rowferry.model import JobSpec
 from rowferry.operators.paging import PreviewPage, preview
 from rowferry.plans.jobs import query_rows
+from rowferry.session import shared_dir
 from rowferry.sources import files
 
 EXPORT_FORMATS = ("csv", "excel")
@@ -36,7 +37,7 @@ def export_job(spark: SparkSession, spec: JobSpec, runtime: Mapping[str, str] |
     if fmt.strip().lower() not in EXPORT_FORMATS:
         raise ValueError(f"unsupported export format: {fmt}")
     rows = query_rows(spark, spec, runtime)
-    path = export_path(spec.target.path, f"{spec.name}-preview", now or datetime.now(timezone.utc))
+    path = export_path(spec.target.path or shared_dir(spark), f"{spec.name}-preview", now or datetime.now(timezone.utc))
     return files.write_csv(rows, path, rows.columns)
 
 

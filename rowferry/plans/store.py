@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from rowferry.model import RUN_LOG_SCHEMA, WATERMARK_SCHEMA, JobResult
 from rowferry.operators.mapping import column
-from rowferry.session import children, exists, matching, remove
+from rowferry.session import children, exists, matching, remove, small_frame
 
 BUCKET = "_bucket"
 LOG = "bucket int, commit long, added boolean, schema string"
@@ -124,7 +124,7 @@ class KeyedTable:
             touched = {int(n.partition("=")[2]) for n in children(self.spark, data) if n.startswith(f"{BUCKET}=")}
             touched |= set() if added else {b for b, _ in self._current()}
         marks = [(b, number, added, None) for b in sorted(touched)] + [(None, number, added, rows.schema.json())]
-        self.spark.createDataFrame(marks, LOG).coalesce(1).write.mode("overwrite").parquet(log)
+        small_frame(self.spark, marks, LOG).write.mode("overwrite").parquet(log)
         return number
 
     def merge(
@@ -163,9 +163,8 @@ class KeyedTable:
         diffs = S.schema_diff(wanted, current, "spark")
         if not allow_drop:
             diffs = diffs.where("action <> 'drop'")
-        if diffs.isEmpty():
-            return self.last_commit()
-        return self.commit(S.reshape(self.read(), diffs))
+        steps = diffs.orderBy("position").collect()
+        return self.commit(S.reshape(self.read(), steps)) if steps else self.last_commit()
 
     def expire(self) -> list[int]:
         """Delete commits no bucket reads any more; run it when no reader holds an old view."""
@@ -189,8 +188,7 @@ class StateTable:
 
     def append(self, *rows: dict) -> None:
         data = [tuple(r.get(f.name) for f in self.schema.fields) for r in rows]
-        loose = T.StructType([T.StructField(f.name, f.dataType) for f in self.schema.fields])
-        self.spark.createDataFrame(data, loose).coalesce(1).write.mode("append").parquet(self.path)
+        small_frame(self.spark, data, self.schema).write.mode("append").parquet(self.path)
 
     def all(self) -> DataFrame:
         if not exists(self.spark, self.path):
@@ -202,10 +200,6 @@ class StateTable:
         newest = self.all().groupBy(self.key).agg(F.max_by(F.struct(*rest), self.order).alias("r"))
         return newest.select(self.key, "r.*").select(self.schema.names)
 
-    def compact(self) -> DataFrame:
-        """The latest rows alone, for rewriting a long-lived state table elsewhere."""
-        return self.latest().coalesce(1)
-
 
 def run_log(spark: SparkSession, root: str) -> StateTable:
     return StateTable(spark, f"{root}/run_log", RUN_LOG_SCHEMA, "run_id", "seq")

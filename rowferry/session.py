@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # What one broadcast may weigh as compressed parquet; several times that in memory.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -46,6 +48,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/rowferry/{label}-{uuid.uuid4().hex}"
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few driver-side rows (log entries, commit marks) as a one-task frame."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in kind.fields])
+    columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in kind.fields]
+    return spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(kind)), kind).coalesce(1)
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowferry.functions.names import quote_name
 from rowferry.model import COLUMNS_SCHEMA, Endpoint
 from rowferry.operators.merge import keep_last
-from rowferry.operators.shards import KeyRange, clamp_shards
+from rowferry.operators.shards import MAX_SOURCE_SHARDS, KeyRange, clamp_shards
 
 # Fixed value: rows per fetch and per insert batch.
 BATCH_ROWS = 1000
@@ -92,9 +92,19 @@ def read_sharded(spark: SparkSession, e: Endpoint, table: str, key: str, shards:
     )
 
 
-def append_rows(df: DataFrame, e: Endpoint, table: str) -> None:
-    """Append; columns meet by name, each partition inserts in batches."""
-    df.write.format("jdbc").options(**_options(e)).option("dbtable", _table(e, table)).option("batchsize", BATCH_ROWS).mode("append").save()
+def count_rows(spark: SparkSession, e: Endpoint, table: str) -> int:
+    """Rows of a table, counted by the source."""
+    return int(read_query(spark, e, f"SELECT COUNT(*) AS N FROM {_table(e, table)}").first()[0])
+
+
+def append_rows(df: DataFrame, e: Endpoint, table: str, connections: int = MAX_SOURCE_SHARDS) -> None:
+    """Append; columns meet by name, each partition inserts in batches over its own connection.
+
+    ``connections`` caps how many write at once, as the database, not the
+    cluster, is what gives out first.
+    """
+    writer = df.write.format("jdbc").options(**_options(e)).option("dbtable", _table(e, table))
+    writer.option("batchsize", BATCH_ROWS).option("numPartitions", connections).mode("append").save()
 
 
 def create_like(df: DataFrame, e: Endpoint, table: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rowferry.model import FieldMapping
 from rowferry.operators.changes import HOT_EVENTS, fold_events, map_feed, settle, split_feed
 from rowferry.plans.store import KeyedTable
-from rowferry.session import Staged, exists
+from rowferry.session import Staged, exists, small_frame
 
 
 def feed_schema(row: T.StructType, before: T.StructType | None = None, unchanged: bool = False) -> T.StructType:
@@ -67,7 +67,7 @@ def replicate(
     if base < 0:
         raise ValueError("the target table needs its first load before the feed")
     if not _started(spark, checkpoint):
-        spark.createDataFrame([(base,)], "base long").coalesce(1).write.mode("overwrite").json(f"{checkpoint}/base")
+        small_frame(spark, [(base,)], "base long").write.mode("overwrite").json(f"{checkpoint}/base")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         number = base + 1 + batch_id
