@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from rowferry.functions.names import export_path, high_water_text
 from rowferry.functions.params import parameterised_query
 from rowferry.model import Endpoint, JobResult, JobSpec, Watermark
 from rowferry.operators import merge as M
-from rowferry.operators.filters import after_mark, where_all
+from rowferry.operators.filters import after_mark, document_predicate, where_all
 from rowferry.operators.mapping import column, column_pairs, map_columns
 from rowferry.operators.quality import check_quality
 from rowferry.operators.shards import is_integer_key
@@ -22,11 +23,10 @@ from rowferry.session import Staged, exists, shared_dir, small_frame
 from rowferry.sources import documents, files, jdbc, workbooks
 
 FILE_KINDS = ("csv", "excel")
-TABLE_KINDS = ("parquet",)
 DOCUMENT_KINDS = ("mongodb",)
 
 
-def read_endpoint(spark: SparkSession, e: Endpoint, table: str, shards: int = 1, key: str = "", where: str = "") -> DataFrame:
+def read_endpoint(spark: SparkSession, e: Endpoint, table: str, shards: int = 1, key: str = "") -> DataFrame:
     """One table of an endpoint as a DataFrame; an unknown kind is an error."""
     if e.kind in jdbc.DRIVERS:
         if shards > 1 and key:
@@ -38,7 +38,7 @@ def read_endpoint(spark: SparkSession, e: Endpoint, table: str, shards: int = 1,
     if e.kind == "excel":
         return workbooks.read_workbooks(spark, e.path, table)
     if e.kind == "mongodb":
-        return documents.read_documents(spark, at, filter_json=where)
+        return documents.read_documents(spark, at)
     if e.kind == "parquet":
         return files.read_parquet(spark, at)
     raise ValueError(f"unknown endpoint kind: {e.kind}")
@@ -49,13 +49,20 @@ def high_water(df: DataFrame, mark: Watermark) -> str:
     return high_water_text(df.agg(F.max(column(mark.column)).alias("hi")).first()["hi"])
 
 
-def incremental_batch(source: DataFrame, mark: Watermark, last: str, filter_text: str = "") -> tuple[DataFrame, str]:
+def row_filter(source: DataFrame, spec: JobSpec) -> str | Column:
+    """A job's filter: SQL text, or a JSON document filter where the source holds documents."""
+    if spec.source.kind in DOCUMENT_KINDS:
+        return document_predicate(source.schema, spec.filter)
+    return spec.filter
+
+
+def incremental_batch(source: DataFrame, mark: Watermark, last: str, filter_by: str | Column = "") -> tuple[DataFrame, str]:
     """(rows to copy, new mark): fixed above and below, so the mark describes exactly those rows.
 
     The upper bound is read first. Rows that appear later lie above it and come
     with the next run.
     """
-    base = where_all(source, filter_text)
+    base = where_all(source, filter_by)
     hi = high_water(after_mark(base, mark, last), mark)
     if not hi:
         return after_mark(base, mark, last), last
@@ -124,14 +131,26 @@ def read_target(spark: SparkSession, e: Endpoint, table: str, keys: Sequence[str
 
 
 def copy_plan(source: DataFrame, spec: JobSpec, last: str = "") -> tuple[DataFrame, str]:
-    """(filtered and mapped rows, new mark) of a data job, as one lazy plan."""
+    """(filtered and mapped rows, new mark) of a data job, as one lazy plan.
+
+    Input repeats are settled before the mapping where it leaves out a column
+    that orders them; otherwise the write does that.
+    """
     if spec.watermark:
-        rows, mark = incremental_batch(source, spec.watermark, last, spec.filter)
+        rows, mark = incremental_batch(source, spec.watermark, last, row_filter(source, spec))
     else:
-        rows, mark = where_all(source, spec.filter), ""
+        rows, mark = where_all(source, row_filter(source, spec)), ""
+    if spec.keys and not _order_is_copied(source, spec):
+        keep = M.keep_first if spec.write == "skip" else M.keep_last
+        rows = keep(rows, spec.keys, spec.order_by) if spec.write != "append" else rows
     return map_columns(rows, spec.mappings), mark
 
 
+def _order_is_copied(source: DataFrame, spec: JobSpec) -> bool:
+    copied = {a for a, _ in column_pairs(spec.mappings, source.columns)}
+    return all(c in copied for c in spec.order_by)
+
+
 def last_mark(spark: SparkSession, root: str, job: str) -> str:
     """The stored mark of a job; blank means the next run copies everything."""
     row = watermarks(spark, root).latest().where(F.col("job") == job).first()
@@ -150,19 +169,22 @@ def run_job(
     root: str,
     runtime: Mapping[str, str] | None = None,
     triggered_by: str = "manual",
+    on_progress: Callable[[str, int, float], None] | None = None,
 ) -> JobResult:
     """Run one job to its end and log it below ``root``.
 
     A failure is logged and returned as a result, not raised; the mark moves
     only after a success, and quality trouble never fails the run.
+    ``on_progress`` hears of each phase with the rows so far and the percentage.
     """
+    tell = on_progress or (lambda phase, rows, percent: None)
     log = run_log(spark, root)
     run = uuid.uuid4().hex
     started = _now()
     log.append({"run_id": run, "job": spec.name, "seq": 0, "start_time": started, "status": "running", "triggered_by": triggered_by})
     result = JobResult(run, spec.name, "success")
     try:
-        _dispatch(spark, spec, root, runtime, result, started)
+        _dispatch(spark, spec, root, runtime, result, started, tell)
     except Exception as error:  # noqa: BLE001 - any failure belongs in the log
         result.status, result.error = "failed", str(error)
     if result.status == "success" and spec.watermark and result.high_water:
@@ -170,6 +192,8 @@ def run_job(
     log.append(
         as_log_row(result, seq=1, start_time=started, end_time=_now(), triggered_by=triggered_by, **result.quality)
     )
+    failed = result.status != "success"
+    tell("failed" if failed else "done", result.rows, 0.0 if failed else 100.0)
     return result
 
 
@@ -177,17 +201,20 @@ def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def _dispatch(spark: SparkSession, spec: JobSpec, root: str, runtime, result: JobResult, started: datetime) -> None:
+def _dispatch(spark: SparkSession, spec: JobSpec, root: str, runtime, result: JobResult, started: datetime, tell) -> None:
     if spec.kind not in ("structure", "data", "both", "sql_import"):
         raise ValueError(f"unknown job kind: {spec.kind}")
     if spec.kind == "sql_import":
+        tell("data", 0, 0.0)
         _sql_import(spark, spec, runtime, result, started)
         return
     key = spec.keys[0] if len(spec.keys) == 1 else ""
     source = read_endpoint(spark, spec.source, spec.source_table, spec.shards, key)
     if spec.kind in ("structure", "both"):
+        tell("structure", 0, 0.0)
         _structure(spark, spec, source)
     if spec.kind in ("data", "both"):
+        tell("data", 0, 0.0)
         last = last_mark(spark, root, spec.name) if spec.watermark else ""
         rows, result.high_water = copy_plan(source, spec, last)
         result.rows = _write_counted(rows, spec)
@@ -195,13 +222,19 @@ def _dispatch(spark: SparkSession, spec: JobSpec, root: str, runtime, result: Jo
             result.quality = _quality(spark, spec, source, last, result.high_water)
 
 
-def _write_counted(rows: DataFrame, spec: JobSpec) -> int:
-    """Write, and count what passed on the way with an observation instead of a second scan."""
-    from pyspark.sql import Observation
-
+def _counting(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows, counted on their way into a write instead of by a second scan."""
     seen = Observation()
-    mapped_keys = [dict(column_pairs(spec.mappings, rows.columns)).get(k, k) for k in spec.keys]
-    write_rows(rows.observe(seen, F.count(F.lit(1)).alias("n")), spec.target, spec.target_table, spec.write, mapped_keys, spec.order_by)
+    return rows.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def _write_counted(rows: DataFrame, spec: JobSpec) -> int:
+    counted, seen = _counting(rows)
+    names = {m.source: m.name for m in spec.mappings if m.enabled}
+    keys = [names.get(k, k) for k in spec.keys]
+    order = [names.get(c, c) for c in spec.order_by]
+    order = order if all(c in rows.columns for c in order) else []
+    write_rows(counted, spec.target, spec.target_table, spec.write, keys, order)
     return seen.get.get("n", 0)
 
 
@@ -231,7 +264,7 @@ def _structure(spark: SparkSession, spec: JobSpec, source: DataFrame) -> None:
 def _quality(spark: SparkSession, spec: JobSpec, source: DataFrame, last: str, upto: str) -> dict:
     """The check after a copy; its own errors are dropped."""
     try:
-        picked = where_all(source, spec.filter)
+        picked = where_all(source, row_filter(source, spec))
         if spec.watermark:
             picked = after_mark(picked, spec.watermark, last, upto)
         pairs = column_pairs(spec.mappings, source.columns)
@@ -255,7 +288,7 @@ def _quality(spark: SparkSession, spec: JobSpec, source: DataFrame, last: str, u
 def verify_job(spark: SparkSession, spec: JobSpec, root: str) -> dict:
     """Check a job's source against its target without its filter, and note the outcome on its newest run."""
     source = read_endpoint(spark, spec.source, spec.source_table)
-    outcome = _quality(spark, JobSpec(**{**spec.__dict__, "filter": "", "watermark": None}), source, "", "")
+    outcome = _quality(spark, replace(spec, filter="", watermark=None), source, "", "")
     log = run_log(spark, root)
     newest = log.latest().where(F.col("job") == spec.name).orderBy(F.col("start_time").desc()).first()
     if newest and outcome:
@@ -269,12 +302,14 @@ def _sql_import(spark: SparkSession, spec: JobSpec, runtime, result: JobResult,
     if spec.source.kind in FILE_KINDS + DOCUMENT_KINDS:
         raise ValueError("a SQL import needs a SQL source")
     rows = query_rows(spark, spec, runtime)
-    if spec.target.kind == "csv":
+    if spec.target.kind in (*FILE_KINDS, ""):
+        # No target means a CSV export too.
         result.file_path = export_path(spec.target.path or shared_dir(spark), spec.name, started)
-        files.write_csv(rows, result.file_path, rows.columns)
-        result.rows = files.read_csv(spark, result.file_path).count()
+        counted, seen = _counting(rows)
+        files.write_csv(counted, result.file_path, rows.columns)
+        result.rows = seen.get.get("n", 0)
         return
-    result.rows = _write_counted(rows, JobSpec(**{**spec.__dict__, "mappings": ()}))
+    result.rows = _write_counted(rows, replace(spec, mappings=()))
 
 
 def view_name(table: str) -> str:

@@ -177,3 +177,40 @@ def test_range_buckets_keep_recent_keys_together(spark, out):
     assert table.read().count() == 1050
     table.commit(table.read())
     assert table.expire() == [0, 1] and table.read().count() == 1050
+
+
+def test_document_sources_take_json_filters(spark, out):
+    spark.sql("SELECT id AS _id, named_struct('b', id % 3) AS a FROM range(30)").write.json(f"{out}/src/t")
+    job = spec(out, source=Endpoint("mongodb", path=f"{out}/src"), filter='{"a.b": {"$ne": 1}}')
+    result = jobs.run_job(spark, job, out)
+    assert (result.status, result.rows, result.quality["source_rows"]) == ("success", 20, 20)
+    assert set(jobs.read_target(spark, job.target, "t").columns) == {"_id", "a.b"}
+    assert jobs.run_job(spark, spec(out, source=job.source, filter="a = 1"), out).status == "failed"
+
+
+def test_the_order_of_repeats_need_not_be_copied(spark, out):
+    save(spark, out, "SELECT id % 5 AS k, id AS v, -id AS at FROM range(20)")
+    maps = [FieldMapping("k", "key"), FieldMapping("v")]
+    for order, want in ((["at"], {0, 1, 2, 3, 4}), (["v"], {15, 16, 17, 18, 19})):
+        job = spec(out, keys=["k"], order_by=order, write="upsert", mappings=maps, quality=False)
+        assert jobs.run_job(spark, job, out).status == "success"
+        assert {r["v"] for r in jobs.read_target(spark, job.target, "t", ["key"]).collect()} == want
+
+
+def test_phases_are_told(spark, out):
+    save(spark, out, "SELECT id AS k FROM range(5)")
+    told = []
+    jobs.run_job(spark, spec(out, kind="both", keys=["k"], quality=False), out, on_progress=lambda *p: told.append(p))
+    assert told == [("structure", 0, 0.0), ("data", 0, 0.0), ("done", 5, 100.0)]
+    jobs.run_job(spark, spec(out, kind="nope"), out, on_progress=lambda *p: told.append(p))
+    assert told[-1] == ("failed", 0, 0.0)
+
+
+def test_file_chunks_resume(spark, out):
+    spark.range(100).repartition(5).write.parquet(f"{out}/in")
+    source = spark.read.parquet(f"{out}/in")
+    with pytest.raises(RuntimeError):
+        jobs.copy_files_in_chunks(source, f"{out}/copy", 2, fail_after=1)
+    assert jobs.copy_files_in_chunks(source, f"{out}/copy", 2, [FieldMapping("id", "n")]) == 2
+    assert jobs.copy_files_in_chunks(source, f"{out}/copy", 2) == 0
+    assert spark.read.parquet(f"{out}/copy/rows").count() == 100
