@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -41,6 +42,30 @@ class Endpoint:
     driver: str = ""
     name: str = ""
 
+    @classmethod
+    def from_json(cls, text: str) -> Endpoint:
+        """An endpoint from its stored JSON form; unknown fields are left out, a kind is required."""
+        raw = json.loads(text)
+        # The field names of the stored form.
+        names = {
+            "db_type": "kind",
+            "host": "host",
+            "port": "port",
+            "username": "user",
+            "password": "password",
+            "database_name": "database",
+            "extra_params": "extra",
+            "name": "name",
+        }
+        known = {names[k]: v for k, v in raw.items() if k in names}
+        if not known.get("kind"):
+            raise ValueError("the endpoint names no db_type")
+        known["kind"] = known["kind"].lower()
+        # Files are addressed by what a database calls its host.
+        if known["kind"] in ("csv", "excel", "parquet", "mongodb"):
+            known["path"] = known.get("host", "")
+        return cls(**known)
+
 
 @dataclass(frozen=True)
 class Watermark:

@@ -72,8 +72,7 @@ def insert_checked(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
 def insert_skip(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The rows to append when existing keys are skipped; of repeated new keys the first stays."""
     require_keys(keys, target.columns)
-    taken = target.select([column(k) for k in keys]).distinct()
-    return _match(keep_first(source, keys, order_by), taken, keys, "left_anti")
+    return _match(keep_first(source, keys, order_by), target, keys, "left_anti")
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

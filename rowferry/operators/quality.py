@@ -156,7 +156,7 @@ def check_quality(
     return with_status(counts)
 
 
-DIFFERS = "source_rows <> 1 OR target_rows <> 1 OR ds <> dt"
+DIFFERS = "source_rows <> 1 OR target_rows <> 1 OR ds <> dt OR no_key"
 
 
 def key_digests(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -171,9 +171,10 @@ def key_digests(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs
 
     null = F.lit(None).cast("long")
     rows = s.select(*k, digest("s").alias("ds"), null.alias("dt")).unionByName(t.select(*k, null.alias("ds"), digest("t").alias("dt")))
-    return rows.groupBy(*k).agg(
+    grouped = rows.groupBy(*k).agg(
         F.count("ds").alias("source_rows"), F.count("dt").alias("target_rows"), F.max("ds").alias("ds"), F.max("dt").alias("dt")
     )
+    return grouped.withColumn("no_key", reduce(lambda a, b: a | b, [F.col(c).isNull() for c in k]))
 
 
 def differing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -181,7 +182,8 @@ def differing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], pa
 
     Only the key and one 8-byte row digest per row are shuffled, folded in the
     map tasks, so two nearly equal wide tables compare at a small part of their
-    size. Keys repeated on a side are listed too: a digest cannot clear them.
+    size. Keys repeated on a side are listed too, as a digest cannot clear them,
+    and so are null keys, which equal nothing.
     """
     names = [F.col(f"k{i}").alias(name) for i, name in enumerate(keys)]
     return key_digests(source, target, keys, pairs).where(DIFFERS).select(*names, "source_rows", "target_rows")

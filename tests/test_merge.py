@@ -203,3 +203,23 @@ def test_full_compare_counts_and_repeats(spark):
     row = quality.full_compare(s, t, ["id"], [("v", "v")]).first().asDict()
     assert row == {"source_keys": 3, "matched": 1, "missing": 1, "extra": 1, "diff_v": 1}
     assert rows(quality.differing_keys(s, t, ["id"], [("v", "v")])) == [(1, 2, 2), (2, 1, 1), (3, 1, 0), (4, 0, 1)]
+
+
+def test_both_full_comparisons_agree(spark):
+    s = spark.createDataFrame([(1, 1.0), (2, 2.0), (None, 3.0), (4, 4.0), (5, 5.0), (5, 5.0)], "id int, v double")
+    t = spark.createDataFrame([(1, 1.00001), (2, 9.0), (None, 3.0), (5, 5.0), (6, 6.0)], "id int, v double")
+    whole = quality.full_compare(s, t, ["id"], [("v", "v")]).first().asDict()
+    assert whole == {"source_keys": 5, "matched": 2, "missing": 2, "extra": 2, "diff_v": 1}
+    assert quality.compare_tables(s, t, ["id"], [("v", "v")]).first().asDict() == whole
+
+
+def test_composite_key_samples_hold_exact_keys(spark):
+    s = spark.range(100).selectExpr("id div 10 AS a", "id % 10 AS b", "id AS v")
+    row = quality.sample_compare(s, s.where("v <> 0"), ["a", "b"], [("v", "v")], 10, "first").first()
+    assert (row["sample_total"], row["sample_matched"]) == (10, 9)
+
+
+def test_a_hot_key_does_not_multiply_in_a_comparison(spark):
+    s = spark.range(60_000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id % 3 AS v")
+    row = quality.full_compare(s, s, ["k"], [("v", "v")]).first()
+    assert row["source_keys"] == row["matched"] == 40_001

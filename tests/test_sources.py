@@ -109,6 +109,14 @@ def test_jdbc_urls():
         jdbc.jdbc_url(Endpoint("ftp"))
 
 
+def test_endpoints_from_json():
+    e = Endpoint.from_json('{"db_type": "MySQL", "host": "db", "port": 3306, "username": "u", "database_name": "d", "other": 1}')
+    assert (e.kind, e.host, e.port, e.user, e.database) == ("mysql", "db", 3306, "u", "d")
+    assert Endpoint.from_json('{"db_type": "csv", "host": "/data"}').path == "/data"
+    with pytest.raises(ValueError):
+        Endpoint.from_json("{}")
+
+
 @pytest.mark.parametrize(
     "dialect, want",
     [
