@@ -9,7 +9,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
-# Everything but ASCII letters and digits and the two common CJK blocks.
+# Fixed value: everything but ASCII letters and digits and the two common CJK blocks.
 _UNSAFE = re.compile("[^a-zA-Z0-9一-鿿㐀-䶿]+")
 
 

@@ -134,6 +134,7 @@ POSTGRES_ALIASES = {
 # Mapped types that keep the size of the source type.
 SIZED_TYPES = ("VARCHAR", "VARCHAR2", "CHAR", "DECIMAL", "NUMERIC", "NUMBER")
 
+# Fixed value: a type name and its size.
 _SIZED = r"^([A-Z0-9 ]+?)(\([\d,]+\))$"
 
 

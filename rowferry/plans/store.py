@@ -18,7 +18,7 @@ from rowferry.operators.mapping import column
 from rowferry.session import children, exists, matching, remove, small_frame
 
 BUCKET = "_bucket"
-LOG = "bucket int, commit long, added boolean, schema string"
+LOG = "bucket int, commit long, added boolean, head string"
 
 
 def hash_bucket(df: DataFrame, keys: Sequence[str], n: int) -> Column:
@@ -85,13 +85,24 @@ class KeyedTable:
             return self.spark.createDataFrame([], schema or self.schema())
         return self.spark.read.schema(schema or self.schema()).parquet(*paths)
 
-    def schema(self) -> T.StructType:
-        """The schema the newest commit recorded, so an empty table has one too."""
+    def _head(self) -> dict:
+        """What the newest commit recorded: the schema, and the last batch each stream applied."""
         done = self._commits()
         if not done:
+            return {}
+        log = self.spark.read.schema(LOG).parquet(f"{self.path}/commits/c={done[-1]}")
+        return json.loads(log.where("head IS NOT NULL").first()["head"])
+
+    def schema(self) -> T.StructType:
+        """The table's schema; an empty table has one too."""
+        head = self._head()
+        if not head:
             raise ValueError(f"no table at {self.path}")
-        text = self.spark.read.schema(LOG).parquet(f"{self.path}/commits/c={done[-1]}")
-        return T.StructType.fromJson(json.loads(text.where("schema IS NOT NULL").first()["schema"]))
+        return T.StructType.fromJson(head["schema"])
+
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream this table took in, -1 for none."""
+        return self._head().get("applied", {}).get(stream, -1)
 
     def touched_by(self, *keyed: DataFrame) -> set[int]:
         """Buckets that hold any of the keys given; at most one number per bucket."""
@@ -104,7 +115,12 @@ class KeyedTable:
         return {r["b"] for r in whole.distinct().collect() if r["b"] is not None}
 
     def commit(
-        self, rows: DataFrame, touched: set[int] | None = None, number: int | None = None, placed: bool = False, added: bool = False
+        self,
+        rows: DataFrame,
+        touched: set[int] | None = None,
+        batch: tuple[str, int] | None = None,
+        placed: bool = False,
+        added: bool = False,
     ) -> int:
         """Write the rows of the touched buckets (all of them by default) as one commit.
 
@@ -113,9 +129,10 @@ class KeyedTable:
         Rows are rebalanced by bucket first: adaptive execution packs small
         buckets together and splits large ones, so files come out of even size.
         ``placed`` rows mostly sit by bucket already (they were read from bucket
-        files and not shuffled since) and are written where they are.
+        files and not shuffled since) and are written where they are. ``batch``
+        notes a stream's (id, batch number) with the commit.
         """
-        number = self.last_commit() + 1 if number is None else number
+        number = self.last_commit() + 1
         data, log = f"{self.path}/data/c={number}", f"{self.path}/commits/c={number}"
         out = rows.withColumn(BUCKET, self.bucket_of(rows))
         out = out if placed else out.hint("rebalance", F.col(BUCKET))
@@ -123,7 +140,9 @@ class KeyedTable:
         if touched is None:
             touched = {int(n.partition("=")[2]) for n in children(self.spark, data) if n.startswith(f"{BUCKET}=")}
             touched |= set() if added else {b for b, _ in self._current()}
-        marks = [(b, number, added, None) for b in sorted(touched)] + [(None, number, added, rows.schema.json())]
+        applied = self._head().get("applied", {}) | (dict([batch]) if batch else {})
+        head = json.dumps({"schema": rows.schema.jsonValue(), "applied": applied})
+        marks = [(b, number, added, None) for b in sorted(touched)] + [(None, number, added, head)]
         small_frame(self.spark, marks, LOG).write.mode("overwrite").parquet(log)
         return number
 
@@ -131,18 +150,18 @@ class KeyedTable:
         self,
         touched_keys: Sequence[DataFrame],
         make: Callable[[DataFrame], DataFrame],
-        number: int | None = None,
+        batch: tuple[str, int] | None = None,
         placed: bool = False,
     ) -> int:
         """Rewrite the buckets of some keys: ``make`` turns their old rows into their new rows.
 
-        A commit ``number`` that is already visible is left alone, which makes a
-        repeated streaming batch harmless.
+        A stream's batch that was applied before is left alone, so running it
+        again is harmless.
         """
-        if number is not None and number <= self.last_commit():
-            return number
+        if batch is not None and batch[1] <= self.applied(batch[0]):
+            return self.last_commit()
         touched = self.touched_by(*touched_keys)
-        return self.commit(make(self.read(touched)), touched, number, placed)
+        return self.commit(make(self.read(touched)), touched, batch, placed)
 
     def add(self, keyed: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int:
         """Add rows beside the old ones: ``make`` gets the old rows near the given keys and returns just the new ones."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -51,9 +52,10 @@ def replicate(
 ) -> StreamingQuery:
     """Start applying a feed to a table that already holds its first load.
 
-    Each micro-batch is one commit of the table, numbered by the batch, so a
-    batch that runs again after a crash is recognised and skipped, and only the
-    buckets its keys fall into are rewritten. Bad events go to ``dead_letter``
+    Each micro-batch is one commit of the table that notes the batch, so a batch
+    that runs again after a crash is recognised and skipped, also when other
+    jobs wrote to the table meanwhile. Only the buckets its keys fall into are
+    rewritten. Bad events go to ``dead_letter``
     with their reason and the feed goes on. The checkpoint resumes where the
     last run stopped. One query per name runs at a time: a new start stops the
     old one.
@@ -63,15 +65,12 @@ def replicate(
         for running in spark.streams.active:
             if running.name == name:
                 running.stop()
-    base = target.last_commit() if not _started(spark, checkpoint) else _base(spark, checkpoint)
-    if base < 0:
+    if target.last_commit() < 0:
         raise ValueError("the target table needs its first load before the feed")
-    if not _started(spark, checkpoint):
-        small_frame(spark, [(base,)], "base long").write.mode("overwrite").json(f"{checkpoint}/base")
+    stream = _stream_id(spark, checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        number = base + 1 + batch_id
-        if number <= target.last_commit():
+        if batch_id <= target.applied(stream):
             return
         renamed = map_feed(batch, mappings) if mappings else batch
         held = renamed.persist()
@@ -86,7 +85,7 @@ def replicate(
             with Staged(fold_events(good, target.keys, mode, hot_events), "batch") as folded:
                 image = good.schema["after"].dataType
                 target.merge(
-                    keyed, lambda old: settle(old, folded.df, target.keys, image, mode, folded.small), number, folded.small
+                    keyed, lambda old: settle(old, folded.df, target.keys, image, mode, folded.small), (stream, batch_id), folded.small
                 )
         finally:
             held.unpersist()
@@ -97,12 +96,12 @@ def replicate(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _started(spark: SparkSession, checkpoint: str) -> bool:
-    return exists(spark, f"{checkpoint}/base/_SUCCESS")
-
-
-def _base(spark: SparkSession, checkpoint: str) -> int:
-    return spark.read.schema("base long").json(f"{checkpoint}/base").first()["base"]
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name a checkpoint goes by in the tables it feeds; a new checkpoint counts its batches anew."""
+    at = f"{checkpoint}/stream"
+    if not exists(spark, f"{at}/_SUCCESS"):
+        small_frame(spark, [(uuid.uuid4().hex,)], "id string").write.mode("overwrite").json(at)
+    return spark.read.schema("id string").json(at).first()["id"]
 
 
 def stop_all(spark: SparkSession) -> None:
