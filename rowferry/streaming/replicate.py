@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rowferry.model import FieldMapping
+from rowferry.model import FieldMapping, JobSpec
 from rowferry.operators.changes import HOT_EVENTS, fold_events, map_feed, settle, split_feed
+from rowferry.operators.mapping import rename_feed
+from rowferry.plans.jobs import run_job
 from rowferry.plans.store import KeyedTable
 from rowferry.session import Staged, exists, small_frame
 
@@ -96,6 +99,46 @@ def replicate(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def start_realtime(
+    spark: SparkSession,
+    spec: JobSpec,
+    feed: DataFrame,
+    root: str,
+    mode: str = "strict",
+    initial_load: bool = True,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """A realtime job: the target is loaded once from the source, then follows the feed.
+
+    The feed must reach back to before the load; in ``upsert`` mode events the
+    load already holds do no harm. Without ``initial_load`` the target starts
+    empty, in the feed's own structure. Checkpoint and rejects live below
+    ``root`` under the job's name, and so does the run log the load writes to.
+    """
+    names = {m.source: m.name for m in spec.mappings if m.enabled}
+    at = f"{spec.target.path}/{spec.target_table}" if spec.target_table else spec.target.path
+    target = KeyedTable(spark, at, [names.get(k, k) for k in spec.keys])
+    if target.last_commit() < 0 and initial_load:
+        load = run_job(spark, replace(spec, kind="data", write="append", watermark=None), root, triggered_by="realtime")
+        if load.status != "success":
+            raise RuntimeError(load.error)
+    elif target.last_commit() < 0:
+        image = feed.schema["after"].dataType
+        kept = rename_feed(image.names, spec.mappings)
+        fields = [T.StructField(kept[f.name], f.dataType) for f in image.fields if f.name in kept]
+        target.commit(spark.createDataFrame([], T.StructType(fields)))
+    return replicate(
+        feed,
+        target,
+        f"{root}/checkpoints/{spec.name}",
+        f"{root}/dead_letter/{spec.name}",
+        mode,
+        spec.mappings,
+        name=spec.name,
+        trigger=trigger,
+    )
+
+
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The name a checkpoint goes by in the tables it feeds; a new checkpoint counts its batches anew."""
     at = f"{checkpoint}/stream"

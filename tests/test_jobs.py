@@ -214,3 +214,17 @@ def test_file_chunks_resume(spark, out):
     assert jobs.copy_files_in_chunks(source, f"{out}/copy", 2, [FieldMapping("id", "n")]) == 2
     assert jobs.copy_files_in_chunks(source, f"{out}/copy", 2) == 0
     assert spark.read.parquet(f"{out}/copy/rows").count() == 100
+
+
+def test_run_listings(spark):
+    from rowferry.plans import reports
+
+    runs = spark.sql(
+        "SELECT * FROM VALUES (1, 7, 'success', '/a.csv'), (2, 7, 'failed', '/b.csv'), (3, 8, 'success', NULL), (4, 7, 'success', '') AS t(id, task_id, status, file_path)"
+    )
+    named = spark.sql("SELECT 7 AS id, 'seven' AS name")
+    assert [r["id"] for r in reports.job_runs(runs, 7).collect()] == [4, 2, 1]
+    assert [r["id"] for r in reports.job_runs(runs, 7, 1).collect()] == [4]
+    assert [(r["id"], r["task_name"]) for r in reports.run_report(runs, named, "success").collect()] == [(4, "seven"), (3, None), (1, "seven")]
+    got = {r["task_id"]: (r["last_run"], r["last_status"], r["file_path"]) for r in reports.latest_files(runs).collect()}
+    assert got == {7: (4, "success", "/a.csv"), 8: (3, "success", None)}

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from rowferry.model import Endpoint, FieldMapping, JobSpec
 from rowferry.plans.store import KeyedTable
 from rowferry.streaming import replicate as R
 from test_changes import START, as_dict, random_events, replay
@@ -90,3 +91,24 @@ def test_only_touched_buckets_are_written(spark, out):
     assert sorted(c for _, c in pairs).count(1) == 1 and len(pairs) == 16
     assert table.read().where("v = 9").count() == 1 and table.read().count() == 400
     assert table.expire() == []
+
+
+@pytest.mark.parametrize("initial", [True, False])
+def test_a_realtime_job_loads_then_follows(spark, out, initial):
+    spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "k int, v int, w string").write.parquet(f"{out}/src/t")
+    deliver(spark, f"{out}/feed", as_json([(1, "U", None, (1, 5, "z"), None), (2, "I", None, (3, 3, "c"), None), (3, "D", (2, 2, "b"), None, None)]))
+    spec = JobSpec(
+        name="follow",
+        source=Endpoint("parquet", path=f"{out}/src"),
+        source_table="t",
+        target=Endpoint("parquet", path=f"{out}/dst"),
+        target_table="t",
+        keys=["k"],
+        mappings=[FieldMapping("k", "id"), FieldMapping("v"), FieldMapping("w", "word")],
+        quality=False,
+    )
+    feed = R.read_feed(spark, f"{out}/feed", R.feed_schema(ROW), "t")
+    R.start_realtime(spark, spec, feed, out, initial_load=initial).awaitTermination()
+    table = KeyedTable(spark, f"{out}/dst/t", ["id"])
+    assert table.read().columns == ["id", "v", "word"]
+    assert as_dict(table.read()) == ({1: (5, "z"), 3: (3, "c")} if initial else {3: (3, "c")})
