@@ -165,6 +165,9 @@ def fold_events(
     partial = "unchanged" in feed.columns
     events = _events(feed, keys)
     k = [f"k{i}" for i in range(len(keys))]
+    # A change without a key addresses no row.
+    for name in k:
+        events = events.where(F.col(name).isNotNull())
     op, order = F.col("op"), F.col("ord")
     if mode == "strict":
         events = _after_last_delete(events, k, hot_events)
@@ -226,7 +229,7 @@ def settle(
     """
     partial = "o0" in folded.columns
     k = [f"k{i}" for i in range(len(keys))]
-    joined = outer_match(target.withColumn("_here", F.lit(True)), folded, keys, k, small)
+    joined = outer_match(target.withColumn("_here", F.lit(True)), folded, keys, k, small, null_keys=False)
 
     here = F.col("_here").isNotNull()
     alive = here & F.col("del_ord").isNull()

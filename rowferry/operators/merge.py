@@ -9,6 +9,7 @@ row per map task, and the join behind it never multiplies.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -69,37 +70,59 @@ def insert_checked(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
     return source
 
 
-def insert_skip(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def insert_skip(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str], null_keys: bool = True
+) -> DataFrame:
     """The rows to append when existing keys are skipped; of repeated new keys the first stays."""
     require_keys(keys, target.columns)
-    return _match(keep_first(source, keys, order_by), target, keys, "left_anti")
+    return _match(keep_first(source, keys, order_by), target, keys, "left_anti", null_keys)
 
 
-def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Null-safe join on the keys that keeps the left columns only."""
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_keys: bool = True) -> DataFrame:
+    """Join on the keys that keeps the left columns only; null keys are equal unless there are none."""
     r = right.select([column(k).alias(f"_r{i}") for i, k in enumerate(keys)])
-    on = [column(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    on = [column(k).eqNullSafe(F.col(f"_r{i}")) if null_keys else column(k) == F.col(f"_r{i}") for i, k in enumerate(keys)]
     return left.join(r, on, how)
 
 
-def outer_match(target: DataFrame, changes: DataFrame, keys: Sequence[str], change_keys: Sequence[str], small: bool = False) -> DataFrame:
+def has_null_keys(df: DataFrame, keys: Sequence[str]) -> bool:
+    return not df.where(reduce(lambda a, b: a | b, [column(k).isNull() for k in keys])).isEmpty()
+
+
+def outer_match(
+    target: DataFrame,
+    changes: DataFrame,
+    keys: Sequence[str],
+    change_keys: Sequence[str],
+    small: bool = False,
+    null_keys: bool = True,
+) -> DataFrame:
     """Full outer join of a target with changes that hold one row per key; null keys are equal.
 
+    Changes known to hold no null key (``null_keys=False``) join by plain
+    equality to the same result, which lets Spark reuse a partitioning by the
+    key: that of the step that settled the changes, or of a bucketed target.
+
     ``small`` changes (a size the caller has checked) are broadcast instead:
     target rows stay where they are, and the changes without a target row are
     added behind them. Then the target is not shuffled at all.
     """
-    on = [column(k).eqNullSafe(column(c)) for k, c in zip(keys, change_keys)]
+    def same(a: str, b: str) -> Column:
+        return column(a).eqNullSafe(column(b)) if null_keys else column(a) == column(b)
+
+    on = [same(k, c) for k, c in zip(keys, change_keys)]
     if not small:
         return target.join(changes, on, "full_outer")
     side = F.broadcast(changes)
     held = target.select([column(k).alias(f"_h{i}") for i, k in enumerate(keys)])
-    seen = [F.col(f"_h{i}").eqNullSafe(column(c)) for i, c in enumerate(change_keys)]
+    seen = [same(f"_h{i}", c) for i, c in enumerate(change_keys)]
     present = held.join(F.broadcast(changes.select([column(c) for c in change_keys])), seen, "left_semi").distinct()
     return target.join(side, on, "left").unionByName(changes.join(present, seen, "left_anti"), allowMissingColumns=True)
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def upsert(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str], null_keys: bool = True
+) -> DataFrame:
     """The whole target after the upsert.
 
     A matched row takes every non-key input column and keeps the columns only
@@ -107,17 +130,19 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by:
     An input that holds nothing but keys only adds the missing ones.
     """
     require_keys(keys, target.columns)
-    return upsert_settled(target, keep_last(source, keys, order_by), keys)
+    return upsert_settled(target, keep_last(source, keys, order_by), keys, null_keys=null_keys)
 
 
-def upsert_settled(target: DataFrame, fresh: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
+def upsert_settled(
+    target: DataFrame, fresh: DataFrame, keys: Sequence[str], small: bool = False, null_keys: bool = True
+) -> DataFrame:
     """``upsert`` of an input that holds one row per key."""
     extra = [c for c in fresh.columns if c not in target.columns]
     if extra:
         raise ValueError(f"columns missing from the target: {', '.join(extra)}")
     s = fresh.select([column(c).alias(f"_s{i}") for i, c in enumerate(fresh.columns)]).withColumn("_in_source", F.lit(True))
     at = {c: F.col(f"_s{i}") for i, c in enumerate(fresh.columns)}
-    joined = outer_match(target, s, keys, [f"_s{fresh.columns.index(k)}" for k in keys], small)
+    joined = outer_match(target, s, keys, [f"_s{fresh.columns.index(k)}" for k in keys], small, null_keys)
     hit = F.col("_in_source").isNotNull()
     types = {f.name: f.dataType for f in target.schema.fields}
     return joined.select(
@@ -138,7 +163,9 @@ def replace_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], orde
     return replace_settled(target, keep_last(source, keys, order_by), keys)
 
 
-def replace_settled(target: DataFrame, fresh: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
+def replace_settled(
+    target: DataFrame, fresh: DataFrame, keys: Sequence[str], small: bool = False, null_keys: bool = True
+) -> DataFrame:
     """``replace_rows`` of an input that holds one row per key."""
-    fresh = F.broadcast(fresh) if small else fresh
-    return _match(target, fresh, keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    gone = F.broadcast(fresh) if small else fresh
+    return _match(target, gone, keys, "left_anti", null_keys).unionByName(fresh, allowMissingColumns=True)

@@ -117,10 +117,11 @@ def _write_keyed(df: DataFrame, table: KeyedTable, write: str, order_by: Sequenc
         if write == "append":
             table.add(fresh, lambda old: M.insert_checked(old, fresh, keys))
         elif write == "skip":
-            table.add(fresh, lambda old: M.insert_skip(old, fresh, keys, order_by))
+            table.add(fresh, lambda old: M.insert_skip(old, fresh, keys, order_by, M.has_null_keys(fresh, keys)))
         else:
             settle = M.upsert_settled if write == "upsert" else M.replace_settled
-            table.merge([fresh], lambda old: settle(old, fresh, keys, staged.small), placed=staged.small)
+            nulls = M.has_null_keys(fresh, keys)
+            table.merge([fresh], lambda old: settle(old, fresh, keys, staged.small, nulls), placed=staged.small)
 
 
 def read_target(spark: SparkSession, e: Endpoint, table: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -145,21 +145,21 @@ def drifted_orders(orders: DataFrame) -> DataFrame:
 def insert_skip(spark, d):
     orders = table(spark, d, "orders")
     target = drifted_orders(orders)
-    return target.unionByName(merge.insert_skip(target, orders, ["o_orderkey"], ["o_orderdate"]))
+    return target.unionByName(merge.insert_skip(target, orders, ["o_orderkey"], ["o_orderdate"], null_keys=False))
 
 
 def upsert(spark, d):
     orders = table(spark, d, "orders")
     target = drifted_orders(orders).withColumn("note", F.concat(F.lit("t"), F.col("o_custkey").cast("string")))
     changed = orders.where("o_orderkey % 3 <> 1").select("o_orderkey", "o_totalprice", F.lower("o_orderstatus").alias("o_orderstatus"))
-    return merge.upsert(target, changed, ["o_orderkey"], ["o_totalprice"])
+    return merge.upsert(target, changed, ["o_orderkey"], ["o_totalprice"], null_keys=False)
 
 
 def upsert_last_wins(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     keys, order = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
     target = merge.keep_first(lines, keys, order).withColumn("l_quantity", F.lit(0.0)).where("l_linenumber <= 3")
-    return merge.upsert(target, lines, keys, order)
+    return merge.upsert(target, lines, keys, order, null_keys=False)
 
 
 def upsert_job(spark, d):

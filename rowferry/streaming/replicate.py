@@ -80,7 +80,8 @@ def replicate(
         try:
             good, bad = split_feed(held, target.keys)
             rejects = bad.select(F.lit(batch_id).cast("long").alias("batch_id"), "reason", F.to_json(F.struct(*bad.drop("reason").columns)).alias("event"))
-            rejects.write.mode("overwrite").json(f"{dead_letter}/batch={batch_id}")
+            if not rejects.isEmpty():
+                rejects.write.mode("overwrite").json(f"{dead_letter}/batch={batch_id}")
             sides = [s for s in ("before", "after") if s in good.columns]
             images = [good.where(F.col(s).isNotNull()).select(f"{s}.*") for s in sides]
             keyed = [i.select(*target.keys) for i in images if all(k in i.columns for k in target.keys)]

@@ -28,8 +28,8 @@ def test_upsert_equals_row_by_row_writes(spark):
     t = spark.createDataFrame(target, "k int, v int, note string")
     s = spark.createDataFrame(source, "k int, at int, v int")
     settled = M.keep_last(s, ["k"], ["at"]).select("k", "v")
-    for small in (False, True):
-        assert rows(M.upsert_settled(t, settled, ["k"], small)) == sorted(((k, *v) for k, v in want.items()), key=repr)
+    for small, nulls in ((False, True), (True, True), (False, False), (True, False)):
+        assert rows(M.upsert_settled(t, settled, ["k"], small, nulls)) == sorted(((k, *v) for k, v in want.items()), key=repr)
     again = M.upsert(M.upsert(t, settled, ["k"], ["v"]), settled, ["k"], ["v"])
     assert rows(again) == rows(M.upsert(t, settled, ["k"], ["v"]))
 

@@ -57,3 +57,8 @@ def test_a_small_merge_leaves_the_target_unshuffled(spark, sf):
     kept = merged._jdf.queryExecution().optimizedPlan().toString()
     text = plan(merged)
     assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") >= 2 and "Union" in kept
+
+
+def test_a_merge_shuffles_each_side_once(spark, sf):
+    text = plan(QUERIES["upsert"](spark, sf))
+    assert text.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in text
