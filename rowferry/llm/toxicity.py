@@ -14,8 +14,6 @@ result. Other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +35,30 @@ def features(word: str) -> tuple[list[str], list[str]]:
 
 
 def _beginnings(word: str) -> list[str]:
+    """The word and its beginnings of each length, apart by a leading mark."""
     w = word.strip(_EDGE).lower()
-    return ["w" + w, *(w[:n] for n in (4, 5, 6, 7, 8) if len(w) > n)]
+    return ["=" + w, *(w[:n] for n in (4, 5, 6, 7, 8) if len(w) > n)]
 
 
 def toxic_units(words: Words, toxic: np.ndarray, chance: float = 0.002, precision: float = 0.9) -> set[str]:
     """Words and beginnings that, to ``precision``, occur in toxic documents only, and in more of them than ``chance`` explains."""
     least = np.log(chance) / np.log(min(0.9, max(toxic.mean(), 1e-3)))
-    pairs = np.unique(np.stack([words.rows, words.codes]), axis=1)
-    units = [_beginnings(w) for w in words.vocabulary]
-    seen, bad, done = Counter(), Counter(), set()
-    for row, code in pairs.T:
-        for unit in units[code]:
-            if (row, unit) not in done:
-                done.add((row, unit))
-                seen[unit] += 1
-                bad[unit] += int(toxic[row])
-    return {u for u, n in bad.items() if n >= least and n >= precision * seen[u]}
+    names: dict[str, int] = {}
+    units = [[names.setdefault(u, len(names)) for u in _beginnings(w)] for w in words.vocabulary]
+    width = max((len(u) for u in units), default=0)
+    table = np.full((len(units), width), -1, np.int64)
+    for i, u in enumerate(units):
+        table[i, : len(u)] = u
+    rows, seen, bad = words.rows, np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    # A word's units of one length are unlike those of another, so each length is counted by itself.
+    for column in table.T:
+        unit = column[words.codes]
+        found = np.unique(rows[unit >= 0] * len(names) + unit[unit >= 0])
+        row, unit = found // len(names), found % len(names)
+        seen += np.bincount(unit, minlength=len(names))
+        bad += np.bincount(unit[toxic[row]], minlength=len(names))
+    good = (bad >= least) & (bad >= precision * seen)
+    return {u for u, i in names.items() if good[i]}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 2500, longest: int = 20_000) -> crf.Crf | None:
