@@ -9,7 +9,7 @@ judged by it. Everything is built from DataFrame functions.
 
 Nulls: a null text has no words, so it fails the base rule. A document whose
 ``lang`` is null or has no list of common words is judged by the nearest
-reference; with no reference at all only the base rule holds. A null
+reference; a text that mixes languages may also be near the pooled one; with no reference at all only the base rule holds. A null
 ``doc_id`` is carried along. Repeated rows are judged each, and count each in
 the references. Ties cannot matter. An empty table gives an empty result. Other
 columns are ignored by ``judge`` and kept by ``keep_good``.
@@ -33,14 +33,18 @@ COMMON = {
     "es": "al como con de del el en era es está la las lo los más no para pero por que se ser sin sobre son su una un y".split(),
     "fr": "au aux avec ce dans de des du elle en est et il la le les mais ne on ou par pas pour que qui se sur un une".split(),
 }
-# Counted in this order; the last is what none of them matches, mostly small ASCII letters.
-CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "mark": r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", "beyond": r"[^\x00-\x7F]"}
+# Counted in this order, then characters of two bytes or more (by their further bytes, so rarer scripts weigh more),
+# then all that is left, mostly small ASCII letters.
+CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "mark": r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"}
+N_CLASSES = len(CLASSES) + 2
 
+# The reference of all languages together: the yardstick of texts that mix languages.
+POOLED = ""
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
 # Shortest text, in characters of words and in words, whose histogram is judged, and the largest distance allowed.
-CLASS_GUARD, CLASS_LIMIT = 200, 0.45
-WORD_GUARD, WORD_LIMIT = 60, 0.45
+CLASS_GUARD, CLASS_LIMIT = 200, 0.30
+WORD_GUARD, WORD_LIMIT = 100, 0.30
 
 
 def _spread(words: list[str]) -> list[str]:
@@ -61,14 +65,12 @@ def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     known = _spread([w for words in COMMON.values() for w in words])
     keep = ["doc_id", "lang"] if keep is None else keep
     rows = docs.select(*keep, text.alias("_text"), F.array_remove(F.split(text, SPACE + "+"), "").alias("_words"))
-    n = F.size("_words")
-    starts = F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN)).otherwise(F.array().cast("array<int>"))
-    words = F.col("_words")
+    n, words = F.size("_words"), F.col("_words")
     rows = rows.select(
         *keep,
         "_text",
         n.cast("long").alias("n_words"),
-        F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SPAN)])).alias("_windows"),
+        F.slice(F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, SPAN)])), F.lit(1), F.greatest(n - (SPAN - 1), F.lit(0))).alias("_windows"),
         F.sort_array(F.transform(F.filter(words, lambda w: w.isin(known)), F.lower)).alias("_common"),
         F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
     )
@@ -83,29 +85,34 @@ def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         # Most texts repeat no window and skip the sort.
         F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_placed"),
-        F.array(*[F.regexp_count("_text", F.lit(p)).cast("long") for p in CLASSES.values()]).alias("classes"),
+        F.array(*[F.regexp_count("_text", F.lit(p)).cast("long") for p in CLASSES.values()], (F.octet_length("_text") - F.length("_text")).cast("long")).alias("classes"),
         "_common",
         begins.alias("_begins"),
     )
     b = F.col("_begins")
     runs = F.when(F.size("_common") > 0, F.transform(F.slice(b, 1, F.size(b) - 1), lambda i, k: F.struct(F.get(F.col("_common"), i).alias("word"), (F.get(b, k + 1) - i).cast("long").alias("n"))))
-    classes = F.concat(F.col("classes"), F.array(F.col("word_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)))
+    classes = F.concat(F.col("classes"), F.array(F.greatest(F.col("word_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))))
     return rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(_covered(F.col("_placed")), F.lit(0).cast("long")).alias("n_repeat_words"), classes.alias("classes"), F.coalesce(runs, F.array().cast("array<struct<word:string,n:bigint>>")).alias("common"))
 
 
 def references(measured: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """For each language with a list, its shares of classes and of common words over all its documents.
+    """For each language with a list, and for all of them pooled, the shares of classes and of common words.
 
     What comes back is a handful of sums: as many languages, classes and words as this module lists.
     """
     listed = measured.where(F.col("lang").isin(sorted(COMMON)))
-    sums = listed.groupBy("lang").agg(F.sum("n_words").alias("n_words"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]).collect()
+    sums = listed.groupBy("lang").agg(F.sum("n_words").alias("n_words"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]).collect()
     words = listed.select("lang", F.explode("common").alias("c")).groupBy("lang", "c.word").agg(F.sum("c.n").alias("n")).collect()
     out = {}
+    pooled = sum(r["n_words"] for r in sums)
+    if pooled:
+        classes = [sum(r[f"c{i}"] for r in sums) for i in range(N_CLASSES)]
+        every = {w["word"] for w in words}
+        out[POOLED] = ([c / max(sum(classes), 1) for c in classes], {x: sum(w["n"] for w in words if w["word"] == x) / pooled for x in every})
     for r in sums:
-        chars = sum(r[f"c{i}"] for i in range(len(CLASSES) + 1))
-        if chars:
-            out[r["lang"]] = ([r[f"c{i}"] / chars for i in range(len(CLASSES) + 1)], {w["word"]: w["n"] / r["n_words"] for w in words if w["lang"] == r["lang"]})
+        chars = sum(r[f"c{i}"] for i in range(N_CLASSES))
+        if chars and r["n_words"]:
+            out[r["lang"]] = ([r[f"c{i}"] / chars for i in range(N_CLASSES)], {w["word"]: w["n"] / r["n_words"] for w in words if w["lang"] == r["lang"]})
     return out
 
 
@@ -120,7 +127,7 @@ def _root(x: Column) -> Column:
 
 
 def class_distance(shares: list[float]) -> Column:
-    return _root(sum((_half(F.get("classes", F.lit(i)) / F.col("word_chars"), F.lit(float(q))) for i, q in enumerate(shares)), F.lit(0.0)))
+    return _root(sum((_half(F.get("classes", F.lit(i)) / F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(float(q))) for i, q in enumerate(shares)), F.lit(0.0)))
 
 
 def word_distance(shares: dict[str, float]) -> Column:
@@ -147,14 +154,15 @@ def judge(docs: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     refs = references(measured)
 
     def nearest(distance, index: int) -> Column:
-        all_of = {lang: distance(r[index]) for lang, r in sorted(refs.items())}
+        all_of = {lang: distance(r[index]) for lang, r in sorted(refs.items()) if lang != POOLED}
         if not all_of:
             return F.lit(None).cast("double")
+        pooled = distance(refs[POOLED][index])
         least = F.least(*all_of.values()) if len(all_of) > 1 else next(iter(all_of.values()))
         own = None
         for lang, d in all_of.items():
             own = F.when(F.col("lang") == lang, d) if own is None else own.when(F.col("lang") == lang, d)
-        return own.otherwise(least)
+        return F.least(own.otherwise(least), pooled)
 
     out = measured.withColumns({
         "class_distance": F.when(F.col("word_chars") >= CLASS_GUARD, nearest(class_distance, 0)),
