@@ -7,9 +7,11 @@ histograms of all documents of that language. A distance above its limit
 rejects the document; texts too short for a histogram to mean anything are not
 judged by it. Everything is built from DataFrame functions.
 
-Nulls: a null text has no words, so it fails the base rule. A document whose
-``lang`` is null or has no list of common words is judged by the nearest
-reference; a text that mixes languages may also be near the pooled one; with no reference at all only the base rule holds. A null
+Nulls: a null text has no words, so it fails the base rule. A document that is
+too far from its own language's reference, or whose ``lang`` is null or has no
+list of common words, is judged by the nearest of all references, their
+mixtures in halves and the pooled one, so that mixed or mislabelled prose
+passes; with no reference at all only the base rule holds. A null
 ``doc_id`` is carried along. Repeated rows are judged each, and count each in
 the references. Ties cannot matter. An empty table gives an empty result. Other
 columns are ignored by ``judge`` and kept by ``keep_good``.
@@ -17,6 +19,8 @@ columns are ignored by ``judge`` and kept by ``keep_good``.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowferry.session import Staged
@@ -116,6 +120,13 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], dict[str, fl
     return out
 
 
+def mixture(a, b):
+    """The histogram of as much text of one reference as of the other."""
+    if isinstance(a, dict):
+        return {w: (a.get(w, 0.0) + b.get(w, 0.0)) / 2 for w in a.keys() | b.keys()}
+    return [(x + y) / 2 for x, y in zip(a, b)]
+
+
 def _half(p: Column, q: Column) -> Column:
     """The part of one outcome in the divergence, in bits."""
     m = (p + q) / 2
@@ -153,20 +164,21 @@ def judge(docs: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     measured = measure(docs) if measured is None else measured
     refs = references(measured)
 
-    def nearest(distance, index: int) -> Column:
-        all_of = {lang: distance(r[index]) for lang, r in sorted(refs.items()) if lang != POOLED}
-        if not all_of:
+    def nearest(distance, index: int, limit: float) -> Column:
+        """To the reference of the document's language; only if that is too far, to the nearest of all and their mixtures."""
+        single = {lang: r[index] for lang, r in sorted(refs.items())}
+        if not single:
             return F.lit(None).cast("double")
-        pooled = distance(refs[POOLED][index])
-        least = F.least(*all_of.values()) if len(all_of) > 1 else next(iter(all_of.values()))
-        own = None
-        for lang, d in all_of.items():
-            own = F.when(F.col("lang") == lang, d) if own is None else own.when(F.col("lang") == lang, d)
-        return F.least(own.otherwise(least), pooled)
+        mixed = [mixture(single[a], single[b]) for a, b in combinations([x for x in single if x != POOLED], 2)]
+        own = F.lit(None).cast("double")
+        for lang in single:
+            own = F.when(F.col("lang") == lang, distance(single[lang])).otherwise(own)
+        every = F.array_min(F.array(*[distance(r) for r in [*single.values(), *mixed]]))
+        return F.when(own <= limit, own).otherwise(every)
 
     out = measured.withColumns({
-        "class_distance": F.when(F.col("word_chars") >= CLASS_GUARD, nearest(class_distance, 0)),
-        "word_distance": F.when(F.col("n_words") >= WORD_GUARD, nearest(word_distance, 1)),
+        "class_distance": F.when(F.col("word_chars") >= CLASS_GUARD, nearest(class_distance, 0, CLASS_LIMIT)),
+        "word_distance": F.when(F.col("n_words") >= WORD_GUARD, nearest(word_distance, 1, WORD_LIMIT)),
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
     })
     far = F.coalesce(F.col("class_distance") > CLASS_LIMIT, F.lit(False)) | F.coalesce(F.col("word_distance") > WORD_LIMIT, F.lit(False))

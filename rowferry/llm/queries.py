@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowferry.llm import language, licenses, quality, secrets, toxicity, urls
+from rowferry.llm import language, licenses, ngram_join, quality, secrets, toxicity, urls
 from rowferry.session import Staged
 
 
@@ -42,5 +42,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, language.fit_language(docs))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op")}
