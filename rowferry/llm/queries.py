@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.judge(docs, Staged(quality.measure(docs), "quality").df)
+    return quality.judge(docs, Staged(quality.measure(docs), "quality").df).drop("lang", "class_distance", "word_distance")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
