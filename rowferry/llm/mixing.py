@@ -89,9 +89,8 @@ def budgets(leaves: DataFrame, m: Mixture) -> DataFrame:
     """``leaves`` has ``_mix_domain, _mix_lang, _mix_source, held`` (tokens of one epoch); adds ``share`` (tokens to take)."""
     names = [f"_mix_{x}" for x in LEVELS]
     capped = leaves.withColumn("cap", F.col("held") * m.epochs)
-    total = leaves.agg(F.sum("held").alias("held")).select(F.expr(f"cast(coalesce(cast(held as decimal(38,0)) * {int(m.budget_percent)} div 100, 0) as long)").alias("budget"))
-    # One row on either side of nothing: the whole budget stands beside every domain.
-    above = capped.groupBy(names[0]).agg(F.sum("cap").alias("cap")).withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
+    total = leaves.agg(F.sum("held")).first()[0] or 0
+    above = capped.groupBy(names[0]).agg(F.sum("cap").alias("cap")).withColumn("budget", F.lit(int(total) * m.budget_percent // 100).cast("long"))
     level = _split(above.withColumn("weight", _weight(m, LEVELS[0])), [], names[0])
     for k in (1, 2):
         keys = names[: k + 1]
@@ -123,30 +122,31 @@ def mix_plan(docs: DataFrame, m: Mixture = STANDARD) -> Staged:
     leaves = Staged(measured.groupBy(*names).agg(F.sum("_mix_tokens").alias("held")), "leaves").df
     plan = budgets(leaves, m).withColumn("whole", F.when(F.col("held") > 0, F.expr("share div held")).otherwise(F.lit(0).cast("long")))
     plan = Staged(plan.withColumn("rest", F.col("share") - F.col("whole") * F.col("held")).withColumn("done", F.lit(0).cast("long")), "plan")
-    ordered = _beside(measured, plan, names).where("rest > 0").select(*names, "_mix_tokens", _order(m.seed, F.col("whole")).alias("_mix_order"))
+    ordered = _beside(measured, plan, names, {"whole": "whole", "rest": "rest"}).where("rest > 0").select(*names, "_mix_tokens", _order(m.seed, F.col("whole")).alias("_mix_order"))
     ordered = Staged(ordered, "ordered").df
     upper, lower = F.substring("_mix_order", 1, 3), F.substring("_mix_order", 4, 3)
     plan = Staged(_narrow(ordered, plan.df, names, upper, "upper"), "plan")
-    some = _beside(ordered, plan, names, ["upper"]).where(upper == F.col("upper"))
+    some = _beside(ordered, plan, names, {"upper": "upper"}).where(upper == F.col("upper"))
     plan = Staged(_narrow(some, plan.df, names, lower, "lower"), "plan")
-    some = _beside(ordered, plan, names, ["upper", "lower"]).where((upper == F.col("upper")) & (lower == F.col("lower")))
+    some = _beside(ordered, plan, names, {"upper": "upper", "lower": "lower"}).where((upper == F.col("upper")) & (lower == F.col("lower")))
     plan = Staged(_narrow(some, plan.df, names, F.col("_mix_order"), "last"), "plan")
     return Staged(plan.df.select(*names, "held", "share", "whole", "last", F.when(F.col("last").isNotNull(), F.col("rest") - F.col("done")).alias("cut")), "plan")
 
 
-def _beside(rows: DataFrame, plan: Staged, names: list[str], extra: list[str] | None = None) -> DataFrame:
-    """Rows with their leaf's plan: broadcast where what was written of it is small, else joined, hot leaves split at run time."""
-    table = plan.df.select(*names, *(extra if extra is not None else ["whole", "rest"]))
+def _beside(rows: DataFrame, plan: Staged, names: list[str], extra: dict[str, str]) -> DataFrame:
+    """Rows with columns of their leaf's plan: broadcast where what was written of it is small, else joined, hot leaves split at run time."""
+    table = plan.df.select(*names, *[F.col(c).alias(n) for n, c in extra.items()])
     return rows.join(F.broadcast(table) if plan.small else table, names)
 
 
 def mixed(docs: DataFrame, plan: Staged, m: Mixture = STANDARD) -> DataFrame:
     """Each row with ``_mix_copies``, the epochs it enters, and ``_mix_cut``, the tokens of it in the last one if it is cut there."""
     names = [f"_mix_{x}" for x in LEVELS]
-    rows = _beside(docs.withColumns(leaf_columns(m)), plan, names, ["whole", "last", "cut"])
-    order = _order(m.seed, F.col("whole"))
-    enters = F.coalesce(order <= F.col("last"), F.lit(False))
-    return rows.withColumns({"_mix_copies": F.col("whole") + enters.cast("long"), "_mix_cut": F.when(enters & (order == F.col("last")), F.col("cut"))}).drop("whole", "last", "cut")
+    ends = {"_mix_whole": "whole", "_mix_last": "last", "_mix_end": "cut"}
+    rows = _beside(docs.withColumns(leaf_columns(m)), plan, names, ends)
+    order = _order(m.seed, F.col("_mix_whole"))
+    enters = F.coalesce(order <= F.col("_mix_last"), F.lit(False))
+    return rows.withColumns({"_mix_copies": F.col("_mix_whole") + enters.cast("long"), "_mix_cut": F.when(enters & (order == F.col("_mix_last")), F.col("_mix_end"))}).drop(*ends)
 
 
 def mix_report(docs: DataFrame, m: Mixture = STANDARD) -> DataFrame:

@@ -191,9 +191,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Rows are told apart by id and a hash of their text, so the texts themselves are never shuffled: the rejected
     keys are broadcast where what was written of them is small, else joined by key.
     """
-    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.withColumn("_mark", mark)
-    measured = Staged(measure(keyed, ["doc_id", "lang", "_mark"]), "quality")
-    bad = Staged(judge(docs, measured.df).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_bad")).distinct(), "rejected")
+    keyed = docs.withColumn("__quality_mark", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    measured = Staged(measure(keyed, ["doc_id", "lang", "__quality_mark"]), "quality")
+    bad = judge(docs, measured.df).where(~F.col("kept")).select(F.col("doc_id").alias("__quality_id"), F.col("__quality_mark").alias("__quality_bad"))
+    bad = Staged(bad.distinct(), "rejected")
     small = F.broadcast(bad.df) if bad.small else bad.df
-    return keyed.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_bad")), "left_anti").drop("_mark")
+    same = F.col("doc_id").eqNullSafe(F.col("__quality_id")) & (F.col("__quality_mark") == F.col("__quality_bad"))
+    return keyed.join(small, same, "left_anti").drop("__quality_mark")
