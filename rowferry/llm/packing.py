@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 from collections import defaultdict
 from zlib import crc32
 
@@ -40,23 +41,86 @@ SMALL = 1 / 8
 KEPT_WORDS = 300_000
 
 
+# A word of Latin letters, perhaps with a mark behind it: nothing in it is composed, split or lower-cased by context.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+_JOINED = 200  # plain words encoded as one text
+
+
 class Ids:
-    """Token ids of whole texts, tokenising each distinct word once: no token of this vocabulary crosses white space."""
+    """Token ids of whole texts, tokenising each distinct word once: no token of this vocabulary crosses white space.
+
+    Plain words skip the normaliser and the splitting pattern, which leave them as they are but for case; they are
+    encoded many at a time and told apart by the vocabulary's word ends.
+    """
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.full, self.plain = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = [(self.full.id_to_token(i) or "").endswith("</w>") for i in range(self.full.get_vocab_size())]
+        self.ends_word = np.array(ends, bool)
+        marks = {c: self.full.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
+        self.marks = {c: ids[0] for c, ids in marks.items() if len(ids) == 1}
         self._reset()
 
     def _reset(self):
         self.index: dict[str, int] = {}
+        self.bases: dict[str, tuple[int, int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _store(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Append the ids of words of these sizes; where each begins."""
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        return begin
+
+    def _plain(self, words: list[str]) -> None:
+        joined = [" ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        size = np.diff(ends, prepend=0)
+        self.bases.update(zip(words, zip(self._store(ids, size).tolist(), size.tolist())))
+
+    def _encode(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        begin, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        parts = [PLAIN.fullmatch(w) for w in fresh]
+        plain = [(i, m[1].lower(), m[2]) for i, m in enumerate(parts) if m and (not m[2] or m[2] in self.marks)]
+        new = list(dict.fromkeys(b for _, b, _ in plain if b not in self.bases))
+        if new:
+            self._plain(new)
+        marked = []
+        for i, base, mark in plain:
+            begin[i], size[i] = self.bases[base]
+            if mark:
+                marked.append((i, self.marks[mark]))
+        if marked:
+            at, mark_ids = (np.array(x, np.int64) for x in zip(*marked))
+            n = size[at]
+            ends = np.cumsum(n + 1)
+            ids = np.empty(ends[-1], np.uint32)
+            ids[ends - 1] = mark_ids
+            body = np.ones(len(ids), bool)
+            body[ends - 1] = False
+            ids[body] = self.flat[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            begin[at], size[at] = self._store(ids, n + 1), n + 1
+        known = {i for i, _, _ in plain}
+        rest = [i for i in range(len(fresh)) if i not in known]
+        if rest:
+            ids = [e.ids for e in self.full.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            size[rest] = n
+            begin[rest] = self._store(np.fromiter((x for one in ids for x in one), np.uint32, int(n.sum())), n)
+        return begin, size
+
     def _rows(self, words: list[str]) -> np.ndarray:
         if len(self.index) > KEPT_WORDS:
             self._reset()
@@ -65,18 +129,12 @@ class Ids:
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh = [words[i] for i in new]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, total = len(self.index), int(size.sum())
-            while len(self.flat) < self.used + total:
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            first = len(self.index)
             while len(self.size) < first + len(fresh):
                 self.size = np.concatenate([self.size, np.zeros_like(self.size)])
                 self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint32, total)
-            self.size[first : first + len(fresh)] = size
-            self.begin[first : first + len(fresh)] = self.used + np.cumsum(size) - size
-            self.used += total
+            begin, size = self._encode(fresh)
+            self.begin[first : first + len(fresh)], self.size[first : first + len(fresh)] = begin, size
             at[new] = np.arange(first, first + len(fresh))
             self.index.update(zip(fresh, range(first, first + len(fresh))))
         return at
