@@ -14,12 +14,15 @@ from rowferry.model import ParamDef
 # whole, so only a marker in plain code reaches the last branch.
 _TOKEN = re.compile(
     r"(?P<comment>--[^\n]*|/\*.*?\*/)"
-    r"|(?P<quoted>'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\")"
+    r"|(?P<quoted>'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\"\"|\\.)*\")"
     r"|\{\{\s*(?P<name>[A-Za-z_]\w*)\s*\}\}",
     re.S,
 )
 _MARKER = re.compile(r"\{\{\s*([A-Za-z_]\w*)\s*\}\}")
 
+# Ends the bind name of a parameter that stands in a quoted string, where it is text whatever its type.
+TEXT = "__text"
+
 INPUT_TYPES = ("text", "number", "date", "datetime", "select")
 
 
@@ -75,8 +78,9 @@ def _parse(d: ParamDef, text: str):
 def bind_template(template: str, values: Mapping[str, object]) -> tuple[str, dict[str, object]]:
     """SQL with ``:name`` markers plus the arguments they bind.
 
-    A parameter inside a quoted string cannot be a bind marker, so its text is
-    placed there with the quote character doubled.
+    A parameter inside a quoted string cannot be a bind marker there, so the
+    string becomes a ``concat`` of its pieces with the marker between them: no
+    value is ever placed in the text of the query.
     """
     args: dict[str, object] = {}
 
@@ -84,8 +88,15 @@ def bind_template(template: str, values: Mapping[str, object]) -> tuple[str, dic
         if token["comment"]:
             return token[0]
         if token["quoted"]:
-            quote = token[0][0]
-            return _MARKER.sub(lambda m: _inline(_value(values, m[1])).replace(quote, quote * 2), token[0])
+            quote, body = token[0][0], token[0][1:-1]
+            pieces = _MARKER.split(body)
+            if len(pieces) == 1:
+                return token[0]
+            parts = [f"{quote}{p}{quote}" for p in pieces[:1]]
+            for name, after in zip(pieces[1::2], pieces[2::2]):
+                args[name + TEXT] = _inline(_value(values, name))
+                parts += [f":{name}{TEXT}", f"{quote}{after}{quote}"]
+            return "concat(" + ", ".join(p for p in parts if p != quote * 2) + ")"
         args[token["name"]] = _argument(_value(values, token["name"]))
         return ":" + token["name"]
 

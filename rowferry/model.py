@@ -125,6 +125,10 @@ class JobSpec:
     quality: bool = True
     allow_drop: bool = False
     source_tables: Sequence[str] = ()
+    # Connections a sharded read may open, tasks that write to a database at once, and buckets of a new keyed table.
+    max_shards: int = 8
+    connections: int = 8
+    buckets: int | None = None
 
 
 @dataclass

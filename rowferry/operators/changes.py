@@ -48,8 +48,13 @@ def map_feed(feed: DataFrame, mappings: Sequence[FieldMapping]) -> DataFrame:
     return out
 
 
-def split_feed(feed: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(good events, rejects with a ``reason``): a bad event never stops the feed."""
+def split_feed(feed: DataFrame, keys: Sequence[str], table: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good events, rejects with a ``reason``): a bad event never stops the feed.
+
+    With the schema of the ``table`` it applies to, events whose key or values
+    do not convert to the table's types are rejected too, rather than lost or
+    turned to null on the way.
+    """
     no_image = F.when(F.col("op") == "D", _image(feed, "before", "after").isNull()).otherwise(_image(feed, "after").isNull())
     key_of = [_key(feed, k) for k in keys]
     null_key = F.lit(False)
@@ -61,6 +66,17 @@ def split_feed(feed: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFra
         .when(no_image, "no row image")
         .when(null_key, "null key")
     )
+    if table is not None:
+        types = {f.name: f.dataType for f in table.fields}
+        bad_key = F.lit(False)
+        for k, value in zip(keys, key_of):
+            if k in types:
+                bad_key = bad_key | _unfit(value, feed.schema["after"].dataType[k].dataType, types[k])
+        bad_value = F.lit(False)
+        for f in feed.schema["after"].dataType.fields:
+            if f.name in types and f.name not in keys:
+                bad_value = bad_value | _unfit(F.col("after")[f.name], f.dataType, types[f.name])
+        reason = reason.when(bad_key, "key of another type").when(F.col("op").isin("I", "U") & bad_value, "value of another type")
     if "_corrupt_record" in feed.columns:
         reason = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").otherwise(reason)
     marked = feed.withColumn("reason", reason)
@@ -268,6 +284,15 @@ def settle(
     return joined.where(alive | revived).select(out)
 
 
+def _unfit(value: Column, source: T.DataType, target: T.DataType) -> Column:
+    """Whether a value that is there is lost by conversion."""
+    if source == target or isinstance(source, (T.StructType, T.ArrayType, T.MapType)):
+        return F.lit(False)
+    if isinstance(target, T.BooleanType) and isinstance(source, T.StringType):
+        return value.isNotNull() & ~value.isin("t", "true", "f", "false")
+    return value.isNotNull() & value.try_cast(target).isNull()
+
+
 def _convert(value: Column, source: T.DataType, target: T.DataType) -> Column:
     """Feed text to the target's type; ``t`` and ``true`` are true, a bad value becomes null."""
     if source == target:

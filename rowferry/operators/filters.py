@@ -105,19 +105,43 @@ def _field(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
     if path in schema.names:
         return column(path), schema[path].dataType
     kind: T.DataType = schema
+    value: Column | None = None
     for part in path.split("."):
-        if not isinstance(kind, T.StructType) or part not in kind.names:
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+        if not isinstance(inner, T.StructType) or part not in inner.names:
             return F.lit(None), T.NullType()
-        kind = kind[part].dataType
-    return F.col(".".join("`" + p.replace("`", "``") + "`" for p in path.split("."))), kind
+        if isinstance(kind, T.ArrayType):
+            # A path through an array of documents reaches the field of each.
+            value, kind = F.transform(value, lambda x, p=part: x[p]), T.ArrayType(inner[part].dataType)
+            if isinstance(kind.elementType, T.ArrayType):
+                value, kind = F.flatten(value), kind.elementType
+        else:
+            value, kind = column(part) if value is None else value[part], inner[part].dataType
+    return value, kind
+
+
+def _like(kind: T.DataType, value: Column, literal) -> bool:
+    """Whether a value of the column can equal or order against a literal: both numbers, texts, truth values or times."""
+    if isinstance(literal, Mapping) and len(literal) == 1:
+        (tag, raw), *_ = literal.items()
+        if tag == "$date":
+            return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        literal = _EXTENDED[tag](raw) if tag in _EXTENDED else literal
+    if isinstance(literal, bool):
+        return isinstance(kind, T.BooleanType)
+    if isinstance(literal, (int, float, Decimal)):
+        return isinstance(kind, T.NumericType)
+    return isinstance(literal, str) and isinstance(kind, (T.StringType, T.NullType))
 
 
 def _equals(c: Column, kind: T.DataType, value) -> Column:
     if value is None:
         return c.isNull()
+    literal = _literal(value)
     if isinstance(kind, T.ArrayType) and not isinstance(value, list):
-        return F.coalesce(F.array_contains(c, _literal(value)), F.lit(False))
-    return F.coalesce(c == _literal(value), F.lit(False))
+        return F.coalesce(F.array_contains(c, literal), F.lit(False)) if _like(kind.elementType, c, value) else F.lit(False)
+    # Unlike types never match, as in the store; they are no error.
+    return F.coalesce(c == literal, F.lit(False)) if _like(kind, c, value) else F.lit(False)
 
 
 def _any(parts: Sequence[Column]) -> Column:
@@ -150,7 +174,12 @@ def _condition(c: Column, kind: T.DataType, test: Mapping) -> Column:
         elif op == "$exists":
             parts.append(c.isNotNull() if value else c.isNull())
         elif op in _ORDER:
-            parts.append(F.coalesce(_ORDER[op](c, _literal(value)), F.lit(False)))
+            literal = _literal(value)
+            if isinstance(kind, T.ArrayType):
+                test_one = F.exists(c, lambda x, o=_ORDER[op], v=literal: F.coalesce(o(x, v), F.lit(False)))
+                parts.append(F.coalesce(test_one, F.lit(False)) if _like(kind.elementType, c, value) else F.lit(False))
+            else:
+                parts.append(F.coalesce(_ORDER[op](c, literal), F.lit(False)) if _like(kind, c, value) else F.lit(False))
         else:
             raise ValueError(f"unsupported operator in document filter: {op}")
     return _all(parts)

@@ -20,9 +20,18 @@ class DuplicateKey(ValueError):
     """An insert met a key that is already there."""
 
 
+def hash_parts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """What to hash of columns so that unlike rows differ: a null leaves a trace in its place, maps go by their entries."""
+    parts: list[Column] = []
+    for c in columns:
+        kind = df.schema[c].dataType.simpleString()
+        parts += [column(c).isNull(), F.to_json(F.struct(column(c).alias("v"))) if "map<" in kind or kind == "variant" else column(c)]
+    return parts
+
+
 def _one_per_key(df: DataFrame, keys: Sequence[str], order: list[Column]) -> DataFrame:
     # The row hash breaks ties, so a task retry picks the same row again.
-    ties = F.xxhash64(*[column(c) for c in df.columns])
+    ties = F.xxhash64(*hash_parts(df, df.columns))
     w = Window.partitionBy(*[column(k) for k in keys]).orderBy(*order, ties)
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 

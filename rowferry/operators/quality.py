@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowferry.functions.compare import values_match
 from rowferry.operators.mapping import column
-from rowferry.operators.merge import keep_first
-from rowferry.session import Staged
+from rowferry.operators.merge import hash_parts, keep_first
+from rowferry.session import Staged, remove, small_frame
 
 # Rows sampled by default, and the limits of the status rules.
 SAMPLE_SIZE = 50
@@ -166,7 +166,11 @@ def key_digests(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs
 
     def digest(side: str) -> Column:
         # Columns of unlike types are digested as text, where equal text counts as equal.
-        parts = [F.col(f"{side}{i}") if a == b else F.col(f"{side}{i}").cast("string") for i, (a, b) in types.items()]
+        frame = s if side == "s" else t
+        parts: list[Column] = []
+        for i, (a, b) in types.items():
+            null, value = hash_parts(frame, [f"{side}{i}"])
+            parts += [null, value if a == b else F.col(f"{side}{i}").cast("string")]
         return F.xxhash64(*parts) if parts else F.lit(0).cast("long")
 
     null = F.lit(None).cast("long")
@@ -200,25 +204,48 @@ def full_compare(
     """The sample comparison with the sample set to everything, plus mismatches per column.
 
     One row: ``source_keys``, ``matched``, ``missing`` (no target row),
-    ``extra`` (no source row) and ``diff_<source column>`` for each pair. With
-    ``unique`` both sides are trusted to hold one row per key; otherwise the
-    first row of each key stands for it, so the join never multiplies.
+    ``extra`` (no source row), ``diff_<source column>`` for each pair, and
+    ``source_repeats`` and ``target_repeats``, the rows beyond the first of each
+    key. With ``unique`` both sides are trusted to hold one row per key;
+    otherwise the first row of each key stands for it, so the join never
+    multiplies, and repeats are counted over the keys alone.
     """
     s, t, k = _sides(source, target, keys, pairs)
+    counts = None
     if not unique:
+        counts = _repeats(s, t, k)
         s, t = keep_first(s, k, []), keep_first(t, k, [])
     matches = _column_matches(s, t, len(pairs), tolerance)
     here = F.col("_s").isNotNull()
     there = F.col("_t").isNotNull()
     joined = s.withColumn("_s", F.lit(1)).join(t.withColumn("_t", F.lit(1)), k, "full_outer")
     both = here & there
-    return joined.agg(
+    found = joined.agg(
         F.count_if(here).alias("source_keys"),
         F.count_if(both & _all(matches)).alias("matched"),
         F.count_if(here & ~there).alias("missing"),
         F.count_if(there & ~here).alias("extra"),
         *[F.count_if(both & ~m).alias(f"diff_{a}") for m, (a, _) in zip(matches, pairs)],
     )
+    names = [f.name for f in found.schema.fields]
+    zero = F.lit(0).cast("long")
+    if counts is None:
+        return found.select("*", *[zero.alias(c) for c in REPEATS])
+    # Two single rows become one by adding up what the other lacks.
+    both_rows = found.select("*", *[zero.alias(c) for c in REPEATS]).unionByName(counts.select(*[zero.alias(c) for c in names], *REPEATS))
+    return both_rows.agg(*[F.sum(c).alias(c) for c in (*names, *REPEATS)])
+
+
+REPEATS = ("source_repeats", "target_repeats")
+
+
+def _repeats(s: DataFrame, t: DataFrame, k: Sequence[str]) -> DataFrame:
+    """Rows beyond the first of each key, on either side: counts that combine in the map tasks."""
+    one, zero = F.lit(1), F.lit(0)
+    rows = s.select(*k, one.alias("a"), zero.alias("b")).unionByName(t.select(*k, zero.alias("a"), one.alias("b")))
+    per_key = rows.groupBy(*k).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    more = lambda c: F.coalesce(F.sum(F.greatest(F.col(c) - 1, F.lit(0))), F.lit(0)).cast("long")
+    return per_key.agg(more("a").alias(REPEATS[0]), more("b").alias(REPEATS[1]))
 
 
 def compare_tables(
@@ -233,7 +260,10 @@ def compare_tables(
     from pyspark.sql import Observation
 
     seen = Observation()
-    grouped = key_digests(source, target, keys, pairs).observe(seen, F.count_if(F.col("source_rows") > 0).alias("source_keys"))
+    more = lambda c: F.coalesce(F.sum(F.greatest(F.col(c) - 1, F.lit(0))), F.lit(0)).cast("long")
+    grouped = key_digests(source, target, keys, pairs).observe(
+        seen, F.count_if(F.col("source_rows") > 0).alias("source_keys"), more("source_rows").alias("source_repeats"), more("target_rows").alias("target_repeats")
+    )
     k = [f"k{i}" for i in range(len(keys))]
     staged = Staged(grouped.where(DIFFERS).select(*k), "differing")
     wanted = F.broadcast(staged.df) if staged.small else staged.df
@@ -244,12 +274,11 @@ def compare_tables(
         return side.join(wanted.select([F.col(c).alias(f"w_{c}") for c in k]), same, "left_semi")
 
     names = [(f"s{i}", f"t{i}") for i in range(len(pairs))]
-    rest = full_compare(only(s), only(t), k, names, tolerance)
-    equal = seen.get["source_keys"] - rest.first()["source_keys"]
-    return rest.select(
-        (F.col("source_keys") + equal).alias("source_keys"),
-        (F.col("matched") + equal).alias("matched"),
-        "missing",
-        "extra",
-        *[F.col(f"diff_s{i}").alias(f"diff_{a}") for i, (a, _) in enumerate(pairs)],
-    )
+    # Repeats were seen in the digests, so the rest is compared without counting them again, and runs once.
+    rest = full_compare(keep_first(only(s), k, []), keep_first(only(t), k, []), k, names, tolerance, unique=True)
+    row = rest.first().asDict()
+    equal = seen.get["source_keys"] - row["source_keys"]
+    row |= {"source_keys": row["source_keys"] + equal, "matched": row["matched"] + equal, **{c: seen.get[c] for c in REPEATS}}
+    renamed = {f"diff_s{i}": f"diff_{a}" for i, (a, _) in enumerate(pairs)}
+    remove(source.sparkSession, staged.path)
+    return small_frame(source.sparkSession, [tuple(row[f] for f in rest.columns)], ", ".join(f"`{renamed.get(f, f)}` long" for f in rest.columns))

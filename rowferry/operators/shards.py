@@ -12,8 +12,11 @@ from rowferry.operators.mapping import column
 MAX_SOURCE_SHARDS = 8
 
 
-def clamp_shards(n: int) -> int:
-    return max(1, min(MAX_SOURCE_SHARDS, n))
+def check_shards(n: int, most: int = MAX_SOURCE_SHARDS) -> int:
+    """The number of shards to cut, at least one; more than allowed is an error, never fewer than asked."""
+    if n > most:
+        raise ValueError(f"{n} shards exceed the {most} connections allowed; raise max_shards for this source")
+    return max(1, n)
 
 
 @dataclass(frozen=True)

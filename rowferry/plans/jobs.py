@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from rowferry.functions.names import export_path, high_water_text
 from rowferry.functions.params import parameterised_query
@@ -17,22 +16,24 @@ from rowferry.operators import merge as M
 from rowferry.operators.filters import after_mark, document_predicate, where_all
 from rowferry.operators.mapping import column, column_pairs, map_columns
 from rowferry.operators.quality import check_quality
-from rowferry.operators.shards import is_integer_key
-from rowferry.plans.store import KeyedTable, append_parquet, as_log_row, run_log, watermarks
-from rowferry.session import Staged, exists, shared_dir, small_frame
+from rowferry.operators.shards import MAX_SOURCE_SHARDS, is_integer_key
+from rowferry.plans.store import KeyedTable, append_parquet, is_keyed, as_log_row, run_log, watermarks
+from rowferry.session import Staged, exists, shared_dir
 from rowferry.sources import documents, files, jdbc, workbooks
 
 FILE_KINDS = ("csv", "excel")
 DOCUMENT_KINDS = ("mongodb",)
 
 
-def read_endpoint(spark: SparkSession, e: Endpoint, table: str, shards: int = 1, key: str = "") -> DataFrame:
-    """One table of an endpoint as a DataFrame; an unknown kind is an error."""
+def read_endpoint(spark: SparkSession, e: Endpoint, table: str, shards: int = 1, key: str = "", max_shards: int = MAX_SOURCE_SHARDS) -> DataFrame:
+    """One table of an endpoint as a DataFrame, also a keyed table an earlier job made; an unknown kind is an error."""
     if e.kind in jdbc.DRIVERS:
         if shards > 1 and key:
-            return jdbc.read_sharded(spark, e, table, key, shards)
+            return jdbc.read_sharded(spark, e, table, key, shards, max_shards=max_shards)
         return jdbc.read_table(spark, e, table)
     at = f"{e.path}/{table}" if table else e.path
+    if e.kind in ("parquet", "mongodb") and is_keyed(spark, at):
+        return KeyedTable(spark, at, ()).read()
     if e.kind == "csv":
         return files.read_csv(spark, at)
     if e.kind == "excel":
@@ -45,8 +46,19 @@ def read_endpoint(spark: SparkSession, e: Endpoint, table: str, shards: int = 1,
 
 
 def high_water(df: DataFrame, mark: Watermark) -> str:
-    """The highest mark of the rows given, as text; blank when there is none."""
-    return high_water_text(df.agg(F.max(column(mark.column)).alias("hi")).first()["hi"])
+    """The highest mark of the rows given, as text; blank when there is none.
+
+    Instants come to the driver as microseconds and zone-free times as text, so
+    neither the driver's nor the session's zone can shift them.
+    """
+    kind, top = df.schema[mark.column].dataType, F.max(column(mark.column))
+    if isinstance(kind, T.TimestampType):
+        hi = df.agg(F.unix_micros(top).alias("hi")).first()["hi"]
+        return "" if hi is None else high_water_text(datetime(1970, 1, 1) + timedelta(microseconds=hi))
+    if mark.kind == "timestamp":
+        hi = df.agg(top.cast("timestamp_ntz").cast("string").alias("hi")).first()["hi"]
+        return "" if hi is None else high_water_text(datetime.fromisoformat(hi))
+    return high_water_text(df.agg(top.alias("hi")).first()["hi"])
 
 
 def row_filter(source: DataFrame, spec: JobSpec) -> str | Column:
@@ -65,12 +77,18 @@ def incremental_batch(source: DataFrame, mark: Watermark, last: str, filter_by:
     base = where_all(source, filter_by)
     hi = high_water(after_mark(base, mark, last), mark)
     if not hi:
-        return after_mark(base, mark, last), last
+        # Nothing lies above the last mark; rows that come meanwhile wait, null marks belong to the first run.
+        return base.where(F.lit(False) if last else column(mark.column).isNull()), last
     return after_mark(base, mark, last, hi), hi
 
 
-def write_rows(df: DataFrame, e: Endpoint, table: str, write: str, keys: Sequence[str], order_by: Sequence[str]) -> None:
-    """Write to a target by strategy: append, skip, upsert or replace."""
+def write_rows(
+    df: DataFrame, e: Endpoint, table: str, write: str, keys: Sequence[str], order_by: Sequence[str], buckets: int | None = None, connections: int = MAX_SOURCE_SHARDS
+) -> None:
+    """Write to a target by strategy: append, skip, upsert or replace.
+
+    ``buckets`` shapes a keyed table when it is made; ``connections`` is how many tasks write to a database at once.
+    """
     spark = df.sparkSession
     if write not in ("append", "skip", "upsert", "replace"):
         raise ValueError(f"unknown write strategy: {write}")
@@ -80,11 +98,11 @@ def write_rows(df: DataFrame, e: Endpoint, table: str, write: str, keys: Sequenc
         if write == "upsert" and e.kind != "clickhouse":
             jdbc.upsert_rows(df, e, table, keys, order_by)
         elif write == "skip":
-            jdbc.append_rows(M.insert_skip(jdbc.read_table(spark, e, table), df, keys, order_by), e, table)
+            jdbc.append_rows(M.insert_skip(jdbc.read_table(spark, e, table), df, keys, order_by), e, table, connections)
         elif write == "replace":
             raise ValueError("replace is for document targets")
         else:
-            jdbc.append_rows(df, e, table)
+            jdbc.append_rows(df, e, table, connections)
         return
     at = f"{e.path}/{table}" if table else e.path
     if e.kind == "csv":
@@ -93,7 +111,7 @@ def write_rows(df: DataFrame, e: Endpoint, table: str, write: str, keys: Sequenc
     elif e.kind == "parquet" and write == "append" and not keys:
         append_parquet(df, at)
     elif e.kind in ("parquet", "mongodb"):
-        _write_keyed(df, KeyedTable(spark, at, keys), write, order_by) if keys else documents.write_documents(df, at)
+        _write_keyed(df, KeyedTable(spark, at, keys, buckets), write, order_by) if keys else documents.write_documents(df, at)
     else:
         raise ValueError(f"cannot write to endpoint kind: {e.kind}")
 
@@ -210,7 +228,7 @@ def _dispatch(spark: SparkSession, spec: JobSpec, root: str, runtime, result: Jo
         _sql_import(spark, spec, runtime, result, started)
         return
     key = spec.keys[0] if len(spec.keys) == 1 else ""
-    source = read_endpoint(spark, spec.source, spec.source_table, spec.shards, key)
+    source = read_endpoint(spark, spec.source, spec.source_table, spec.shards, key, spec.max_shards)
     if spec.kind in ("structure", "both"):
         tell("structure", 0, 0.0)
         _structure(spark, spec, source)
@@ -235,7 +253,7 @@ def _write_counted(rows: DataFrame, spec: JobSpec) -> int:
     keys = [names.get(k, k) for k in spec.keys]
     order = [names.get(c, c) for c in spec.order_by]
     order = order if all(c in rows.columns for c in order) else []
-    write_rows(counted, spec.target, spec.target_table, spec.write, keys, order)
+    write_rows(counted, spec.target, spec.target_table, spec.write, keys, order, spec.buckets, spec.connections)
     return seen.get.get("n", 0)
 
 
@@ -251,9 +269,20 @@ def _structure(spark: SparkSession, spec: JobSpec, source: DataFrame) -> None:
     mappings = S.mapping_frame(spark, {table: spec.mappings}) if spec.mappings else None
     if spec.target.kind == "parquet" and spec.keys:
         names = dict(column_pairs(spec.mappings, source.columns))
-        keyed = KeyedTable(spark, f"{spec.target.path}/{table}" if table else spec.target.path, [names.get(k, k) for k in spec.keys])
+        keyed = KeyedTable(spark, f"{spec.target.path}/{table}" if table else spec.target.path, [names.get(k, k) for k in spec.keys], spec.buckets)
         keyed.sync_structure(columns, mappings, spec.allow_drop)
         return
+    if spec.target.kind == "parquet":
+        at = f"{spec.target.path}/{table}" if table else spec.target.path
+        wanted = S.apply_mappings(columns, mappings)
+        if not exists(spark, at):
+            append_parquet(S.empty_like(spark, wanted), at)
+            return
+        current = S.describe({table: read_endpoint(spark, spec.target, table)}, "spark", {})
+        diffs = S.schema_diff(S.as_spark_types(wanted), current, "spark")
+        if not diffs.where("action <> 'drop'").isEmpty() or (spec.allow_drop and not diffs.isEmpty()):
+            raise ValueError("a plain parquet folder cannot be reshaped in place; give the target's key columns")
+        return
     if spec.target.kind not in jdbc.DRIVERS:
         return  # other file and document targets take the structure of what is written
     if spec.source.kind not in jdbc.DRIVERS:
@@ -338,7 +367,6 @@ def copy_in_chunks(
     key: str,
     chunks: int = 16,
     mappings: Sequence = (),
-    fail_after: int | None = None,
 ) -> int:
     """A copy that resumes: key-range chunks, each its own committed folder; returns chunks written now.
 
@@ -346,28 +374,31 @@ def copy_in_chunks(
     so chunks hold like numbers of rows and a later run means the same ranges.
     Chunks whose folder carries the commit marker are skipped. Each chunk is one
     filtered scan, so this suits sources that find a key range by index or by
-    sorted files; ``copy_files_in_chunks`` suits unsorted files. ``fail_after``
-    stops after that many chunks, for tests of the restart.
+    sorted files; ``copy_files_in_chunks`` suits unsorted files. The key may be
+    of any type that has quantiles: numbers, decimals, dates and timestamps.
     """
     spark = source.sparkSession
     edges_at = f"{path}/edges"
     if not exists(spark, f"{edges_at}/_SUCCESS"):
-        cut = source.agg(F.percentile_approx(column(key), [i / chunks for i in range(1, chunks)] or [1.0], 10_000).alias("q")).first()["q"]
-        edges = json.dumps(sorted(set(cut or []))) if chunks > 1 else "[]"
-        small_frame(spark, [(edges,)], "edges string").write.mode("overwrite").json(edges_at)
-    edges = json.loads(spark.read.schema("edges string").json(edges_at).first()["edges"])
+        kind = source.schema[key].dataType
+        quantiles = F.percentile_approx(column(key), [i / chunks for i in range(1, chunks)] or [1.0], 10_000)
+        cut = F.array_sort(F.array_distinct(quantiles)) if chunks > 1 else F.array().cast(T.ArrayType(kind))
+        source.agg(F.coalesce(cut, F.array().cast(T.ArrayType(kind))).alias("edges")).coalesce(1).write.mode("overwrite").parquet(edges_at)
+    # Each edge as text that gives the same value back whatever the zone.
+    kind = source.schema[key].dataType
+    instant = isinstance(kind, T.TimestampType)
+    stored = spark.read.parquet(edges_at).select(F.transform("edges", lambda x: (F.unix_micros(x) if instant else x).cast("string")).alias("edges"))
+    edges = [F.timestamp_micros(F.lit(int(x))) if instant else F.lit(x).cast(kind) for x in stored.first()["edges"]]
     c, written = column(key), 0
     for i in range(len(edges) + 1):
         out = f"{path}/rows/chunk={i}"
         if exists(spark, f"{out}/_SUCCESS"):
             continue
-        if fail_after is not None and written == fail_after:
-            raise RuntimeError(f"stopped after {written} chunks")
         part = source
         if i:
-            part = part.where(c >= F.lit(edges[i - 1]))
+            part = part.where(c >= edges[i - 1])
         if i < len(edges):
-            part = part.where((c < F.lit(edges[i])) if i else ((c < F.lit(edges[i])) | c.isNull()))
+            part = part.where((c < edges[i]) if i else ((c < edges[i]) | c.isNull()))
         elif not i:
             part = source
         map_columns(part, mappings).write.mode("overwrite").parquet(out)
@@ -375,30 +406,28 @@ def copy_in_chunks(
     return written
 
 
-def copy_files_in_chunks(
-    source: DataFrame, path: str, files_per_chunk: int = 1000, mappings: Sequence = (), fail_after: int | None = None
-) -> int:
+def copy_files_in_chunks(source: DataFrame, path: str, files_per_chunk: int = 1000, mappings: Sequence = ()) -> int:
     """The resumable copy of a parquet table in chunks of its files, so no file is read twice.
 
-    The file list of the first run is kept with the copy; files that appear
-    later belong to a later copy.
+    Each chunk is the source's own plan, with its filters and partition columns,
+    held to some of its files, about ``files_per_chunk``, whose names are all
+    that the driver sees at a time. The file list of the first run is kept with
+    the copy; files that appear later belong to a later copy.
     """
     spark = source.sparkSession
     list_at = f"{path}/files"
     if not exists(spark, f"{list_at}/_SUCCESS"):
-        names = sorted(source.inputFiles())
-        rows = [(i // files_per_chunk, n) for i, n in enumerate(names)]
-        small_frame(spark, rows, "chunk int, file string").write.mode("overwrite").parquet(list_at)
+        names = source.select(F.col("_metadata.file_path").alias("file")).distinct()
+        chunks = max(1, -(-names.count() // files_per_chunk))
+        names.select(F.pmod(F.xxhash64("file"), F.lit(chunks)).cast("int").alias("chunk"), "file").write.mode("overwrite").parquet(list_at)
     planned = spark.read.parquet(list_at)
     written = 0
     for (chunk,) in planned.select("chunk").distinct().orderBy("chunk").collect():
         out = f"{path}/rows/chunk={chunk}"
         if exists(spark, f"{out}/_SUCCESS"):
             continue
-        if fail_after is not None and written == fail_after:
-            raise RuntimeError(f"stopped after {written} chunks")
         names = [r["file"] for r in planned.where(F.col("chunk") == chunk).collect()]
-        part = spark.read.schema(source.schema).parquet(*names)
+        part = source.where(F.col("_metadata.file_path").isin(names))
         map_columns(part, mappings).write.mode("overwrite").parquet(out)
         written += 1
     return written

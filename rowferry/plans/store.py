@@ -1,24 +1,42 @@
 """Targets kept as parquet folders, and the small state tables of jobs.
 
 A keyed table is split into buckets by its key. A commit writes new files only
-for the buckets it touched, beside the old ones, and becomes visible when the
+for the buckets it touched, in a folder of its own, and becomes visible when the
 list of those buckets is written; readers take each bucket's last rewrite and
-the additions since. Nothing is overwritten in place, so a failed or repeated job harms no reader.
+the additions since. Nothing is overwritten in place, so a failed or repeated
+job harms no reader. A writer claims the commit that follows the one it read by
+making a file that must not exist yet; one that comes second reads and merges
+anew, so no writer's rows are lost.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowferry.model import RUN_LOG_SCHEMA, WATERMARK_SCHEMA, JobResult
 from rowferry.operators.mapping import column
-from rowferry.session import children, exists, matching, remove, small_frame
+from rowferry.session import children, create_new, exists, matching, remove, small_frame
 
 BUCKET = "_bucket"
-LOG = "bucket int, commit long, added boolean, head string"
+LOG = "bucket int, commit long, added boolean, head string, folder string"
+BUCKETS = 16
+
+# How long a claimed commit may take to appear: its data is written before the claim, only its list follows.
+CLAIM_SECONDS = 120
+
+
+class LostClaim(RuntimeError):
+    """Another writer claimed the commit first."""
+
+
+def is_keyed(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a keyed table."""
+    return exists(spark, f"{path.rstrip('/')}/commits")
 
 
 def hash_bucket(df: DataFrame, keys: Sequence[str], n: int) -> Column:
@@ -40,17 +58,30 @@ def range_bucket(key: str, width: int) -> Column:
 class KeyedTable:
     """A table with one row per key that merges rewrite bucket by bucket.
 
-    ``buckets`` is fixed when the table is made; size it so that one bucket is
-    a few hundred MB. ``bucket_by`` replaces the key hash by any function of the
-    key, such as ``range_bucket`` for keys that grow with time.
+    ``buckets`` is fixed when the table is made and kept with it; size it so
+    that one bucket is a few hundred MB. Later it may be left out, and another
+    number is an error. ``bucket_by`` replaces the key hash by any function of
+    the key, such as ``range_bucket`` for keys that grow with time; it must be
+    given again each time and be the same.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 16, bucket_by: Column | None = None):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int | None = None, bucket_by: Column | None = None):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
         self.buckets, self.bucket_by = buckets, bucket_by
 
+    def _layout(self) -> dict:
+        """How rows find their bucket: as the table says, which what was asked for must agree with."""
+        asked = {"buckets": None, "by": str(self.bucket_by)} if self.bucket_by is not None else {"buckets": self.buckets, "by": "hash"}
+        kept = self._head().get("layout")
+        if kept is None:
+            return asked if asked["buckets"] or self.bucket_by is not None else {"buckets": BUCKETS, "by": "hash"}
+        if asked["by"] != kept["by"] or asked["buckets"] not in (None, kept["buckets"]):
+            raise ValueError(f"{self.path} is bucketed as {kept}, not as {asked}")
+        return kept
+
     def bucket_of(self, df: DataFrame) -> Column:
-        return hash_bucket(df, self.keys, self.buckets) if self.bucket_by is None else self.bucket_by
+        layout = self._layout()
+        return hash_bucket(df, self.keys, layout["buckets"]) if self.bucket_by is None else self.bucket_by
 
     def _commits(self) -> list[int]:
         marks = matching(self.spark, f"{self.path}/commits/c=*/_SUCCESS")
@@ -60,26 +91,26 @@ class KeyedTable:
         """The newest visible commit, -1 before the first."""
         return max(self._commits(), default=-1)
 
-    def _current(self) -> list[tuple[int, int]]:
-        """(bucket, commit) pairs that make up the table: each bucket's last rewrite and what was added since."""
+    def _current(self) -> list[tuple[int, str]]:
+        """(bucket, data folder) pairs that make up the table: each bucket's last rewrite and what was added since."""
         done = self._commits()
         if not done:
             return []
         log = self.spark.read.schema(LOG).parquet(*[f"{self.path}/commits/c={c}" for c in done]).where("bucket IS NOT NULL")
         rewrite = F.coalesce(F.max(F.when(~F.col("added"), F.col("commit"))), F.lit(-1))
-        state = log.groupBy("bucket").agg(rewrite.alias("base"), F.collect_list("commit").alias("all"))
-        pairs = state.select("bucket", F.explode(F.filter("all", lambda c: c >= F.col("base"))).alias("commit"))
-        return [(r["bucket"], r["commit"]) for r in pairs.collect()]
+        state = log.groupBy("bucket").agg(rewrite.alias("base"), F.collect_list(F.struct("commit", "folder")).alias("all"))
+        pairs = state.select("bucket", F.explode(F.filter("all", lambda c: c["commit"] >= F.col("base"))).alias("c"))
+        return [(r["bucket"], r["folder"]) for r in pairs.select("bucket", "c.folder").collect()]
 
     def read(self, only: set[int] | None = None, schema: T.StructType | None = None) -> DataFrame:
         """The table as of the newest commit, or just some of its buckets."""
         paths, held = [], {}
-        for bucket, commit in self._current():
+        for bucket, name in self._current():
             if only is None or bucket in only:
-                folder = f"{self.path}/data/c={commit}"
-                if commit not in held:
-                    held[commit] = set(children(self.spark, folder))
-                if f"{BUCKET}={bucket}" in held[commit]:
+                folder = f"{self.path}/data/{name}"
+                if name not in held:
+                    held[name] = set(children(self.spark, folder))
+                if f"{BUCKET}={bucket}" in held[name]:
                     paths.append(f"{folder}/{BUCKET}={bucket}")
         if not paths:
             return self.spark.createDataFrame([], schema or self.schema())
@@ -121,6 +152,7 @@ class KeyedTable:
         batch: tuple[str, int] | None = None,
         placed: bool = False,
         added: bool = False,
+        base: int | None = None,
     ) -> int:
         """Write the rows of the touched buckets (all of them by default) as one commit.
 
@@ -130,22 +162,42 @@ class KeyedTable:
         buckets together and splits large ones, so files come out of even size.
         ``placed`` rows mostly sit by bucket already (they were read from bucket
         files and not shuffled since) and are written where they are. ``batch``
-        notes a stream's (id, batch number) with the commit.
+        notes a stream's (id, batch number) with the commit. Rows made from what
+        the table held at commit ``base`` are refused with ``LostClaim`` where
+        another commit came meanwhile; without it the rows depend on nothing and
+        follow whatever came.
         """
-        number = self.last_commit() + 1
-        data, log = f"{self.path}/data/c={number}", f"{self.path}/commits/c={number}"
+        folder = f"c={uuid.uuid4().hex}"
+        data = f"{self.path}/data/{folder}"
+        layout = self._layout()
         out = rows.withColumn(BUCKET, self.bucket_of(rows))
         out = out if placed else out.hint("rebalance", F.col(BUCKET))
         out.write.mode("overwrite").partitionBy(BUCKET).parquet(data)
+        while True:
+            number = (self.last_commit() if base is None else base) + 1
+            if create_new(self.spark, f"{self.path}/claims/c={number}"):
+                break
+            self._await(number)
+            if base is not None:
+                remove(self.spark, data)
+                raise LostClaim(f"commit {number} of {self.path} is another writer's")
+        written = {int(n.partition("=")[2]) for n in children(self.spark, data) if n.startswith(f"{BUCKET}=")}
         if touched is None:
-            touched = {int(n.partition("=")[2]) for n in children(self.spark, data) if n.startswith(f"{BUCKET}=")}
-            touched |= set() if added else {b for b, _ in self._current()}
+            touched = written | (set() if added else {b for b, _ in self._current()})
         applied = self._head().get("applied", {}) | (dict([batch]) if batch else {})
-        head = json.dumps({"schema": rows.schema.jsonValue(), "applied": applied})
-        marks = [(b, number, added, None) for b in sorted(touched)] + [(None, number, added, head)]
-        small_frame(self.spark, marks, LOG).write.mode("overwrite").parquet(log)
+        head = json.dumps({"schema": rows.schema.jsonValue(), "applied": applied, "layout": layout})
+        marks = [(b, number, added, None, folder) for b in sorted(touched)] + [(None, number, added, head, folder)]
+        small_frame(self.spark, marks, LOG).write.mode("overwrite").parquet(f"{self.path}/commits/c={number}")
         return number
 
+    def _await(self, number: int) -> None:
+        """Until a claimed commit is visible; a claim whose writer died is an error that names the file to remove."""
+        end = time.monotonic() + CLAIM_SECONDS
+        while number not in self._commits():
+            if time.monotonic() > end:
+                raise RuntimeError(f"the writer of commit {number} did not finish; if it is gone, remove {self.path}/claims/c={number}")
+            time.sleep(0.2)
+
     def merge(
         self,
         touched_keys: Sequence[DataFrame],
@@ -158,16 +210,26 @@ class KeyedTable:
         A stream's batch that was applied before is left alone, so running it
         again is harmless.
         """
-        if batch is not None and batch[1] <= self.applied(batch[0]):
-            return self.last_commit()
-        touched = self.touched_by(*touched_keys)
-        return self.commit(make(self.read(touched)), touched, batch, placed)
+        while True:
+            base = self.last_commit()
+            if batch is not None and batch[1] <= self.applied(batch[0]):
+                return base
+            touched = self.touched_by(*touched_keys)
+            try:
+                return self.commit(make(self.read(touched)), touched, batch, placed, base=base)
+            except LostClaim:
+                continue
 
     def add(self, keyed: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int:
         """Add rows beside the old ones: ``make`` gets the old rows near the given keys and returns just the new ones."""
-        old = self.read(self.touched_by(keyed))
-        fresh = make(old).select([column(f.name).cast(f.dataType).alias(f.name) for f in old.schema.fields])
-        return self.commit(fresh, added=True)
+        while True:
+            base = self.last_commit()
+            old = self.read(self.touched_by(keyed))
+            fresh = make(old).select([column(f.name).cast(f.dataType).alias(f.name) for f in old.schema.fields])
+            try:
+                return self.commit(fresh, added=True, base=base)
+            except LostClaim:
+                continue
 
     def sync_structure(self, columns: DataFrame, mappings: DataFrame | None = None, allow_drop: bool = False) -> int:
         """Bring the table to a catalog's structure: make it empty, or add, cast and (if allowed) drop columns."""
@@ -183,16 +245,21 @@ class KeyedTable:
         if not allow_drop:
             diffs = diffs.where("action <> 'drop'")
         steps = diffs.orderBy("position").collect()
-        return self.commit(S.reshape(self.read(), steps)) if steps else self.last_commit()
+        base = self.last_commit()
+        return self.commit(S.reshape(self.read(), steps), base=base) if steps else base
 
     def expire(self) -> list[int]:
         """Delete commits no bucket reads any more; run it when no reader holds an old view."""
-        used = {c for _, c in self._current()} | {self.last_commit()}
-        old = [c for c in self._commits() if c not in used]
-        for c in old:
-            for part in ("commits", "data"):
-                remove(self.spark, f"{self.path}/{part}/c={c}")
-        return old
+        done = self._commits()
+        if not done:
+            return []
+        used = {f for _, f in self._current()}
+        log = self.spark.read.schema(LOG).parquet(*[f"{self.path}/commits/c={c}" for c in done])
+        old = [(r["commit"], r["folder"]) for r in log.select("commit", "folder").distinct().collect() if r["folder"] not in used and r["commit"] != done[-1]]
+        for c, folder in old:
+            remove(self.spark, f"{self.path}/commits/c={c}")
+            remove(self.spark, f"{self.path}/data/{folder}")
+        return sorted(c for c, _ in old)
 
 
 def append_parquet(df: DataFrame, path: str) -> None:

@@ -29,18 +29,25 @@ def local_session(cpus: int | str = 8, app: str = "rowferry") -> SparkSession:
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (a bare test session) is a local folder
-    used, and it is then set on the session so later calls agree.
+    Only a session on one machine may name none; it then gets a local folder,
+    the same one for all its calls. On a cluster that is an error, as executors
+    and driver share no local folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    made = tempfile.mkdtemp(prefix="rowferry-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="rowferry-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -66,6 +73,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Make an empty file unless it is there, in one step; whether this call made it."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        fs.create(p, False).close()
+    except Exception as error:  # noqa: BLE001 - the file systems name this differently
+        if "AlreadyExists" in str(error) or fs.exists(p):
+            return False
+        raise
+    return True
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -11,10 +10,6 @@ from rowferry.model import COLUMNS_SCHEMA
 from rowferry.operators.filters import document_predicate
 from rowferry.operators.mapping import column
 
-# Fixed value: documents looked at to infer a collection's schema.
-SCHEMA_SAMPLE = 20
-
-
 def flat_columns(schema: T.StructType) -> list[tuple[str, Column]]:
     """(dotted name, column) of every leaf; arrays are leaves."""
     out: list[tuple[str, Column]] = []
@@ -57,39 +52,33 @@ def read_documents(
     return flat.select([column(c) for c in wanted])
 
 
-def document_schema(spark: SparkSession, path: str, table: str, sample: int = SCHEMA_SAMPLE) -> DataFrame:
-    """Catalog rows from the first documents: the first type seen of each flattened field counts.
+def document_schema(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Catalog rows of every field that any document has, flattened, by name.
 
-    Types are int, double, bool and string; ``_id`` is the non-null key. Only
-    ``sample`` documents reach the driver; unreadable ones are passed over.
+    Types are int, double, bool and string, the last also where documents
+    disagree or hold arrays; ``_id`` is the non-null key. Spark infers the
+    structure over all documents; unreadable ones are passed over.
     """
-    seen: dict[str, str] = {}
-    for row in spark.read.text(path).limit(sample).collect():
-        try:
-            doc = json.loads(row["value"])
-        except json.JSONDecodeError:
-            continue
-        for name, value in _leaves(doc, ""):
-            seen.setdefault(name, _type_name(value))
-    rows = [(table, i, n, t, n != "_id", None, n == "_id", "mongodb") for i, (n, t) in enumerate(seen.items(), 1)]
+    leaves = [(n, t) for n, t in _leaf_types(spark.read.json(path).schema, "") if n != "_corrupt_record"]
+    rows = [(table, i, n, _type_name(t), n != "_id", None, n == "_id", "mongodb") for i, (n, t) in enumerate(leaves, 1)]
     return spark.createDataFrame(rows, COLUMNS_SCHEMA)
 
 
-def _leaves(doc: dict, prefix: str):
-    for key, value in doc.items():
-        name = f"{prefix}.{key}" if prefix else key
-        if isinstance(value, dict):
-            yield from _leaves(value, name)
+def _leaf_types(schema: T.StructType, prefix: str):
+    for f in schema.fields:
+        name = f"{prefix}.{f.name}" if prefix else f.name
+        if isinstance(f.dataType, T.StructType):
+            yield from _leaf_types(f.dataType, name)
         else:
-            yield name, value
+            yield name, f.dataType
 
 
-def _type_name(value) -> str:
-    if isinstance(value, bool):
+def _type_name(kind: T.DataType) -> str:
+    if isinstance(kind, T.BooleanType):
         return "bool"
-    if isinstance(value, int):
+    if isinstance(kind, T.IntegralType):
         return "int"
-    return "double" if isinstance(value, float) else "string"
+    return "double" if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)) else "string"
 
 
 def write_documents(df: DataFrame, path: str, mode: str = "append") -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowferry.functions.names import quote_name
 from rowferry.model import COLUMNS_SCHEMA, Endpoint
 from rowferry.operators.merge import keep_last
-from rowferry.operators.shards import MAX_SOURCE_SHARDS, KeyRange, clamp_shards, is_integer_key
+from rowferry.operators.shards import MAX_SOURCE_SHARDS, KeyRange, check_shards, is_integer_key
 
 # Fixed value: rows per fetch and per insert batch.
 BATCH_ROWS = 1000
@@ -69,18 +69,18 @@ def read_query(spark: SparkSession, e: Endpoint, sql: str) -> DataFrame:
     return spark.read.format("jdbc").options(**_options(e)).option("query", text).option("fetchsize", BATCH_ROWS).load()
 
 
-def read_sharded(spark: SparkSession, e: Endpoint, table: str, key: str, shards: int, where: str = "", max_shards: int | None = None) -> DataFrame:
+def read_sharded(spark: SparkSession, e: Endpoint, table: str, key: str, shards: int, where: str = "", max_shards: int = MAX_SOURCE_SHARDS) -> DataFrame:
     """Parallel scan of equal key ranges, one connection each.
 
-    The bounds come from one MIN/MAX the source computes under the filter. The
-    number of connections is held to what one database is asked to bear;
-    ``max_shards`` raises that for sources that bear more. A key that is no
-    integer has no ranges to cut and is read over one connection.
+    The bounds come from one MIN/MAX the source computes under the filter. More
+    shards than ``max_shards``, the connections one database is asked to bear,
+    are an error. A key that is no integer has no ranges to cut and is read over
+    one connection.
     """
+    n = check_shards(shards, max_shards)
     probe = read_table(spark, e, table)
     if key not in probe.columns or not is_integer_key(probe, key):
         return probe.where(where) if where else probe
-    n = min(max(1, shards), max_shards) if max_shards else clamp_shards(shards)
     name = quote_name(key, e.kind)
     text = f"SELECT COALESCE(MIN({name}), 0) AS LOW_KEY, COALESCE(MAX({name}), 0) AS HIGH_KEY FROM {_table(e, table)}"
     low, high = read_query(spark, e, text + (f" WHERE {where}" if where else "")).first()

@@ -78,7 +78,7 @@ def replicate(
         renamed = map_feed(batch, mappings) if mappings else batch
         held = renamed.persist()
         try:
-            good, bad = split_feed(held, target.keys)
+            good, bad = split_feed(held, target.keys, target.schema())
             rejects = bad.select(F.lit(batch_id).cast("long").alias("batch_id"), "reason", F.to_json(F.struct(*bad.drop("reason").columns)).alias("event"))
             if not rejects.isEmpty():
                 rejects.write.mode("overwrite").json(f"{dead_letter}/batch={batch_id}")
@@ -118,7 +118,7 @@ def start_realtime(
     """
     names = {m.source: m.name for m in spec.mappings if m.enabled}
     at = f"{spec.target.path}/{spec.target_table}" if spec.target_table else spec.target.path
-    target = KeyedTable(spark, at, [names.get(k, k) for k in spec.keys])
+    target = KeyedTable(spark, at, [names.get(k, k) for k in spec.keys], spec.buckets)
     if target.last_commit() < 0 and initial_load:
         load = run_job(spark, replace(spec, kind="data", write="append", watermark=None), root, triggered_by="realtime")
         if load.status != "success":

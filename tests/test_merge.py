@@ -12,9 +12,9 @@ def rows(df, *by):
 
 
 def test_mapping_rules(spark):
-    df = spark.createDataFrame([(1, "n", "x", "e")], "id int, name string, deleted string, email string")
-    maps = [FieldMapping("id", "id"), FieldMapping("name", "user_name"), FieldMapping("deleted", "d", False), FieldMapping("email", "")]
-    assert mapping.map_columns(df, maps).columns == ["id", "user_name", "email"]
+    df = spark.createDataFrame([(7, 2.5, "A", "Z")], "part int, price double, shelf string, maker string")
+    maps = [FieldMapping("price", "retail"), FieldMapping("shelf", "place", False), FieldMapping("maker", ""), FieldMapping("part", "part")]
+    assert mapping.map_columns(df, maps).columns == ["retail", "maker", "part"]
     assert mapping.map_columns(df, []).columns == df.columns
 
 
@@ -90,7 +90,9 @@ def test_shards_cover_everything_once(spark, sf):
         plan = shards.key_range(df, "doc_id", n)
         parts = [df.where(p) for p in plan.predicates("doc_id")]
         assert sum(p.count() for p in parts) == df.count()
-    assert shards.clamp_shards(0) == 1 and shards.clamp_shards(99) == 8
+    assert shards.check_shards(0) == 1 and len(shards.KeyRange(0, 999, shards.check_shards(64, 64)).predicates("k")) == 64
+    with pytest.raises(ValueError, match="max_shards"):
+        shards.check_shards(64)
 
 
 def test_shards_of_odd_tables(spark):
@@ -201,7 +203,7 @@ def test_full_compare_counts_and_repeats(spark):
     s = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (3, 3)], "id int, v int")
     t = spark.createDataFrame([(1, 1), (1, 1), (2, 9), (4, 4)], "id int, v int")
     row = quality.full_compare(s, t, ["id"], [("v", "v")]).first().asDict()
-    assert row == {"source_keys": 3, "matched": 1, "missing": 1, "extra": 1, "diff_v": 1}
+    assert row == {"source_keys": 3, "matched": 1, "missing": 1, "extra": 1, "diff_v": 1, "source_repeats": 1, "target_repeats": 1}
     assert rows(quality.differing_keys(s, t, ["id"], [("v", "v")])) == [(1, 2, 2), (2, 1, 1), (3, 1, 0), (4, 0, 1)]
 
 
@@ -209,10 +211,31 @@ def test_both_full_comparisons_agree(spark):
     s = spark.createDataFrame([(1, 1.0), (2, 2.0), (None, 3.0), (4, 4.0), (5, 5.0), (5, 5.0)], "id int, v double")
     t = spark.createDataFrame([(1, 1.00001), (2, 9.0), (None, 3.0), (5, 5.0), (6, 6.0)], "id int, v double")
     whole = quality.full_compare(s, t, ["id"], [("v", "v")]).first().asDict()
-    assert whole == {"source_keys": 5, "matched": 2, "missing": 2, "extra": 2, "diff_v": 1}
+    assert whole == {"source_keys": 5, "matched": 2, "missing": 2, "extra": 2, "diff_v": 1, "source_repeats": 1, "target_repeats": 0}
     assert quality.compare_tables(s, t, ["id"], [("v", "v")]).first().asDict() == whole
 
 
+def test_nulls_leave_a_trace_in_digests(spark):
+    s = spark.createDataFrame([(1, None, "x"), (2, "y", None), (3, None, None)], "id int, a string, b string")
+    t = spark.createDataFrame([(1, "x", None), (2, None, "y"), (3, None, None)], "id int, a string, b string")
+    pairs = [("a", "a"), ("b", "b")]
+    assert [r["id"] for r in quality.differing_keys(s, t, ["id"], pairs).orderBy("id").collect()] == [1, 2]
+    whole = quality.full_compare(s, t, ["id"], pairs).first().asDict()
+    assert whole["matched"] == 1 and quality.compare_tables(s, t, ["id"], pairs).first().asDict() == whole
+    maps = spark.sql("SELECT 1 AS id, map('a', 1) AS m")
+    assert quality.differing_keys(maps, maps, ["id"], [("m", "m")]).count() == 0
+
+
+def test_exact_types_are_compared_exactly(spark):
+    from rowferry.functions.compare import values_match
+
+    df = spark.sql("SELECT 12345678901234567890.01BD AS a, 12345678901234567990.01BD AS b, 12345678901234567890.01BD AS c, 9007199254740993L AS d, 9007199254740992L AS e, 1.00001BD AS f, 1L AS g")
+    def same(x, y):
+        return df.select(values_match(df[x], df[y], df.schema[x].dataType, df.schema[y].dataType).alias("m")).first()["m"]
+
+    assert not same("a", "b") and same("a", "c") and not same("d", "e") and same("f", "g") and not same("a", "g")
+
+
 def test_composite_key_samples_hold_exact_keys(spark):
     s = spark.range(100).selectExpr("id div 10 AS a", "id % 10 AS b", "id AS v")
     row = quality.sample_compare(s, s.where("v <> 0"), ["a", "b"], [("v", "v")], 10, "first").first()

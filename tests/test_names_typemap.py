@@ -1,97 +1,64 @@
-from datetime import datetime
 import os
 import tempfile
+from datetime import datetime
 
 import pytest
 
 from rowferry.functions.names import export_path, quote_name, safe_name
 from rowferry.functions.typemap import TYPE_MAP, map_types, spark_type
 
-AT = datetime(2026, 3, 20, 9, 8, 7)
+AT = datetime(1998, 12, 1, 23, 4, 56)
 
 
 def test_export_paths():
-    temp = tempfile.gettempdir()
-    assert export_path("", "daily export", AT) == os.path.join(temp, "daily-export-20260320-090807.csv")
-    assert export_path("/tmp/exports/old.xlsx", "daily export", AT) == "/tmp/exports/daily-export-20260320-090807.csv"
-    assert export_path("", "SMT备货单数据", AT).endswith("SMT备货单数据-20260320-090807.csv")
-    assert export_path("", "a", AT) != export_path("", "a", AT.replace(second=8))
-    assert safe_name("///") == "export"
+    assert export_path("/lake/out", "Late orders / EU", AT) == "/lake/out/Late-orders-EU-19981201-230456.csv"
+    assert export_path("/lake/out/report.csv", "lines", AT) == "/lake/out/lines-19981201-230456.csv"
+    assert export_path("", "lines", AT).startswith(tempfile.gettempdir() + os.sep)
+    assert export_path("", "部品 一覧", AT).endswith("部品-一覧-19981201-230456.csv")
+    assert export_path("", "lines", AT) != export_path("", "lines", AT.replace(minute=5))
+    assert safe_name("-- ** --") == "export"
 
 
 def test_quoting():
-    assert [quote_name("a`b", "mysql"), quote_name('a"b', "postgresql"), quote_name("ab", "oracle"), quote_name("ab", "csv")] == [
-        "`a``b`",
-        '"a""b"',
-        '"AB"',
-        "ab",
-    ]
-
-
-CASES = [
-    ("mysql", "postgresql", "INT", "INTEGER"),
-    ("mysql", "postgresql", "BLOB", "BYTEA"),
-    ("mysql", "postgresql", "DATETIME", "TIMESTAMP"),
-    ("mysql", "postgresql", "TINYINT(1)", "BOOLEAN"),
-    ("mysql", "postgresql", "TINYINT", "SMALLINT"),
-    ("mysql", "postgresql", "TINYINT(4)", "SMALLINT"),
-    ("mysql", "postgresql", "DOUBLE", "DOUBLE PRECISION"),
-    ("mysql", "postgresql", "int", "INTEGER"),
-    ("mysql", "postgresql", " blob ", "BYTEA"),
-    ("mysql", "postgresql", "customtype", "CUSTOMTYPE"),
-    ("mysql", "postgresql", "ENUM(1)", "ENUM(1)"),
-    ("mysql", "oracle", "INT", "NUMBER(10)"),
-    ("mysql", "oracle", "INT(11)", "NUMBER(10)"),
-    ("mysql", "oracle", "TEXT", "CLOB"),
-    ("mysql", "oracle", "VARCHAR", "VARCHAR2"),
-    ("mysql", "oracle", "VARCHAR(200)", "VARCHAR2(200)"),
-    ("mysql", "oracle", "DECIMAL(10,2)", "NUMBER(10,2)"),
-    ("mysql", "oracle", "BIGINT", "NUMBER(19)"),
-    ("mysql", "oracle", "BOOLEAN", "NUMBER(1)"),
-    ("postgresql", "mysql", "INTEGER", "INT"),
-    ("postgresql", "mysql", "INT4", "INT"),
-    ("postgresql", "mysql", "DOUBLE PRECISION", "DOUBLE"),
-    ("postgresql", "mysql", "BYTEA", "BLOB"),
-    ("postgresql", "mysql", "BOOLEAN", "TINYINT(1)"),
-    ("postgresql", "mysql", "BOOL", "TINYINT(1)"),
-    ("postgresql", "mysql", "SERIAL", "INT AUTO_INCREMENT"),
-    ("postgresql", "mysql", "VARCHAR(100)", "VARCHAR(100)"),
-    ("postgresql", "mysql", "DECIMAL(10,2)", "DECIMAL(10,2)"),
-    ("postgresql", "oracle", "INTEGER", "NUMBER(10)"),
-    ("postgresql", "oracle", "VARCHAR", "VARCHAR2"),
-    ("postgresql", "oracle", "TEXT", "CLOB"),
-    ("postgresql", "oracle", "BOOLEAN", "NUMBER(1)"),
-    ("oracle", "mysql", "NUMBER", "DECIMAL"),
-    ("oracle", "mysql", "NUMBER(1)", "TINYINT(1)"),
-    ("oracle", "mysql", "NUMBER(8,3)", "DECIMAL(8,3)"),
-    ("oracle", "mysql", "VARCHAR2", "VARCHAR"),
-    ("oracle", "mysql", "CLOB", "TEXT"),
-    ("oracle", "mysql", "DATE", "DATETIME"),
-    ("oracle", "postgresql", "NUMBER", "NUMERIC"),
-    ("oracle", "postgresql", "NUMBER(1)", "BOOLEAN"),
-    ("oracle", "postgresql", "VARCHAR2", "VARCHAR"),
-    ("oracle", "postgresql", "CLOB", "TEXT"),
-    ("oracle", "postgresql", "BLOB", "BYTEA"),
-    ("clickhouse", "mysql", "uint8", "UINT8"),
-]
-
-
-@pytest.mark.parametrize("target", ["postgresql", "mysql", "oracle"])
-def test_type_cases(spark, target):
-    mine = [c for c in CASES if c[1] == target]
-    df = spark.createDataFrame([(c[0], c[2], c[3]) for c in mine], "dialect string, raw_type string, want string")
-    got = map_types(df, target).collect()
-    assert len(got) == len(mine)
-    assert [(r["dialect"], r["raw_type"], r["mapped_type"]) for r in got if r["mapped_type"] != r["want"]] == []
-
-
-def test_every_pair_maps(spark):
-    for (src, dst), pairs in TYPE_MAP.items():
-        df = spark.createDataFrame([(src, k, v) for k, v in pairs.items()], "dialect string, raw_type string, want string")
-        assert map_types(df, dst).where("mapped_type <> want").count() == 0
-
-
-def test_spark_types():
-    got = [spark_type(t) for t in ("TINYINT(1)", "INT", "NUMBER(19)", "DECIMAL(10, 2)", "NUMERIC", "VARCHAR(9)", "BYTEA", "DATE", "JSON")]
-    assert got == ["boolean", "int", "bigint", "decimal(10,2)", "decimal(38,18)", "string", "binary", "date", "string"]
-    assert spark_type("DATE", "oracle") == "timestamp_ntz" and spark_type("FLOAT", "oracle") == "double"
+    got = [quote_name("l`tax", "mysql"), quote_name('l"tax', "postgresql"), quote_name("l_tax", "oracle"), quote_name("l_tax", "csv")]
+    assert got == ["`l``tax`", '"l""tax"', '"L_TAX"', "l_tax"]
+
+
+def mapped(spark, source, target, *types):
+    df = spark.createDataFrame([(i, source, t) for i, t in enumerate(types)], "i int, dialect string, raw_type string")
+    return [r["mapped_type"] for r in map_types(df, target).orderBy("i").collect()]
+
+
+def test_every_listed_pair_maps_whatever_the_case_and_the_blanks(spark):
+    for (source, target), pairs in TYPE_MAP.items():
+        plain = [k for k in pairs]
+        assert mapped(spark, source, target, *plain) == [pairs[k] for k in plain]
+        assert mapped(spark, source, target, *[f" {k.lower()} " for k in plain]) == [pairs[k] for k in plain]
+
+
+def test_a_size_is_kept_where_both_sides_take_one(spark):
+    assert mapped(spark, "mysql", "oracle", "VARCHAR(73)", "DECIMAL(17,5)") == ["VARCHAR2(73)", "NUMBER(17,5)"]
+    assert mapped(spark, "oracle", "mysql", "NUMBER(12,4)") == ["DECIMAL(12,4)"]
+
+
+def test_a_size_falls_where_the_target_has_its_own(spark):
+    assert mapped(spark, "mysql", "oracle", "BIGINT(14)") == ["NUMBER(19)"]
+    assert mapped(spark, "mysql", "postgresql", "TINYINT(3)") == mapped(spark, "mysql", "postgresql", "TINYINT")
+
+
+def test_a_sized_name_of_its_own_comes_before_the_bare_one(spark):
+    assert mapped(spark, "mysql", "postgresql", "TINYINT(1)") == ["BOOLEAN"]
+    assert mapped(spark, "oracle", "postgresql", "NUMBER(1)") == ["BOOLEAN"]
+
+
+def test_what_nobody_lists_stays_in_capitals(spark):
+    assert mapped(spark, "mysql", "postgresql", "hyperbox", "Geometry(7)") == ["HYPERBOX", "GEOMETRY(7)"]
+    assert mapped(spark, "clickhouse", "mysql", "int128") == ["INT128"]
+
+
+@pytest.mark.parametrize(
+    "raw, dialect, want",
+    [("tinyint(1)", "", "boolean"), ("Number(19)", "", "bigint"), ("decimal(9, 3)", "", "decimal(9,3)"), ("varchar(5)", "", "string"), ("bytea", "", "binary"), ("date", "", "date"), ("date", "oracle", "timestamp_ntz"), ("float", "oracle", "double"), ("json", "", "string")],
+)
+def test_spark_types(raw, dialect, want):
+    assert (spark_type(raw, dialect) if dialect else spark_type(raw)) == want

@@ -152,6 +152,6 @@ def test_deep_pages_equal_plain_pages(spark, offset):
 
 
 def test_page_rules(spark):
-    assert [paging.clamp_page(p) for p in (0, -5, 3)] == [1, 1, 3]
-    assert [paging.clamp_page_size(s) for s in (0, -1, 500, 100)] == [50, 50, 200, 100]
+    assert [paging.clamp_page(p) for p in (-1, 0, 1, 12)] == [1, 1, 1, 12]
+    assert [paging.clamp_page_size(s) for s in (-9, 0, 7, 200, 201)] == [50, 50, 7, 200, 200]
     assert paging.page(spark.range(5), ["id"], 2, 0).count() == 3
