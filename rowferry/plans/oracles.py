@@ -260,7 +260,9 @@ SELECT count(*) AS source_keys,
        count(*) FILTER (WHERE there AND same_q AND same_r) AS matched,
        count(*) FILTER (WHERE NOT there) AS missing, CAST(0 AS BIGINT) AS extra,
        count(*) FILTER (WHERE there AND NOT same_q) AS diff_l_quantity, CAST(0 AS BIGINT) AS diff_l_extendedprice,
-       count(*) FILTER (WHERE there AND NOT same_r) AS diff_l_returnflag, CAST(0 AS BIGINT) AS diff_l_shipdate
+       count(*) FILTER (WHERE there AND NOT same_r) AS diff_l_returnflag, CAST(0 AS BIGINT) AS diff_l_shipdate,
+       (SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) FROM lineitem) AS source_repeats,
+       (SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) FROM lineitem WHERE l_orderkey % 50 <> 0) AS target_repeats
 FROM (SELECT l_orderkey % 50 <> 0 AS there, l_partkey % 70 <> 0 AS same_q, l_suppkey % 9 <> 0 AS same_r
       FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem))""",
     "compare_tables": """
@@ -268,7 +270,9 @@ SELECT count(*) AS source_keys,
        count(*) FILTER (WHERE there AND same_q AND same_r) AS matched,
        count(*) FILTER (WHERE NOT there) AS missing, CAST(0 AS BIGINT) AS extra,
        count(*) FILTER (WHERE there AND NOT same_q) AS diff_l_quantity, CAST(0 AS BIGINT) AS diff_l_extendedprice,
-       count(*) FILTER (WHERE there AND NOT same_r) AS diff_l_returnflag, CAST(0 AS BIGINT) AS diff_l_shipdate
+       count(*) FILTER (WHERE there AND NOT same_r) AS diff_l_returnflag, CAST(0 AS BIGINT) AS diff_l_shipdate,
+       (SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) FROM lineitem) AS source_repeats,
+       (SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) FROM lineitem WHERE l_orderkey % 50 <> 0) AS target_repeats
 FROM (SELECT l_orderkey % 50 <> 0 AS there, l_partkey % 70 <> 0 AS same_q, l_suppkey % 9 <> 0 AS same_r
       FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem))""",
     "differing_keys": """
@@ -329,6 +333,36 @@ WITH {RUNS}
 SELECT (SELECT count(*) FROM supplier) AS endpoints, (SELECT count(*) FROM jobs) AS jobs,
        (SELECT count(*) FROM jobs WHERE status = 'running') AS running_jobs,
        (SELECT count(*) FROM runs WHERE CAST(start_time AS DATE) = DATE '2024-01-15') AS runs_today""",
+    "differing_keys_nulls": "SELECT o_orderkey, CAST(1 AS BIGINT) AS source_rows, CAST(1 AS BIGINT) AS target_rows FROM orders WHERE o_orderkey % 4 IN (1, 2)",
+    "compare_tables_nulls": """
+SELECT count(*) AS source_keys, count(*) FILTER (WHERE o_orderkey % 4 NOT IN (1, 2)) AS matched, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra,
+       count(*) FILTER (WHERE o_orderkey % 4 IN (1, 2)) AS diff_a, count(*) FILTER (WHERE o_orderkey % 4 IN (1, 2)) AS diff_b,
+       CAST(0 AS BIGINT) AS source_repeats, CAST(0 AS BIGINT) AS target_repeats
+FROM orders""",
+    "full_compare_repeats": """
+SELECT count(*) AS source_keys, count(*) AS matched, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS diff_o_totalprice,
+       CAST(0 AS BIGINT) AS source_repeats, CAST(2 * count(*) FILTER (WHERE o_orderkey % 10 = 0) AS BIGINT) AS target_repeats
+FROM orders""",
+    "decimal_match": """
+SELECT o_orderstatus, count(*) FILTER (WHERE o_orderkey % 3 <> 1) AS decimals, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS longs FROM orders GROUP BY 1""",
+    "chained_upsert": "SELECT * FROM orders WHERE o_orderkey % 2 = 0",
+    "incremental_ltz": "SELECT event_id, 1700000000 + event_id AS seconds FROM events WHERE (event_id % 1000 < 400 AND event_id < 4000) OR event_id >= 4000",
+    "inferred_schema": """
+SELECT * FROM (VALUES (1, '_id', 'int', false, true), (2, 'mixed', 'string', true, false), (3, 'sub.even', 'bool', true, false), (4, 'sub.rare', 'double', true, false)) AS t(ordinal, name, raw_type, nullable, is_primary)
+WHERE EXISTS (SELECT 1 FROM events)""",
+    "schema_columns": """
+SELECT table_name AS "table", CAST(ordinal_position AS INTEGER) AS ordinal, column_name AS name,
+       CASE data_type WHEN 'VARCHAR' THEN 'STRING' WHEN 'INTEGER' THEN 'INT' WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' ELSE data_type END AS raw_type,
+       column_name IN ('n_nationkey', 'o_orderkey') AS is_primary
+FROM (SELECT table_name, column_index AS ordinal_position, column_name, data_type FROM duckdb_columns()
+      WHERE table_name IN ('nation', 'orders', 'lineitem'))""",
+    "param_quoted": r"""
+SELECT c_mktsegment, '<\' || chr(39) || ' OR true --|F>' AS said, 'it' || chr(39) || 's' AS plain, count(*) AS n
+FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1""",
+    "feed_unfit": """
+SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op,
+       CASE WHEN event_id % 71 = 0 THEN 'key of another type' ELSE 'value of another type' END AS reason
+FROM events WHERE event_id % 71 = 0 OR (event_id % 53 = 0 AND event_type <> 'error')""",
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowferry.functions.compare import values_match
+from rowferry.functions.params import parameterised_query
 from rowferry.functions.typemap import map_types
 from rowferry.model import Endpoint, FieldMapping, JobSpec, ParamDef, ParamOption, Watermark
 from rowferry.operators import changes as X
@@ -618,7 +619,113 @@ def run_summary(spark, d):
     return reports.run_summary(endpoints, customer_jobs(spark, d), event_runs(spark, d), "2024-01-15")
 
 
+# --- null-bearing, repeated, shifted and unfit values --------------------------------------------
+
+
+def _shifted_lines(spark, d):
+    """Rows whose nulls stand in another column on the other side: unlike, but with the same values in the same order."""
+    lines = table(spark, d, "orders")
+    flag = F.col("o_orderkey") % 4
+    left, right = F.when(flag != 1, F.col("o_orderstatus")), F.when(flag != 2, F.col("o_orderstatus"))
+    source = lines.select("o_orderkey", left.alias("a"), right.alias("b"))
+    target = lines.select("o_orderkey", F.when(flag == 1, right).otherwise(F.when(flag == 2, F.lit(None).cast("string")).otherwise(left)).alias("a"),
+                          F.when(flag == 1, F.lit(None).cast("string")).when(flag == 2, left).otherwise(right).alias("b"))
+    return source, target, ["o_orderkey"], [("a", "a"), ("b", "b")]
+
+
+def differing_keys_nulls(spark, d):
+    return quality.differing_keys(*_shifted_lines(spark, d))
+
+
+def compare_tables_nulls(spark, d):
+    return quality.compare_tables(*_shifted_lines(spark, d))
+
+
+def full_compare_repeats(spark, d):
+    """A target in which every tenth order stands three times."""
+    orders = table(spark, d, "orders")
+    more = orders.where("o_orderkey % 10 = 0")
+    return quality.full_compare(orders, orders.unionByName(more).unionByName(more), ["o_orderkey"], [("o_totalprice", "o_totalprice")])
+
+
+def decimal_match(spark, d):
+    """Decimals and whole numbers too large for a double: equal, a unit apart, and a hundredth of the tolerance apart."""
+    key = F.col("o_orderkey").cast("decimal(20,0)")
+    big = (key + F.lit("12345678901234567890").cast("decimal(20,0)")).cast("decimal(30,6)")
+    apart = F.when(F.col("o_orderkey") % 3 == 1, F.lit("1").cast("decimal(30,6)")).when(F.col("o_orderkey") % 3 == 2, F.lit("0.000001").cast("decimal(30,6)")).otherwise(F.lit("0").cast("decimal(30,6)"))
+    rows = table(spark, d, "orders").select("o_orderstatus", big.alias("a"), (big + apart).cast("decimal(30,6)").alias("b"))
+    whole = F.lit(1 << 53) + F.col("o_orderkey")
+    rows = rows.withColumn("n", F.lit(1))
+    ok = values_match(F.col("a"), F.col("b"), T.DecimalType(30, 6), T.DecimalType(30, 6))
+    longs = table(spark, d, "orders").select("o_orderstatus", values_match(whole, whole + F.col("o_orderkey") % 2, T.LongType(), T.LongType()).alias("same"))
+    left = rows.groupBy("o_orderstatus").agg(F.count_if(ok).alias("decimals"))
+    return left.join(longs.groupBy("o_orderstatus").agg(F.count_if("same").alias("longs")), "o_orderstatus")
+
+
+def chained_upsert(spark, d):
+    """Two jobs in a row: the second reads the keyed table that the first upserted into."""
+    out = scratch_path(spark, "chain")
+    first = Endpoint("parquet", path=out)
+    base = dict(keys=["o_orderkey"], quality=False, write="upsert", buckets=5)
+    done(jobs.run_job(spark, JobSpec("load", Endpoint("parquet", path=d), first, source_table="orders.parquet", target_table="orders", **base), out))
+    onward = JobSpec("onward", first, Endpoint("parquet", path=f"{out}/next"), source_table="orders", target_table="orders", filter="o_orderkey % 2 = 0", **base)
+    done(jobs.run_job(spark, onward, out))
+    return jobs.read_endpoint(spark, onward.target, "orders")
+
+
+def incremental_ltz(spark, d):
+    """Instants as marks in a session far from UTC: two runs copy every event once."""
+    out = scratch_path(spark, "ltz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        events = table(spark, d, "events").select("event_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("at"))
+        spec = dict(name="ltz", source=Endpoint("parquet", path=f"{out}/src"), source_table="events", target=Endpoint("parquet", path=f"{out}/dst"), target_table="events", watermark=Watermark("at", "timestamp"), quality=False)
+        for part in ("event_id % 1000 < 400 AND event_id < 4000", "event_id >= 4000"):
+            events.where(part).write.mode("append").parquet(f"{out}/src/events")
+            done(jobs.run_job(spark, JobSpec(**spec), out))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    return spark.read.parquet(f"{out}/dst/events").select("event_id", F.unix_seconds("at").alias("seconds"))
+
+
+def inferred_schema(spark, d):
+    """The structure of a collection in which a field appears in few documents and another changes its type."""
+    out = scratch_path(spark, "inferred")
+    e = table(spark, d, "events")
+    rare = F.when(F.col("event_id") % 997 == 996, F.col("value"))
+    mixed = F.when(F.col("event_id") % 500 == 499, F.lit("text")).otherwise(F.col("user_id").cast("string"))
+    e.select(F.col("event_id").alias("_id"), F.struct(rare.alias("rare"), (F.col("event_id") % 2 == 0).alias("even")).alias("sub"), mixed.alias("mixed")).write.json(out)
+    return documents.document_schema(spark, out, "events").select("ordinal", "name", "raw_type", "nullable", "is_primary")
+
+
+def schema_columns(spark, d):
+    """The catalog rows of the given tables."""
+    return schema.describe({n: table(spark, d, n) for n in ("nation", "orders", "lineitem")}, "spark", {"nation": ["n_nationkey"], "orders": ["o_orderkey"]}).select("table", "ordinal", "name", "raw_type", "is_primary")
+
+
+def param_quoted(spark, d):
+    """Parameters inside quoted texts, with values that would end the text if they were placed in it."""
+    for t in ("orders", "customer"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    sql = r"SELECT c_mktsegment, concat('<{{sly}}|{{state}}>') AS said, 'it\'s' AS plain, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = '{{state}}' OR c_name = 'x{{sly}}' GROUP BY 1"
+    return parameterised_query(spark, sql, (), {"sly": "\\' OR true --", "state": "F"})
+
+
+def feed_unfit(spark, d):
+    """Events whose key or value does not convert to the table's types are told apart, not lost."""
+    e = table(spark, d, "events")
+    key = F.when(F.col("event_id") % 71 == 0, "abc").otherwise(F.col("user_id").cast("string"))
+    value = F.when(F.col("event_id") % 53 == 0, "1,5").otherwise(F.col("value").cast("string"))
+    op = F.when(F.col("event_type") == "error", "D").otherwise("U")
+    feed = e.select(F.col("event_id").alias("seq"), op.alias("op"), F.struct(key.alias("user_id"), value.alias("value")).alias("after"))
+    _, bad = X.split_feed(feed, ["user_id"], T.StructType.fromDDL("user_id long, value double"))
+    return bad.select("seq", "op", "reason")
+
+
 QUERIES = [
+    differing_keys_nulls, compare_tables_nulls, full_compare_repeats, decimal_match, chained_upsert, incremental_ltz,
+    inferred_schema, schema_columns, param_quoted, feed_unfit,
     table_scan, filtered_count, filtered_copy, mapped_copy, or_filter_with_watermark, incremental_id, incremental_ts,
     incremental_two_runs, next_watermark, point_lookup, key_bounds, shard_counts, shard_union, resumed_copy,
     insert_skip, upsert, upsert_last_wins, upsert_job, append_job, replace_docs, duplicate_keys, csv_round_trip,
