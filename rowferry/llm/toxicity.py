@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain CRF: words tagged from labelled tokens, marginals gathered to a document's score.
 
-Labelled tokens are derived from document labels: among the training rows, a
-word is toxic where it, or a beginning of it, occurs in enough toxic documents
-and almost only there; the CRF learns those tags from spelling and neighbours.
+Labelled tokens are derived from document labels: among the training rows, the
+fewest words and beginnings of words that explain the toxic documents, and
+hardly occur in others, are toxic; the CRF learns those tags from spelling and
+neighbours.
 Only ``text`` is ever scored.
 
 Nulls: a null or empty text scores 0. Rows without label are not learned from;
@@ -40,28 +41,60 @@ def _beginnings(word: str) -> list[str]:
     return ["=" + w, *(w[:n] for n in (4, 5, 6, 7, 8) if len(w) > n)]
 
 
-def toxic_units(words: Words, toxic: np.ndarray, chance: float = 0.002, precision: float = 0.9) -> set[str]:
-    """Words and beginnings that, to ``precision``, occur in toxic documents only, and in more of them than ``chance`` explains."""
-    least = np.log(chance) / np.log(min(0.9, max(toxic.mean(), 1e-3)))
+def toxic_units(words: Words, toxic: np.ndarray, texts: np.ndarray, chance: float = 0.002, sure: float = 1e-5, precision: float = 0.9) -> set[str]:
+    """The words and beginnings that explain the toxic documents.
+
+    A candidate occurs, to ``precision``, in toxic documents only, and in more of them than ``chance`` explains. It is
+    taken where it does so, by the stricter chance ``sure``, behind that many different words: what near copies share
+    stands behind the same one. Then the candidate that most documents not yet explained share is taken, again and
+    again. ``texts`` tells equal texts apart from others; copies of one count once.
+    """
+    first = np.zeros(len(toxic), bool)
+    first[np.unique(texts, return_index=True)[1]] = True
+    least = np.log(chance) / np.log(min(0.9, max(toxic[first].mean(), 1e-3)))
     names: dict[str, int] = {}
     units = [[names.setdefault(u, len(names)) for u in _beginnings(w)] for w in words.vocabulary]
     width = max((len(u) for u in units), default=0)
     table = np.full((len(units), width), -1, np.int64)
     for i, u in enumerate(units):
         table[i, : len(u)] = u
-    rows, seen, bad = words.rows, np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    rows, seen, bad, places = words.rows, np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), []
+    live = first[rows]
+    before = np.concatenate([[-1], words.codes[:-1]]) + 1
+    before[words.offsets[:-1][np.diff(words.offsets) > 0]] = 0
+    settings = np.zeros(len(names), np.int64)
     # A word's units of one length are unlike those of another, so each length is counted by itself.
     for column in table.T:
         unit = column[words.codes]
-        found = np.unique(rows[unit >= 0] * len(names) + unit[unit >= 0])
+        kept = (unit >= 0) & live
+        found = np.unique(rows[kept] * len(names) + unit[kept])
         row, unit = found // len(names), found % len(names)
         seen += np.bincount(unit, minlength=len(names))
         bad += np.bincount(unit[toxic[row]], minlength=len(names))
+        places.append(found[toxic[row]])
+        unit = column[words.codes]
+        kept = (unit >= 0) & live & toxic[rows]
+        settings += np.bincount(np.unique(unit[kept] * (len(units) + 1) + before[kept]) // (len(units) + 1), minlength=len(names))
     good = (bad >= least) & (bad >= precision * seen)
-    return {u for u, i in names.items() if good[i]}
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 2500, longest: int = 20_000) -> crf.Crf | None:
+    found = np.concatenate([*places, np.zeros(0, np.int64)])
+    found = found[good[found % max(len(names), 1)]] if len(names) else found
+    row, unit = found // max(len(names), 1), found % max(len(names), 1)
+    strict = least * np.log(sure) / np.log(chance)
+    chosen = np.flatnonzero(good & (bad >= strict) & (settings >= strict)).tolist()
+    open_ = np.ones(len(toxic), bool)
+    open_[row[np.isin(unit, chosen)]] = False
+    while len(unit):
+        gain = np.bincount(unit[open_[row]], minlength=len(names))
+        best = int(gain.argmax())
+        if gain[best] < least:
+            break
+        chosen.append(best)
+        open_[row[unit == best]] = False
+    by_number = list(names)
+    return {by_number[i] for i in chosen}
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows: int = 1800, longest: int = 20_000) -> crf.Crf | None:
     """Learn from about so many toxic and clean labelled rows that are not held out, of at most ``longest`` characters.
 
     The rows are a repeatable sample by id, so fitting costs the same for any input. None where no row is toxic.
@@ -78,7 +111,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, cle
     if not toxic.any():
         return None
     words = words_of(texts)
-    bad = toxic_units(words, toxic)
+    bad = toxic_units(words, toxic, np.array([hash(t) for t in texts.to_pylist()]))
     named = np.array([any(u in bad for u in _beginnings(w)) for w in words.vocabulary], bool)
     gold = (named[words.codes] & toxic[words.rows]).astype(np.int64)
     return crf.train(LABELS, features, words.vocabulary, words.codes, words.offsets, gold, rounds=25)
@@ -91,7 +124,7 @@ def score_texts(scores: crf.WordScores, texts: pa.Array) -> tuple[np.ndarray, np
     out, rows = np.zeros(len(words.offsets) - 1), words.rows
     np.maximum.at(out, rows, p)
     sure = p >= 0.1
-    clear = np.bincount(rows[sure], np.log1p(-np.minimum(p[sure], 1 - 1e-9)), len(out))
+    clear = np.bincount(rows[sure], np.log1p(-np.minimum(p[sure].astype(np.float64), 1 - 1e-9)), len(out))
     return np.maximum(out, 1 - np.exp(clear)), p, words
 
 
