@@ -2,7 +2,8 @@
 
 1. Every text becomes the set of its hashed shingles; equal sets are one class, and a class's smallest id stands for it.
 2. A pair that is similar enough must share one of the first ``n - ceil(t n) + 1`` shingles of each set, in any fixed
-   order. Shingles that a bounded sample finds frequent come last in that order, so boilerplate makes few candidates.
+   order. The order begins with a fifth of all shingles, by hash, and of these the ones that many texts hold come last,
+   so boilerplate makes few candidates. A bitmap of fixed size says which are common.
    Sets that share a prefix shingle, at sizes that can match, are chained; chains make groups.
 3. Within a group, cut into blocks of bounded size, products of incidence blocks count the overlap of all pairs at
    once. Pairs below the bound that their sizes set are dropped; what is left are the links.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowferry.llm.components import connected_components
-from rowferry.llm.text import share, slices, words_of
+from rowferry.llm.text import slices, words_of
 from rowferry.session import Staged
 
 _P = tuple(np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -35,8 +36,13 @@ BLOCK = 1024
 # A shingle in more rows of a product than this is counted by a dense product, others pair by pair.
 DENSE = 40
 _SLAB = 4096
-# Sets of more shingles than this are taken to a product of their own size.
-_BATCH_SHINGLES = 2_000_000
+# Hashes below this are low.
+LOW = np.uint64((1 << 64) // 5)
+COMMON_BITS = 1 << 24
+# Sets at one prefix shingle that are compared pair by pair for ties.
+LIGHT = 128
+# Shingles of all sets of a block, about; and of a product before it is taken.
+BLOCK_SHINGLES = 500_000
 
 
 def shingle_sets(texts: pa.Array, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -75,44 +81,67 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
-def frequent_shingles(docs: DataFrame, size: int, rows: int = 8000, least: int = 4, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in at least ``least`` of about ``rows`` sampled texts, the ``most`` commonest of them, and their counts.
+def low_shingles(flat: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles from which each set's prefix is taken, by hash: all low ones, and more if those are too few."""
+    size = np.diff(offsets)
+    low = np.concatenate([[0], np.cumsum(flat < LOW)])
+    take = np.maximum(prefix_size(size, percent), low[offsets[1:]] - low[offsets[:-1]])
+    ends = np.concatenate([[0], np.cumsum(take)])
+    return flat[np.arange(ends[-1]) + np.repeat(offsets[:-1] - ends[:-1], take)], ends
 
-    They only set the order in which prefixes are taken: any outcome gives the same links.
-    """
-    total = docs.count()
 
-    def count(batches):
-        for batch in slices(batches):
-            got, n = np.unique(shingle_sets(batch.column("text"), size)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n)], ["h", "n"])
+def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
 
-    sample = docs.select("text", "doc_id").where(share(F.col("doc_id"), min(1.0, rows / max(total, 1)), 53)).select("text")
-    got = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).toArrow()
-    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
 
+def prefixes(low: np.ndarray, ends: np.ndarray, size: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set in the order: low and rare, low and common, all others; by hash within each."""
+    rank = np.where(low < LOW, common[(low & np.uint64(COMMON_BITS - 1)).astype(np.int64)], 2).astype(np.int64)
+    owner = np.repeat(np.arange(len(size)), np.diff(ends))
+    low = low[np.argsort(owner * 3 + rank, kind="stable")]
+    take = prefix_size(size, percent)
+    out = np.concatenate([[0], np.cumsum(take)])
+    return low[np.arange(out[-1]) + np.repeat(ends[:-1] - out[:-1], take)], out
 
-def prefixes(flat: np.ndarray, offsets: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """The first shingles of each set in the order: by sampled frequency, then by hash."""
-    size = np.diff(offsets)
-    need = np.where(size > 0, size - least_overlap(size, percent) + 1, 0)
-    common, counts = frequent
-    at = np.searchsorted(common, flat) if len(common) else np.zeros(len(flat), np.int64)
-    hot = common[np.minimum(at, len(common) - 1)] == flat if len(common) else np.zeros(len(flat), bool)
+
+def common_shingles(tokens: DataFrame) -> np.ndarray:
+    """Whether a shingle is in more than ``LIGHT`` of the sets, by its low hash bits: a map of fixed size.
+
+    It only orders prefixes: where two shingles meet in a bit, any outcome gives the same links.
+    """
+    bit = F.col("token").bitwiseAND(F.lit(COMMON_BITS - 1))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") > LIGHT)
+    words = often.select((bit / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast((token & {COMMON_BITS - 1}L) & 63 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(COMMON_BITS // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def bitmaps(flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A bit for each shingle by its low hash bits, in a map with a power of two of about as many bits as shingles."""
     out = []
-    for a, b, p in zip(offsets[:-1], offsets[1:], need):
-        s, m = flat[a:b], hot[a:b]
-        rare = s[~m] if m.any() else s
-        if len(rare) >= p:
-            out.append(rare[:p])
-        else:
-            rest = s[m]
-            out.append(np.concatenate([rare, rest[np.lexsort((rest, counts[at[a:b][m]]))][: p - len(rare)]]))
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        width = 1 << max(6, min(16, int(b - a - 1).bit_length()))
+        bits = np.zeros(width, np.uint8)
+        bits[(flat[a:b] & np.uint64(width - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
     return out
 
 
+def may_match(x: tuple[int, int, int], y: tuple[int, int, int], percent: int) -> bool:
+    """Whether two sets, each as (size, map width, map), can overlap enough: a bit of one that the other lacks is a shingle it lacks."""
+    (n, v, a), (m, w, b) = x, y
+    while v > w:
+        v >>= 1
+        a = (a & ((1 << v) - 1)) | (a >> v)
+    while w > v:
+        w >>= 1
+        b = (b & ((1 << w) - 1)) | (b >> w)
+    most = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+    return (100 + percent) * most >= percent * (n + m)
+
+
 def overlaps(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
     """Overlap counts of all pairs of ``n`` sets given as (row, token) pairs: the product of the incidence matrix with its transpose."""
     order = np.lexsort((rows, tokens))
@@ -169,33 +198,85 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` for every row; links count the other documents similar to it."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
+    context = docs.sparkSession.sparkContext
+
+    def lists(flat, ends):
+        return pa.ListArray.from_arrays(ends.astype(np.int32), flat.view(np.int64))
 
     def sketch(batches):
         for batch in slices(batches):
             flat, offsets = shingle_sets(batch.column("text"), size)
-            first = prefixes(flat, offsets, percent, frequent.value)
             keys = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ends, np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), lists], ["doc_id", "n", "key", "prefix"])
+            low = lists(*low_shingles(flat, offsets, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), low, pa.array(bitmaps(flat, offsets), pa.binary())], ["doc_id", "n", "key", "low", "map"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = Staged(texts.mapInArrow(sketch, "doc_id long, n long, key binary, prefix array<long>"), "shingles").df
+    held = Staged(texts.mapInArrow(sketch, "doc_id long, n long, key binary, low array<long>, map binary"), "shingles").df
+    limit = int(LOW)
+    common = context.broadcast(common_shingles(held.select(F.explode("low").alias("token")).where((F.col("token") >= 0) & (F.col("token") < limit))))
     real = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = Staged(real.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes").df
 
-    # Candidates: sets that share a prefix shingle, chained by size where neighbours can still be similar.
-    reps = real.select("key", F.col("doc_id").alias("rep"), "prefix").join(classes, ["key", "rep"]).select("rep", "n", F.explode("prefix").alias("token"))
-    shared = reps.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("token")
-    places = Staged(reps.join(shared, "token"), "places").df
-    hubs = places.groupBy("token", "n").agg(F.min("rep").alias("hub"))
+    # Candidates: sets that share a prefix shingle.
+    def first_ones(batches):
+        for batch in batches:
+            low = batch.column("low")
+            ends = low.offsets.to_numpy().astype(np.int64)
+            first = prefixes(low.flatten().to_numpy().view(np.uint64), ends - ends[0], batch.column("n").to_numpy(), percent, common.value)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "rep", "n", "map")] + [lists(*first)], ["key", "rep", "n", "map", "prefix"])
+
+    begun = real.select("key", F.col("doc_id").alias("rep"), "n", "map", "low").mapInArrow(first_ones, "key binary, rep long, n long, map binary, prefix array<long>")
+    reps = Staged(begun.join(classes.select("key", "rep"), ["key", "rep"]).select("rep", "n", "map", "prefix"), "prefixes").df
+    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    places = Staged(tokens.join(shared, "token"), "places").df
+
+    def tie(batches):
+        parent: dict[int, int] = {}
+
+        def find(i):
+            while (p := parent.setdefault(i, i)) != i:
+                parent[i] = i = parent[p]
+            return i
+
+        def compare(group):
+            group.sort()
+            edges = []
+            for i, x in enumerate(group):
+                for y in group[i + 1 :]:
+                    if 100 * x[0] < percent * y[0]:
+                        break
+                    a, b = find(x[3]), find(y[3])
+                    if a != b and may_match(x[:3], y[:3], percent):
+                        parent[max(a, b)] = min(a, b)
+                        edges.append((x[3], y[3]))
+            return edges
+
+        group, last = [], None
+        for batch in batches:
+            edges: list[tuple[int, int]] = []
+            for token, rep, n, m in zip(*(batch.column(c).to_pylist() for c in ("token", "rep", "n", "map"))):
+                if token != last:
+                    edges += compare(group)
+                    group, last = [], token
+                group.append((n, 8 * len(m), int.from_bytes(m, "little"), rep))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+        edges = compare(group)
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    light = places.where(F.col("seen") <= LIGHT).select("token", "rep").join(reps.select("rep", "n", "map"), "rep")
+    light = light.repartition("token").sortWithinPartitions("token").mapInArrow(tie, "a long, b long")
+    # At commoner shingles, sets whose sizes can match are chained: by size, and within a size to the smallest id.
+    many = places.where(F.col("seen") > LIGHT)
+    hubs = many.groupBy("token", "n").agg(F.min("rep").alias("hub"))
     by_size = Window.partitionBy("token").orderBy("n")
     steps = hubs.select("n", "hub", F.lag("hub").over(by_size).alias("before"), F.lag("n").over(by_size).alias("smaller")).where(100 * F.col("smaller") >= percent * F.col("n"))
-    ties = places.join(hubs, ["token", "n"]).select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(steps.select(F.col("hub").alias("a"), F.col("before").alias("b")))
+    chained = many.join(hubs, ["token", "n"]).select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(steps.select(F.col("hub").alias("a"), F.col("before").alias("b")))
+    ties = light.union(chained)
     groups = connected_components(ties)
-    members = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    sized = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node")
+    members = sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = groups.join(members, "root").select(F.col("node").alias("id"), "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     wanted = Staged(placed.join(classes.select(F.col("rep").alias("id"), "copies"), "id"), "wanted")
 
@@ -237,7 +318,7 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
         for batch in batches:
             for r in batch.to_pylist():
                 key = (r["root"], r["lo"], r["hi"])
-                if rows and key != last and (len(rows) >= BLOCK // 2 or held_shingles >= _BATCH_SHINGLES):
+                if rows and key != last and (len(rows) >= BLOCK // 2 or held_shingles >= BLOCK_SHINGLES):
                     yield flush()
                     rows, held_shingles = [], 0
                 rows.append((key, r["id"], r["copies"], r["block"], r["set"]))
@@ -259,3 +340,15 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
     out = held.select("doc_id", "n", "key").join(known, "key", "left")
     live = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(live, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"), F.when(live, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
+    """The rows but for those that a row with a smaller id stands for: one document of each component stays.
+
+    Rows that repeat the id that stays are one document and all stay, as do rows with a null id and texts without
+    shingles. Texts are not shuffled unless the ids to drop are too many to broadcast.
+    """
+    found = similar_components(docs, percent, size)
+    losers = Staged(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__ngram_loser")).distinct(), "losers")
+    small = F.broadcast(losers.df) if losers.small else losers.df
+    return docs.join(small, F.col("doc_id").cast("long") == F.col("__ngram_loser"), "left_anti")
