@@ -228,7 +228,9 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
     begun = real.select("key", F.col("doc_id").alias("rep"), "n", "map", "low").mapInArrow(first_ones, "key binary, rep long, n long, map binary, prefix array<long>")
     reps = Staged(begun.join(classes.select("key", "rep"), ["key", "rep"]).select("rep", "n", "map", "prefix"), "prefixes").df
     tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # Of two sets alone at a shingle the sizes already tell whether they can match.
+    shared = shared.where((F.col("seen") > 2) | ((F.col("seen") == 2) & (100 * F.col("least") >= percent * F.col("most")))).select("token", "seen")
     places = Staged(tokens.join(shared, "token"), "places").df
 
     def tie(batches):
