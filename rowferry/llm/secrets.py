@@ -30,6 +30,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
+LEAST_TAGGED = 8
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _WRAP = "\"'`.,;:()[]{}<>"
 # Text without any of these holds no pattern.
@@ -118,7 +119,7 @@ def _gold(text: str, spans: list[Span], n: int) -> np.ndarray:
     return out
 
 
-def fit_secrets(docs: DataFrame, rows: int = 20_000, quiet_every: int = 40, examples: int = 4000, bits: int = 16) -> crf.Crf | None:
+def fit_secrets(docs: DataFrame, rows: int = 20_000, quiet_every: int = 10, examples: int = 4000, bits: int = 16) -> crf.Crf | None:
     """Learn from words around the patterns' spans in about ``rows`` texts, chosen repeatably by id.
 
     Of the other texts of that sample every ``quiet_every``-th gives one window of words. At most about ``examples``
@@ -178,7 +179,7 @@ def tag(scores: crf.WordScores, texts: pa.Array) -> tuple[np.ndarray, Words]:
 
 
 def _tagged_spans(text: str, labels: np.ndarray, taken: list[Span]) -> list[Span]:
-    """Spans of begin-inside runs, without wrapping marks, where no pattern's span is."""
+    """Spans of begin-inside runs, without wrapping marks, where no pattern's span is; short ones and those without a digit are none."""
     found: list[list[int]] = []
     last = -2
     for i, m in enumerate(WORD.finditer(text)):
@@ -192,7 +193,8 @@ def _tagged_spans(text: str, labels: np.ndarray, taken: list[Span]) -> list[Span
     for a, b in found:
         piece = text[a:b]
         a, b = a + len(piece) - len(piece.lstrip(_WRAP)), b - (len(piece) - len(piece.rstrip(_WRAP)))
-        if a < b and not any(s < b and a < e for s, _, e in taken):
+        likely = b - a >= LEAST_TAGGED and any(c.isdigit() for c in text[a:b])
+        if likely and not any(s < b and a < e for s, _, e in taken):
             out.append((a, 3, b))
     return out
 
