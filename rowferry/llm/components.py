@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rowferry.session import Staged
+from rowferry.session import Staged, remove
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,8 +26,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        held = Staged(small, "edges")
+        last, held = held, Staged(small, "edges")
         after = _mark(held.df)
+        remove(edges.sparkSession, last.path)
         if after == before:
             break
         before = after

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rowferry.llm.components import connected_components
 from rowferry.llm.text import slices, words_of
-from rowferry.session import Staged
+from rowferry.session import Staged, remove
 
 _P = tuple(np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 # Rows of one block of the incidence matrix; a product takes two blocks at most.
@@ -226,12 +226,14 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "rep", "n", "map")] + [lists(*first)], ["key", "rep", "n", "map", "prefix"])
 
     begun = real.select("key", F.col("doc_id").alias("rep"), "n", "map", "low").mapInArrow(first_ones, "key binary, rep long, n long, map binary, prefix array<long>")
-    reps = Staged(begun.join(classes.select("key", "rep"), ["key", "rep"]).select("rep", "n", "map", "prefix"), "prefixes").df
+    begun = Staged(begun.join(classes.select("key", "rep"), ["key", "rep"]).select("rep", "n", "map", "prefix"), "prefixes")
+    reps = begun.df
     tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen"), F.min("n").alias("least"), F.max("n").alias("most"))
     # Of two sets alone at a shingle the sizes already tell whether they can match.
     shared = shared.where((F.col("seen") > 2) | ((F.col("seen") == 2) & (100 * F.col("least") >= percent * F.col("most")))).select("token", "seen")
-    places = Staged(tokens.join(shared, "token"), "places").df
+    met = Staged(tokens.join(shared, "token"), "places")
+    places = met.df
 
     def tie(batches):
         parent: dict[int, int] = {}
@@ -331,6 +333,9 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
 
     links = Staged(dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(product, "a long, b long, links long"), "links").df
 
+    for done in (begun, met, wanted):
+        remove(docs.sparkSession, done.path)
+
     # Components over class representatives; an id of several rows ties their classes.
     again = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     tied = real.join(again, "doc_id").select("key", "doc_id").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

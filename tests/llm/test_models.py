@@ -65,7 +65,7 @@ def marked(spark, docs, bad):
     rows = docs.where("lang = 'en'").select("doc_id", F.expr("substring(text, 1, 600)").alias("text"))
     toxic = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).cast("int")
     word = F.element_at(F.array(*[F.lit(b) for b in bad]), (F.pmod(F.col("doc_id"), F.lit(len(bad))) + 1).cast("int"))
-    rows = rows.withColumn("toxic", toxic).withColumn("text", F.when(toxic == 1, F.concat("text", F.lit(" "), word, F.lit(" the end"))).otherwise(F.col("text")))
+    rows = rows.withColumn("toxic", toxic).withColumn("text", F.when(toxic == 1, F.concat(word, F.lit(" "), F.col("text"))).otherwise(F.col("text")))
     return rows.select("doc_id", "text", F.lit("en").alias("lang")), rows.select("doc_id", F.lit(1).alias("quality"), "toxic")
 
 
