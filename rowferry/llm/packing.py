@@ -38,7 +38,7 @@ CLOSING = 1
 GROUPS = 96
 SMALL = 1 / 8
 # Distinct words whose ids a task keeps; then it starts afresh.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 700_000
 
 
 # A word of Latin letters, perhaps with a mark behind it: nothing in it is composed, split or lower-cased by context.
@@ -67,76 +67,67 @@ class Ids:
         self._reset()
 
     def _reset(self):
-        self.index: dict[str, int] = {}
-        self.bases: dict[str, tuple[int, int]] = {}
+        self.index: dict[str, int] = {}  # of a word, its row
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.count = 0
 
-    def _store(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Append the ids of words of these sizes; where each begins."""
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """A row for each word, whose ids follow one another."""
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.size) < self.count + len(words):
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
         self.flat[self.used : self.used + len(ids)] = ids
-        begin = self.used + np.cumsum(size) - size
-        self.used += len(ids)
-        return begin
-
-    def _plain(self, words: list[str]) -> None:
-        joined = [" ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        size = np.diff(ends, prepend=0)
-        self.bases.update(zip(words, zip(self._store(ids, size).tolist(), size.tolist())))
-
-    def _encode(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        begin, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
-        parts = [PLAIN.fullmatch(w) for w in fresh]
-        plain = [(i, m[1].lower(), m[2]) for i, m in enumerate(parts) if m and (not m[2] or m[2] in self.marks)]
-        new = list(dict.fromkeys(b for _, b, _ in plain if b not in self.bases))
+        rows = slice(self.count, self.count + len(words))
+        self.size[rows], self.begin[rows] = size, self.used + np.cumsum(size) - size
+        self.index.update(zip(words, range(rows.start, rows.stop)))
+        self.used, self.count = self.used + len(ids), rows.stop
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Rows for words without one. Plain words that differ in case share one; a mark adds its id to the bare word's."""
+        index, match, bare, marked, rest = self.index, PLAIN.fullmatch, [], [], []
+        for w in fresh:
+            m = match(w)
+            if m is None:
+                rest.append(w)
+            elif not m[2]:
+                bare.append((w, m[1].lower()))
+            elif m[2] in self.marks:
+                marked.append((w, m[1].lower(), m[2]))
+            else:
+                rest.append(w)
+        new = list(dict.fromkeys(b for _, b, *_ in (*bare, *marked) if b not in index))
         if new:
-            self._plain(new)
-        marked = []
-        for i, base, mark in plain:
-            begin[i], size[i] = self.bases[base]
-            if mark:
-                marked.append((i, self.marks[mark]))
+            joined = [" ".join(new[i : i + _JOINED]) for i in range(0, len(new), _JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+            self._add(new, ids, np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0))
+        index.update((w, index[b]) for w, b in bare)
         if marked:
-            at, mark_ids = (np.array(x, np.int64) for x in zip(*marked))
-            n = size[at]
+            at = np.fromiter((index[b] for _, b, _ in marked), np.int64, len(marked))
+            n = self.size[at]
             ends = np.cumsum(n + 1)
-            ids = np.empty(ends[-1], np.uint32)
-            ids[ends - 1] = mark_ids
-            body = np.ones(len(ids), bool)
-            body[ends - 1] = False
-            ids[body] = self.flat[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            begin[at], size[at] = self._store(ids, n + 1), n + 1
-        known = {i for i, _, _ in plain}
-        rest = [i for i in range(len(fresh)) if i not in known]
+            ids, body = np.empty(ends[-1], np.uint32), np.ones(ends[-1], bool)
+            ids[ends - 1], body[ends - 1] = np.fromiter((self.marks[c] for *_, c in marked), np.uint32, len(marked)), False
+            ids[body] = self.flat[np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            self._add([w for w, *_ in marked], ids, n + 1)
         if rest:
-            ids = [e.ids for e in self.full.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            size[rest] = n
-            begin[rest] = self._store(np.fromiter((x for one in ids for x in one), np.uint32, int(n.sum())), n)
-        return begin, size
+            each = [e.ids for e in self.full.encode_batch_fast(rest, add_special_tokens=False)]
+            size = np.fromiter(map(len, each), np.int64, len(each))
+            self._add(rest, np.fromiter((x for one in each for x in one), np.uint32, int(size.sum())), size)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         if len(self.index) > KEPT_WORDS:
             self._reset()
         get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh = [words[i] for i in new]
-            first = len(self.index)
-            while len(self.size) < first + len(fresh):
-                self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            begin, size = self._encode(fresh)
-            self.begin[first : first + len(fresh)], self.size[first : first + len(fresh)] = begin, size
-            at[new] = np.arange(first, first + len(fresh))
-            self.index.update(zip(fresh, range(first, first + len(fresh))))
+            self._learn(fresh)
+            at[new] = np.fromiter([self.index[w] for w in fresh], np.int64, len(fresh))
         return at
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +277,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     def pieces(batches):
         ids, number = Ids(tokenizer_path), np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=8 << 20):
             flat, bounds = ids.of(batch.column("text"))
             size = np.diff(bounds)
             count = -(-size // capacity)
