@@ -159,9 +159,10 @@ def word_distance(shares: dict[str, float]) -> Column:
 def judge(docs: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, both distances (null where guarded) and ``kept``.
 
-    ``measured`` may be the written result of ``measure``; it is read twice, once for the references.
+    ``measured`` may be the written result of ``measure``, which is otherwise written here: it is read twice, once for
+    the references.
     """
-    measured = measure(docs) if measured is None else measured
+    measured = Staged(measure(docs), "quality").df if measured is None else measured
     refs = references(measured)
 
     def nearest(distance, index: int, limit: float) -> Column:

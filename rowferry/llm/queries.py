@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowferry.llm import language, licenses, mixing, neighbours, ngram_join, packing, quality, secrets, toxicity, urls
-from rowferry.session import Staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.judge(docs, Staged(quality.measure(docs), "quality").df).drop("lang", "class_distance", "word_distance")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("lang", "class_distance", "word_distance")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def test_toxic_words_are_found_in_rows_never_learned_from(spark, docs):
 
 def test_toxicity_of_awkward_rows(spark, awkward, nothing, docs):
     texts, labels = marked(spark, docs, ["grobvile"])
-    model = toxicity.fit_toxicity(texts, labels.union(labels.limit(5)).union(spark.createDataFrame([(None, None, None)], labels.schema)))
+    model = toxicity.fit_toxicity(texts, labels.union(labels.limit(5)).union(spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")))
     got = toxicity.score_toxicity(awkward, model).collect()
     assert len(got) == awkward.count() and all(0 <= r["score"] <= 1 for r in got)
     assert {r["predicted"] for r in got} == {0}
