@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 # Characters of text worked on at once within a task.
 SLICE_BYTES = 4 << 20
@@ -53,20 +53,11 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, coded.dictionary.to_pylist())
 
 
-def held_out(doc_id: Column | str = "doc_id", parts: int = 4, part: int = 2) -> Column:
+def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     """Rows kept away from learning: crc32 of the id as text. A null id is not held out."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False)) if isinstance(doc_id, str) else held_out_of(doc_id, parts, part)
-
-
-def held_out_of(doc_id: Column, parts: int, part: int) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
 def share(key: Column, rate: Column | float, seed: int = 17) -> Column:
     """A repeatable part of the rows, chosen by their key."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < F.lit(float(1 << 30)) * rate
-
-
-def column_set(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """The named columns and nothing else, missing ones as nulls of type string."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted])
