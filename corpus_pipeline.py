@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that the n-gram join links, the one with the smallest id stays."""
-    return ngram_join.keep_one(docs)
+    """Of each group of documents that the n-gram join links at 80% of their 5-word shingles, the one with the smallest id stays."""
+    return ngram_join.keep_one(docs, percent=80, size=5)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

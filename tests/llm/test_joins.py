@@ -250,3 +250,14 @@ def test_pipeline_stages_pass_on_what_they_keep(spark, sf, docs):
             assert out.count() == now.count() and out.where("text like '%AKIA%'").count() == 0
         now = out
     assert now.count() > 0
+
+
+def test_pipeline_drops_copies_with_isolated_edits(spark, sf):
+    """One word in fifty replaced: under the bound of op8's query, over the stage's."""
+    a = [f"w{i}" for i in range(1000)]
+    b = [f"x{i}" if i % 50 == 25 else w for i, w in enumerate(a)]
+    far = [f"x{i}" if i % 20 == 10 else w for i, w in enumerate(a)]
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(far))], "doc_id long, text string")
+    assert ngram_join.keep_one(df).count() == 3
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    assert sorted(r["doc_id"] for r in stage(spark, df, sf).collect()) == [1, 3]
