@@ -12,8 +12,9 @@
 Hashes have 64 bits, those of whole sets 128. No pair is skipped and no group is capped.
 
 Nulls: a null, empty or blank text has no shingles, links with nothing and is its own component. A null ``doc_id``
-takes no part: its component is null. Rows that repeat an id are one document: their links are joined. Ties of ids
-cannot occur; the smallest id names a component. An empty table gives an empty result. Other columns are ignored.
+takes no part: its component is null. Rows that repeat an id are one document: their links are joined, and each other id
+is counted once. From candidates on there is one row for each class, whatever its ids; ids of several different texts are
+counted apart, which costs the square of how many of them are alike. The smallest id names a component. An empty table gives an empty result. Other columns are ignored.
 ``doc_id`` is an integer.
 """
 
@@ -208,14 +209,25 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
             flat, offsets = shingle_sets(batch.column("text"), size)
             keys = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
             low = lists(*low_shingles(flat, offsets, percent))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), low, pa.array(bitmaps(flat, offsets), pa.binary())], ["doc_id", "n", "key", "low", "map"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), low, pa.array(bitmaps(flat, offsets), pa.binary())], ["doc_id", "mark", "n", "key", "low", "map"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = Staged(texts.mapInArrow(sketch, "doc_id long, n long, key binary, low array<long>, map binary"), "shingles").df
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    held = Staged(texts.mapInArrow(sketch, "doc_id long, mark long, n long, key binary, low array<long>, map binary"), "shingles").df
     limit = int(LOW)
     common = context.broadcast(common_shingles(held.select(F.explode("low").alias("token")).where((F.col("token") >= 0) & (F.col("token") < limit))))
     real = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = Staged(real.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes").df
+    # One row for each id and set; ids of several sets are told apart, as their links cannot be summed by class.
+    pairs = Staged(real.groupBy("doc_id", "key").agg(F.min("mark").alias("mark"), F.max("n").alias("n")), "pairs").df
+    several = Staged(pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("doc_id"), "several")
+    several_ids = F.broadcast(several.df) if several.small else several.df
+    told = pairs.join(several_ids.withColumn("many", F.lit(True)), "doc_id", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    classes = told.groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.min_by("mark", "doc_id").alias("mark"), F.min_by("many", "doc_id").alias("many"), F.max("n").alias("n"),
+        F.count_if(~F.col("many")).alias("copies"), F.bit_xor(F.when(F.col("many"), F.xxhash64("doc_id"))).alias("crowd"),
+    )
+    # A node only makes groups: two classes at one node share a group, no more.
+    classes = Staged(classes.withColumn("node", F.when(F.col("many"), F.xxhash64("key")).otherwise(F.col("rep"))).drop("many"), "classes").df
+    named = Staged(pairs.join(several_ids, "doc_id").select("key", "doc_id"), "named").df
 
     # Candidates: sets that share a prefix shingle.
     def first_ones(batches):
@@ -223,12 +235,12 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
             low = batch.column("low")
             ends = low.offsets.to_numpy().astype(np.int64)
             first = prefixes(low.flatten().to_numpy().view(np.uint64), ends - ends[0], batch.column("n").to_numpy(), percent, common.value)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "rep", "n", "map")] + [lists(*first)], ["key", "rep", "n", "map", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "n", "map")] + [lists(*first)], ["node", "n", "map", "prefix"])
 
-    begun = real.select("key", F.col("doc_id").alias("rep"), "n", "map", "low").mapInArrow(first_ones, "key binary, rep long, n long, map binary, prefix array<long>")
-    begun = Staged(begun.join(classes.select("key", "rep"), ["key", "rep"]).select("rep", "n", "map", "prefix"), "prefixes")
+    begun = real.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "map", "low"))).join(classes.select("key", "node"), "key").select("node", "n", "map", "low")
+    begun = Staged(begun.mapInArrow(first_ones, "node long, n long, map binary, prefix array<long>"), "prefixes")
     reps = begun.df
-    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
+    tokens = reps.select("node", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen"), F.min("n").alias("least"), F.max("n").alias("most"))
     # Of two sets alone at a shingle the sizes already tell whether they can match.
     shared = shared.where((F.col("seen") > 2) | ((F.col("seen") == 2) & (100 * F.col("least") >= percent * F.col("most")))).select("token", "seen")
@@ -259,43 +271,50 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
         group, last = [], None
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            for token, rep, n, m in zip(*(batch.column(c).to_pylist() for c in ("token", "rep", "n", "map"))):
+            for token, node, n, m in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "n", "map"))):
                 if token != last:
                     edges += compare(group)
                     group, last = [], token
-                group.append((n, 8 * len(m), int.from_bytes(m, "little"), rep))
+                group.append((n, 8 * len(m), int.from_bytes(m, "little"), node))
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
         edges = compare(group)
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    light = places.where(F.col("seen") <= LIGHT).select("token", "rep").join(reps.select("rep", "n", "map"), "rep")
+    light = places.where(F.col("seen") <= LIGHT).select("token", "node").join(reps.select("node", "n", "map"), "node")
     light = light.repartition("token").sortWithinPartitions("token").mapInArrow(tie, "a long, b long")
     # At commoner shingles, sets whose sizes can match are chained: by size, and within a size to the smallest id.
     many = places.where(F.col("seen") > LIGHT)
-    hubs = many.groupBy("token", "n").agg(F.min("rep").alias("hub"))
+    hubs = many.groupBy("token", "n").agg(F.min("node").alias("hub"))
     by_size = Window.partitionBy("token").orderBy("n")
     steps = hubs.select("n", "hub", F.lag("hub").over(by_size).alias("before"), F.lag("n").over(by_size).alias("smaller")).where(100 * F.col("smaller") >= percent * F.col("n"))
-    chained = many.join(hubs, ["token", "n"]).select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(steps.select(F.col("hub").alias("a"), F.col("before").alias("b")))
+    chained = many.join(hubs, ["token", "n"]).select(F.col("node").alias("a"), F.col("hub").alias("b")).union(steps.select(F.col("hub").alias("a"), F.col("before").alias("b")))
     ties = light.union(chained)
     groups = connected_components(ties)
-    sized = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node")
+    sized = groups.join(classes, "node")
     members = sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = groups.join(members, "root").select(F.col("node").alias("id"), "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    wanted = Staged(placed.join(classes.select(F.col("rep").alias("id"), "copies"), "id"), "wanted")
+    placed = sized.join(members, "root").select(F.col("rep").alias("doc_id"), "mark", "key", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), "copies", "crowd")
+    wanted = Staged(placed, "wanted")
 
     # Their sets again, each sent to the products of its block with every other block of the group.
     def resets(batches):
+        sent = set()
         for batch in slices(batches):
             flat, offsets = shingle_sets(batch.column("text"), size)
-            sets = pa.array([flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "root", "blocks", "block", "copies")), sets], ["id", "root", "blocks", "block", "copies", "set"])
+            sets = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            fresh = []
+            for row, (key, data) in enumerate(zip(batch.column("key").to_pylist(), sets)):
+                if key not in sent and hashlib.blake2b(data, digest_size=16).digest() == key:
+                    sent.add(key)
+                    fresh.append(row)
+            some = batch.take(pa.array(fresh, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("id", "key", "root", "blocks", "block", "copies", "crowd")), pa.array([sets[r] for r in fresh], pa.binary())], ["id", "key", "root", "blocks", "block", "copies", "crowd", "set"])
 
     small = F.broadcast(wanted.df) if wanted.small else wanted.df
-    chosen = texts.withColumnRenamed("doc_id", "id").join(small, "id").select("id", "root", "blocks", "block", "copies", "text")
-    sets = chosen.mapInArrow(resets, "id long, root long, blocks int, block int, copies long, set binary")
+    chosen = texts.join(small, ["doc_id", "mark"]).select(F.col("doc_id").alias("id"), "key", "root", "blocks", "block", "copies", "crowd", "text")
+    sets = chosen.mapInArrow(resets, "id long, key binary, root long, blocks int, block int, copies long, crowd long, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.select("*", other.alias("other")).select("id", "copies", "set", "block", "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = sets.select("*", other.alias("other")).select("id", "key", "copies", "crowd", "set", "block", "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def product(batches):
         rows: list[tuple] = []
@@ -317,36 +336,53 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
             np.add.at(weight, i, copies[j])
             np.add.at(weight, j, copies[i])
             some = np.unique(np.concatenate([i, j]))
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(weight[some])], ["a", "b", "links"])
+            # Which sets are similar to one that ids of several sets have, once for each such crowd.
+            crowds: dict[int, int] = {}
+            crowd = np.array([-1 if r[6] is None else crowds.setdefault(r[6], len(crowds)) for r in rows], np.int64)
+            x, y = np.concatenate([i, j]), np.concatenate([j, i])
+            met = np.unique(x[crowd[y] >= 0] * len(rows) + crowd[y[crowd[y] >= 0]])
+            near, by = met // len(rows), list(crowds)
+            at = np.concatenate([some, near])
+            given = [pa.array([rows[r][5] for r in at], pa.binary()), pa.array(ids[at]), pa.array(ids[np.concatenate([label[some], near])])]
+            count = pa.array(np.concatenate([weight[some], np.zeros(len(near), np.int64)]))
+            return pa.RecordBatch.from_arrays([*given, count, pa.array([None] * len(some) + [by[c] for c in met % len(rows)], pa.int64())], ["key", "a", "b", "links", "crowd"])
 
         for batch in batches:
             for r in batch.to_pylist():
                 key = (r["root"], r["lo"], r["hi"])
+                if rows and key == last and r["key"] == rows[-1][5]:  # from another task
+                    continue
                 if rows and key != last and (len(rows) >= BLOCK // 2 or held_shingles >= BLOCK_SHINGLES):
                     yield flush()
                     rows, held_shingles = [], 0
-                rows.append((key, r["id"], r["copies"], r["block"], r["set"]))
+                rows.append((key, r["id"], r["copies"], r["block"], r["set"], r["key"], r["crowd"]))
                 held_shingles += len(r["set"]) // 8
                 last = key
         if rows:
             yield flush()
 
-    links = Staged(dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(product, "a long, b long, links long"), "links").df
+    links = Staged(dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "key").mapInArrow(product, "key binary, a long, b long, links long, crowd long"), "links").df
 
     for done in (begun, met, wanted):
         remove(docs.sparkSession, done.path)
 
-    # Components over class representatives; an id of several rows ties their classes.
-    again = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    tied = real.join(again, "doc_id").select("key", "doc_id").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Components over class representatives; an id of several sets ties their classes.
+    tied = named.join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = connected_components(links.select("a", "b").union(tied))
-    degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    known = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
-    known = known.select("key", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    degree = links.groupBy("key").agg(F.sum("links").alias("links"))
+    # The ids of several sets that each class has or is similar to, each once.
+    crowds = named.join(classes.select("key", "crowd"), "key").select("crowd", F.col("doc_id").alias("other")).distinct()
+    near = links.where(F.col("crowd").isNotNull()).select("key", "crowd").distinct().join(crowds, "crowd").select("key", "other")
+    near = Staged(near.union(named.select("key", F.col("doc_id").alias("other"))).distinct(), "near").df
+    known = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "key", "left").join(near.groupBy("key").agg(F.count(F.lit(1)).alias("others")), "key", "left")
+    known = known.select("key", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0)) + F.coalesce("others", F.lit(0))).alias("links"))
+    single = near.join(classes.select("key", "copies"), "key").groupBy(F.col("other").alias("doc_id")).agg(F.sum("copies").alias("single"))
+    other = named.join(near, "key").select("doc_id", "other").distinct().groupBy("doc_id").agg((F.count(F.lit(1)) - 1).alias("others"))
+    own = Staged(single.join(other, "doc_id").select("doc_id", (F.col("single") + F.col("others")).alias("own")), "own")
     # Each key is met once by a plain join, whose hot keys (many copies of one text) are split as they are found.
-    out = held.select("doc_id", "n", "key").join(known, "key", "left")
+    out = held.select("doc_id", "n", "key").join(known, "key", "left").join(F.broadcast(own.df) if own.small else own.df, "doc_id", "left")
     live = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(live, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"), F.when(live, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(live, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"), F.when(live, F.coalesce("own", "links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:

@@ -261,3 +261,42 @@ def test_pipeline_drops_copies_with_isolated_edits(spark, sf):
     assert ngram_join.keep_one(df).count() == 3
     stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
     assert sorted(r["doc_id"] for r in stage(spark, df, sf).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_repeated_ids_are_one_document(spark, monkeypatch, block):
+    """Rows that repeat an id, with one text or several, next to near copies: each other id is counted once."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(3)]
+    texts = []
+    for _ in range(24):
+        copy = list(rng.choice(base))
+        copy[rng.randrange(60)] = rng.choice(words)
+        texts.append(" ".join(copy))
+    rows = [(i, rng.choice(texts)) for i in range(10, 30)] + [(5, t) for t in texts[:8]] * 4 + [(40, texts[0])] * 30
+    rows += [(rng.randrange(50, 54), t) for t in texts] + [(60, "alone in this table"), (60, "alone in this table"), (5, ""), (None, texts[0])]
+    sets = defaultdict(set)
+    for i, t in rows:
+        if i is not None and t:
+            sets[i].add(frozenset(shingles(t)))
+    want, links = Sets(), defaultdict(int)
+    for a in sets:
+        want.find(a)
+        for b in sets:
+            if a != b and any(100 * len(x & y) >= 90 * len(x | y) for x in sets[a] for y in sets[b]):
+                want.join(a, b)
+                links[a] += 1
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got if r["n_shingles"] and r["doc_id"] is not None} == {(i, want.find(i), links[i]) for i in sets}
+
+
+def test_an_id_with_very_many_rows_counts_once(spark):
+    """Nearly all rows repeat one id and text beside a near copy."""
+    a = [f"w{i}" for i in range(80)]
+    b = " ".join(a[:-1] + ["x"])
+    rows = [(1, " ".join(a))] * 3000 + [(2, b)]
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).distinct().collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(1, 1, 1), (2, 1, 1)]
