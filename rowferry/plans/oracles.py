@@ -347,6 +347,7 @@ FROM orders""",
 SELECT o_orderstatus, count(*) FILTER (WHERE o_orderkey % 3 <> 1) AS decimals, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS longs FROM orders GROUP BY 1""",
     "chained_upsert": "SELECT * FROM orders WHERE o_orderkey % 2 = 0",
     "incremental_ltz": "SELECT event_id, 1700000000 + event_id AS seconds FROM events WHERE (event_id % 1000 < 400 AND event_id < 4000) OR event_id >= 4000",
+    "incremental_ltz_whole": "SELECT event_id, 1700000000 + event_id AS seconds FROM events",
     "inferred_schema": """
 SELECT * FROM (VALUES (1, '_id', 'int', false, true), (2, 'mixed', 'string', true, false), (3, 'sub.even', 'bool', true, false), (4, 'sub.rare', 'double', true, false)) AS t(ordinal, name, raw_type, nullable, is_primary)
 WHERE EXISTS (SELECT 1 FROM events)""",
