@@ -250,6 +250,65 @@ WITH live AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score FROM pairs QUALIFY rank <= 10"""
 
 
+def vector_codes() -> str:
+    parts, entries, rounds = 8, 16, 6
+    far = """
+  SELECT rid, p, e, d FROM (SELECT rid, p, e, sum((x - c) * (x - c)) AS d FROM xs JOIN book{k} USING (p, i) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY d, e) = 1"""
+    steps = "".join(
+        f""", near{k} AS MATERIALIZED ({far.format(k=k)}
+), book{k + 1} AS MATERIALIZED (
+  SELECT p, e, i, coalesce(u.c, b.c) AS c FROM book{k} b LEFT JOIN (
+    SELECT p, e, i, ((s - (((s % n) + n) % n)) // n)::BIGINT AS c FROM (SELECT p, e, i, sum(x) AS s, count(*) AS n FROM xs JOIN near{k} USING (rid, p) GROUP BY ALL)) u USING (p, e, i)
+)"""
+        for k in range(rounds)
+    )
+    return f"""
+WITH live AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), usual AS (SELECT len(v) AS w FROM live GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1
+), xs AS MATERIALIZED (
+  SELECT rid, (k // (w // {parts})) AS p, k % (w // {parts}) AS i, floor(4096 * v[k + 1])::BIGINT AS x FROM live JOIN usual ON len(v) = w, unnest(range(w)) AS u(k)
+), begun AS (
+  SELECT arg_min(rid, v) AS rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM live JOIN usual ON len(v) = w WHERE vec_id IS NOT NULL GROUP BY vec_id QUALIFY e < {entries}
+), book0 AS MATERIALIZED (SELECT p, e, i, x AS c FROM xs JOIN begun USING (rid)
+){steps}, found AS ({far.format(k=rounds)}
+), coded AS (
+  SELECT rid, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM found GROUP BY rid
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN live USING (rid)"""
+
+
+def filter_audit() -> str:
+    return """
+WITH RECURSIVE filters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), masked AS (
+  SELECT t.*, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM texts t LEFT JOIN marks ON marks.doc_id = t.doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masked GROUP BY ALL
+), walk(prefix, letter, bit, before, step) AS (
+  SELECT '', '', 0, 0, 0 UNION ALL SELECT prefix || f.letter, f.letter, f.bit, before | w.bit, step + 1 FROM walk w JOIN filters f ON (before | w.bit) & f.bit = 0
+), metrics AS (
+  SELECT part, prefix, letter, step, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM walk CROSS JOIN cells WHERE step > 0 GROUP BY ALL
+)
+SELECT part, o.prefix AS filter_order, m.step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM (SELECT prefix FROM walk WHERE step = 5) o JOIN metrics m ON m.prefix = left(o.prefix, m.step)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules(),
@@ -258,4 +317,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": url_filter(),
         "op8_ngram_join": ngram_components(),
         "op9_nearest_neighbours": nearest_neighbours(),
+        "op12_vector_codes": vector_codes(),
+        "op13_filter_audit": filter_audit(),
     }
