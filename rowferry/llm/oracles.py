@@ -250,6 +250,27 @@ WITH live AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score FROM pairs QUALIFY rank <= 10"""
 
 
+def repeat_removal() -> str:
+    return """
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), dup AS (
+  SELECT rid, i FROM (SELECT rid, i, md5(b[i + 1:i + 400]) AS h FROM texts, range(octet_length(b) - 399) AS r(i)) QUALIFY count(*) OVER (PARTITION BY h) > 1
+), marked AS (
+  SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM dup
+), spans AS (
+  SELECT rid, min(i) AS a, max(i) + 400 AS z FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS span FROM marked) GROUP BY rid, span
+), gaps AS (
+  SELECT rid, z AS a, coalesce(lead(a) OVER (PARTITION BY rid ORDER BY a), 1 << 40) AS z FROM (SELECT rid, a, z FROM spans UNION ALL SELECT rid, -1, 0 FROM texts)
+), kept AS (
+  SELECT rid, string_agg(hex(b[a + 1:z]), '' ORDER BY a) AS h FROM gaps JOIN texts USING (rid) WHERE z > a GROUP BY rid
+), found AS (
+  SELECT rid, sum(z - a) AS n, count(*) AS spans FROM spans GROUP BY rid
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(f.n, 0)::BIGINT AS n_removed, coalesce(f.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM texts LEFT JOIN found f USING (rid) LEFT JOIN kept USING (rid)"""
+
+
 def vector_codes() -> str:
     parts, entries, rounds = 8, 16, 6
     far = """
@@ -317,6 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": url_filter(),
         "op8_ngram_join": ngram_components(),
         "op9_nearest_neighbours": nearest_neighbours(),
+        "op11_suffix_dedup": repeat_removal(),
         "op12_vector_codes": vector_codes(),
         "op13_filter_audit": filter_audit(),
     }
