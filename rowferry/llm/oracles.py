@@ -261,7 +261,7 @@ WITH texts AS MATERIALIZED (
 ), spans AS (
   SELECT rid, min(i) AS a, max(i) + 400 AS z FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS span FROM marked) GROUP BY rid, span
 ), gaps AS (
-  SELECT rid, z AS a, coalesce(lead(a) OVER (PARTITION BY rid ORDER BY a), 1 << 40) AS z FROM (SELECT rid, a, z FROM spans UNION ALL SELECT rid, -1, 0 FROM texts)
+  SELECT rid, z AS a, coalesce(lead(a) OVER (PARTITION BY rid ORDER BY a), 1099511627776) AS z FROM (SELECT rid, a, z FROM spans UNION ALL SELECT rid, -1, 0 FROM texts)
 ), kept AS (
   SELECT rid, string_agg(hex(b[a + 1:z]), '' ORDER BY a) AS h FROM gaps JOIN texts USING (rid) WHERE z > a GROUP BY rid
 ), found AS (
