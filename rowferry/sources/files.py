@@ -7,46 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowferry.operators.mapping import column
-from rowferry.session import size_of
+from rowferry.sources.records import read_records
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# CSV folders above this size are checked for records that span lines.
-SPLIT_BYTES = 256 * 1024 * 1024
-
-
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether any record holds a newline: its first line then has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
-def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header row; every column is text and an empty cell stays an empty text.
 
     Quotes double inside quotes and may hold newlines; a ragged record fails the
-    read. Column pruning is off so that a ragged record also fails a query that
-    needs few columns. Records that span lines keep a file in one task; large
-    inputs are therefore checked (one split text scan) and split when none does.
-    ``multi_line`` settles the matter by hand.
+    read, also of a query that needs few columns. Files are read in splits of any
+    size, whether or not a record spans lines: see ``records``.
     """
-    if multi_line is None:
-        multi_line = size_of(spark, path) <= SPLIT_BYTES or spans_lines(spark, path)
-    df = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("mode", "FAILFAST")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("enforceSchema", False)
-        .option("columnPruning", False)
-        .csv(path)
-    )
-    return df.na.fill("") if df.columns else df
+    header = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    return read_records(spark, path, header.columns) if header.columns else header
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] = (), mode: str = "append") -> str:
