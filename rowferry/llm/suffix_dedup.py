@@ -45,10 +45,10 @@ ANCHOR = 80
 # Contexts at one anchor that are compared within a task.
 HOT = 4096
 # Contexts whose columns are inserted together, about; and starts of one piece at a hot anchor.
-BATCH = 8192
+BATCH = 4096
 STARTS = 32
 # Windows worked on at once, and bytes of contexts in one batch of rows.
-SLICE = 1 << 20
+SLICE = 1 << 19
 OUT_BYTES = 8 << 20
 
 _MASK = (1 << 64) - 1
@@ -190,8 +190,8 @@ def repeated_starts(group: np.ndarray, first: np.ndarray, size: np.ndarray, data
     columns = int((first + size).max()) - low
     begin = np.cumsum(size) - size
     inside = np.arange(int(size.sum())) - np.repeat(begin, size)
-    table = np.zeros((columns, m), np.int32)  # 0: no symbol
-    table[inside + np.repeat(first - low, size), np.repeat(np.arange(m), size)] = data.astype(np.int32) + 1
+    table = np.zeros((columns, m), np.int16)  # 0: no symbol
+    table[inside + np.repeat(first - low, size), np.repeat(np.arange(m), size)] = data.astype(np.int16) + 1
     # Group and symbol as one number; a context without a symbol at a column sorts first and has nothing in common.
     base = (np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) * 257).astype(np.int32)
     order, common = np.arange(m), np.zeros(m + 1, np.int32)
@@ -398,7 +398,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     classes = Staged(classes.select("same", "copies", F.coalesce("rep", F.lit(-1)).alias("rep"), F.col("rep").isNull().alias("nameless"), "runs", "spans"), "classes")
     tokens = classes.df.select("same", "rep", "nameless", F.explode("runs").alias("run")).select("same", "rep", "nameless", "run.*")
     often = Staged(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"), "anchors")
-    met = tokens.join(often.df, "key")
+    met = tokens.join(F.broadcast(often.df) if often.small else often.df, "key")
     spare = [held, classes, often]
     wanted = Staged(_run_lists(met.where(F.col("seen") <= HOT), ("rep", "nameless")), "runs")
     contexts = _with_texts(texts, wanted).mapInArrow(_contexts, "key long, first int, lo int, same binary, data binary")
