@@ -1,89 +1,206 @@
-"""Offset pages, previews and newest-first listings."""
+"""Offset pages over any order, previews and newest-first listings.
+
+A page deep in a table, or one that takes all that follows, is found by order statistics: sampled keys cut the table into
+ranges, exact counts say which range holds a position, and that range is cut again until the row at the position is
+known. The page is then what lies between two such rows, a filter; nothing is numbered in one task.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowferry.operators.mapping import column
 
-# Preview page sizes.
+# Fixed value: rows of a preview page where none are asked for.
 PAGE_SIZE = 50
-MAX_PAGE_SIZE = 200
 
-# Pages that end beyond this row are located by key range first.
-DEEP_PAGE = 1_000_000
-_CUTS = 1_000
+# A page that ends within so many rows is a top-n, where every task keeps that many rows at most.
+FRONT = 10_000
+# Keys that cut a range, and rows of equal content made by one task.
+_CUTS = 31
+_COPIES = 1_000_000
 
 
 def clamp_page(page: int) -> int:
     return max(1, page)
 
 
-def clamp_page_size(size: int) -> int:
-    return PAGE_SIZE if size <= 0 else min(size, MAX_PAGE_SIZE)
+def clamp_page_size(size: int, largest: int | None = None) -> int:
+    """Rows on a page, 50 where none are asked for; more than ``largest`` is an error, never quietly fewer."""
+    if largest is not None and size > largest:
+        raise ValueError(f"a page of {size} rows was asked for; the largest is {largest}")
+    return PAGE_SIZE if size <= 0 else size
+
+
+class TotalOrder:
+    """An order of all rows: some columns first, then every other one, so that only equal rows tie. Nulls sort first."""
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str]):
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        for c in order_by:
+            if c not in kinds:
+                raise ValueError(f"no column {c} to order by; the columns are {df.columns}")
+        names = [*order_by, *sorted(c for c in df.columns if c not in order_by)]
+        # Nested values are ordered by a hash of them: which order does not matter, only that there is one.
+        nested = (T.StructType, T.ArrayType, T.MapType)
+        self.columns = [self._hash(c, kinds[c]) if isinstance(kinds[c], nested) else column(c) for c in names]
+        self.kinds = [T.LongType() if isinstance(kinds[c], nested) else kinds[c] for c in names]
+        self.key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(self.columns)])
+
+    @staticmethod
+    def _hash(name: str, kind: T.DataType) -> Column:
+        return F.xxhash64(F.to_json(F.struct(column(name))) if "map<" in kind.simpleString() else column(name))
+
+    def collected(self, df: DataFrame) -> list[tuple]:
+        """Keys of a few rows in a form that literals can be made of without loss."""
+        plain = []
+        for i, (c, kind) in enumerate(zip(self.columns, self.kinds)):
+            if isinstance(kind, T.TimestampType):
+                c = F.unix_micros(c)
+            elif isinstance(kind, (T.TimestampNTZType, T.DateType, T.DecimalType)):
+                c = c.cast("string")
+            plain.append(c.alias(f"k{i}"))
+        return [tuple(r) for r in df.select(*plain).collect()]
+
+    def literal(self, key: tuple) -> Column:
+        def one(value, kind):
+            if isinstance(kind, T.TimestampType) and value is not None:
+                return F.timestamp_micros(F.lit(value))
+            return F.lit(value).cast(kind)
+
+        return F.struct(*[one(v, k).alias(f"k{i}") for i, (v, k) in enumerate(zip(key, self.kinds))])
+
+    def between(self, low: tuple | None, high: tuple | None) -> Column:
+        """Rows after one key and before another; the first column's bounds are told apart, as a scan can use them."""
+        out = F.lit(True)
+        first = self.columns[0]
+        bounded = not isinstance(self.kinds[0], (T.FloatType, T.DoubleType))  # a scan orders NaN in its own way
+        if low is not None:
+            out = out & (self.key > self.literal(low))
+            if low[0] is not None and bounded:
+                out = out & (first >= self.literal(low)["k0"])
+        if high is not None:
+            out = out & (self.key < self.literal(high))
+            if bounded:
+                out = out & (first.isNull() if high[0] is None else first.isNull() | (first <= self.literal(high)["k0"]))
+        return out
+
+    def sort(self, df: DataFrame) -> DataFrame:
+        return df.orderBy(*self.columns)
 
 
-def page(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int = 0) -> DataFrame:
-    """Rows ``offset .. offset+limit`` of the table in key order; limit 0 means all that follow.
+@dataclass(frozen=True)
+class Place:
+    """The row at a position: its key, and how many rows equal to it come before it."""
+
+    key: tuple
+    skip: int
 
-    ``order_by`` must name a unique key, else a page has no fixed content. A
-    page near the front is a top-n, where every task keeps ``offset + limit``
-    rows at most; a deep page is found through key ranges instead.
+
+def locate(df: DataFrame, order: TotalOrder, position: int, cuts: int = _CUTS) -> Place | None:
+    """The row at a position (from 0) of the ordered table; None past its end.
+
+    Each round reads the range left over: once for a few sampled keys, once to count the rows between them. A key that
+    many rows share is among the samples, and its rows are a range of their own.
     """
-    order = [column(c) for c in order_by]
-    if limit and offset + limit > DEEP_PAGE:
-        return deep_page(df, order_by, offset, limit)
-    out = df.orderBy(*order)
-    if offset:
-        out = out.offset(offset)
-    return out.limit(limit) if limit else out
-
-
-def deep_page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int, cuts: int = _CUTS) -> DataFrame:
-    """The same page, reading and sorting only the key ranges it falls into.
-
-    Approximate quantiles of the first order column cut the table into ranges
-    (any cuts will do, text columns offer none); exact counts per range, at most ``cuts + 1`` rows, then
-    say which ranges hold the page and how many rows lie before them. Nulls
-    sort first, as in ``orderBy``. When one value fills a whole range the
-    remaining order columns are paged the same way inside it.
+    low = high = None
+    part = df
+    while True:
+        picked = part.select(*[c.alias(f"k{i}") for i, c in enumerate(order.columns)]).orderBy(F.rand(17)).limit(cuts)
+        named = _named(order)
+        keys = named.collected(picked.distinct().orderBy(*picked.columns))
+        if not keys:
+            return None
+        rank = _rank(order, keys)
+        counts = {r["rank"]: r["n"] for r in part.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        before = 0
+        for at in sorted(counts):
+            if before + counts[at] > position:
+                break
+            before += counts[at]
+        else:
+            return None
+        position -= before
+        if at % 2:
+            return Place(keys[at // 2], position)
+        low = keys[at // 2 - 1] if at else low
+        high = keys[at // 2] if at // 2 < len(keys) else high
+        part = df.where(order.between(low, high))
+        if position < FRONT and counts[at] <= 10 * FRONT:
+            key = named.collected(order.sort(part).select(*[c.alias(f"k{i}") for i, c in enumerate(order.columns)]).offset(position).limit(1))[0]
+            return Place(key, position - part.where(order.key < order.literal(key)).count())
+
+
+def _named(order: TotalOrder) -> TotalOrder:
+    """The same order over rows that hold the key's columns ``k0..`` only."""
+    out = object.__new__(TotalOrder)
+    out.kinds = order.kinds
+    out.columns = [F.col(f"k{i}") for i in range(len(order.kinds))]
+    out.key = F.struct(*out.columns)
+    return out
+
+
+def _rank(order: TotalOrder, keys: list[tuple]) -> Column:
+    """Where a row lies among sorted keys: odd at a key, even between two. A tree of comparisons, as deep as log2 of the keys."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(2 * lo)
+        mid = (lo + hi) // 2
+        cut = order.literal(keys[mid])
+        return F.when(order.key < cut, tree(lo, mid)).when(order.key == cut, F.lit(2 * mid + 1)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(keys))
+
+
+def _copies(df: DataFrame, order: TotalOrder, key: tuple, n: int) -> DataFrame:
+    """``n`` of the equal rows that have a key, made anew by as many tasks as they ask for."""
+    one = df.where(order.key == order.literal(key)).limit(1)
+    if n <= 1:
+        return one.limit(n)
+    blocks = one.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _COPIES))))
+    if n > _COPIES:
+        blocks = blocks.repartition(F.col("_block"))
+    last = F.least(F.lit(_COPIES), F.lit(n) - F.col("_block") * _COPIES)
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), last.cast("long")))).drop("_block", "_copy")
+
+
+def page(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int = 0) -> DataFrame:
+    """Rows ``offset .. offset+limit`` of the table in key order; limit 0 means all that follow, in many partitions.
+
+    Rows that tie in ``order_by`` are ordered by their other columns, so a page's content is fixed. Nulls sort first.
     """
-    first = column(order_by[0])
-    order = [column(c) for c in order_by]
-    kind = df.schema[order_by[0]].dataType
-    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return df.orderBy(*order).offset(offset).limit(limit)
-    marks = df.agg(F.percentile_approx(first, [i / cuts for i in range(1, cuts)], 10 * cuts).alias("q")).first()["q"]
-    marks = sorted(set(marks or []))
-    if not marks:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    at = F.array(*[F.lit(str(m)).cast(kind) for m in marks])
-    # Odd ranges hold one cut value alone, even ranges what lies between two cuts.
-    below = F.size(F.filter(at, lambda m: m < first))
-    bucket = F.when(first.isNull(), -1).otherwise(below * 2 + F.array_contains(at, first).cast("int"))
-    sizes = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()
-    before, wanted, skipped = 0, [], 0
-    for row in sizes:
-        if before + row["n"] <= offset:
-            skipped = before + row["n"]
-        elif before < offset + limit:
-            wanted.append(row["b"])
-        before += row["n"]
-    if not wanted:
+    if limit and offset + limit <= FRONT:
+        out = TotalOrder(df, order_by).sort(df)
+        return (out.offset(offset) if offset else out).limit(limit)
+    return deep_page(df, order_by, offset, limit)
+
+
+def deep_page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int = 0, cuts: int = _CUTS) -> DataFrame:
+    """The same page by the rows at its two ends; only what lies between them is sorted."""
+    order = TotalOrder(df, order_by)
+    begin = locate(df, order, offset, cuts) if offset else None
+    if offset and begin is None:
         return df.limit(0)
-    part = df.where(bucket.isin(wanted))
-    one_value = len(wanted) == 1 and (wanted[0] == -1 or wanted[0] % 2 == 1)
-    if one_value and len(order_by) > 1 and offset - skipped + limit > DEEP_PAGE:
-        return deep_page(part, list(order_by[1:]), offset - skipped, limit, cuts)
-    return part.orderBy(*order).offset(offset - skipped).limit(limit)
+    end = locate(df, order, offset + limit, cuts) if limit else None
+    if begin and end and begin.key == end.key:
+        return _copies(df, order, begin.key, end.skip - begin.skip)
+    inner = order.between(begin.key if begin else None, end.key if end else None)
+    out = df.where(inner)
+    if begin:
+        same = df.where(order.key == order.literal(begin.key))
+        out = out.union(_copies(df, order, begin.key, same.count() - begin.skip) if begin.skip else same)
+    if end and end.skip:
+        out = out.union(_copies(df, order, end.key, end.skip))
+    return order.sort(out)
 
 
 @dataclass(frozen=True)
 class PreviewPage:
-    """One page of a query: ``rows`` holds at most 200 rows, ``total`` counts the whole result."""
+    """One page of a query: ``rows`` are the page's, ``total`` counts the whole result."""
 
     columns: list[str]
     rows: DataFrame
@@ -92,14 +209,25 @@ class PreviewPage:
     page_size: int
 
 
-def preview(df: DataFrame, page_no: int = 1, page_size: int = 0, order_by: Sequence[str] = ()) -> PreviewPage:
-    """A preview page; without ``order_by`` the query's own order decides."""
-    number, size = clamp_page(page_no), clamp_page_size(page_size)
+def preview(df: DataFrame, page_no: int = 1, page_size: int = 0, order_by: Sequence[str] = (), largest: int | None = None) -> PreviewPage:
+    """A preview page of exactly the size asked for (50 without one); more than ``largest`` rows is an error.
+
+    Without ``order_by`` the query's own order decides, and where it has none all its columns do, so that pages never
+    overlap.
+    """
+    number, size = clamp_page(page_no), clamp_page_size(page_size, largest)
     skip = (number - 1) * size
-    rows = page(df, order_by, skip, size) if order_by else df.offset(skip).limit(size)
+    if order_by or not _is_sorted(df):
+        rows = page(df, order_by, skip, size)
+    else:
+        rows = df.offset(skip).limit(size)
     return PreviewPage(df.columns, rows, df.count(), number, size)
 
 
+def _is_sorted(df: DataFrame) -> bool:
+    return not df._jdf.queryExecution().optimizedPlan().outputOrdering().isEmpty()
+
+
 def newest(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """The ``n`` rows with the highest id, newest first."""
     return df.orderBy(column(id_col).desc()).limit(n)

@@ -291,11 +291,17 @@ SELECT c_custkey, c_name, count(*) AS orders FROM customer JOIN orders ON o_cust
 WHERE o_totalprice > 100000 GROUP BY ALL""",
     "preview_page": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_quantity < 20
-ORDER BY 1, 2, 3, 4 LIMIT 200 OFFSET 400""",
+ORDER BY 1, 2, 3, 4 LIMIT 500 OFFSET 1000""",
     "page_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 250 OFFSET 100",
     "page_deep": """
 SELECT l_returnflag, l_linenumber, l_orderkey, l_partkey, l_suppkey FROM lineitem
 ORDER BY l_linenumber, l_orderkey, l_partkey, l_suppkey LIMIT 300 OFFSET 4000""",
+    "page_text_rest": """
+SELECT lang, source, doc_id FROM (SELECT nullif(lang, 'en') AS lang, source, text, doc_id FROM documents)
+ORDER BY lang NULLS FIRST, source NULLS FIRST, text NULLS FIRST, doc_id OFFSET (SELECT count(*) // 3 FROM documents)""",
+    "page_ties": """
+SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem
+ORDER BY l_linestatus, l_returnflag, l_linenumber LIMIT (SELECT count(*) // 2 FROM lineitem) OFFSET 5000""",
     "apply_changes_strict": fold_sql(PLAIN_FEED),
     "apply_changes_upsert": fold_sql(PLAIN_FEED, True, True),
     "apply_changes_hot": fold_sql(PLAIN_FEED),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -22,9 +22,10 @@ def eligible(spec: JobSpec) -> bool:
     return spec.kind == "sql_import" and spec.target.kind.lower() in ("csv", "excel", "")
 
 
-def preview_job(spark: SparkSession, spec: JobSpec, runtime: Mapping[str, str] | None = None, page: int = 1, page_size: int = 0) -> PreviewPage:
+def preview_job(spark: SparkSession, spec: JobSpec, runtime: Mapping[str, str] | None = None, page: int = 1, page_size: int = 0, order_by: Sequence[str] = (), largest: int | None = None) -> PreviewPage:
+    """A page of the job's query: in the order named, else in the query's own, else in that of all its columns."""
     _require(spec)
-    return preview(query_rows(spark, spec, runtime), page, page_size)
+    return preview(query_rows(spark, spec, runtime), page, page_size, order_by, largest)
 
 
 def export_job(spark: SparkSession, spec: JobSpec, runtime: Mapping[str, str] | None = None, fmt: str = "csv", now: datetime | None = None) -> str:

@@ -439,6 +439,18 @@ def preview_page(spark, d):
     return paging.preview(rows, 3, 500, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).rows
 
 
+def page_text_rest(spark, d):
+    """All that follow a deep position, ordered by nulls, ties and texts."""
+    rows = table(spark, d, "documents").select(F.expr("nullif(lang, 'en')").alias("lang"), "source", "text", "doc_id")
+    return paging.page(rows, ["lang", "source", "text"], table(spark, d, "documents").count() // 3).select("lang", "source", "doc_id")
+
+
+def page_ties(spark, d):
+    """A page in the middle of rows of which many are equal in all columns."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    return paging.deep_page(rows, ["l_linestatus", "l_returnflag"], 5000, rows.count() // 2)
+
+
 def page_offset(spark, d):
     return paging.page(table(spark, d, "orders"), ["o_orderkey"], 100, 250).select("o_orderkey", "o_totalprice")
 
@@ -749,7 +761,7 @@ QUERIES = [
     insert_skip, upsert, upsert_last_wins, upsert_job, append_job, replace_docs, duplicate_keys, csv_round_trip,
     type_map, catalog_primary_keys, auto_map, create_table_ddl, schema_diff, alter_ddl, structure_job,
     quality_counts, quality_sample, quality_random_sample, quality_status, full_compare, compare_tables, differing_keys, tolerant_match,
-    param_query, export_query, sql_import, preview_page, page_offset, page_deep,
+    param_query, export_query, sql_import, preview_page, page_offset, page_deep, page_text_rest, page_ties,
     apply_changes_strict, apply_changes_upsert, apply_changes_hot, apply_key_moves, apply_unchanged_values, apply_keyless,
     mapped_feed, feed_rejects, stream_replicate,
     flatten_documents, document_filter, document_round_trip,

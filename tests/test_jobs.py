@@ -143,7 +143,11 @@ def test_preview_pages(spark, out):
     assert (page.columns, page.total, page.page, page.page_size) == (["part", "brand", "size"], 3, 3, 1)
     assert [tuple(r) for r in page.rows.collect()] == [(0, "Brand0", 0)]
     empty = preview_job(spark, sql_spec(out), {"brand": "none"}, 0, 999)
-    assert (empty.total, empty.rows.count(), empty.page, empty.page_size) == (0, 0, 1, 200)
+    assert (empty.total, empty.rows.count(), empty.page, empty.page_size) == (0, 0, 1, 999)
+    with pytest.raises(ValueError, match="largest"):
+        preview_job(spark, sql_spec(out), {"brand": "none"}, 1, 999, largest=200)
+    named = preview_job(spark, sql_spec(out), {"brand": "Brand0"}, 1, 2, order_by=["part"])
+    assert [r["part"] for r in named.rows.collect()] == [0, 2]
 
 
 def test_export_and_import(spark, out):

@@ -3,7 +3,6 @@ import zipfile
 import pytest
 
 from rowferry.model import Endpoint
-from rowferry.operators import paging
 from rowferry.operators.shards import KeyRange
 from rowferry.sources import documents, files, jdbc, workbooks
 
@@ -142,16 +141,3 @@ def test_merge_of_keys_alone_updates_nothing():
 def test_shard_predicates():
     assert KeyRange(0, 9, 2).predicates("k") == ["(`k` < 5 OR `k` IS NULL)", "`k` >= 5"]
     assert KeyRange(0, 0, 1).predicates("k") == ["true"]
-
-
-@pytest.mark.parametrize("offset", [0, 3, 250, 499, 998, 2000])
-def test_deep_pages_equal_plain_pages(spark, offset):
-    df = spark.range(1000).selectExpr("IF(id % 11 = 0, NULL, IF(id % 3 = 0, 7, id % 50)) AS a", "id")
-    want = df.orderBy("a", "id").offset(offset).limit(40).collect()
-    assert paging.deep_page(df, ["a", "id"], offset, 40, cuts=20).collect() == want
-
-
-def test_page_rules(spark):
-    assert [paging.clamp_page(p) for p in (-1, 0, 1, 12)] == [1, 1, 1, 12]
-    assert [paging.clamp_page_size(s) for s in (-9, 0, 7, 200, 201)] == [50, 50, 7, 200, 200]
-    assert paging.page(spark.range(5), ["id"], 2, 0).count() == 3
