@@ -35,8 +35,19 @@ def clamp_page_size(size: int, largest: int | None = None) -> int:
     return PAGE_SIZE if size <= 0 else size
 
 
+@dataclass(frozen=True)
+class Bound:
+    """One end of a range of keys, with or without the key itself."""
+
+    key: tuple
+    closed: bool = False
+
+
 class TotalOrder:
-    """An order of all rows: some columns first, then every other one, so that only equal rows tie. Nulls sort first."""
+    """An order of all rows: some columns first, then every other one, so that only equal rows tie. Nulls sort first.
+
+    Conditions are written as SQL text: a tree of comparisons is then one call to the engine, not thousands.
+    """
 
     def __init__(self, df: DataFrame, order_by: Sequence[str]):
         kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -46,50 +57,80 @@ class TotalOrder:
         names = [*order_by, *sorted(c for c in df.columns if c not in order_by)]
         # Nested values are ordered by a hash of them: which order does not matter, only that there is one.
         nested = (T.StructType, T.ArrayType, T.MapType)
-        self.columns = [self._hash(c, kinds[c]) if isinstance(kinds[c], nested) else column(c) for c in names]
+        self.columns = [self._hash(c, kinds[c]) if isinstance(kinds[c], nested) else _quoted(c) for c in names]
         self.kinds = [T.LongType() if isinstance(kinds[c], nested) else kinds[c] for c in names]
-        self.key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(self.columns)])
 
     @staticmethod
-    def _hash(name: str, kind: T.DataType) -> Column:
-        return F.xxhash64(F.to_json(F.struct(column(name))) if "map<" in kind.simpleString() else column(name))
+    def _hash(name: str, kind: T.DataType) -> str:
+        return f"xxhash64(to_json(struct({_quoted(name)})))" if "map<" in kind.simpleString() else f"xxhash64({_quoted(name)})"
+
+    def of_columns(self, names: Sequence[str]) -> TotalOrder:
+        """The same order over rows that hold the key's columns only."""
+        out = object.__new__(TotalOrder)
+        out.columns, out.kinds = [_quoted(n) for n in names], self.kinds
+        return out
+
+    def key_columns(self) -> list[Column]:
+        return [F.expr(c).alias(f"k{i}") for i, c in enumerate(self.columns)]
 
     def collected(self, df: DataFrame) -> list[tuple]:
         """Keys of a few rows in a form that literals can be made of without loss."""
         plain = []
         for i, (c, kind) in enumerate(zip(self.columns, self.kinds)):
-            if isinstance(kind, T.TimestampType):
-                c = F.unix_micros(c)
-            elif isinstance(kind, (T.TimestampNTZType, T.DateType, T.DecimalType)):
-                c = c.cast("string")
-            plain.append(c.alias(f"k{i}"))
+            text = f"unix_micros({c})" if isinstance(kind, T.TimestampType) else c if isinstance(kind, T.BinaryType) else f"cast({c} as string)"
+            plain.append(F.expr(text).alias(f"k{i}"))
         return [tuple(r) for r in df.select(*plain).collect()]
 
-    def literal(self, key: tuple) -> Column:
-        def one(value, kind):
-            if isinstance(kind, T.TimestampType) and value is not None:
-                return F.timestamp_micros(F.lit(value))
-            return F.lit(value).cast(kind)
+    def _literals(self, key: tuple) -> list[str | None]:
+        out: list[str | None] = []
+        for value, kind in zip(key, self.kinds):
+            if value is None:
+                out.append(None)
+            elif isinstance(kind, T.TimestampType):
+                out.append(f"timestamp_micros({value})")
+            elif isinstance(kind, T.BinaryType):
+                out.append(f"X'{bytes(value).hex()}'")
+            else:
+                out.append(f"cast(decode(X'{value.encode().hex()}', 'UTF-8') as {kind.simpleString()})")
+        return out
+
+    def equal_text(self, key: tuple) -> str:
+        return " AND ".join(f"{c} IS NULL" if v is None else f"{c} <=> {v}" for c, v in zip(self.columns, self._literals(key)))
 
-        return F.struct(*[one(v, k).alias(f"k{i}") for i, (v, k) in enumerate(zip(key, self.kinds))])
+    def before_text(self, key: tuple, last: bool = False) -> str:
+        """Rows before a key, or up to it: column by column, so that most rows are told by the first."""
+        out = str(last).lower()
+        for c, v in reversed(list(zip(self.columns, self._literals(key)))):
+            # Only a null is not behind a null.
+            out = f"({c} IS NULL AND {out})" if v is None else f"CASE WHEN {c} IS NULL OR {c} < {v} THEN true WHEN {c} = {v} THEN {out} ELSE false END"
+        return out
+
+    def equal(self, key: tuple) -> Column:
+        return F.expr(self.equal_text(key))
 
-    def between(self, low: tuple | None, high: tuple | None) -> Column:
-        """Rows after one key and before another; the first column's bounds are told apart, as a scan can use them."""
-        out = F.lit(True)
-        first = self.columns[0]
+    def before(self, key: tuple) -> Column:
+        return F.expr(self.before_text(key))
+
+    def within(self, low: Bound | None, high: Bound | None) -> Column:
+        """Rows between two keys; bounds of the first column are told apart, as a scan can use them."""
+        out, first = ["true"], self.columns[0]
         bounded = not isinstance(self.kinds[0], (T.FloatType, T.DoubleType))  # a scan orders NaN in its own way
         if low is not None:
-            out = out & (self.key > self.literal(low))
-            if low[0] is not None and bounded:
-                out = out & (first >= self.literal(low)["k0"])
+            out.append(f"NOT {self.before_text(low.key, last=not low.closed)}")
+            if low.key[0] is not None and bounded:
+                out.append(f"{first} >= {self._literals(low.key)[0]}")
         if high is not None:
-            out = out & (self.key < self.literal(high))
+            out.append(self.before_text(high.key, last=high.closed))
             if bounded:
-                out = out & (first.isNull() if high[0] is None else first.isNull() | (first <= self.literal(high)["k0"]))
-        return out
+                out.append(f"{first} IS NULL" if high.key[0] is None else f"({first} IS NULL OR {first} <= {self._literals(high.key)[0]})")
+        return F.expr(" AND ".join(out))
 
     def sort(self, df: DataFrame) -> DataFrame:
-        return df.orderBy(*self.columns)
+        return df.orderBy(*[F.expr(c) for c in self.columns])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 @dataclass(frozen=True)
@@ -100,65 +141,72 @@ class Place:
     skip: int
 
 
+class Ranges:
+    """Sampled keys of some rows, and how many rows lie at and between them: odd ranges are at a key, even ones between two.
+
+    A key that many rows share is most likely among the samples, and its rows are a range of their own.
+    """
+
+    def __init__(self, part: DataFrame, order: TotalOrder, cuts: int, low: Bound | None, high: Bound | None):
+        names = [f"k{i}" for i in range(len(order.kinds))]
+        picked = part.select(*order.key_columns()).orderBy(F.rand(17)).limit(cuts).distinct().orderBy(*names)
+        self.keys = order.of_columns(names).collected(picked)
+        self.low, self.high = low, high
+
+        def tree(lo: int, hi: int) -> str:
+            """As many comparisons as log2 of the keys."""
+            if lo == hi:
+                return str(2 * lo)
+            mid = (lo + hi) // 2
+            key = self.keys[mid]
+            return f"CASE WHEN {order.before_text(key)} THEN {tree(lo, mid)} WHEN {order.equal_text(key)} THEN {2 * mid + 1} ELSE {tree(mid + 1, hi)} END"
+
+        counts = part.groupBy(F.expr(tree(0, len(self.keys))).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect() if self.keys else []
+        self.counts = sorted((r["at"], r["n"]) for r in counts)
+
+    def cover(self, position: int, n: int = 1) -> tuple[int, int, int, int] | None:
+        """The first and last range that hold some positions, how many rows these ranges have, and how many lie before them."""
+        before, found = 0, []
+        for at, rows in self.counts:
+            if before + rows > position and before < position + n:
+                found.append((at, rows, before))
+            before += rows
+        return (found[0][0], found[-1][0], sum(f[1] for f in found), found[0][2]) if found else None
+
+    def bounds(self, first: int, last: int) -> tuple[Bound | None, Bound | None]:
+        low = Bound(self.keys[first // 2], True) if first % 2 else Bound(self.keys[first // 2 - 1]) if first else self.low
+        high = Bound(self.keys[last // 2], True) if last % 2 else Bound(self.keys[last // 2]) if last // 2 < len(self.keys) else self.high
+        return low, high
+
+
 def locate(df: DataFrame, order: TotalOrder, position: int, cuts: int = _CUTS) -> Place | None:
     """The row at a position (from 0) of the ordered table; None past its end.
 
-    Each round reads the range left over: once for a few sampled keys, once to count the rows between them. A key that
-    many rows share is among the samples, and its rows are a range of their own.
+    Each round reads the range left over: once for a few sampled keys, once to count the rows between them.
     """
     low = high = None
     part = df
     while True:
-        picked = part.select(*[c.alias(f"k{i}") for i, c in enumerate(order.columns)]).orderBy(F.rand(17)).limit(cuts)
-        named = _named(order)
-        keys = named.collected(picked.distinct().orderBy(*picked.columns))
-        if not keys:
-            return None
-        rank = _rank(order, keys)
-        counts = {r["rank"]: r["n"] for r in part.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        before = 0
-        for at in sorted(counts):
-            if before + counts[at] > position:
-                break
-            before += counts[at]
-        else:
+        ranges = Ranges(part, order, cuts, low, high)
+        found = ranges.cover(position)
+        if found is None:
             return None
+        at, _, rows, before = found
         position -= before
         if at % 2:
-            return Place(keys[at // 2], position)
-        low = keys[at // 2 - 1] if at else low
-        high = keys[at // 2] if at // 2 < len(keys) else high
-        part = df.where(order.between(low, high))
-        if position < FRONT and counts[at] <= 10 * FRONT:
-            key = named.collected(order.sort(part).select(*[c.alias(f"k{i}") for i, c in enumerate(order.columns)]).offset(position).limit(1))[0]
-            return Place(key, position - part.where(order.key < order.literal(key)).count())
-
-
-def _named(order: TotalOrder) -> TotalOrder:
-    """The same order over rows that hold the key's columns ``k0..`` only."""
-    out = object.__new__(TotalOrder)
-    out.kinds = order.kinds
-    out.columns = [F.col(f"k{i}") for i in range(len(order.kinds))]
-    out.key = F.struct(*out.columns)
-    return out
-
-
-def _rank(order: TotalOrder, keys: list[tuple]) -> Column:
-    """Where a row lies among sorted keys: odd at a key, even between two. A tree of comparisons, as deep as log2 of the keys."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(2 * lo)
-        mid = (lo + hi) // 2
-        cut = order.literal(keys[mid])
-        return F.when(order.key < cut, tree(lo, mid)).when(order.key == cut, F.lit(2 * mid + 1)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(keys))
+            return Place(ranges.keys[at // 2], position)
+        low, high = ranges.bounds(at, at)
+        part = df.where(order.within(low, high))
+        if rows <= FRONT:
+            names = [f"k{i}" for i in range(len(order.kinds))]
+            ordered = order.sort(part).select(*order.key_columns())
+            key = order.of_columns(names).collected(ordered.offset(position).limit(1))[0]
+            return Place(key, position - part.where(order.before(key)).count())
 
 
 def _copies(df: DataFrame, order: TotalOrder, key: tuple, n: int) -> DataFrame:
     """``n`` of the equal rows that have a key, made anew by as many tasks as they ask for."""
-    one = df.where(order.key == order.literal(key)).limit(1)
+    one = df.where(order.equal(key)).limit(1)
     if n <= 1:
         return one.limit(n)
     blocks = one.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _COPIES))))
@@ -180,19 +228,34 @@ def page(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int = 0
 
 
 def deep_page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int = 0, cuts: int = _CUTS) -> DataFrame:
-    """The same page by the rows at its two ends; only what lies between them is sorted."""
+    """The same page without sorting what lies before it or behind it.
+
+    A short page is a top-n of the narrow ranges it falls into; a long one is what lies between the rows at its ends.
+    """
     order = TotalOrder(df, order_by)
+    part, low, high, position = df, None, None, offset
+    while limit and limit <= FRONT:
+        ranges = Ranges(part, order, cuts, low, high)
+        found = ranges.cover(position, limit)
+        if found is None:
+            return df.limit(0)
+        first, last, rows, before = found
+        low, high = ranges.bounds(first, last)
+        part, position = df.where(order.within(low, high)), position - before
+        if position + limit <= FRONT and rows <= 100 * FRONT:
+            return order.sort(part).offset(position).limit(limit)
+        if first != last or first % 2:
+            break
     begin = locate(df, order, offset, cuts) if offset else None
     if offset and begin is None:
         return df.limit(0)
     end = locate(df, order, offset + limit, cuts) if limit else None
     if begin and end and begin.key == end.key:
         return _copies(df, order, begin.key, end.skip - begin.skip)
-    inner = order.between(begin.key if begin else None, end.key if end else None)
-    out = df.where(inner)
-    if begin:
-        same = df.where(order.key == order.literal(begin.key))
-        out = out.union(_copies(df, order, begin.key, same.count() - begin.skip) if begin.skip else same)
+    out = df.where(order.within(Bound(begin.key, not begin.skip) if begin else None, Bound(end.key) if end else None))
+    if begin and begin.skip:
+        same = df.where(order.equal(begin.key)).count()
+        out = out.union(_copies(df, order, begin.key, same - begin.skip))
     if end and end.skip:
         out = out.union(_copies(df, order, end.key, end.skip))
     return order.sort(out)
