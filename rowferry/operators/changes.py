@@ -9,22 +9,29 @@ Per key, with ``d`` its last delete: events up to ``d`` do not matter. A row
 that was there and never deleted takes the last update. Otherwise the first
 insert after ``d`` revives the key, and the last update after that insert
 decides its values; updates without an insert are lost.
+
+What a stretch of events amounts to (last delete, first insert and last update
+after it) can be told from what its parts amount to, so events are folded by key
+and stretch of ``seq``, then stretches by key and longer stretch, until one is
+left. No task gets more than a stretch of one key's events at a time, however
+many the key has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rowferry.model import FieldMapping
 from rowferry.operators.mapping import column, rename_feed
 from rowferry.operators.merge import outer_match, require_keys
 
-# Keys with this many events or more are handled apart, without shuffling their
-# events by key. Their number is at most events / HOT_EVENTS, which is what
-# bounds the broadcast below.
-HOT_EVENTS = 1_000_000
+# Binary digits of the order that one level of folding takes away: a group holds 2^16 numbers at most.
+LEVEL_BITS = 16
+
+# An order before that of any event.
+BEFORE_ALL = -(2**63)
 
 MODES = ("strict", "upsert")
 
@@ -146,35 +153,61 @@ def _events(feed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return feed.select(F.explode(F.when(is_move, move).otherwise(plain)).alias("e")).select("e.*")
 
 
-def _after_last_delete(events: DataFrame, k: Sequence[str], hot_events: int) -> DataFrame:
-    """Events from each key's last delete on (that delete included).
+def _units(events: DataFrame, feed: DataFrame, keys: Sequence[str], partial: bool) -> DataFrame:
+    """Each event as a stretch of its own: ``del_ord``, ``ins``/``ins_ord``, ``upd``/``upd_ord``, and values sent."""
+    op, order = F.col("op"), F.col("ord")
+    image = F.col("image")
+    out = [
+        F.when(op == "D", order).alias("del_ord"),
+        F.when(op == "I", image).alias("ins"),
+        F.when(op == "I", order).alias("ins_ord"),
+        F.when(op == "U", image).alias("upd"),
+        F.when(op == "U", order).alias("upd_ord"),
+    ]
+    if partial:
+        for i, c in enumerate(_free_columns(feed, keys)):
+            sent = (op == "U") & ~F.coalesce(F.array_contains("unchanged", c), F.lit(False))
+            out += [F.when(sent, image[c]).alias(f"v{i}"), F.when(sent, order).alias(f"o{i}")]
+    return events.select(*[f"k{i}" for i in range(len(keys))], "ord", *out)
 
-    The marks are one narrow aggregate with map-side combine. They come back to
-    the events by a join on the key for ordinary keys, and by a broadcast for
-    the few keys with ``hot_events`` or more, so no task gets a whole hot key.
+
+def _fold_stretches(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Stretches of one group as one stretch: what counts is after the group's last delete.
+
+    The last delete is a window over the group and the rest an aggregate by the same columns, so rows move once.
     """
-    marks = events.groupBy(*k).agg(
-        F.max(F.when(F.col("op") == "D", F.col("ord"))).alias("d"), F.count("*").alias("n")
-    )
-    hot = F.broadcast(marks.where(F.col("n") >= hot_events))
-    cold = marks.where((F.col("n") < hot_events) & F.col("d").isNotNull())
-    kept = F.col("d").isNull() | (F.col("ord") >= F.col("d"))
-    few = events.join(hot.drop("n"), list(k)).where(kept)
-    many = events.join(hot.select(*k), list(k), "left_anti").join(cold.drop("n"), list(k), "left").where(kept)
-    return many.unionByName(few).drop("d")
+    last = F.max("del_ord").over(Window.partitionBy(*by))
+    marked = parts.withColumn("_last", F.coalesce(last, F.lit(BEFORE_ALL)))
 
+    def after(order: str) -> Column:
+        return F.when(F.col(order) > F.col("_last"), F.col(order))
 
-def fold_events(
-    feed: DataFrame,
-    keys: Sequence[str],
-    mode: str = "strict",
-    hot_events: int = HOT_EVENTS,
-) -> DataFrame:
+    aggs = [
+        F.max("del_ord").alias("del_ord"),
+        F.min_by("ins", after("ins_ord")).alias("ins"),
+        F.min(after("ins_ord")).alias("ins_ord"),
+        F.max_by("upd", after("upd_ord")).alias("upd"),
+        F.max(after("upd_ord")).alias("upd_ord"),
+    ]
+    for name in [c for c in parts.columns if c.startswith("o") and c[1:].isdigit()]:
+        aggs += [F.max_by("v" + name[1:], after(name)).alias("v" + name[1:]), F.max(after(name)).alias(name)]
+    return marked.groupBy(*by).agg(*aggs, F.min("ord").alias("ord"))
+
+
+def _levels(events: DataFrame, bits: int) -> tuple[int, int]:
+    """The smallest order and how many levels of folding the span asks for: one narrow aggregate."""
+    low, high = events.agg(F.min("ord"), F.max("ord")).first()
+    span = 0 if low is None else high - low
+    return low or 0, max(1, -(-span.bit_length() // bits))
+
+
+def fold_events(feed: DataFrame, keys: Sequence[str], mode: str = "strict", level_bits: int = LEVEL_BITS) -> DataFrame:
     """One row per key that saw an event: what its events amount to.
 
     Columns ``k0..``; ``del_ord`` the last delete; ``ins``/``ins_ord`` the reviving insert;
     ``upd``/``upd_ord`` the last update; and, where the feed leaves values out,
-    ``v_<column>``/``o_<column>`` the last value it did send.
+    ``v<n>``/``o<n>`` the last value it did send. A group of events that are folded together
+    spans ``2 ** level_bits`` numbers of the order.
     """
     if mode not in MODES:
         raise ValueError(f"unknown change mode: {mode}")
@@ -184,17 +217,20 @@ def fold_events(
     # A change without a key addresses no row.
     for name in k:
         events = events.where(F.col(name).isNotNull())
-    op, order = F.col("op"), F.col("ord")
     if mode == "strict":
-        events = _after_last_delete(events, k, hot_events)
-        is_insert, is_update = op == "I", op == "U"
-    else:
-        # Both writes set the row, so only the last one counts and no event needs to know ``d``.
-        is_insert, is_update = F.lit(False), op.isin("I", "U")
+        low, levels = _levels(events, level_bits)
+        folded = _units(events, feed, keys, partial)
+        for level in range(1, levels):
+            stretch = F.shiftright(F.col("ord") - F.lit(low), level * level_bits)
+            folded = _fold_stretches(folded.withColumn("_stretch", stretch), [*k, "_stretch"]).drop("_stretch")
+        return _fold_stretches(folded, k).drop("ord")
+    # Both writes set the row, so only the last one counts and no event needs to know the last delete.
+    op, order = F.col("op"), F.col("ord")
+    is_update = op.isin("I", "U")
     aggs = [
         F.max(F.when(op == "D", order)).alias("del_ord"),
-        F.min_by("image", F.when(is_insert, order)).alias("ins"),
-        F.min(F.when(is_insert, order)).alias("ins_ord"),
+        F.lit(None).cast(feed.schema["after"].dataType).alias("ins"),
+        F.lit(None).cast("long").alias("ins_ord"),
         F.max_by("image", F.when(is_update, order)).alias("upd"),
         F.max(F.when(is_update, order)).alias("upd_ord"),
     ]
@@ -203,10 +239,8 @@ def fold_events(
         for i, c in enumerate(_free_columns(feed, keys)):
             aggs += [F.max_by(F.col("image")[c], sent(c)).alias(f"v{i}"), F.max(sent(c)).alias(f"o{i}")]
     folded = events.groupBy(*k).agg(*aggs)
-    if mode == "upsert":
-        live = F.col("del_ord").isNull() | (F.col("upd_ord") > F.col("del_ord"))
-        folded = folded.withColumn("upd", F.when(live, F.col("upd"))).withColumn("upd_ord", F.when(live, F.col("upd_ord")))
-    return folded
+    live = F.col("del_ord").isNull() | (F.col("upd_ord") > F.col("del_ord"))
+    return folded.withColumn("upd", F.when(live, F.col("upd"))).withColumn("upd_ord", F.when(live, F.col("upd_ord")))
 
 
 def _free_columns(feed: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -219,7 +253,7 @@ def apply_changes(
     keys: Sequence[str],
     mode: str = "strict",
     mappings: Sequence[FieldMapping] = (),
-    hot_events: int = HOT_EVENTS,
+    level_bits: int = LEVEL_BITS,
 ) -> DataFrame:
     """The whole target after the feed.
 
@@ -232,7 +266,7 @@ def apply_changes(
     if mappings:
         feed = map_feed(feed, mappings)
     require_keys(keys, target.columns)
-    return settle(target, fold_events(feed, keys, mode, hot_events), keys, feed.schema["after"].dataType, mode)
+    return settle(target, fold_events(feed, keys, mode, level_bits), keys, feed.schema["after"].dataType, mode)
 
 
 def settle(
@@ -265,7 +299,7 @@ def settle(
         if not partial:
             return F.when(upd_counts, F.col("upd")[c]).otherwise(F.col("ins")[c])
         i = free.index(c)
-        floor = F.greatest(F.coalesce("ins_ord", F.lit(-1)), F.coalesce("del_ord", F.lit(-1)))
+        floor = F.coalesce(F.greatest("ins_ord", "del_ord"), F.lit(BEFORE_ALL))
         usable = F.col(f"o{i}").isNotNull() & (alive | (F.col(f"o{i}") > floor))
         kept = column(c) if c in target_types else F.lit(None)
         return F.when(usable, F.col(f"v{i}")).when(alive, kept).otherwise(F.col("ins")[c])

@@ -112,6 +112,7 @@ SELECT {columns} FROM final WHERE present
 
 
 PLAIN_FEED = "feed AS (SELECT *, FALSE AS keep_value FROM (WITH " + FEED + " SELECT * FROM feed))"
+HOT_FEED = "feed AS (SELECT * REPLACE (CASE WHEN seq % 2 = 0 THEN 3 ELSE user_id END AS user_id), FALSE AS keep_value FROM (WITH " + FEED + " SELECT * FROM feed))"
 KEPT_FEED = "feed AS (SELECT *, event_type = 'click' AS keep_value FROM (WITH " + FEED + " SELECT * FROM feed))"
 MOVED_FEED = """
 moved AS (
@@ -305,6 +306,7 @@ ORDER BY l_linestatus, l_returnflag, l_linenumber LIMIT (SELECT count(*) // 2 FR
     "apply_changes_strict": fold_sql(PLAIN_FEED),
     "apply_changes_upsert": fold_sql(PLAIN_FEED, True, True),
     "apply_changes_hot": fold_sql(PLAIN_FEED),
+    "apply_changes_one_key": fold_sql(HOT_FEED),
     "apply_key_moves": fold_sql(MOVED_FEED),
     "apply_unchanged_values": fold_sql(KEPT_FEED),
     "apply_keyless": f"""

@@ -491,8 +491,15 @@ def apply_changes_upsert(spark, d):
 
 
 def apply_changes_hot(spark, d):
-    """The strict replay with the threshold for hot keys low enough that most keys take that way."""
-    return X.apply_changes(user_table(spark, d), event_feed(spark, d), ["user_id"], hot_events=60)
+    """The strict replay in stretches short enough that most keys take several levels."""
+    return X.apply_changes(user_table(spark, d), event_feed(spark, d), ["user_id"], level_bits=6)
+
+
+def apply_changes_one_key(spark, d):
+    """The strict replay of a feed of which one key has half of all events."""
+    feed = event_feed(spark, d)
+    user = F.when(F.col("seq") % 2 == 0, F.lit(3)).otherwise(F.col("after.user_id")).cast("long")
+    return X.apply_changes(user_table(spark, d), feed.withColumn("after", F.col("after").withField("user_id", user)), ["user_id"], level_bits=8)
 
 
 def apply_key_moves(spark, d):
@@ -762,7 +769,7 @@ QUERIES = [
     type_map, catalog_primary_keys, auto_map, create_table_ddl, schema_diff, alter_ddl, structure_job,
     quality_counts, quality_sample, quality_random_sample, quality_status, full_compare, compare_tables, differing_keys, tolerant_match,
     param_query, export_query, sql_import, preview_page, page_offset, page_deep, page_text_rest, page_ties,
-    apply_changes_strict, apply_changes_upsert, apply_changes_hot, apply_key_moves, apply_unchanged_values, apply_keyless,
+    apply_changes_strict, apply_changes_upsert, apply_changes_hot, apply_changes_one_key, apply_key_moves, apply_unchanged_values, apply_keyless,
     mapped_feed, feed_rejects, stream_replicate,
     flatten_documents, document_filter, document_round_trip,
     run_report, latest_runs, latest_files, run_summary,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rowferry.model import FieldMapping, JobSpec
-from rowferry.operators.changes import HOT_EVENTS, fold_events, map_feed, settle, split_feed
+from rowferry.operators.changes import fold_events, map_feed, settle, split_feed
 from rowferry.operators.mapping import rename_feed
 from rowferry.plans.jobs import run_job
 from rowferry.plans.store import KeyedTable
@@ -49,7 +49,6 @@ def replicate(
     dead_letter: str,
     mode: str = "strict",
     mappings: Sequence[FieldMapping] = (),
-    hot_events: int = HOT_EVENTS,
     name: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
@@ -86,7 +85,7 @@ def replicate(
             images = [good.where(F.col(s).isNotNull()).select(f"{s}.*") for s in sides]
             keyed = [i.select(*target.keys) for i in images if all(k in i.columns for k in target.keys)]
             # What the batch amounts to is staged: one row per key, of a size that is then known.
-            with Staged(fold_events(good, target.keys, mode, hot_events), "batch") as folded:
+            with Staged(fold_events(good, target.keys, mode), "batch") as folded:
                 image = good.schema["after"].dataType
                 target.merge(
                     keyed, lambda old: settle(old, folded.df, target.keys, image, mode, folded.small), (stream, batch_id), folded.small

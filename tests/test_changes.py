@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rowferry.model import FieldMapping
 from rowferry.operators import changes as X
 
@@ -84,17 +86,37 @@ def test_batch_edges_do_not_matter(spark):
     assert table == replay(START, events)
 
 
-def test_hot_keys_take_the_other_way_to_the_same_result(spark):
-    """One key with a third of all events."""
-    events = random_events(random.Random(9), 900, 80)
+def test_a_hot_key_is_folded_in_stretches(spark):
+    """One key with a third of all events, in levels of any size; orders may be sparse or below zero."""
+    events = random_events(random.Random(9), 900, 80, partial=True)
     events = [
         (s, op, (7, None, None) if op == "D" else None, None if op == "D" else (7, *a[1:]), u) if s % 3 == 0 else (s, op, b, a, u)
         for s, op, b, a, u in events
     ]
     want = replay(START, events)
-    assert as_dict(run(spark, START, events, False, hot_events=100)) == want
-    assert as_dict(run(spark, START, events, False, hot_events=1)) == want
-    assert as_dict(run(spark, START, events, False)) == want
+    for bits, spread in ((1, 1), (4, 1), (3, 1_000_003), (16, -1_000_003)):
+        placed = [(s * abs(spread) + (-(10**9) if spread < 0 else 0), *e) for s, *e in events]
+        assert as_dict(run(spark, START, placed, level_bits=bits)) == want
+
+
+def test_a_level_moves_rows_once_and_joins_nothing(spark):
+    events = random_events(random.Random(2), 200, 20)
+    feed = spark.createDataFrame(events, FEED).drop("unchanged")
+    plan = X.fold_events(feed, ["k"], level_bits=16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_half_of_very_many_events_on_one_key(spark):
+    """No group of events is larger than a stretch, so no task holds the key."""
+    n = 400_000
+    op = F.when(F.col("id") % 1000 == 999, "D").when(F.col("id") % 1000 == 5, "I").otherwise("U")
+    key = F.when(F.col("id") % 2 == 1, 0).otherwise(F.col("id") % 5000)
+    feed = spark.range(n).select(F.col("id").alias("seq"), op.alias("op"), F.struct(key.cast("int").alias("k"), F.col("id").cast("int").alias("v"), F.lit("w").alias("w")).alias("after"))
+    table = spark.createDataFrame([(0, -1, "s", "n")], "k int, v int, w string, note string")
+    got = as_dict(X.apply_changes(table, feed, ["k"], level_bits=10))
+    assert 0 not in got  # its last event is a delete
+    again = as_dict(X.apply_changes(table, feed.where(F.col("seq") < n - 1), ["k"], level_bits=10))
+    assert again[0] == (n - 3, "w", None)  # revived by 5 after the delete at 999, then updated to the last odd number
 
 
 @pytest.mark.parametrize("mode", ["strict", "upsert"])
@@ -152,11 +174,14 @@ def test_keyless_feed(spark):
     assert got == [(2, 2, None), (3, 3, "c")]
 
 
-def test_marks_are_narrow_and_combined_before_the_shuffle(spark, sf, out):
-    """The pass that looks for deletes reads keys, order and operation only."""
+def test_images_are_read_once(spark, out):
+    """One scan folds the feed; the pass before it that finds its span reads keys and order only."""
     spark.range(10).selectExpr("id AS seq", "'U' AS op", "named_struct('k', id, 'wide', 'x') AS after").write.parquet(out)
     feed = spark.read.parquet(out)
     t = spark.createDataFrame([], "k long, wide string")
     plan = X.apply_changes(t, feed, ["k"])._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<seq:bigint,op:string,after:struct<k:bigint>>" in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert plan.count("FileScan parquet") == 1
+    events = X._events(feed, ["k"]).where("k0 IS NOT NULL").agg(F.max("ord"))
+    assert "ReadSchema: struct<seq:bigint,op:string,after:struct<k:bigint>>" in events._jdf.queryExecution().executedPlan().toString() or "ReadSchema: struct<seq:bigint,after:struct<k:bigint>>" in events._jdf.queryExecution().executedPlan().toString()
+
+
