@@ -313,7 +313,7 @@ def settle(
             value = F.when(alive, column(c))
         else:
             old = column(c) if c in target_types else F.lit(None)
-            value = F.when(upd_counts | revived, _convert(sent(c), image_fields[c], kind)).when(alive, old)
+            value = F.when(upd_counts | revived, convert(sent(c), image_fields[c], kind)).when(alive, old)
         out.append(value.alias(c))
     return joined.where(alive | revived).select(out)
 
@@ -327,7 +327,7 @@ def _unfit(value: Column, source: T.DataType, target: T.DataType) -> Column:
     return value.isNotNull() & value.try_cast(target).isNull()
 
 
-def _convert(value: Column, source: T.DataType, target: T.DataType) -> Column:
+def convert(value: Column, source: T.DataType, target: T.DataType) -> Column:
     """Feed text to the target's type; ``t`` and ``true`` are true, a bad value becomes null."""
     if source == target:
         return value

@@ -114,6 +114,20 @@ SELECT {columns} FROM final WHERE present
 PLAIN_FEED = "feed AS (SELECT *, FALSE AS keep_value FROM (WITH " + FEED + " SELECT * FROM feed))"
 HOT_FEED = "feed AS (SELECT * REPLACE (CASE WHEN seq % 2 = 0 THEN 3 ELSE user_id END AS user_id), FALSE AS keep_value FROM (WITH " + FEED + " SELECT * FROM feed))"
 KEPT_FEED = "feed AS (SELECT *, event_type = 'click' AS keep_value FROM (WITH " + FEED + " SELECT * FROM feed))"
+PHASES = "(event_id >= (SELECT (max(event_id) + 1) // 3 FROM events))::INT + (event_id >= 2 * (SELECT (max(event_id) + 1) // 3 FROM events))::INT"
+MESSAGE_FEED = f"""
+feed AS (
+  SELECT seq, op, user_id, event_type, CASE WHEN phase < 2 THEN value END AS value, CASE WHEN phase > 0 THEN props END AS ts, phase = 2 AS keep_value
+  FROM (SELECT f.*, props, {PHASES} AS phase FROM (WITH {FEED} SELECT * FROM feed) f JOIN events ON event_id = seq))
+"""
+MESSAGE_SQL = fold_sql(MESSAGE_FEED, columns="user_id, event_type, value, ts AS props, home").replace("CAST(NULL AS TIMESTAMP) AS ts", "CAST(NULL AS VARCHAR) AS ts")
+KEYLESS_SQL = f"""
+WITH {FEED}, {USERS},
+gone AS (SELECT user_id, max(seq) AS seq FROM feed WHERE op = 'D' GROUP BY 1)
+SELECT user_id, event_type FROM users WHERE user_id NOT IN (SELECT user_id FROM gone)
+UNION ALL
+SELECT f.user_id, f.event_type FROM feed f LEFT JOIN gone g USING (user_id)
+WHERE f.op = 'I' AND (g.seq IS NULL OR f.seq > g.seq)"""
 MOVED_FEED = """
 moved AS (
   SELECT event_id AS seq, user_id AS old_id, event_type, value, ts,
@@ -309,13 +323,13 @@ ORDER BY l_linestatus, l_returnflag, l_linenumber LIMIT (SELECT count(*) // 2 FR
     "apply_changes_one_key": fold_sql(HOT_FEED),
     "apply_key_moves": fold_sql(MOVED_FEED),
     "apply_unchanged_values": fold_sql(KEPT_FEED),
-    "apply_keyless": f"""
-WITH {FEED}, {USERS},
-gone AS (SELECT user_id, max(seq) AS seq FROM feed WHERE op = 'D' GROUP BY 1)
-SELECT user_id, event_type FROM users WHERE user_id NOT IN (SELECT user_id FROM gone)
-UNION ALL
-SELECT f.user_id, f.event_type FROM feed f LEFT JOIN gone g USING (user_id)
-WHERE f.op = 'I' AND (g.seq IS NULL OR f.seq > g.seq)""",
+    "apply_keyless": KEYLESS_SQL,
+    "stream_keyless": KEYLESS_SQL,
+    "apply_schema_messages": MESSAGE_SQL,
+    "stream_schema_messages": MESSAGE_SQL,
+    "schema_message_rejects": """
+SELECT event_id * 2 + 1 AS seq, CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS kind, 99::BIGINT AS relation, 'unknown relation' AS reason
+FROM events WHERE event_id % 50 = 0""",
     "mapped_feed": fold_sql(PLAIN_FEED, True, True, "user_id, event_type AS last_event, ts, home"),
     "stream_replicate": fold_sql(PLAIN_FEED),
     "flatten_documents": f"""

@@ -9,7 +9,7 @@ from rowferry.functions.params import parameterised_query
 from rowferry.functions.typemap import map_types
 from rowferry.model import Endpoint, FieldMapping, JobSpec, ParamDef, ParamOption, Watermark
 from rowferry.operators import changes as X
-from rowferry.operators import filters, mapping, merge, paging, quality, schema, shards
+from rowferry.operators import filters, keyless, mapping, merge, paging, quality, relations, schema, shards
 from rowferry.plans import jobs, reports
 from rowferry.plans.preview import export_job
 from rowferry.plans.store import KeyedTable
@@ -564,6 +564,75 @@ def stream_replicate(spark, d):
     return users.read()
 
 
+def stream_keyless(spark, d):
+    """The keyless feed as a stream of four deliveries with a restart before each, some of them bad events."""
+    out = scratch_path(spark, "keyless")
+    e = event_feed(spark, d)
+    row = F.struct(F.col("after.user_id").alias("user_id"), F.when(F.col("op") != "D", F.col("after.event_type")).alias("event_type"))
+    feed = e.withColumn("after", row).withColumn("table", F.lit("users")).withColumn("before", F.when(F.col("op") == "D", F.col("after")))
+    top = feed.agg(F.max("seq").alias("n")).first()["n"]
+    users = R.load_keyless(user_table(spark, d).select("user_id", "event_type"), f"{out}/users", buckets=8)
+    for part in range(4):
+        chunk = feed.where((F.col("seq") >= (top + 1) * part // 4) & (F.col("seq") < (top + 1) * (part + 1) // 4))
+        noise = chunk.where("seq % 100 = 0").withColumn("op", F.lit("?"))
+        chunk.unionByName(noise).write.mode("append").parquet(f"{out}/feed")
+        source = R.read_feed(spark, f"{out}/feed", R.feed_schema(feed.schema["after"].dataType), "users", fmt="parquet")
+        R.replicate_keyless(source, users, f"{out}/checkpoint", f"{out}/rejects").awaitTermination()
+    return keyless.from_bag(users.read())
+
+
+def message_feed(spark, d) -> DataFrame:
+    """The events as bare values: the second third of them adds a column, the last one drops one and reorders the rest.
+
+    Every 50th is there a second time, for a relation that no message describes.
+    """
+    e = table(spark, d, "events")
+    third = (e.agg(F.max("event_id").alias("n")).first()["n"] + 1) // 3
+    phase = F.when(F.col("event_id") < third, 0).when(F.col("event_id") < 2 * third, 1).otherwise(2)
+    op = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
+
+    def cells(*names: str):
+        return F.array(*[F.struct(F.when(F.col(n).isNull(), "n").otherwise("t").alias("kind"), F.col(n).cast("string").alias("value")) for n in names])
+
+    layouts = [("user_id", "event_type", "value"), ("user_id", "event_type", "value", "props"), ("props", "user_id", "event_type")]
+    kinds = {"user_id": "int8", "event_type": "text", "value": "float8", "props": "text"}
+    values = F.when(phase == 0, cells(*layouts[0])).when(phase == 1, cells(*layouts[1])).otherwise(cells(*layouts[2]))
+    none = F.lit(None)
+    rows = e.select(
+        (F.col("event_id") * 2 + 1).alias("seq"), op.alias("kind"), F.lit(7).cast("long").alias("relation"), none.cast("string").alias("table"),
+        none.cast(relations.MESSAGES["columns"].dataType).alias("columns"), F.when(op == "D", values).alias("before"), F.when(op != "D", values).alias("after"),
+    )
+    told = [(2 * third * n, "R", 7, "public.users", [(c, kinds[c]) for c in names], None, None) for n, names in enumerate(layouts)]
+    stray = rows.where("seq % 100 = 1").withColumn("relation", F.lit(99).cast("long"))
+    return rows.unionByName(stray).unionByName(spark.createDataFrame(told, relations.MESSAGES))
+
+
+def apply_schema_messages(spark, d):
+    """A feed whose table changes its columns twice, as one batch."""
+    target = user_table(spark, d).drop("ts")
+    return relations.apply_messages(target, message_feed(spark, d), "public.users", ["user_id"])[0]
+
+
+def schema_message_rejects(spark, d):
+    """What no schema message explains, with the reason."""
+    return relations.apply_messages(user_table(spark, d).drop("ts"), message_feed(spark, d), "public.users", ["user_id"])[1]
+
+
+def stream_schema_messages(spark, d):
+    """The same feed as a stream of three deliveries with a restart before each; the cuts do not fall on the changes."""
+    out = scratch_path(spark, "messages")
+    feed = message_feed(spark, d)
+    top = feed.agg(F.max("seq").alias("n")).first()["n"]
+    users = KeyedTable(spark, f"{out}/users", ["user_id"], buckets=4)
+    users.commit(user_table(spark, d).drop("ts"))
+    for part in range(3):
+        low, high = ((top + 1) * cut // 100 for cut in ((0, 45), (45, 60), (60, 100))[part])
+        feed.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(f"{out}/feed")
+        source = spark.readStream.schema(relations.MESSAGES).parquet(f"{out}/feed")
+        R.replicate_messages(source, users, "public.users", f"{out}/checkpoint", f"{out}/rejects").awaitTermination()
+    return users.read()
+
+
 # --- documents ---------------------------------------------------------------------------------
 
 
@@ -770,7 +839,7 @@ QUERIES = [
     quality_counts, quality_sample, quality_random_sample, quality_status, full_compare, compare_tables, differing_keys, tolerant_match,
     param_query, export_query, sql_import, preview_page, page_offset, page_deep, page_text_rest, page_ties,
     apply_changes_strict, apply_changes_upsert, apply_changes_hot, apply_changes_one_key, apply_key_moves, apply_unchanged_values, apply_keyless,
-    mapped_feed, feed_rejects, stream_replicate,
+    mapped_feed, feed_rejects, stream_replicate, stream_keyless, apply_schema_messages, schema_message_rejects, stream_schema_messages,
     flatten_documents, document_filter, document_round_trip,
     run_report, latest_runs, latest_files, run_summary,
 ]

@@ -11,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rowferry.model import FieldMapping, JobSpec
 from rowferry.operators.changes import fold_events, map_feed, settle, split_feed
+from rowferry.operators.keyless import ROW_KEY, as_bag, bag_fields, deleted_keys, merge_bag, surviving_inserts
 from rowferry.operators.mapping import rename_feed
+from rowferry.operators.relations import read_messages, relation_messages, versions, widen
 from rowferry.plans.jobs import run_job
-from rowferry.plans.store import KeyedTable
+from rowferry.plans.store import KeyedTable, LostClaim
 from rowferry.session import Staged, exists, small_frame
 
 
@@ -78,27 +80,123 @@ def replicate(
         held = renamed.persist()
         try:
             good, bad = split_feed(held, target.keys, target.schema())
-            rejects = bad.select(F.lit(batch_id).cast("long").alias("batch_id"), "reason", F.to_json(F.struct(*bad.drop("reason").columns)).alias("event"))
-            if not rejects.isEmpty():
-                rejects.write.mode("overwrite").json(f"{dead_letter}/batch={batch_id}")
-            sides = [s for s in ("before", "after") if s in good.columns]
-            images = [good.where(F.col(s).isNotNull()).select(f"{s}.*") for s in sides]
-            keyed = [i.select(*target.keys) for i in images if all(k in i.columns for k in target.keys)]
-            # What the batch amounts to is staged: one row per key, of a size that is then known.
-            with Staged(fold_events(good, target.keys, mode), "batch") as folded:
-                image = good.schema["after"].dataType
-                target.merge(
-                    keyed, lambda old: settle(old, folded.df, target.keys, image, mode, folded.small), (stream, batch_id), folded.small
-                )
+            _reject(bad, dead_letter, batch_id)
+            _merge_feed(target, good, mode, (stream, batch_id))
         finally:
             held.unpersist()
 
+    return _start(feed, apply, checkpoint, name, trigger)
+
+
+def _reject(bad: DataFrame, dead_letter: str, batch_id: int) -> None:
+    rejects = bad.select(F.lit(batch_id).cast("long").alias("batch_id"), "reason", F.to_json(F.struct(*bad.drop("reason").columns)).alias("event"))
+    if not rejects.isEmpty():
+        rejects.write.mode("overwrite").json(f"{dead_letter}/batch={batch_id}")
+
+
+def _merge_feed(target: KeyedTable, good: DataFrame, mode: str, batch: tuple[str, int], fields: Sequence[T.StructField] = ()) -> None:
+    """One commit of a batch's good events; ``fields`` are columns the target gets if it lacks them."""
+    sides = [s for s in ("before", "after") if s in good.columns]
+    images = [good.where(F.col(s).isNotNull()).select(f"{s}.*") for s in sides]
+    keyed = [i.select(*target.keys) for i in images if all(k in i.columns for k in target.keys)]
+    # What the batch amounts to is staged: one row per key, of a size that is then known.
+    with Staged(fold_events(good, target.keys, mode), "batch") as folded:
+        image = good.schema["after"].dataType
+        target.merge(keyed, lambda old: settle(widen(old, fields), folded.df, target.keys, image, mode, folded.small), batch, folded.small)
+
+
+def _start(feed: DataFrame, apply, checkpoint: str, name: str | None, trigger: dict | None) -> StreamingQuery:
     writer = feed.writeStream.foreachBatch(apply).option("checkpointLocation", f"{checkpoint}/query")
     if name:
         writer = writer.queryName(name)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def replicate_messages(
+    messages: DataFrame,
+    target: KeyedTable,
+    table: str,
+    checkpoint: str,
+    dead_letter: str,
+    mode: str = "strict",
+    name: str | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Follow a feed of bare values with schema messages among them (see ``relations``).
+
+    Schema messages are kept beside the checkpoint, by batch, so events of a
+    later batch or after a restart are read by the version valid for them. A
+    batch that runs again writes the same folder and is then recognised by the
+    table's commit. Columns a message adds are columns of the target from that
+    batch on.
+    """
+    spark = messages.sparkSession
+    if target.last_commit() < 0:
+        raise ValueError("the target table needs its first load before the feed")
+    stream = _stream_id(spark, checkpoint)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= target.applied(stream):
+            return
+        held = batch.persist()
+        try:
+            at = f"{checkpoint}/relations"
+            relation_messages(held).coalesce(1).write.mode("overwrite").parquet(f"{at}/batch={batch_id}")
+            with Staged(versions(spark.read.parquet(at).where(F.col("batch") <= batch_id).drop("batch")), "relations") as known:
+                good, bad, fields = read_messages(held, known, table, target.keys, target.schema())
+                _reject(bad, dead_letter, batch_id)
+                _merge_feed(target, good, mode, (stream, batch_id), fields)
+        finally:
+            held.unpersist()
+
+    return _start(messages, apply, checkpoint, name, trigger)
+
+
+def load_keyless(rows: DataFrame, path: str, buckets: int | None = None) -> KeyedTable:
+    """The first load of a table without a key, kept as a bag (see ``keyless``)."""
+    target = KeyedTable(rows.sparkSession, path, [ROW_KEY], buckets)
+    target.commit(as_bag(rows, rows.columns))
+    return target
+
+
+def replicate_keyless(
+    feed: DataFrame, target: KeyedTable, checkpoint: str, dead_letter: str, name: str | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Follow a feed of a table without a key: inserts add rows, deletes take all older rows they name, updates are skipped.
+
+    Each micro-batch is one commit of the bag that notes the batch, so one that
+    runs again is recognised and skipped. Deletes are looked up in the bag's
+    distinct rows; only the buckets of rows that go or come are rewritten.
+    """
+    spark = feed.sparkSession
+    if target.last_commit() < 0:
+        raise ValueError("the target table needs its first load before the feed")
+    stream = _stream_id(spark, checkpoint)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            good, bad = split_feed(held, [], target.schema())
+            _reject(bad, dead_letter, batch_id)
+            fields = bag_fields(target.schema(), good.schema["after"].dataType)
+            with Staged(surviving_inserts(good, fields), "added") as added:
+                while True:
+                    base = target.last_commit()
+                    if batch_id <= target.applied(stream):
+                        return
+                    with Staged(deleted_keys(target.read(), good), "gone") as gone:
+                        touched = target.touched_by(gone.df, added.df)
+                        try:
+                            target.commit(merge_bag(target.read(touched), gone.df, added.df), touched, (stream, batch_id), base=base)
+                            return
+                        except LostClaim:
+                            continue
+        finally:
+            held.unpersist()
+
+    return _start(feed, apply, checkpoint, name, trigger)
+
+
 def start_realtime(
     spark: SparkSession,
     spec: JobSpec,
