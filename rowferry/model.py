@@ -104,7 +104,10 @@ class JobSpec:
 
     ``kind``: structure, data, both or sql_import. ``write``: append, skip,
     upsert or replace. ``order_by`` names the columns that decide which of
-    several input rows with one key is the last.
+    several input rows with one key is the last. With ``balanced`` a sharded
+    read cuts ranges with like numbers of rows, for keys of any type. With
+    ``chunks`` a data job copies range by range of ``chunk_key`` (the first key
+    by default), and a run after a failure goes on where the last one stopped.
     """
 
     name: str
@@ -122,6 +125,9 @@ class JobSpec:
     sql: str = ""
     params: Sequence[ParamDef] = ()
     shards: int = 1
+    balanced: bool = False
+    chunks: int = 0
+    chunk_key: str = ""
     quality: bool = True
     allow_drop: bool = False
     source_tables: Sequence[str] = ()
@@ -163,6 +169,21 @@ RUN_LOG_SCHEMA = T.StructType(
     ]
 )
 
+# One row when a copy in chunks is planned, one when it is whole, and one for each chunk that is in the target.
+COPY_SCHEMA = T.StructType(
+    [
+        T.StructField("job", T.StringType(), False),
+        T.StructField("seq", T.LongType(), False),
+        T.StructField("copy", T.LongType(), False),
+        T.StructField("chunk", T.IntegerType()),
+        T.StructField("state", T.StringType(), False),
+        T.StructField("rows", T.LongType()),
+        T.StructField("low_mark", T.StringType()),
+        T.StructField("high_mark", T.StringType()),
+        T.StructField("edges", T.StringType()),
+    ]
+)
+
 WATERMARK_SCHEMA = T.StructType(
     [
         T.StructField("job", T.StringType(), False),

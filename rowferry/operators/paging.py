@@ -94,6 +94,10 @@ class TotalOrder:
                 out.append(f"cast(decode(X'{value.encode().hex()}', 'UTF-8') as {kind.simpleString()})")
         return out
 
+    def literals_of(self, df: DataFrame) -> list[str]:
+        """The first column of some rows as SQL literals, in the rows' order; nulls left out."""
+        return [self._literals(key)[0] for key in self.collected(df) if key[0] is not None]
+
     def equal_text(self, key: tuple) -> str:
         return " AND ".join(f"{c} IS NULL" if v is None else f"{c} <=> {v}" for c, v in zip(self.columns, self._literals(key)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
@@ -16,20 +17,23 @@ from rowferry.operators import merge as M
 from rowferry.operators.filters import after_mark, document_predicate, where_all
 from rowferry.operators.mapping import column, column_pairs, map_columns
 from rowferry.operators.quality import check_quality
-from rowferry.operators.shards import MAX_SOURCE_SHARDS, is_integer_key
-from rowferry.plans.store import KeyedTable, append_parquet, is_keyed, as_log_row, run_log, watermarks
-from rowferry.session import Staged, exists, shared_dir
+from rowferry.operators.shards import MAX_SOURCE_SHARDS, Cuts, balanced_cuts, is_integer_key
+from rowferry.plans.store import KeyedTable, append_parquet, as_log_row, copy_ledger, is_keyed, run_log, watermarks
+from rowferry.session import Staged, exists, move_in, remove, shared_dir, small_frame
 from rowferry.sources import documents, files, jdbc, workbooks
 
 FILE_KINDS = ("csv", "excel")
 DOCUMENT_KINDS = ("mongodb",)
 
 
-def read_endpoint(spark: SparkSession, e: Endpoint, table: str, shards: int = 1, key: str = "", max_shards: int = MAX_SOURCE_SHARDS) -> DataFrame:
+def read_endpoint(
+    spark: SparkSession, e: Endpoint, table: str, shards: int = 1, key: str = "", max_shards: int = MAX_SOURCE_SHARDS, balanced: bool = False
+) -> DataFrame:
     """One table of an endpoint as a DataFrame, also a keyed table an earlier job made; an unknown kind is an error."""
     if e.kind in jdbc.DRIVERS:
         if shards > 1 and key:
-            return jdbc.read_sharded(spark, e, table, key, shards, max_shards=max_shards)
+            read = jdbc.read_balanced if balanced else jdbc.read_sharded
+            return read(spark, e, table, key, shards, max_shards=max_shards)
         return jdbc.read_table(spark, e, table)
     at = f"{e.path}/{table}" if table else e.path
     if e.kind in ("parquet", "mongodb") and is_keyed(spark, at):
@@ -83,11 +87,20 @@ def incremental_batch(source: DataFrame, mark: Watermark, last: str, filter_by:
 
 
 def write_rows(
-    df: DataFrame, e: Endpoint, table: str, write: str, keys: Sequence[str], order_by: Sequence[str], buckets: int | None = None, connections: int = MAX_SOURCE_SHARDS
+    df: DataFrame,
+    e: Endpoint,
+    table: str,
+    write: str,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    buckets: int | None = None,
+    connections: int = MAX_SOURCE_SHARDS,
+    batch: tuple[str, int] | None = None,
 ) -> None:
     """Write to a target by strategy: append, skip, upsert or replace.
 
     ``buckets`` shapes a keyed table when it is made; ``connections`` is how many tasks write to a database at once.
+    A ``batch`` (a name and a number that grows) that a keyed table took in before is left alone.
     """
     spark = df.sparkSession
     if write not in ("append", "skip", "upsert", "replace"):
@@ -111,12 +124,12 @@ def write_rows(
     elif e.kind == "parquet" and write == "append" and not keys:
         append_parquet(df, at)
     elif e.kind in ("parquet", "mongodb"):
-        _write_keyed(df, KeyedTable(spark, at, keys, buckets), write, order_by) if keys else documents.write_documents(df, at)
+        _write_keyed(df, KeyedTable(spark, at, keys, buckets), write, order_by, batch) if keys else documents.write_documents(df, at)
     else:
         raise ValueError(f"cannot write to endpoint kind: {e.kind}")
 
 
-def _write_keyed(df: DataFrame, table: KeyedTable, write: str, order_by: Sequence[str]) -> None:
+def _write_keyed(df: DataFrame, table: KeyedTable, write: str, order_by: Sequence[str], batch: tuple[str, int] | None = None) -> None:
     """Merge into a bucketed table; the input is read several times, so it is staged first.
 
     Its repeats are settled before staging, and the staged size decides whether
@@ -130,16 +143,16 @@ def _write_keyed(df: DataFrame, table: KeyedTable, write: str, order_by: Sequenc
     with Staged(df, "write") as staged:
         fresh = staged.df
         if table.last_commit() < 0:
-            table.commit(M.insert_checked(fresh.limit(0), fresh, keys) if write == "append" else fresh)
+            table.commit(M.insert_checked(fresh.limit(0), fresh, keys) if write == "append" else fresh, batch=batch)
             return
         if write == "append":
-            table.add(fresh, lambda old: M.insert_checked(old, fresh, keys))
+            table.add(fresh, lambda old: M.insert_checked(old, fresh, keys), batch)
         elif write == "skip":
-            table.add(fresh, lambda old: M.insert_skip(old, fresh, keys, order_by, M.has_null_keys(fresh, keys)))
+            table.add(fresh, lambda old: M.insert_skip(old, fresh, keys, order_by, M.has_null_keys(fresh, keys)), batch)
         else:
             settle = M.upsert_settled if write == "upsert" else M.replace_settled
             nulls = M.has_null_keys(fresh, keys)
-            table.merge([fresh], lambda old: settle(old, fresh, keys, staged.small, nulls), placed=staged.small)
+            table.merge([fresh], lambda old: settle(old, fresh, keys, staged.small, nulls), batch, placed=staged.small)
 
 
 def read_target(spark: SparkSession, e: Endpoint, table: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -209,7 +222,7 @@ def run_job(
     if result.status == "success" and spec.watermark and result.high_water:
         set_mark(spark, root, spec.name, result.high_water)
     log.append(
-        as_log_row(result, seq=1, start_time=started, end_time=_now(), triggered_by=triggered_by, **result.quality)
+        as_log_row(result, seq=1, start_time=started, end_time=_now(), triggered_by=triggered_by, **({} if result.error else result.quality))
     )
     failed = result.status != "success"
     tell("failed" if failed else "done", result.rows, 0.0 if failed else 100.0)
@@ -228,32 +241,104 @@ def _dispatch(spark: SparkSession, spec: JobSpec, root: str, runtime, result: Jo
         _sql_import(spark, spec, runtime, result, started)
         return
     key = spec.keys[0] if len(spec.keys) == 1 else ""
-    source = read_endpoint(spark, spec.source, spec.source_table, spec.shards, key, spec.max_shards)
+    source = read_endpoint(spark, spec.source, spec.source_table, spec.shards, key, spec.max_shards, spec.balanced)
     if spec.kind in ("structure", "both"):
         tell("structure", 0, 0.0)
         _structure(spark, spec, source)
     if spec.kind in ("data", "both"):
         tell("data", 0, 0.0)
         last = last_mark(spark, root, spec.name) if spec.watermark else ""
-        rows, result.high_water = copy_plan(source, spec, last)
-        result.rows = _write_counted(rows, spec)
+        if spec.chunks:
+            last, result.high_water, result.rows = _copy_by_ledger(spark, source, spec, root, last, tell)
+        else:
+            rows, result.high_water = copy_plan(source, spec, last)
+            result.rows = _write_counted(rows, spec)
         if spec.quality:
             result.quality = _quality(spark, spec, source, last, result.high_water)
 
 
+# Numbers of one copy's chunks stay below this, so a later copy's are all larger.
+_CHUNKS = 1 << 20
+
+
+def _copy_by_ledger(spark: SparkSession, source: DataFrame, spec: JobSpec, root: str, last: str, tell) -> tuple[str, str, int]:
+    """A data job chunk by chunk; ``(lower mark, new mark, rows)`` once all chunks are in the target.
+
+    The ledger below ``root`` keeps the copy's marks and range edges from its
+    first run, so a later run copies the same rows, and notes each chunk that
+    is in. A chunk that was written but not noted is recognised: a keyed table
+    keeps the number of the last chunk with its commit, and files of a plain
+    target are written aside and moved in under names of their own. In a
+    database only an upsert can be repeated without harm, so others are refused.
+    """
+    key = spec.chunk_key or (spec.keys[0] if spec.keys else spec.watermark.column if spec.watermark else "")
+    if not key:
+        raise ValueError("a copy in chunks needs a chunk_key")
+    if spec.target.kind in jdbc.DRIVERS and spec.write != "upsert":
+        raise ValueError("a copy in chunks into a database needs write='upsert'")
+    ledger = copy_ledger(spark, root)
+    plans = ledger.all().where((F.col("job") == spec.name) & F.col("chunk").isNull()).orderBy("seq").collect()
+    now = int(datetime.now(timezone.utc).timestamp() * 1_000_000)
+    if plans and plans[-1]["state"] == "planned":
+        plan = plans[-1].asDict()
+    else:
+        upto = incremental_batch(source, spec.watermark, last, row_filter(source, spec))[1] if spec.watermark else ""
+        cuts = balanced_cuts(where_all(source, row_filter(source, spec)), key, min(spec.chunks, _CHUNKS - 1))
+        plan = {"job": spec.name, "seq": now, "copy": (plans[-1]["copy"] if plans else 0) + 1, "state": "planned", "low_mark": last, "high_mark": upto, "edges": json.dumps(cuts.edges)}
+        ledger.append(plan)
+    copy, last, upto = plan["copy"], plan["low_mark"], plan["high_mark"]
+    done = {r["chunk"]: r["rows"] for r in ledger.all().where((F.col("job") == spec.name) & (F.col("copy") == copy) & F.col("chunk").isNotNull()).collect()}
+    ranges = Cuts(tuple(json.loads(plan["edges"]))).predicates(key)
+    for chunk, inside in enumerate(ranges):
+        if chunk not in done:
+            done[chunk] = _write_chunk(spark, source.where(inside), spec, root, last, upto, copy, chunk)
+            ledger.append({"job": spec.name, "seq": now + chunk + 1, "copy": copy, "chunk": chunk, "state": "written", "rows": done[chunk]})
+        tell("data", sum(done.values()), 100.0 * len(done) / len(ranges))
+    if spec.watermark and upto:
+        set_mark(spark, root, spec.name, upto)
+    ledger.append({**plan, "seq": max(now, plan["seq"]) + len(ranges) + 1, "state": "whole", "rows": sum(done.values())})
+    return last, upto, sum(done.values())
+
+
+def _write_chunk(spark: SparkSession, part: DataFrame, spec: JobSpec, root: str, last: str, upto: str, copy: int, chunk: int) -> int:
+    """Bring one chunk into the target exactly once, whatever an earlier attempt left; its number of rows."""
+    rows = _chunk_rows(part, spec, last, upto)
+    if spec.target.kind in ("parquet", "csv", "mongodb") and not spec.keys:
+        aside = f"{root}/chunks/{spec.name}/copy={copy}/chunk={chunk}"
+        if not exists(spark, f"{aside}/counted/_SUCCESS"):
+            counted, seen = _counting(rows)
+            staged = replace(spec, target=Endpoint(spec.target.kind, path=f"{aside}/files"), target_table="")
+            remove(spark, f"{aside}/files")
+            _write_counted(counted, staged)
+            small_frame(spark, [(seen.get.get("n", 0),)], "n long").write.mode("overwrite").parquet(f"{aside}/counted")
+        n = spark.read.schema("n long").parquet(f"{aside}/counted").first()["n"]
+        at = f"{spec.target.path}/{spec.target_table}" if spec.target_table else spec.target.path
+        move_in(spark, f"{aside}/files", at, f"copy-{spec.name}-{copy}-{chunk}".replace("/", "_"))
+        return n
+    return _write_counted(rows, spec, (f"copy:{spec.name}", copy * _CHUNKS + chunk))
+
+
+def _chunk_rows(part: DataFrame, spec: JobSpec, last: str, upto: str) -> DataFrame:
+    """A chunk's rows between the copy's marks, mapped; repeats of a key are settled as in a copy at one go."""
+    rows = where_all(part, row_filter(part, spec))
+    if spec.watermark:
+        rows = after_mark(rows, spec.watermark, last, upto) if upto else rows.where(F.lit(False) if last else column(spec.watermark.column).isNull())
+    return copy_plan(rows, replace(spec, watermark=None, filter=""))[0]
+
+
 def _counting(rows: DataFrame) -> tuple[DataFrame, Observation]:
     """The same rows, counted on their way into a write instead of by a second scan."""
     seen = Observation()
     return rows.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
-def _write_counted(rows: DataFrame, spec: JobSpec) -> int:
+def _write_counted(rows: DataFrame, spec: JobSpec, batch: tuple[str, int] | None = None) -> int:
     counted, seen = _counting(rows)
     names = {m.source: m.name for m in spec.mappings if m.enabled}
     keys = [names.get(k, k) for k in spec.keys]
     order = [names.get(c, c) for c in spec.order_by]
     order = order if all(c in rows.columns for c in order) else []
-    write_rows(counted, spec.target, spec.target_table, spec.write, keys, order, spec.buckets, spec.connections)
+    write_rows(counted, spec.target, spec.target_table, spec.write, keys, order, spec.buckets, spec.connections, batch)
     return seen.get.get("n", 0)
 
 
@@ -292,7 +377,7 @@ def _structure(spark: SparkSession, spec: JobSpec, source: DataFrame) -> None:
 
 
 def _quality(spark: SparkSession, spec: JobSpec, source: DataFrame, last: str, upto: str) -> dict:
-    """The check after a copy; its own errors are dropped."""
+    """The check after a copy. Its own error fails no run; the log says what it was."""
     try:
         picked = where_all(source, row_filter(source, spec))
         if spec.watermark:
@@ -311,8 +396,8 @@ def _quality(spark: SparkSession, spec: JobSpec, source: DataFrame, last: str, u
         row = check_quality(picked, target, pairs, usable, counted=counted).first().asDict()
         row["quality_status"] = row.pop("status")
         return row
-    except Exception:  # noqa: BLE001
-        return {}
+    except Exception as error:  # noqa: BLE001 - the copy is done, whatever the check runs into
+        return {"quality_status": "error", "error_msg": f"quality check: {error}"}
 
 
 def verify_job(spark: SparkSession, spec: JobSpec, root: str) -> dict:

@@ -180,6 +180,10 @@ SELECT COALESCE(min(l_orderkey), 0) AS low, COALESCE(max(l_orderkey), 0) AS high
     "shard_counts": """
 WITH b AS (SELECT min(l_orderkey) AS lo, (max(l_orderkey) - min(l_orderkey) + 8) // 8 AS step FROM lineitem)
 SELECT CAST(least((l_orderkey - b.lo) // b.step, 7) AS INTEGER) AS shard, count(*) AS rows FROM lineitem, b GROUP BY 1""",
+    "balanced_shards": "SELECT unnest(['squared', 'name', 'at']) AS key, 8 AS shards, TRUE AS even, (SELECT count(*) FROM lineitem) AS rows",
+    "balanced_union": "SELECT l_orderkey, l_linenumber, 'k' || CAST(l_orderkey * l_orderkey AS VARCHAR) AS name FROM lineitem",
+    "resumed_job": "SELECT o_orderkey AS order_id, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' OR o_totalprice > 200000",
+    "resumed_upsert": "SELECT * FROM events",
     "shard_union": "SELECT * FROM labels",
     "resumed_copy": "SELECT * FROM orders",
     "insert_skip": f"""

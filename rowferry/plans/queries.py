@@ -102,6 +102,43 @@ def incremental_two_runs(spark, d):
     return jobs.read_target(spark, spec.target, "events")
 
 
+def _stopped_once(spark, spec, root):
+    """The job fails when a part of its chunks is in, and is run again."""
+    failures = []
+
+    def tell(phase, rows, percent):
+        if phase == "data" and percent > 30 and not failures:
+            failures.append(percent)
+            raise RuntimeError("stopped")
+
+    first = jobs.run_job(spark, spec, root, on_progress=tell)
+    if first.status != "failed":
+        raise RuntimeError("the first run was to fail")
+    done(jobs.run_job(spark, spec, root, on_progress=tell))
+
+
+def resumed_job(spark, d):
+    """A filtered copy into plain files that fails in the middle and goes on: no row twice, none lost."""
+    out = scratch_path(spark, "resumed")
+    spec = JobSpec(
+        name="orders-in-chunks", source=Endpoint("parquet", path=d), source_table="orders.parquet", target=Endpoint("parquet", path=out), target_table="orders",
+        mappings=[FieldMapping("o_orderkey", "order_id"), FieldMapping("o_custkey"), FieldMapping("o_totalprice")], filter=OR_FILTER, chunks=6, chunk_key="o_orderkey", quality=False,
+    )
+    _stopped_once(spark, spec, f"{out}/_jobs")
+    return jobs.read_target(spark, spec.target, "orders")
+
+
+def resumed_upsert(spark, d):
+    """An incremental copy into a keyed table that fails in the middle and goes on; the mark moves once all is in."""
+    out = scratch_path(spark, "resumed")
+    spec = JobSpec(
+        name="events-in-chunks", source=Endpoint("parquet", path=d), source_table="events.parquet", target=Endpoint("parquet", path=out), target_table="events",
+        watermark=Watermark("ts", "timestamp"), write="upsert", keys=["event_id"], buckets=4, chunks=4, quality=False,
+    )
+    _stopped_once(spark, spec, f"{out}/_jobs")
+    return jobs.read_target(spark, spec.target, "events", ["event_id"])
+
+
 def next_watermark(spark, d):
     return filters.where_all(table(spark, d, "orders"), "o_orderstatus <> 'P'").agg(F.max("o_orderkey").alias("high_water"))
 
@@ -118,6 +155,31 @@ def shard_counts(spark, d):
     return shards.shard_counts(table(spark, d, "lineitem"), "l_orderkey", shards.MAX_SOURCE_SHARDS)
 
 
+def _squared_lines(spark, d) -> DataFrame:
+    """Lines with a key whose values thin out as they grow, and as a text and a time."""
+    square = F.col("l_orderkey") * F.col("l_orderkey")
+    return table(spark, d, "lineitem").select("*", square.alias("squared"), F.concat(F.lit("k"), square.cast("string")).alias("name"), F.timestamp_seconds(square).alias("at"))
+
+
+def balanced_shards(spark, d):
+    """Whether ranges of a number, a text and a time hold like numbers of rows, within 10%, and every row."""
+    lines = _squared_lines(spark, d)
+    out = None
+    for key in ("squared", "name", "at"):
+        counts = shards.balanced_counts(lines, key, shards.MAX_SOURCE_SHARDS)
+        mean = F.sum("rows") / shards.MAX_SOURCE_SHARDS
+        row = counts.agg(
+            F.lit(key).alias("key"), F.count("*").alias("shards"), ((F.max("rows") <= mean * 1.1) & (F.min("rows") >= mean * 0.9)).alias("even"), F.sum("rows").alias("rows")
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def balanced_union(spark, d):
+    """A table read by ranges of a text and put together again."""
+    return shards.union_of_ranges(_squared_lines(spark, d).select("l_orderkey", "l_linenumber", "name"), "name", 6)
+
+
 def shard_union(spark, d):
     return shards.union_of_shards(table(spark, d, "labels"), "doc_id", shards.MAX_SOURCE_SHARDS)
 
@@ -833,7 +895,7 @@ QUERIES = [
     differing_keys_nulls, compare_tables_nulls, full_compare_repeats, decimal_match, chained_upsert, incremental_ltz, incremental_ltz_whole,
     inferred_schema, schema_columns, param_quoted, feed_unfit,
     table_scan, filtered_count, filtered_copy, mapped_copy, or_filter_with_watermark, incremental_id, incremental_ts,
-    incremental_two_runs, next_watermark, point_lookup, key_bounds, shard_counts, shard_union, resumed_copy,
+    incremental_two_runs, next_watermark, point_lookup, key_bounds, shard_counts, shard_union, balanced_shards, balanced_union, resumed_copy, resumed_job, resumed_upsert,
     insert_skip, upsert, upsert_last_wins, upsert_job, append_job, replace_docs, duplicate_keys, csv_round_trip,
     type_map, catalog_primary_keys, auto_map, create_table_ddl, schema_diff, alter_ddl, structure_job,
     quality_counts, quality_sample, quality_random_sample, quality_status, full_compare, compare_tables, differing_keys, tolerant_match,

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from rowferry.model import RUN_LOG_SCHEMA, WATERMARK_SCHEMA, JobResult
+from rowferry.model import COPY_SCHEMA, RUN_LOG_SCHEMA, WATERMARK_SCHEMA, JobResult
 from rowferry.operators.mapping import column
 from rowferry.session import children, create_new, exists, matching, remove, small_frame
 
@@ -220,14 +220,16 @@ class KeyedTable:
             except LostClaim:
                 continue
 
-    def add(self, keyed: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int:
+    def add(self, keyed: DataFrame, make: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None) -> int:
         """Add rows beside the old ones: ``make`` gets the old rows near the given keys and returns just the new ones."""
         while True:
             base = self.last_commit()
+            if batch is not None and batch[1] <= self.applied(batch[0]):
+                return base
             old = self.read(self.touched_by(keyed))
             fresh = make(old).select([column(f.name).cast(f.dataType).alias(f.name) for f in old.schema.fields])
             try:
-                return self.commit(fresh, added=True, base=base)
+                return self.commit(fresh, batch=batch, added=True, base=base)
             except LostClaim:
                 continue
 
@@ -295,6 +297,10 @@ def watermarks(spark: SparkSession, root: str) -> StateTable:
     return StateTable(spark, f"{root}/watermarks", WATERMARK_SCHEMA, "job", "seq")
 
 
+def copy_ledger(spark: SparkSession, root: str) -> StateTable:
+    return StateTable(spark, f"{root}/copies", COPY_SCHEMA, "job", "seq")
+
+
 def as_log_row(result: JobResult, **extra) -> dict:
     return {
         "run_id": result.run_id,

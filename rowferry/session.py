@@ -103,6 +103,20 @@ def size_of(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
+def move_in(spark: SparkSession, source: str, folder: str, prefix: str) -> None:
+    """Move the data files of one folder into another, each under a name of its own; files that are there already stay.
+
+    Names depend on ``prefix`` and the files' order alone, so a move that broke off is finished by another call.
+    """
+    fs, to = _fs(spark, folder)
+    fs.mkdirs(to)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in [n for n in children(spark, source) if n.startswith("part-")]:
+        target = path(f"{folder}/{prefix}-{name}")
+        if not fs.exists(target) and not fs.rename(path(f"{source}/{name}"), target):
+            raise OSError(f"cannot move {source}/{name} to {folder}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

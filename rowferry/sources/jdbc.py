@@ -9,12 +9,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowferry.functions.names import quote_name
 from rowferry.model import COLUMNS_SCHEMA, Endpoint
 from rowferry.operators.merge import keep_last
-from rowferry.operators.shards import MAX_SOURCE_SHARDS, KeyRange, check_shards, is_integer_key
+from rowferry.operators.shards import MAX_SOURCE_SHARDS, KeyRange, check_shards, edge_predicates, is_integer_key
 
 # Fixed value: rows per fetch and per insert batch.
 BATCH_ROWS = 1000
@@ -96,6 +96,45 @@ def read_sharded(spark: SparkSession, e: Endpoint, table: str, key: str, shards:
     )
 
 
+def edges_query(e: Endpoint, table: str, key: str, shards: int, where: str = "") -> str:
+    """The query by which a source itself cuts a table into ranges of like numbers of rows: where each but the first begins."""
+    name = quote_name(key, e.kind)
+    kept = f"{name} IS NOT NULL" + (f" AND ({where})" if where else "")
+    tiles = f"SELECT {name} AS EDGE, NTILE({shards}) OVER (ORDER BY {name}) AS TILE FROM {_table(e, table)} WHERE {kept}"
+    return f"SELECT TILE, MIN(EDGE) AS EDGE FROM ({tiles}) T WHERE TILE > 1 GROUP BY TILE"
+
+
+def edge_literal(value, kind: T.DataType) -> str:
+    """A range's edge as the source's SQL reads it."""
+    if isinstance(kind, T.NumericType):
+        return str(value)
+    if isinstance(kind, T.DateType):
+        return f"DATE '{value}'"
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return f"TIMESTAMP '{value}'"
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def read_balanced(spark: SparkSession, e: Endpoint, table: str, key: str, shards: int, where: str = "", max_shards: int = MAX_SOURCE_SHARDS) -> DataFrame:
+    """Parallel scan of key ranges with like numbers of rows, one connection each; for numbers, texts, dates and timestamps.
+
+    The source cuts the ranges, in its own order of the key: one query that
+    returns an edge for each range.
+    """
+    n = check_shards(shards, max_shards)
+    found = read_query(spark, e, edges_query(e, table, key, n, where))
+    kind = found.schema[1].dataType
+    instant = isinstance(kind, T.TimestampType)
+    # In the source's order, which need not be Spark's.
+    rows = found.select(found[0].alias("tile"), (found[1].cast("timestamp_ntz") if instant else found[1]).alias("edge")).orderBy("tile").collect()
+    edges = tuple(dict.fromkeys(edge_literal(r["edge"], kind) for r in rows))
+    predicates = ["1=1" if p == "true" else p for p in edge_predicates(quote_name(key, e.kind), edges)]
+    if where:
+        predicates = [f"({where}) AND ({p})" for p in predicates]
+    options = _options(e)
+    return spark.read.jdbc(options.pop("url"), _table(e, table), predicates=predicates, properties={**options, "fetchsize": str(BATCH_ROWS)})
+
+
 def count_rows(spark: SparkSession, e: Endpoint, table: str) -> int:
     """Rows of a table, counted by the source."""
     return int(read_query(spark, e, f"SELECT COUNT(*) AS N FROM {_table(e, table)}").first()[0])
