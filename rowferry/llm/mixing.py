@@ -4,16 +4,16 @@ At each node the budget is split by the children's weights, none above what its
 subtree holds in all allowed epochs; what one child lacks goes to its siblings,
 and only what a whole family lacks goes to the siblings of an ancestor. A leaf
 is then read in whole epochs, and its last epoch up to the token where its
-budget ends, in an order seeded by leaf epoch and document. Everything is built
-from DataFrame functions.
+budget ends, in an order seeded by leaf epoch and document; ``mix`` cuts the
+last text there. Everything is built from DataFrame functions.
 
 The end of a leaf's prefix is found by three narrowing looks at sums over hash
 ranges, so no leaf is ever sorted or held in one task.
 
 Nulls: null texts have no tokens and null levels are a value of their own. A
-null ``doc_id`` orders as the empty text. Rows that repeat an id within a leaf
-lie at one place of the order and enter together. A weight of zero takes
-nothing. With less text than budget everything is taken in all epochs. An empty
+null ``doc_id`` orders as the empty text. Rows that repeat an id are ordered by a
+hash of their text; where that is equal too they enter one by one, in no
+certain order. A weight of zero takes nothing. With less text than budget everything is taken in all epochs. An empty
 table gives an empty result. Other columns are kept by ``mixed``, whatever they
 are called but for names beginning with ``_mix``.
 """
@@ -100,8 +100,13 @@ def budgets(leaves: DataFrame, m: Mixture) -> DataFrame:
 
 
 def _order(seed: int, epoch: Column) -> Column:
-    """Where a document stands in an epoch of its leaf: 32 hexadecimal digits."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    """Where a document stands in an epoch of its leaf: 64 hexadecimal digits, of the seeded id and of the text."""
+    placed = F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    return F.concat(placed, F.col("_mix_text"))
+
+
+def _text_hash() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
 def _narrow(rows: DataFrame, plan: DataFrame, names: list[str], digits: Column, at: str) -> DataFrame:
@@ -118,7 +123,7 @@ def mix_plan(docs: DataFrame, m: Mixture = STANDARD) -> Staged:
     """Per leaf its tokens, its share, whole epochs, and where and after how many tokens of a document the last one ends."""
     names = [f"_mix_{x}" for x in LEVELS]
     tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    measured = Staged(docs.select(*[c.alias(n) for n, c in leaf_columns(m).items()], "doc_id", tokens.alias("_mix_tokens")), "tokens").df
+    measured = Staged(docs.select(*[c.alias(n) for n, c in leaf_columns(m).items()], "doc_id", _text_hash().alias("_mix_text"), tokens.alias("_mix_tokens")), "tokens").df
     leaves = Staged(measured.groupBy(*names).agg(F.sum("_mix_tokens").alias("held")), "leaves").df
     plan = budgets(leaves, m).withColumn("whole", F.when(F.col("held") > 0, F.expr("share div held")).otherwise(F.lit(0).cast("long")))
     plan = Staged(plan.withColumn("rest", F.col("share") - F.col("whole") * F.col("held")).withColumn("done", F.lit(0).cast("long")), "plan")
@@ -139,26 +144,47 @@ def _beside(rows: DataFrame, plan: Staged, names: list[str], extra: dict[str, st
     return rows.join(F.broadcast(table) if plan.small else table, names)
 
 
+def _numbered(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of one place numbered from 0, by file of a staged copy, so that no task numbers more than a file."""
+    held = Staged(rows, "last-places").df.select("*", F.col("_metadata.file_name").alias("_mix_file"), F.col("_metadata.row_index").alias("_mix_row"))
+    counts = held.groupBy(*names, "_mix_file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*names).orderBy("_mix_file").rowsBetween(Window.unboundedPreceding, -1))
+    based = held.join(counts.select(*names, "_mix_file", F.coalesce(before, F.lit(0).cast("long")).alias("_mix_base")), [*names, "_mix_file"])
+    within = F.row_number().over(Window.partitionBy(*names, "_mix_file").orderBy("_mix_row")) - 1
+    return based.withColumn("_mix_nth", F.col("_mix_base") + within).drop("_mix_file", "_mix_row", "_mix_base")
+
+
 def mixed(docs: DataFrame, plan: Staged, m: Mixture = STANDARD) -> DataFrame:
     """Each row with ``_mix_copies``, the epochs it enters, and ``_mix_cut``, the tokens of it in the last one if it is cut there."""
     names = [f"_mix_{x}" for x in LEVELS]
     ends = {"_mix_whole": "whole", "_mix_last": "last", "_mix_end": "cut"}
-    rows = _beside(docs.withColumns(leaf_columns(m)), plan, names, ends)
-    order = _order(m.seed, F.col("_mix_whole"))
-    enters = F.coalesce(order <= F.col("_mix_last"), F.lit(False))
-    return rows.withColumns({"_mix_copies": F.col("_mix_whole") + enters.cast("long"), "_mix_cut": F.when(enters & (order == F.col("_mix_last")), F.col("_mix_end"))}).drop(*ends)
+    rows = _beside(docs.withColumns(leaf_columns(m)).withColumn("_mix_text", _text_hash()), plan, names, ends).withColumn("_mix_order", _order(m.seed, F.col("_mix_whole")))
+    at_end = F.col("_mix_order").eqNullSafe(F.col("_mix_last"))
+    none = F.lit(None).cast("long")
+    enters = F.coalesce(F.col("_mix_order") < F.col("_mix_last"), F.lit(False))
+    plain = rows.where(~at_end).withColumns({"_mix_copies": F.col("_mix_whole") + enters.cast("long"), "_mix_cut": none})
+    # At the place where a leaf ends, equal rows enter one by one until its tokens are used up.
+    last = _numbered(rows.where(at_end), names).withColumn("_mix_tokens", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"))
+    left = F.col("_mix_end") - F.col("_mix_nth") * F.col("_mix_tokens")
+    last = last.withColumns({"_mix_copies": F.col("_mix_whole") + (left > 0).cast("long"), "_mix_cut": F.when((left > 0) & (left < F.col("_mix_tokens")), left)})
+    gone = (*ends, "_mix_text", "_mix_order")
+    return plain.drop(*gone).unionByName(last.drop(*gone, "_mix_nth", "_mix_tokens"))
 
 
 def mix_report(docs: DataFrame, m: Mixture = STANDARD) -> DataFrame:
     """``doc_id, domain, lang, source, n_tokens, copies, taken_tokens`` for every row."""
     tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = mixed(docs.select("doc_id", "lang", "source", tokens.alias("n_tokens")), mix_plan(docs, m), m)
+    rows = mixed(docs.select("doc_id", "lang", "source", "text", tokens.alias("n_tokens")), mix_plan(docs, m), m)
     lost = F.when(F.col("_mix_cut").isNotNull(), F.greatest(F.col("n_tokens") - F.col("_mix_cut"), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
     return rows.select("doc_id", F.col("_mix_domain").alias("domain"), "lang", "source", "n_tokens", F.col("_mix_copies").alias("copies"), (F.col("_mix_copies") * F.col("n_tokens") - lost).alias("taken_tokens"))
 
 
 def mix(docs: DataFrame, m: Mixture = STANDARD) -> DataFrame:
-    """The rows of the mixture with their columns, each as often as it enters; a document cut at the end enters whole."""
+    """The rows of the mixture with their columns, each as often as it enters; the last text of a leaf is cut behind its last token."""
     columns = docs.columns
     rows = mixed(docs, mix_plan(docs, m), m).where("_mix_copies > 0")
-    return rows.withColumn("_mix_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*columns)
+    each = rows.withColumn("_mix_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, 1, F.col("_mix_cut").cast("int")), "")
+    ends = F.col("_mix_cut").isNotNull() & (F.col("_mix_nth") == F.col("_mix_copies"))
+    return each.withColumn("text", F.when(ends, cut).otherwise(F.col("text"))).select(*columns)

@@ -115,7 +115,7 @@ def mixing_report() -> str:
     weight = lambda level: _case(level, m.weights.get(level, {}), "1")
     return f"""
 WITH rows_ AS (
-  SELECT row_number() OVER () AS rid, doc_id, lang AS lang_, source AS source_, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
+  SELECT row_number() OVER () AS rid, doc_id, md5(coalesce(text, '')) AS text_, lang AS lang_, source AS source_, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
     {_case("coalesce(source, '(none)')", m.domains, _text(m.other_domain))} AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source
   FROM documents
 ), leaves AS (
@@ -133,7 +133,7 @@ plan AS (
   SELECT domain, lang, source, CASE WHEN held > 0 THEN coalesce(share, 0) // held ELSE 0 END AS whole, coalesce(share, 0) - (CASE WHEN held > 0 THEN coalesce(share, 0) // held ELSE 0 END) * held AS rest
   FROM leaves LEFT JOIN s1 USING (domain, lang, source)
 ), placed AS (
-  SELECT r.*, whole, rest, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{m.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, ''))) - tokens AS before_
+  SELECT r.*, whole, rest, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{m.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), text_, rid ROWS UNBOUNDED PRECEDING) - tokens AS before_
   FROM rows_ r JOIN plan USING (domain, lang, source)
 )
 SELECT doc_id, domain, lang_ AS lang, source_ AS source, tokens AS n_tokens, (whole + CASE WHEN before_ < rest AND (tokens > 0 OR before_ < rest) THEN 1 ELSE 0 END)::BIGINT AS copies,

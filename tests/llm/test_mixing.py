@@ -1,8 +1,11 @@
 from collections import defaultdict
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from rowferry.llm import mixing
+from oracle_check import compare
+from rowferry.llm import mixing, oracles
 
 
 def poured(budget, caps, weights):
@@ -54,9 +57,50 @@ def test_awkward_rows(awkward, nothing):
     out = mixing.mix(awkward)
     assert out.columns == awkward.columns
     assert out.count() == got.agg(F.sum("copies")).first()[0]
+    assert tokens_of(out) == got.agg(F.sum("taken_tokens")).first()[0]
     assert mixing.mix_report(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
+def tokens_of(df):
+    return df.agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)))).first()[0]
+
+
+@pytest.fixture(scope="module")
+def repeats(spark, tmp_path_factory):
+    """Null and repeated ids, with equal and other texts, in leaves that end inside them."""
+    rows = [(None, f"no id but words {i % 3} and more", "en", "src1", i) for i in range(300)]
+    rows += [(7, "the same row again and again", "de", "src4", 1)] * 300 + [(8, f"one id other text {i}", "fr", "src6", i) for i in range(200)]
+    rows += [(100 + i, "w " * (i % 40), "en", "src0", i) for i in range(400)] + [(None, None, None, None, None), (9, "", "es", "src8", 0)]
+    at = str(tmp_path_factory.mktemp("repeats"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_repeats_meet_each_leafs_share(spark, repeats):
+    docs = spark.read.parquet(f"{repeats}/documents.parquet")
+    rows = mixing.mix_report(docs)
+    names = [f"_mix_{x}" for x in mixing.LEVELS]
+    plan = {tuple(r[n] for n in names): r["share"] for r in mixing.mix_plan(docs).df.collect()}
+    got = {(r["domain"], r["lang"] or mixing.NONE, r["source"] or mixing.NONE): r["t"] for r in rows.groupBy("domain", "lang", "source").agg(F.sum("taken_tokens").alias("t")).collect()}
+    assert got == plan
+    assert rows.count() == docs.count() and rows.where("taken_tokens > copies * n_tokens").isEmpty()
+
+
+def test_query_and_sql_agree_on_repeats(spark, repeats):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{repeats}/documents.parquet/*.parquet')")
+    assert compare(spark, con, lambda s, d: mixing.mix_report(s.read.parquet(f"{d}/documents.parquet")), oracles.mixing_report(), repeats) == ""
+
+
+def test_the_last_text_of_a_leaf_is_cut(spark, repeats):
+    docs = spark.read.parquet(f"{repeats}/documents.parquet")
+    out, report = mixing.mix(docs), mixing.mix_report(docs)
+    assert tokens_of(out) == report.agg(F.sum("taken_tokens")).first()[0]
+    whole = {r["text"] for r in docs.collect()}
+    cut = [r["text"] for r in out.collect() if r["text"] not in whole]
+    assert cut and all(any(w and w.startswith(c) for w in whole) for c in cut)
+
+
 def test_an_order_depends_on_the_seed(docs):
     a = {r["doc_id"] for r in mixing.mix_report(docs).where("copies = 1").collect()}
     b = {r["doc_id"] for r in mixing.mix_report(docs, mixing.Mixture(mixing.STANDARD.domains, weights=mixing.STANDARD.weights, seed=8)).where("copies = 1").collect()}
