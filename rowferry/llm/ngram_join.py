@@ -2,8 +2,9 @@
 
 1. Every text becomes the set of its hashed shingles; equal sets are one class, and a class's smallest id stands for it.
 2. A pair that is similar enough must share one of the first ``n - ceil(t n) + 1`` shingles of each set, in any fixed
-   order. The order begins with a fifth of all shingles, by hash, and of these the ones that many texts hold come last,
-   so boilerplate makes few candidates. A bitmap of fixed size says which are common.
+   order. The order begins with twice as many shingles as a prefix takes, by hash, and of these the rarer ones come
+   first, so boilerplate makes few candidates. How often a shingle occurs is read from a table of sums of fixed size
+   over all texts: where the corpus is large its sums are large too, but what many texts share still stands out.
    Sets that share a prefix shingle, at sizes that can match, are chained; chains make groups.
 3. Within a group, cut into blocks of bounded size, products of incidence blocks count the overlap of all pairs at
    once. Pairs below the bound that their sizes set are dropped; what is left are the links.
@@ -37,9 +38,9 @@ BLOCK = 1024
 # A shingle in more rows of a product than this is counted by a dense product, others pair by pair.
 DENSE = 40
 _SLAB = 4096
-# Hashes below this are low.
-LOW = np.uint64((1 << 64) // 5)
-COMMON_BITS = 1 << 24
+# Sums of how often shingles occur, by their low hash bits, and how many of them are sent as one row.
+SUMS = 1 << 20
+SUMS_ROW = 1 << 15
 # Sets at one prefix shingle that are compared pair by pair for ties.
 LIGHT = 128
 # Shingles of all sets of a block, about; and of a product before it is taken.
@@ -82,10 +83,15 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
+def low_limit(percent: int) -> np.uint64:
+    """Hashes below this are low: twice the share that a prefix takes."""
+    return np.uint64(min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100))
+
+
 def low_shingles(flat: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles from which each set's prefix is taken, by hash: all low ones, and more if those are too few."""
     size = np.diff(offsets)
-    low = np.concatenate([[0], np.cumsum(flat < LOW)])
+    low = np.concatenate([[0], np.cumsum(flat < low_limit(percent))])
     take = np.maximum(prefix_size(size, percent), low[offsets[1:]] - low[offsets[:-1]])
     ends = np.concatenate([[0], np.cumsum(take)])
     return flat[np.arange(ends[-1]) + np.repeat(offsets[:-1] - ends[:-1], take)], ends
@@ -95,28 +101,46 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
 
 
-def prefixes(low: np.ndarray, ends: np.ndarray, size: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of each set in the order: low and rare, low and common, all others; by hash within each."""
-    rank = np.where(low < LOW, common[(low & np.uint64(COMMON_BITS - 1)).astype(np.int64)], 2).astype(np.int64)
+def prefixes(low: np.ndarray, ends: np.ndarray, size: np.ndarray, percent: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set in the order: the low ones by how often they occur, then all others; by hash within each."""
+    often = sums[(low & np.uint64(SUMS - 1)).astype(np.int64)].astype(np.int64)
+    rank = np.where(low < low_limit(percent), often, np.iinfo(np.int64).max)
     owner = np.repeat(np.arange(len(size)), np.diff(ends))
-    low = low[np.argsort(owner * 3 + rank, kind="stable")]
+    low = low[np.lexsort((low, rank, owner))]
     take = prefix_size(size, percent)
     out = np.concatenate([[0], np.cumsum(take)])
     return low[np.arange(out[-1]) + np.repeat(ends[:-1] - out[:-1], take)], out
 
 
-def common_shingles(tokens: DataFrame) -> np.ndarray:
-    """Whether a shingle is in more than ``LIGHT`` of the sets, by its low hash bits: a map of fixed size.
+def shingle_sums(sets: DataFrame) -> np.ndarray:
+    """How often low shingles occur in all sets, added up by their low hash bits; two that meet in a sum share it.
 
-    It only orders prefixes: where two shingles meet in a bit, any outcome gives the same links.
+    It only orders prefixes: any outcome gives the same links.
     """
-    bit = F.col("token").bitwiseAND(F.lit(COMMON_BITS - 1))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") > LIGHT)
-    words = often.select((bit / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast((token & {COMMON_BITS - 1}L) & 63 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    got = words.toArrow()
-    out = np.zeros(COMMON_BITS // 64, np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+    def add(batches):
+        sums = np.zeros(SUMS, np.int64)
+        for batch in batches:
+            low = batch.column("low").flatten().to_numpy()
+            sums += np.bincount(low & (SUMS - 1), minlength=SUMS)
+        if sums.any():
+            for row in range(0, SUMS, SUMS_ROW):
+                yield pa.RecordBatch.from_pydict({"row": pa.array([row]), "sums": pa.array([sums[row : row + SUMS_ROW].tobytes()], pa.binary())})
+
+    def gather(batches):
+        rows: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, data in zip(batch.column("row").to_pylist(), batch.column("sums").to_pylist()):
+                rows[row] = rows.get(row, 0) + np.frombuffer(data, np.int64)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array([x.tobytes() for x in rows.values()], pa.binary())], ["row", "sums"])
+
+    kind = "row long, sums binary"
+    got = sets.select("low").mapInArrow(add, kind).repartition("row").mapInArrow(gather, kind).toArrow()
+    out = np.zeros(SUMS, np.int64)
+    for row, data in zip(got.column("row").to_pylist(), got.column("sums").to_pylist()):
+        out[row : row + SUMS_ROW] = np.frombuffer(data, np.int64)
+    return out
 
 
 def bitmaps(flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -212,12 +236,13 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), low, pa.array(bitmaps(flat, offsets), pa.binary())], ["doc_id", "mark", "n", "key", "low", "map"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    held = Staged(texts.mapInArrow(sketch, "doc_id long, mark long, n long, key binary, low array<long>, map binary"), "shingles").df
-    limit = int(LOW)
-    common = context.broadcast(common_shingles(held.select(F.explode("low").alias("token")).where((F.col("token") >= 0) & (F.col("token") < limit))))
+    sketches = Staged(texts.mapInArrow(sketch, "doc_id long, mark long, n long, key binary, low array<long>, map binary"), "shingles")
+    held = Staged(sketches.df.select("doc_id", "mark", "n", "key"), "sets").df
+    sums = context.broadcast(shingle_sums(sketches.df))
     real = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # One row for each id and set; ids of several sets are told apart, as their links cannot be summed by class.
-    pairs = Staged(real.groupBy("doc_id", "key").agg(F.min("mark").alias("mark"), F.max("n").alias("n")), "pairs").df
+    paired = Staged(real.groupBy("doc_id", "key").agg(F.min("mark").alias("mark"), F.max("n").alias("n")), "pairs")
+    pairs = paired.df
     several = Staged(pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("doc_id"), "several")
     several_ids = F.broadcast(several.df) if several.small else several.df
     told = pairs.join(several_ids.withColumn("many", F.lit(True)), "doc_id", "left").withColumn("many", F.coalesce("many", F.lit(False)))
@@ -228,17 +253,20 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
     # A node only makes groups: two classes at one node share a group, no more.
     classes = Staged(classes.withColumn("node", F.when(F.col("many"), F.xxhash64("key")).otherwise(F.col("rep"))).drop("many"), "classes").df
     named = Staged(pairs.join(several_ids, "doc_id").select("key", "doc_id"), "named").df
+    for done in (paired, several):
+        remove(docs.sparkSession, done.path)
 
     # Candidates: sets that share a prefix shingle.
     def first_ones(batches):
         for batch in batches:
             low = batch.column("low")
             ends = low.offsets.to_numpy().astype(np.int64)
-            first = prefixes(low.flatten().to_numpy().view(np.uint64), ends - ends[0], batch.column("n").to_numpy(), percent, common.value)
+            first = prefixes(low.flatten().to_numpy().view(np.uint64), ends - ends[0], batch.column("n").to_numpy(), percent, sums.value)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "n", "map")] + [lists(*first)], ["node", "n", "map", "prefix"])
 
-    begun = real.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "map", "low"))).join(classes.select("key", "node"), "key").select("node", "n", "map", "low")
+    begun = sketches.df.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "map", "low"))).join(classes.select("key", "node"), "key").select("node", "n", "map", "low")
     begun = Staged(begun.mapInArrow(first_ones, "node long, n long, map binary, prefix array<long>"), "prefixes")
+    remove(docs.sparkSession, sketches.path)
     reps = begun.df
     tokens = reps.select("node", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen"), F.min("n").alias("least"), F.max("n").alias("most"))

@@ -300,3 +300,17 @@ def test_an_id_with_very_many_rows_counts_once(spark):
     rows = [(1, " ".join(a))] * 3000 + [(2, b)]
     got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).distinct().collect()
     assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(1, 1, 1), (2, 1, 1)]
+
+
+@pytest.mark.parametrize("size, percent", [(3, 90), (5, 80)])
+def test_what_many_texts_share_stays_out_of_prefixes(size, percent):
+    """Texts of other words that end alike have no prefix shingle of that end, so it ties none of them."""
+    rng = np.random.default_rng(6)
+    end = " ".join(f"end{i}" for i in range(60))
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 240)) + " " + end for _ in range(400)])
+    flat, offsets = ngram_join.shingle_sets(texts, size)
+    sums = np.bincount(flat & np.uint64(ngram_join.SUMS - 1), minlength=ngram_join.SUMS)
+    low, ends = ngram_join.low_shingles(flat, offsets, percent)
+    first, _ = ngram_join.prefixes(low, ends, np.diff(offsets), percent, sums)
+    _, seen = np.unique(first, return_counts=True)
+    assert (seen == 1).mean() > 0.99 and seen.max() <= 2
