@@ -297,6 +297,9 @@ FROM (SELECT l_orderkey % 50 <> 0 AS there, l_partkey % 70 <> 0 AS same_q, l_sup
     "differing_keys": """
 SELECT o_orderkey, CAST(1 AS BIGINT) AS source_rows, CAST(CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE 1 END AS BIGINT) AS target_rows
 FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 70 = 0""",
+    "descend_keys": """
+SELECT o_orderkey, CAST(1 AS BIGINT) AS source_rows, CAST(CASE WHEN o_orderkey = n // 3 THEN 0 ELSE 1 END AS BIGINT) AS target_rows
+FROM orders, (SELECT max(o_orderkey) AS n FROM orders) WHERE o_orderkey BETWEEN n * 2 // 5 AND n * 2 // 5 + 20 OR o_orderkey = n // 3""",
     "tolerant_match": """
 SELECT l_returnflag, count(*) AS rows, count(*) FILTER (WHERE l_linenumber <> 7 AND l_suppkey % 5 <> 0) AS matched
 FROM lineitem GROUP BY 1""",

@@ -435,6 +435,15 @@ def differing_keys(spark, d):
     return quality.differing_keys(orders, drifted_orders(orders), ["o_orderkey"], _order_pairs(orders))
 
 
+def descend_keys(spark, d):
+    """Two nearly equal tables whose differences lie in few key ranges: a dense stretch and one missing row."""
+    orders = table(spark, d, "orders")
+    top = orders.agg(F.max("o_orderkey").alias("n")).first()["n"]
+    changed = F.col("o_orderkey").between(top * 2 // 5, top * 2 // 5 + 20)
+    target = orders.where(F.col("o_orderkey") != top // 3).withColumn("o_totalprice", F.col("o_totalprice") + F.when(changed, 1).otherwise(0))
+    return quality.descend(orders, target, ["o_orderkey"], _order_pairs(orders), least=500)
+
+
 def tolerant_match(spark, d):
     """Text forms compared: equal, numerically close, and far values, and texts that only start like a number."""
     lines = table(spark, d, "lineitem")
@@ -898,7 +907,7 @@ QUERIES = [
     incremental_two_runs, next_watermark, point_lookup, key_bounds, shard_counts, shard_union, balanced_shards, balanced_union, resumed_copy, resumed_job, resumed_upsert,
     insert_skip, upsert, upsert_last_wins, upsert_job, append_job, replace_docs, duplicate_keys, csv_round_trip,
     type_map, catalog_primary_keys, auto_map, create_table_ddl, schema_diff, alter_ddl, structure_job,
-    quality_counts, quality_sample, quality_random_sample, quality_status, full_compare, compare_tables, differing_keys, tolerant_match,
+    quality_counts, quality_sample, quality_random_sample, quality_status, full_compare, compare_tables, differing_keys, descend_keys, tolerant_match,
     param_query, export_query, sql_import, preview_page, page_offset, page_deep, page_text_rest, page_ties,
     apply_changes_strict, apply_changes_upsert, apply_changes_hot, apply_changes_one_key, apply_key_moves, apply_unchanged_values, apply_keyless,
     mapped_feed, feed_rejects, stream_replicate, stream_keyless, apply_schema_messages, schema_message_rejects, stream_schema_messages,
