@@ -69,10 +69,15 @@ class Endpoint:
 
 @dataclass(frozen=True)
 class Watermark:
-    """High-water column of an incremental job; ``kind`` is ``id`` or ``timestamp``."""
+    """High-water column of an incremental job; ``kind`` is ``id`` or ``timestamp``.
+
+    ``overlap``, in ids or seconds, is how far below the last mark each run
+    looks again, for rows that were committed late or tie with the mark.
+    """
 
     column: str
     kind: str
+    overlap: int = 0
 
     def __post_init__(self):
         if self.kind not in ("id", "timestamp"):

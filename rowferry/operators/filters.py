@@ -27,14 +27,14 @@ def where_all(df: DataFrame, *predicates: str | Column | None) -> DataFrame:
     return df
 
 
-def _number(text: str):
+def mark_number(text: str):
     try:
         return int(text)
     except ValueError:
         return Decimal(text)
 
 
-def _utc(text: str) -> datetime:
+def mark_instant(text: str) -> datetime:
     """RFC 3339 text (or a zone-free timestamp, taken as UTC) as naive UTC."""
     at = datetime.fromisoformat(text.strip())
     return at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
@@ -44,8 +44,8 @@ def mark_literal(df: DataFrame, mark: Watermark, value: str) -> Column:
     """A stored mark as a literal of the column's own type, so the comparison reaches the scan."""
     kind = df.schema[mark.column].dataType
     if mark.kind == "id":
-        return F.lit(_number(value))
-    at = _utc(value).isoformat(sep=" ")
+        return F.lit(mark_number(value))
+    at = mark_instant(value).isoformat(sep=" ")
     if isinstance(kind, T.TimestampType):
         return F.lit(at + "Z").cast(kind)
     if isinstance(kind, T.DateType):
@@ -93,7 +93,7 @@ def _literal(value):
         if tag == "$date":
             millis = raw.get("$numberLong") if isinstance(raw, Mapping) else raw
             if isinstance(millis, str) and not millis.lstrip("-").isdigit():
-                return F.lit(_utc(millis).isoformat(sep=" ")).cast("timestamp_ntz")
+                return F.lit(mark_instant(millis).isoformat(sep=" ")).cast("timestamp_ntz")
             return F.timestamp_millis(F.lit(int(millis))).cast("timestamp_ntz")
     if isinstance(value, (Mapping, list)):
         raise ValueError(f"unsupported value in document filter: {value!r}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
@@ -14,7 +15,7 @@ from rowferry.functions.names import export_path, high_water_text
 from rowferry.functions.params import parameterised_query
 from rowferry.model import Endpoint, JobResult, JobSpec, Watermark
 from rowferry.operators import merge as M
-from rowferry.operators.filters import after_mark, document_predicate, where_all
+from rowferry.operators.filters import after_mark, document_predicate, mark_instant, mark_number, where_all
 from rowferry.operators.mapping import column, column_pairs, map_columns
 from rowferry.operators.quality import check_quality
 from rowferry.operators.shards import MAX_SOURCE_SHARDS, Cuts, balanced_cuts, is_integer_key
@@ -86,6 +87,46 @@ def incremental_batch(source: DataFrame, mark: Watermark, last: str, filter_by:
     return after_mark(base, mark, last, hi), hi
 
 
+def lower_mark(mark: Watermark, value: str) -> str:
+    """A stored mark less the overlap."""
+    if not value or not mark.overlap:
+        return value
+    if mark.kind == "id":
+        return str(mark_number(value) - mark.overlap)
+    return high_water_text(mark_instant(value) - timedelta(seconds=mark.overlap))
+
+
+def _with_digest(df: DataFrame) -> DataFrame:
+    """Rows with 128 bits of their whole content."""
+    parts = M.hash_parts(df, df.columns)
+    return df.withColumns({"_digest_a": F.xxhash64(*parts), "_digest_b": F.xxhash64(F.lit(7), *parts)})
+
+
+DIGEST = ["_digest_a", "_digest_b"]
+
+
+def overlapping_batch(source: DataFrame, mark: Watermark, last: str, seen: DataFrame | None, filter_by: str | Column = "") -> tuple[DataFrame, str, DataFrame]:
+    """``(rows to copy, new mark, digests to keep)``: rows above the mark, and those below it, within the overlap, that were not there before.
+
+    ``seen`` holds digests and counts of the rows that earlier runs copied from
+    the overlap. A row is known by all its columns, so ties on the mark and rows
+    without a key are told apart, and of equal rows as many are copied as are new.
+    """
+    base, low = where_all(source, filter_by), lower_mark(mark, last)
+    upto = high_water(after_mark(base, mark, low), mark) or last
+    rows = after_mark(base, mark, low, upto) if upto else base.where(F.lit(False) if last else column(mark.column).isNull())
+    marked = _with_digest(rows)
+    kept = after_mark(marked.where(column(mark.column).isNotNull()), mark, lower_mark(mark, upto)) if upto else marked.limit(0)
+    digests = kept.groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("n"))
+    if seen is None:
+        return rows, upto, digests
+    fresh = marked.join(seen.select(*DIGEST), DIGEST, "left_anti").drop(*DIGEST)
+    # Rows that were there before, but fewer of them.
+    again = marked.join(seen, DIGEST).groupBy(*DIGEST, "n").agg(F.first(F.struct(*[column(c) for c in rows.columns])).alias("row"), F.count(F.lit(1)).alias("now"))
+    more = again.where("now > n").select("row", F.explode(F.sequence(F.col("n") + 1, F.col("now")))).select("row.*")
+    return fresh.unionByName(more), upto, digests
+
+
 def write_rows(
     df: DataFrame,
     e: Endpoint,
@@ -248,7 +289,9 @@ def _dispatch(spark: SparkSession, spec: JobSpec, root: str, runtime, result: Jo
     if spec.kind in ("data", "both"):
         tell("data", 0, 0.0)
         last = last_mark(spark, root, spec.name) if spec.watermark else ""
-        if spec.chunks:
+        if spec.watermark and spec.watermark.overlap:
+            result.rows, result.high_water = _copy_overlap(spark, source, spec, root, last)
+        elif spec.chunks:
             last, result.high_water, result.rows = _copy_by_ledger(spark, source, spec, root, last, tell)
         else:
             rows, result.high_water = copy_plan(source, spec, last)
@@ -257,6 +300,25 @@ def _dispatch(spark: SparkSession, spec: JobSpec, root: str, runtime, result: Jo
             result.quality = _quality(spark, spec, source, last, result.high_water)
 
 
+def _copy_overlap(spark: SparkSession, source: DataFrame, spec: JobSpec, root: str, last: str) -> tuple[int, str]:
+    """An incremental copy that looks again below its mark; the digests it goes by are kept under the mark they belong to."""
+    if spec.chunks:
+        raise ValueError("a copy in chunks cannot overlap earlier ones")
+
+    def kept(mark: str) -> str:
+        return f"{root}/seen/{spec.name}/{hashlib.sha256(mark.encode()).hexdigest()[:32]}"
+
+    seen = spark.read.parquet(kept(last)) if last and exists(spark, f"{kept(last)}/_SUCCESS") else None
+    picked, upto, digests = overlapping_batch(source, spec.watermark, last, seen, row_filter(source, spec))
+    with Staged(digests, "digests") as fresh:  # read before the write and kept after it, as the mark is
+        written = _write_counted(copy_plan(picked, replace(spec, watermark=None, filter=""))[0], spec)
+        if upto:
+            fresh.df.write.mode("overwrite").parquet(kept(upto))
+    if last and upto != last:
+        remove(spark, kept(last))
+    return written, upto
+
+
 # Numbers of one copy's chunks stay below this, so a later copy's are all larger.
 _CHUNKS = 1 << 20
 

@@ -183,6 +183,7 @@ SELECT CAST(least((l_orderkey - b.lo) // b.step, 7) AS INTEGER) AS shard, count(
     "balanced_shards": "SELECT unnest(['squared', 'name', 'at']) AS key, 8 AS shards, TRUE AS even, (SELECT count(*) FROM lineitem) AS rows",
     "balanced_union": "SELECT l_orderkey, l_linenumber, 'k' || CAST(l_orderkey * l_orderkey AS VARCHAR) AS name FROM lineitem",
     "resumed_job": "SELECT o_orderkey AS order_id, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' OR o_totalprice > 200000",
+    "late_rows": "SELECT * FROM events",
     "resumed_upsert": "SELECT * FROM events",
     "shard_union": "SELECT * FROM labels",
     "resumed_copy": "SELECT * FROM orders",

@@ -139,6 +139,23 @@ def resumed_upsert(spark, d):
     return jobs.read_target(spark, spec.target, "events", ["event_id"])
 
 
+def late_rows(spark, d):
+    """Two runs of an append job; rows of the last days before its mark, and ties with it, arrive between them."""
+    out = scratch_path(spark, "late")
+    events = table(spark, d, "events")
+    middle = events.agg(F.percentile_approx("event_id", 0.5).alias("n")).first()["n"]
+    early = events.where((F.col("event_id") <= middle) & ((F.col("event_id") % 7 > 0) | (F.col("event_id") < middle - 500)))
+    spec = JobSpec(
+        name="events-late", source=Endpoint("parquet", path=f"{out}/source"), source_table="events", target=Endpoint("parquet", path=out), target_table="events",
+        watermark=Watermark("event_id", "id", overlap=600), quality=False,
+    )
+    early.write.parquet(f"{out}/source/events")
+    done(jobs.run_job(spark, spec, f"{out}/_jobs"))
+    events.join(early.select("event_id"), "event_id", "left_anti").select(*events.columns).write.mode("append").parquet(f"{out}/source/events")
+    done(jobs.run_job(spark, spec, f"{out}/_jobs"))
+    return jobs.read_target(spark, spec.target, "events")
+
+
 def next_watermark(spark, d):
     return filters.where_all(table(spark, d, "orders"), "o_orderstatus <> 'P'").agg(F.max("o_orderkey").alias("high_water"))
 
@@ -904,7 +921,7 @@ QUERIES = [
     differing_keys_nulls, compare_tables_nulls, full_compare_repeats, decimal_match, chained_upsert, incremental_ltz, incremental_ltz_whole,
     inferred_schema, schema_columns, param_quoted, feed_unfit,
     table_scan, filtered_count, filtered_copy, mapped_copy, or_filter_with_watermark, incremental_id, incremental_ts,
-    incremental_two_runs, next_watermark, point_lookup, key_bounds, shard_counts, shard_union, balanced_shards, balanced_union, resumed_copy, resumed_job, resumed_upsert,
+    incremental_two_runs, next_watermark, point_lookup, key_bounds, shard_counts, shard_union, balanced_shards, balanced_union, resumed_copy, resumed_job, resumed_upsert, late_rows,
     insert_skip, upsert, upsert_last_wins, upsert_job, append_job, replace_docs, duplicate_keys, csv_round_trip,
     type_map, catalog_primary_keys, auto_map, create_table_ddl, schema_diff, alter_ddl, structure_job,
     quality_counts, quality_sample, quality_random_sample, quality_status, full_compare, compare_tables, differing_keys, descend_keys, tolerant_match,
