@@ -350,6 +350,15 @@ WHERE ((event_type = 'purchase' AND value >= 15) OR {K} IN (1, 2, 3) OR (event_t
 SELECT event_id AS _id, {K} AS "event.detail.k", value AS "event.detail.amount" FROM events WHERE event_type NOT IN ('click', 'view')""",
     "run_report": f"""
 WITH {RUNS} SELECT r.id, r.task_id, r.status, j.name AS task_name FROM runs r LEFT JOIN jobs j ON j.id = r.task_id WHERE r.status = 'failed'""",
+    "verified_job": """
+WITH n AS (SELECT count(*) AS whole, count(*) FILTER (o_orderstatus = 'P' OR o_totalprice > 200000) AS copied FROM orders)
+SELECT 'orders-copy' AS job, 'success' AS status, copied AS rows_synced, whole AS source_rows, copied AS target_rows, least(whole, 50) AS sample_total,
+       CASE WHEN whole - copied > 0.01 * whole THEN 'failed' WHEN whole <> copied THEN 'warning' ELSE 'passed' END AS quality_status FROM n""",
+    "run_log_rows": """
+WITH n AS (SELECT count(*) FILTER (o_orderstatus = 'P' OR o_totalprice > 200000) AS copied FROM orders)
+SELECT 'orders-copy' AS job, 'success' AS status, copied AS rows_synced, FALSE AS has_error, TRUE AS ended, 'manual' AS triggered_by, NULL AS quality_status FROM n
+UNION ALL SELECT 'no-table', 'failed', 0, TRUE, TRUE, 'manual', NULL
+UNION ALL SELECT 'again', 'success', copied, FALSE, TRUE, 'manual', 'passed' FROM n""",
     "latest_runs": f"""
 WITH {RUNS}
 SELECT r.id, r.task_id, r.status, j.name AS task_name FROM runs r LEFT JOIN jobs j ON j.id = r.task_id ORDER BY r.id DESC LIMIT 10""",
@@ -376,7 +385,6 @@ FROM orders""",
     "decimal_match": """
 SELECT o_orderstatus, count(*) FILTER (WHERE o_orderkey % 3 <> 1) AS decimals, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS longs FROM orders GROUP BY 1""",
     "chained_upsert": "SELECT * FROM orders WHERE o_orderkey % 2 = 0",
-    "incremental_ltz": "SELECT event_id, 1700000000 + event_id AS seconds FROM events WHERE (event_id % 1000 < 400 AND event_id < 4000) OR event_id >= 4000",
     "incremental_ltz_whole": "SELECT event_id, 1700000000 + event_id AS seconds FROM events",
     "inferred_schema": """
 SELECT * FROM (VALUES (1, '_id', 'int', false, true), (2, 'mixed', 'string', true, false), (3, 'sub.even', 'bool', true, false), (4, 'sub.rare', 'double', true, false)) AS t(ordinal, name, raw_type, nullable, is_primary)

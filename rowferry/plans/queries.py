@@ -12,7 +12,7 @@ from rowferry.operators import changes as X
 from rowferry.operators import filters, keyless, mapping, merge, paging, quality, relations, schema, shards
 from rowferry.plans import jobs, reports
 from rowferry.plans.preview import export_job
-from rowferry.plans.store import KeyedTable
+from rowferry.plans.store import KeyedTable, run_log
 from rowferry.session import remove, scratch_path
 from rowferry.sources import documents, files
 from rowferry.streaming import replicate as R
@@ -782,6 +782,33 @@ def run_report(spark, d):
     return reports.run_report(event_runs(spark, d), customer_jobs(spark, d), "failed").select("id", "task_id", "status", "task_name")
 
 
+def _logged_copy(spark, d, out, **more):
+    base = dict(
+        name="orders-copy", source=Endpoint("parquet", path=d), source_table="orders.parquet", target=Endpoint("parquet", path=out), target_table="orders",
+        filter=OR_FILTER, write="upsert", keys=["o_orderkey"], buckets=4, quality=False,
+    )
+    return JobSpec(**{**base, **more})
+
+
+def verified_job(spark, d):
+    """A filtered copy checked on demand against its whole source; the outcome stands on its newest run."""
+    out = scratch_path(spark, "verified")
+    spec = _logged_copy(spark, d, out)
+    done(jobs.run_job(spark, spec, f"{out}/_jobs"))
+    jobs.verify_job(spark, spec, f"{out}/_jobs")
+    return run_log(spark, f"{out}/_jobs").latest().select("job", "status", "rows_synced", "source_rows", "target_rows", "sample_total", "quality_status")
+
+
+def run_log_rows(spark, d):
+    """What the run log holds after a copy, one that fails, and one that finds the rows there already."""
+    out = scratch_path(spark, "log")
+    jobs.run_job(spark, _logged_copy(spark, d, out), f"{out}/_jobs")
+    jobs.run_job(spark, _logged_copy(spark, d, out, name="no-table", source_table="none.parquet"), f"{out}/_jobs")
+    jobs.run_job(spark, _logged_copy(spark, d, out, name="again", quality=True), f"{out}/_jobs")
+    rows = run_log(spark, f"{out}/_jobs").latest()
+    return rows.select("job", "status", "rows_synced", (F.col("error_msg") != "").alias("has_error"), F.col("end_time").isNotNull().alias("ended"), "triggered_by", "quality_status")
+
+
 def latest_runs(spark, d):
     return reports.latest_runs(event_runs(spark, d), customer_jobs(spark, d)).select("id", "task_id", "status", "task_name")
 
@@ -849,24 +876,8 @@ def chained_upsert(spark, d):
     return jobs.read_endpoint(spark, onward.target, "orders")
 
 
-def incremental_ltz(spark, d):
-    """Instants as marks in a session far from UTC: two runs copy every event of two id ranges once; 400 of each 1000 ids below 4000."""
-    out = scratch_path(spark, "ltz")
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    try:
-        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
-        events = table(spark, d, "events").select("event_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("at"))
-        spec = dict(name="ltz", source=Endpoint("parquet", path=f"{out}/src"), source_table="events", target=Endpoint("parquet", path=f"{out}/dst"), target_table="events", watermark=Watermark("at", "timestamp"), quality=False)
-        for part in ("event_id % 1000 < 400 AND event_id < 4000", "event_id >= 4000"):
-            events.where(part).write.mode("append").parquet(f"{out}/src/events")
-            done(jobs.run_job(spark, JobSpec(**spec), out))
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", zone)
-    return spark.read.parquet(f"{out}/dst/events").select("event_id", F.unix_seconds("at").alias("seconds"))
-
-
 def incremental_ltz_whole(spark, d):
-    """``incremental_ltz`` over the whole table: events below half of the largest id first, all others next."""
+    """Instants as marks in a session far from UTC: events below half of the largest id first, all others next; each is copied once."""
     out = scratch_path(spark, "ltz")
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
@@ -918,7 +929,7 @@ def feed_unfit(spark, d):
 
 
 QUERIES = [
-    differing_keys_nulls, compare_tables_nulls, full_compare_repeats, decimal_match, chained_upsert, incremental_ltz, incremental_ltz_whole,
+    differing_keys_nulls, compare_tables_nulls, full_compare_repeats, decimal_match, chained_upsert, incremental_ltz_whole,
     inferred_schema, schema_columns, param_quoted, feed_unfit,
     table_scan, filtered_count, filtered_copy, mapped_copy, or_filter_with_watermark, incremental_id, incremental_ts,
     incremental_two_runs, next_watermark, point_lookup, key_bounds, shard_counts, shard_union, balanced_shards, balanced_union, resumed_copy, resumed_job, resumed_upsert, late_rows,
@@ -929,7 +940,7 @@ QUERIES = [
     apply_changes_strict, apply_changes_upsert, apply_changes_hot, apply_changes_one_key, apply_key_moves, apply_unchanged_values, apply_keyless,
     mapped_feed, feed_rejects, stream_replicate, stream_keyless, apply_schema_messages, schema_message_rejects, stream_schema_messages,
     flatten_documents, document_filter, document_round_trip,
-    run_report, latest_runs, latest_files, run_summary,
+    run_report, latest_runs, latest_files, run_summary, verified_job, run_log_rows,
 ]
 
 
