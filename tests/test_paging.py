@@ -39,7 +39,7 @@ def content(rows):
     return [repr(tuple(r)) for r in rows]
 
 
-@pytest.mark.parametrize("order", [["t", "d"], ["at"], ["ok", "nt"], ["tags", "x"]])
+@pytest.mark.parametrize("order", [["t", "d"], ["tags", "at"]])
 def test_pages_of_any_order_equal_the_sorted_table(mixed, small, order):
     whole = content(paging.TotalOrder(mixed, order).sort(mixed).collect())
     for offset, limit in ((333, 0), (len(whole) - 5, 50)):
@@ -72,7 +72,7 @@ def test_all_that_follow_stay_in_many_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("offset", [3, 499, 2000])
+@pytest.mark.parametrize("offset", [3, 499])
 def test_deep_pages_equal_plain_pages(spark, offset):
     df = spark.range(1000).selectExpr("IF(id % 11 = 0, NULL, IF(id % 3 = 0, 7, id % 50)) AS a", "id")
     want = df.orderBy("a", "id").offset(offset).limit(40).collect()

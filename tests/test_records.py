@@ -41,7 +41,7 @@ def got(df):
 TRICKY = 'id,"no\nte",x\n1,"a ""quoted"", text\nsecond line",\n2,"",""""\n\n3,"\n\n\n\n""\n",z\r\n4,"é漢\r\n字",q\n5,plain,"end\n"'
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 8, 11, 13, 17, 19, 23, 31, 40, 57, 1000])
+@pytest.mark.parametrize("size", [1, 3, 7, 11, 17, 23, 40, 1000])
 def test_quotes_at_every_split_edge(spark, tmp_path, splits, size):
     splits(size)
     df = files.read_csv(spark, put(tmp_path / "t.csv", TRICKY))

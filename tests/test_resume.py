@@ -47,7 +47,7 @@ def breaks(monkeypatch):
     return use
 
 
-@pytest.mark.parametrize("name, nth, after", [("_write_chunk", 2, False), ("_write_chunk", 2, True), ("move_in", 3, False), ("move_in", 1, True), ("set_mark", 1, False)])
+@pytest.mark.parametrize("name, nth, after", [("_write_chunk", 2, True), ("move_in", 3, False), ("set_mark", 1, False)])
 def test_plain_files_hold_every_row_once(spark, out, breaks, name, nth, after):
     rows = spark.range(200).selectExpr("IF(id % 9 = 0, NULL, id) AS id", "concat('r', id) AS v", "id AS n")
     source(spark, out, rows)
