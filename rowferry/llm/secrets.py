@@ -2,8 +2,11 @@
 
 The CRF learns from words that the patterns cover in a bounded sample of texts,
 by shape, length, spread of characters, neighbouring words and what kind of
-file the text is, so it also finds secrets that fit no pattern. Its spans are
-added where they overlap no pattern's span; those always stay.
+file the text is. Learnt like that it would only repeat the patterns, by their
+key words. So the values found are also put into quiet texts, bare and under
+words that are no keys, with their characters dealt anew, in other lengths and
+of letters alone: what is left to learn from is what a secret looks like. Its
+spans are added where they overlap no pattern's span; those always stay.
 
 Nulls: a null text is an empty one, with no span. Repeated rows are scanned
 each. Ties of spans at one start are ordered by kind: assign, access, hex, crf.
@@ -30,7 +33,6 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
-LEAST_TAGGED = 8
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _WRAP = "\"'`.,;:()[]{}<>"
 # Text without any of these holds no pattern.
@@ -75,7 +77,7 @@ def _shape(word: str) -> str:
 def features(word: str) -> tuple[list[str], list[str]]:
     """Own features and those seen by the neighbours."""
     w = word.strip(_WRAP)
-    if w.isalpha() and not (w.isascii() and w.isupper() and len(w) > 8):  # an ordinary word
+    if w.isalpha() and (len(w) < 12 or not w.isascii()) and not (w.isascii() and w.isupper() and len(w) > 8):  # an ordinary word
         low = w.lower()
         kind = "p" if len(w) < 16 else "P"
         return ["b", kind, "k" + low[:10] if len(w) < 12 else kind], ["k" + low, kind]
@@ -84,10 +86,14 @@ def features(word: str) -> tuple[list[str], list[str]]:
     lower = sum("a" <= c <= "z" for c in w)
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(w, w[1:]))
     size = min(len(w) // 4, 12)
-    spread = len(set(w)) * 8 // max(len(w), 1)
     key = re.split(r"[:=]", w, maxsplit=1)
+    value = key[-1].strip(_WRAP) or w
+    spread = len(set(value)) * 8 // max(len(value), 1)
+    hard = max(map(len, re.split(r"[^b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]", value)))  # the longest run of consonants
+    mixed = sum(a.islower() and b.isupper() for a, b in zip(value, value[1:]))
+    plain = max(map(len, re.split(r"[^A-Za-z0-9]", value)))  # the longest run of letters and digits
     shape = _shape(w)
-    own = ["b", f"n{size}", f"d{digits * 4 // max(len(w), 1)}", f"m{digits > 0}{upper > 0}{lower > 0}{size > 3}", f"t{min(turns, 8)}{size > 3}", f"u{spread}{size > 3}", "S" + shape[:24], f"q{word[:1] in _WRAP}{word[-1:] in _WRAP}"]
+    own = ["b", f"n{size}", f"d{digits * 4 // max(len(w), 1)}", f"m{digits > 0}{upper > 0}{lower > 0}{size > 3}", f"t{min(turns, 8)}{size > 3}", f"u{spread}{size > 3}", f"h{min(hard, 8)}{plain > 11}", f"x{min(mixed, 6)}{plain > 11}", f"l{min(plain // 4, 9)}{any(c.isdigit() for c in value)}", "S" + shape[:24], f"q{word[:1] in _WRAP}{word[-1:] in _WRAP}"]
     if len(key) > 1:
         own += ["K" + key[0].lower()[:16], f"v{min(len(key[1]) // 4, 8)}"]
     return own, ["S" + shape[:8], "k" + key[0].lower()[:16]]
@@ -119,11 +125,43 @@ def _gold(text: str, spans: list[Span], n: int) -> np.ndarray:
     return out
 
 
-def fit_secrets(docs: DataFrame, rows: int = 20_000, quiet_every: int = 10, examples: int = 4000, bits: int = 16) -> crf.Crf | None:
+def _values(words: list[str]) -> list[str]:
+    """What the patterns' spans in a window hide."""
+    text = " ".join(words)
+    return [ASSIGN.match(text[a:b])[2] if k == 0 else text[a:b] for a, k, b in pattern_spans(text)]
+
+
+def transplants(hits: list[list[str]], quiet: list[list[str]], most: int, seed: int = 13) -> list[tuple[list[str], np.ndarray]]:
+    """Windows of quiet text with a value put in, and their labels: bare, under a word of that text, or behind a prefix.
+
+    A value's characters are dealt anew and its length changes; some are of letters alone.
+    """
+    rng = np.random.default_rng(seed)
+    values = [v for words in hits for v in _values(words)]
+    every = sorted({c for v in values for c in v if c.isascii() and c.isalnum()})
+    letters = sorted({x for c in every if c.isalpha() for x in (c.lower(), c.upper())}) or every
+    out = []
+    for i in range(most if quiet and every else 0):
+        value = values[i % len(values)]
+        own = sorted({c for c in value if c.isascii() and c.isalnum()}) or every
+        kind = (own, every, letters)[i % 3]
+        new = "".join(rng.choice(kind, int(rng.integers(14, 41))))
+        around = quiet[int(rng.integers(len(quiet)))]
+        plain = [w for w in around if w.isalpha() and w.isascii()] or ["value"]
+        word = plain[int(rng.integers(len(plain)))].lower()
+        put = ([new], [f"{word}={new}"], [f"{word}:", new], [f"{word[:3]}_{new}"], [f"{word}_{plain[0].lower()}={new}"], [word.capitalize(), new])[int(rng.integers(6))]
+        at = int(rng.integers(len(around) + 1))
+        gold = np.zeros(len(around) + len(put), np.int64)
+        gold[at + len(put) - 1] = 1
+        out.append(([*around[:at], *put, *around[at:]], gold))
+    return out
+
+
+def fit_secrets(docs: DataFrame, rows: int = 20_000, quiet_every: int = 2, examples: int = 4000, planted: int = 1500, bits: int = 16) -> crf.Crf | None:
     """Learn from words around the patterns' spans in about ``rows`` texts, chosen repeatably by id.
 
-    Of the other texts of that sample every ``quiet_every``-th gives one window of words. At most about ``examples``
-    windows of each kind go to the fit. None without any example.
+    Of the other texts of that sample every ``quiet_every``-th gives one window of words. At most ``examples`` windows
+    of each kind, the first by a hash of their words, go to the fit, and ``planted`` transplants. None without any example.
     """
     total = docs.count()
     if not total:
@@ -133,6 +171,7 @@ def fit_secrets(docs: DataFrame, rows: int = 20_000, quiet_every: int = 10, exam
         for batch in slices(batches):
             texts = pc.fill_null(batch.column("text"), "")
             words, maybe, kinds = words_of(texts), candidates(texts), _file_kind(texts)
+            plain = [not any(c.isdigit() for c in w) for w in words.vocabulary]
             out: list[tuple[int, int, list[str], bytes]] = []
             for i in range(batch.num_rows):
                 a, b = words.offsets[i], words.offsets[i + 1]
@@ -144,7 +183,9 @@ def fit_secrets(docs: DataFrame, rows: int = 20_000, quiet_every: int = 10, exam
                 if len(hits):
                     near = sorted({int(h) // WINDOW for h in hits})
                 elif (b - a) and int(batch.column("row_key")[i].as_py()) % quiet_every == 0:
-                    near = [int(batch.column("row_key")[i].as_py()) // quiet_every % (-(-int(b - a) // WINDOW))]
+                    # One window anywhere, and the one with the longest word that has no digit: ordinary words can be long.
+                    size = np.array([len(words.vocabulary[c]) if plain[c] else 0 for c in words.codes[a:b]])
+                    near = sorted({int(batch.column("row_key")[i].as_py()) // quiet_every % (-(-int(b - a) // WINDOW)), int(size.argmax()) // WINDOW})
                 else:
                     continue
                 for w in near:
@@ -157,11 +198,14 @@ def fit_secrets(docs: DataFrame, rows: int = 20_000, quiet_every: int = 10, exam
     key = F.pmod(F.xxhash64(F.lit(41), F.col("doc_id")), F.lit(1 << 30))
     sample = docs.select("text", key.alias("row_key")).where(share(F.col("doc_id"), min(1.0, rows / total), 31)) if rows < total else docs.select("text", F.coalesce(key, F.lit(1)).alias("row_key"))
     found = sample.mapInArrow(windows, "hit int, kind int, words array<string>, gold binary")
-    got = found.where("hit = 1").limit(examples).toArrow().to_pylist()
+    found = found.withColumn("place", F.xxhash64("words", "gold")).orderBy("place", "kind")
+    got = found.where("hit = 1").limit(examples).drop("place").toArrow().to_pylist()
     if not got:
         return None
-    got += found.where("hit = 0").limit(examples).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["words"], r["gold"]))
+    quiet = found.where("hit = 0").limit(examples).drop("place").toArrow().to_pylist()
+    new = transplants([r["words"] for r in got], [r["words"] for r in quiet], planted)
+    kinds = [r["kind"] for r in quiet] or [0]
+    got += quiet + [{"kind": kinds[i % len(kinds)], "words": w, "gold": g.astype(np.int8).tobytes()} for i, (w, g) in enumerate(new)]
     flat = pa.array([w for r in got for w in r["words"]], pa.string()).dictionary_encode()
     offsets = np.concatenate([[0], np.cumsum([len(r["words"]) for r in got])])
     gold = np.concatenate([np.frombuffer(r["gold"], np.int8) for r in got]).astype(np.int64)
@@ -179,7 +223,7 @@ def tag(scores: crf.WordScores, texts: pa.Array) -> tuple[np.ndarray, Words]:
 
 
 def _tagged_spans(text: str, labels: np.ndarray, taken: list[Span]) -> list[Span]:
-    """Spans of begin-inside runs, without wrapping marks, where no pattern's span is; short ones and those without a digit are none."""
+    """Spans of begin-inside runs, without wrapping marks, where no pattern's span is."""
     found: list[list[int]] = []
     last = -2
     for i, m in enumerate(WORD.finditer(text)):
@@ -193,9 +237,20 @@ def _tagged_spans(text: str, labels: np.ndarray, taken: list[Span]) -> list[Span
     for a, b in found:
         piece = text[a:b]
         a, b = a + len(piece) - len(piece.lstrip(_WRAP)), b - (len(piece) - len(piece.rstrip(_WRAP)))
-        likely = b - a >= LEAST_TAGGED and any(c.isdigit() for c in text[a:b])
-        if likely and not any(s < b and a < e for s, _, e in taken):
+        if a < b:
             out.append((a, 3, b))
+    return _apart(sorted(out), taken)
+
+
+def _apart(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """Spans that overlap none of those taken; both by start."""
+    out, k, reach = [], 0, -1
+    for a, kind, b in spans:
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][2])
+            k += 1
+        if reach <= a:
+            out.append((a, kind, b))
     return out
 
 
