@@ -38,6 +38,8 @@ BLOCK = 1024
 # A shingle in more rows of a product than this is counted by a dense product, others pair by pair.
 DENSE = 40
 _SLAB = 4096
+# Bytes of text whose shingles are hashed at once: a task then holds some tens of MB of them.
+SLICE = 1 << 20
 # Sums of how often shingles occur, by their low hash bits, and how many of them are sent as one row.
 SUMS = 1 << 20
 SUMS_ROW = 1 << 15
@@ -229,7 +231,7 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
         return pa.ListArray.from_arrays(ends.astype(np.int32), flat.view(np.int64))
 
     def sketch(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             flat, offsets = shingle_sets(batch.column("text"), size)
             keys = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
             low = lists(*low_shingles(flat, offsets, percent))
@@ -327,7 +329,7 @@ def similar_components(docs: DataFrame, percent: int = 90, size: int = 3) -> Dat
     # Their sets again, each sent to the products of its block with every other block of the group.
     def resets(batches):
         sent = set()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             flat, offsets = shingle_sets(batch.column("text"), size)
             sets = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             fresh = []
