@@ -63,15 +63,19 @@ def nearest_in_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray,
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(queries), _STRIP):
         s = slice(a, a + _STRIP)
-        dot = (qw[s] @ cw.T).astype(np.float64) * qs[s, None] * cs[None, :]
-        around = q2[s, None] + c2[None, :]
-        # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|
-        error = 2 * (qe[s, None] * np.sqrt(c2)[None, :] + qn[s, None] * ce[None, :]) + slack * around
-        middle = around - 2 * dot
-        middle[query_ids[s, None] == ids[None, :]] = np.inf
-        high = middle + error
+        own = query_ids[s, None] == ids[None, :]
+        with np.errstate(over="ignore", invalid="ignore"):
+            dot = (qw[s] @ cw.T).astype(np.float64) * qs[s, None] * cs[None, :]
+            around = q2[s, None] + c2[None, :]
+            # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|
+            error = 2 * (qe[s, None] * np.sqrt(c2)[None, :] + qn[s, None] * ce[None, :]) + slack * around
+            middle = around - 2 * dot
+            low, high = middle - error, middle + error
+        # Where numbers leave the range of doubles, nothing is known before the exact measure.
+        low[~np.isfinite(low)] = -np.inf
+        high[own | ~np.isfinite(high)] = np.inf
         bound = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(high), 1), np.inf)
-        i, j = np.nonzero((middle - error <= bound) & np.isfinite(middle))
+        i, j = np.nonzero((low <= bound) & ~own)
         d = _exact(queries[s][i], vectors[j])
         order = np.lexsort((ids[j], d, i))
         i, j, d = i[order], j[order], d[order]
@@ -85,7 +89,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "ve
     live = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     size = live.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
     tiles, query_tiles = max(1, -(-size["n"] // tile)), max(1, -(-size["q"] // query_tile))
-    dealt = live.select("id", "v", "q", F.size("v").alias("width"), F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(tiles)).alias("c"), F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(query_tiles)).alias("t"))
+    # Whole numbers of one type on both sides: a cogroup does not cast its keys, and an int and a long of one value hash apart.
+    dealt = live.select("id", "v", "q", F.size("v").alias("width"), *[F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int").alias(x) for seed, n, x in ((3, tiles, "c"), (5, query_tiles, "t"))])
     queries = dealt.where("q").groupBy("id", "width", "t").agg(F.min("v").alias("v")).select("id", "v", "width", "t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("c"))
     # Columns of their own, as both sides come from one frame.
     candidates = dealt.select(*[F.col(x).alias(x) for x in ("id", "v", "width", "c")], F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))).alias("t"))

@@ -137,6 +137,30 @@ def test_neighbours_equal_brute_force_with_ties_and_bad_rows(spark):
     assert len(few) == 3
 
 
+def test_neighbours_in_many_partitions(spark):
+    """Both sides of a pair of tiles meet, in whatever partitions they are dealt out to."""
+    v = np.random.default_rng(7).normal(size=(400, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    told = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        for tile, query_tile in ((8192, 1024), (90, 15)):
+            got = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.nearest(df, F.col("vec_id") % 10 == 0, tile=tile, query_tile=query_tile).collect()}
+            d = np.sqrt(np.square(v[::10, None].astype(float) - v[None].astype(float)).sum(axis=2))
+            d[np.arange(40), np.arange(0, 400, 10)] = np.inf
+            assert got == {(10 * q, r + 1): c for q in range(40) for r, c in enumerate(np.argsort(d[q], kind="stable")[:10])}
+    finally:
+        for k, x in told.items():
+            spark.conf.set(k, x)
+
+
+def test_neighbours_beyond_the_range_of_squares(spark):
+    rows = [(0, [1e200, 0.0]), (1, [-1e200, 1.0]), (2, [1e200, 1.0]), (3, [3.0, 4.0]), (4, [5e-324, 0.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 3 == 0, k=3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 2, 1.0), (0, 1, float("inf")), (0, 3, float("inf")), (3, 4, 5.0), (3, 0, float("inf")), (3, 1, float("inf"))]
+
+
 def test_licences(spark, awkward, nothing):
     texts = {
         1: "Released under the MIT License. Also: the  Apache\nLicense, Version 2.0!",
