@@ -17,7 +17,9 @@ gives an empty result. Other columns are ignored, or kept by ``redact``.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -199,10 +201,19 @@ def fit_secrets(docs: DataFrame, rows: int = 20_000, quiet_every: int = 2, examp
     sample = docs.select("text", key.alias("row_key")).where(share(F.col("doc_id"), min(1.0, rows / total), 31)) if rows < total else docs.select("text", F.coalesce(key, F.lit(1)).alias("row_key"))
     found = sample.mapInArrow(windows, "hit int, kind int, words array<string>, gold binary")
     found = found.withColumn("place", F.xxhash64("words", "gold")).orderBy("place", "kind")
-    got = found.where("hit = 1").limit(examples).drop("place").toArrow().to_pylist()
+    chosen = found.where("hit = 1").limit(examples).union(found.where("hit = 0").limit(examples))
+    # Their number is bounded, so one task learns from them; of all this only the model comes to the driver.
+    fitted = chosen.repartition(1).sortWithinPartitions(F.desc("hit"), "place", "kind").select("hit", "kind", "words", "gold")
+    model = fitted.mapInArrow(lambda batches: _fit(batches, planted, bits), "model binary").toArrow().column("model").to_pylist()
+    return pickle.loads(model[0]) if model else None
+
+
+def _fit(batches: Iterable[pa.RecordBatch], planted: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The model, pickled, of all windows, those with a secret first; nothing without any of these."""
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    got, quiet = [r for r in rows if r["hit"]], [r for r in rows if not r["hit"]]
     if not got:
-        return None
-    quiet = found.where("hit = 0").limit(examples).drop("place").toArrow().to_pylist()
+        return
     new = transplants([r["words"] for r in got], [r["words"] for r in quiet], planted)
     kinds = [r["kind"] for r in quiet] or [0]
     got += quiet + [{"kind": kinds[i % len(kinds)], "words": w, "gold": g.astype(np.int8).tobytes()} for i, (w, g) in enumerate(new)]
@@ -210,7 +221,8 @@ def fit_secrets(docs: DataFrame, rows: int = 20_000, quiet_every: int = 2, examp
     offsets = np.concatenate([[0], np.cumsum([len(r["words"]) for r in got])])
     gold = np.concatenate([np.frombuffer(r["gold"], np.int8) for r in got]).astype(np.int64)
     kind = np.repeat(_file_feature(np.array([r["kind"] for r in got]), bits), np.diff(offsets))
-    return crf.train(LABELS, features, flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64), offsets, gold, extra=kind, bits=bits, rounds=40)
+    model = crf.train(LABELS, features, flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64), offsets, gold, extra=kind, bits=bits, rounds=40)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def tag(scores: crf.WordScores, texts: pa.Array) -> tuple[np.ndarray, Words]:

@@ -70,6 +70,21 @@ def test_clean_texts_stay_mostly_untouched(many, model):
     assert len(added) <= many.count() // 100
 
 
+def test_the_driver_gets_nothing_but_the_model(spark, monkeypatch):
+    """Windows and training stay in a task: the driver's memory does not hold them."""
+    rows = [(i, f"some words of text number {i} and password=hunter{i}Zx9 then more words") for i in range(20)] + [(100 + i, f"only plain words of a quiet text and no more {i}") for i in range(20)]
+
+    def no(*_, **__):
+        raise AssertionError("in the driver")
+
+    monkeypatch.setattr(secrets.crf, "train", no)
+    monkeypatch.setattr(secrets, "transplants", no)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.fit_secrets(df, quiet_every=1)
+    assert model.labels == secrets.LABELS and model.weights.any()
+    assert secrets.fit_secrets(df.where("doc_id >= 100"), quiet_every=1) is None
+
+
 def test_added_spans_are_swept_past_those_taken():
     taken = [(0, 0, 10), (2, 1, 4), (30, 2, 60)]
     assert secrets._apart([(5, 3, 8), (10, 3, 12), (25, 3, 30), (29, 3, 31), (59, 3, 70), (60, 3, 65)], taken) == [(10, 3, 12), (25, 3, 30), (60, 3, 65)]
