@@ -137,23 +137,35 @@ def _root(x: Column) -> Column:
     return F.sqrt(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
-def class_distance(shares: list[float]) -> Column:
-    return _root(sum((_half(F.get("classes", F.lit(i)) / F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(float(q))) for i, q in enumerate(shares)), F.lit(0.0)))
+def _doubles(shares: list[float]) -> Column:
+    return F.split(F.lit(",".join(repr(float(q)) for q in shares)), ",").cast("array<double>")
 
 
-def word_distance(shares: dict[str, float]) -> Column:
+def _constant(lang: str | None, histogram: list[float] | dict[str, float]) -> Column:
+    """One reference as a constant; a mixture has no language."""
+    if isinstance(histogram, dict):
+        words = sorted(histogram)
+        shares = F.map_from_arrays(F.split(F.lit(",".join(words)), ","), _doubles([histogram[w] for w in words])) if words else F.create_map().cast("map<string,double>")
+    else:
+        shares = _doubles(histogram)
+    total = sum(histogram.values() if isinstance(histogram, dict) else histogram)
+    return F.struct(F.lit(lang).cast("string").alias("lang"), shares.alias("shares"), F.lit(float(total)).alias("total"))
+
+
+def class_distance(ref: Column) -> Column:
+    total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = F.zip_with(F.transform("classes", lambda c: c / total), ref["shares"], _half)
+    return _root(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
+
+
+def word_distance(ref: Column) -> Column:
     """Words of the reference that the text lacks add half their share; its own common words are looked up one by one."""
-    ref = F.create_map(*[x for w, q in sorted(shares.items()) for x in (F.lit(w), F.lit(float(q)))]) if shares else F.lit(None).cast("map<string,double>")
     n = F.col("n_words").cast("double")
+    both = F.transform("common", lambda x: F.struct((x["n"] / n).alias("p"), F.coalesce(F.try_element_at(ref["shares"], x["word"]), F.lit(0.0)).alias("q")))
     zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-
-    def step(s: Column, x: Column) -> Column:
-        p, q = x["n"] / n, F.coalesce(F.try_element_at(ref, x["word"]), F.lit(0.0))
-        return F.struct((s["d"] + _half(p, q)).alias("d"), (s["p"] + p).alias("p"), (s["q"] + q).alias("q"))
-
-    total = float(sum(shares.values()))
-    end = lambda s: s["d"] + (F.lit(total) - s["q"]) / 2 + _half(F.greatest(1 - s["p"], F.lit(0.0)), F.lit(max(1 - total, 0.0)))
-    return _root(F.aggregate("common", zero, step, end))
+    step = lambda s, x: F.struct((s["d"] + _half(x["p"], x["q"])).alias("d"), (s["p"] + x["p"]).alias("p"), (s["q"] + x["q"]).alias("q"))
+    end = lambda s: s["d"] + (ref["total"] - s["q"]) / 2 + _half(F.greatest(1 - s["p"], F.lit(0.0)), F.greatest(1 - ref["total"], F.lit(0.0)))
+    return _root(F.aggregate(both, zero, step, end))
 
 
 def judge(docs: DataFrame, measured: DataFrame | None = None) -> DataFrame:
@@ -166,16 +178,18 @@ def judge(docs: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     refs = references(measured)
 
     def nearest(distance, index: int, limit: float) -> Column:
-        """To the reference of the document's language; only if that is too far, to the nearest of all and their mixtures."""
+        """To the reference of the document's language; only if that is too far, to the nearest of all and their mixtures.
+
+        The references are one constant array, and a distance is written once for whichever of them: written out for each,
+        the plan alone fills the driver.
+        """
         single = {lang: r[index] for lang, r in sorted(refs.items())}
         if not single:
             return F.lit(None).cast("double")
         mixed = [mixture(single[a], single[b]) for a, b in combinations([x for x in single if x != POOLED], 2)]
-        own = F.lit(None).cast("double")
-        for lang in single:
-            own = F.when(F.col("lang") == lang, distance(single[lang])).otherwise(own)
-        every = F.array_min(F.array(*[distance(r) for r in [*single.values(), *mixed]]))
-        return F.when(own <= limit, own).otherwise(every)
+        every = F.array(*[_constant(lang, r) for lang, r in [*single.items(), *[(None, r) for r in mixed]]])
+        own = F.get(F.transform(F.filter(every, lambda r: r["lang"] == F.col("lang")), distance), F.lit(0))
+        return F.when(own <= limit, own).otherwise(F.array_min(F.transform(every, distance)))
 
     out = measured.withColumns({
         "class_distance": F.when(F.col("word_chars") >= CLASS_GUARD, nearest(class_distance, 0, CLASS_LIMIT)),

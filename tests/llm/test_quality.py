@@ -47,3 +47,11 @@ def test_symbols_and_lists_are_far_from_prose(spark, docs, schema):
     more = spark.createDataFrame([(10**9, prose, "en", "x", 1), (10**9 + 1, listed, "en", "x", 1), (10**9 + 2, noisy, "en", "x", 1)], schema)
     got = {r["doc_id"]: r["kept"] for r in quality.judge(docs.union(more)).where("doc_id >= 1000000000").collect()}
     assert got == {10**9: True, 10**9 + 1: False, 10**9 + 2: False}
+
+
+def test_the_references_are_in_a_plan_once_for_each_use(spark, docs):
+    """Written out for each reference and each use of a share, the rules filled the driver: a plan of over a million characters."""
+    judged = quality.judge(docs).where("not kept").select("doc_id")
+    text = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < text.count("keys: [") <= 3 * 11
+    assert len(text) < 80_000
