@@ -55,13 +55,8 @@ def map_feed(feed: DataFrame, mappings: Sequence[FieldMapping]) -> DataFrame:
     return out
 
 
-def split_feed(feed: DataFrame, keys: Sequence[str], table: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good events, rejects with a ``reason``): a bad event never stops the feed.
-
-    With the schema of the ``table`` it applies to, events whose key or values
-    do not convert to the table's types are rejected too, rather than lost or
-    turned to null on the way.
-    """
+def reject_reason(feed: DataFrame, keys: Sequence[str], table: T.StructType | None = None) -> Column:
+    """Why an event cannot be applied, null for a good one; see ``split_feed``."""
     no_image = F.when(F.col("op") == "D", _image(feed, "before", "after").isNull()).otherwise(_image(feed, "after").isNull())
     key_of = [_key(feed, k) for k in keys]
     null_key = F.lit(False)
@@ -86,7 +81,17 @@ def split_feed(feed: DataFrame, keys: Sequence[str], table: T.StructType | None
         reason = reason.when(bad_key, "key of another type").when(F.col("op").isin("I", "U") & bad_value, "value of another type")
     if "_corrupt_record" in feed.columns:
         reason = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").otherwise(reason)
-    marked = feed.withColumn("reason", reason)
+    return reason
+
+
+def split_feed(feed: DataFrame, keys: Sequence[str], table: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good events, rejects with a ``reason``): a bad event never stops the feed.
+
+    With the schema of the ``table`` it applies to, events whose key or values
+    do not convert to the table's types are rejected too, rather than lost or
+    turned to null on the way.
+    """
+    marked = feed.withColumn("reason", reject_reason(feed, keys, table))
     return marked.where("reason IS NULL").drop("reason", "_corrupt_record"), marked.where("reason IS NOT NULL")
 
 

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rowferry.functions.typemap import spark_type
-from rowferry.operators.changes import apply_changes, split_feed
+from rowferry.operators.changes import apply_changes, reject_reason
 from rowferry.operators.mapping import column
 from rowferry.session import Staged
 
@@ -60,30 +60,42 @@ def table_fields(known: DataFrame, table: str) -> list[T.StructField]:
     return [T.StructField(r["name"], T.StructType.fromDDL(f"x {spark_type(r['type'] or 'text')}")[0].dataType) for r in rows.orderBy("first").collect()]
 
 
-def decode(messages: DataFrame, known: Staged, table: str, fields: Sequence[T.StructField]) -> tuple[DataFrame, DataFrame]:
-    """The feed of one table, its images as text by column name, and the events no version explains."""
+def read_events(messages: DataFrame, known: Staged, table: str, fields: Sequence[T.StructField]) -> DataFrame:
+    """The events of one table, their images as text by column name, and, with a ``reason``, those no version explains.
+
+    Where a version has each column is told with the version, once, not looked for with every value.
+    """
+    names = F.transform("columns", lambda c: c["name"])
+    places = [(F.array_position(names, f.name) - 1).cast("int").alias(f"_at{i}") for i, f in enumerate(fields)]
     valid = F.broadcast(known.df) if known.small else known.df
-    valid = valid.select(F.col("relation").alias("_relation"), F.col("table").alias("_table"), F.transform("columns", lambda c: c["name"]).alias("_names"), "since", "until")
+    valid = valid.select(F.col("relation").alias("_relation"), F.col("table").alias("_table"), F.size(names).alias("_names"), "since", "until", *places)
     events = messages.where("kind IS NULL OR kind NOT IN ('R', 'B', 'C')").select("seq", "kind", "relation", "before", "after")
     at = (F.col("relation") == F.col("_relation")) & (F.col("seq") > F.col("since")) & (F.col("until").isNull() | (F.col("seq") < F.col("until")))
     read = events.join(valid, at, "left")
     most = F.greatest(*[F.coalesce(F.size(s), F.lit(0)) for s in ("before", "after")])
-    reason = F.when(F.col("_relation").isNull(), "unknown relation").when(most > F.size("_names"), "more values than columns")
-    read = read.withColumn("reason", reason)
-    bad = read.where("reason IS NOT NULL").select("seq", "kind", "relation", "reason")
-
-    def cell(side: str, name: str) -> Column:
-        place = F.array_position("_names", name)
-        return F.when((place > 0) & (place <= F.size(side)), F.try_element_at(side, F.when(place > 0, place).cast("int")))
+    reason = F.when(F.col("_relation").isNull(), "unknown relation").when(most > F.col("_names"), "more values than columns")
+    read = read.withColumn("reason", reason).where((F.col("_table") == table) | F.col("reason").isNotNull())
 
     def image(side: str) -> Column:
-        values = [F.when(cell(side, f.name)["kind"].isin("t", "b"), cell(side, f.name)["value"]).alias(f.name) for f in fields]
-        return F.when(F.col(side).isNotNull(), F.struct(*values))
+        cells = [F.get(side, F.col(f"_at{i}")) for i in range(len(fields))]
+        values = [F.when(c["kind"].isin("t", "b"), c["value"]).alias(f.name) for c, f in zip(cells, fields)]
+        return F.when(F.col(side).isNotNull() & F.col("reason").isNull(), F.struct(*values)).alias(side)
 
-    absent = [F.when(cell("after", f.name)["kind"].isNull() | (cell("after", f.name)["kind"] == "u"), F.lit(f.name)) for f in fields]
-    good = read.where((F.col("_table") == table) & F.col("reason").isNull())
+    kinds = [F.get("after", F.col(f"_at{i}"))["kind"] for i in range(len(fields))]
+    absent = [F.when(k.isNull() | (k == "u"), F.lit(f.name)) for k, f in zip(kinds, fields)]
     unchanged = F.when(F.col("kind") == "U", F.array_compact(F.array(*absent)))
-    return good.select("seq", F.col("kind").alias("op"), image("before").alias("before"), image("after").alias("after"), unchanged.alias("unchanged")), bad
+    return read.select("seq", F.col("kind").alias("op"), image("before"), image("after"), unchanged.alias("unchanged"), "relation", "reason")
+
+
+def decode(messages: DataFrame, known: Staged, table: str, fields: Sequence[T.StructField]) -> tuple[DataFrame, DataFrame]:
+    """The feed of one table, its images as text by column name, and the events no version explains."""
+    return split_read(read_events(messages, known, table, fields))
+
+
+def split_read(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good events, rejects) of read ones."""
+    good = read.where("reason IS NULL").drop("relation", "reason")
+    return good, read.where("reason IS NOT NULL").select("seq", F.col("op").alias("kind"), "relation", "reason")
 
 
 def widen(target: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
@@ -91,21 +103,21 @@ def widen(target: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     return target.select(*[column(c) for c in target.columns], *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields if f.name not in target.columns])
 
 
-def read_messages(messages: DataFrame, known: Staged, table: str, keys: Sequence[str], target: T.StructType) -> tuple[DataFrame, DataFrame, list[T.StructField]]:
-    """``(good events, rejects, fields)`` of a table; values that do not fit the widened target's types are rejects too."""
+def read_messages(messages: DataFrame, known: Staged, table: str, keys: Sequence[str], target: T.StructType) -> tuple[DataFrame, list[T.StructField]]:
+    """``(events, fields)`` of a table, for ``split_read``; values that do not fit the widened target's types are rejects too."""
     fields = table_fields(known.df, table)
     if any(k not in {f.name for f in fields} for k in keys):
         # No message has told of the table: whatever its events are, none can be read.
         fields = fields + [T.StructField(k, T.StringType()) for k in keys if k not in {f.name for f in fields}]
-    feed, unread = decode(messages, known, table, fields)
+    read = read_events(messages, known, table, fields)
     wide = T.StructType([*target.fields, *[f for f in fields if f.name not in target.names]])
-    good, bad = split_feed(feed, keys, wide)
-    bad = bad.select("seq", F.col("op").alias("kind"), F.lit(None).cast("long").alias("relation"), "reason")
-    return good, unread.union(bad), fields
+    unread = F.col("reason").isNotNull()
+    return read.withColumns({"reason": F.coalesce("reason", reject_reason(read, keys, wide)), "relation": F.when(unread, F.col("relation"))}), fields
 
 
 def apply_messages(target: DataFrame, messages: DataFrame, table: str, keys: Sequence[str], mode: str = "strict") -> tuple[DataFrame, DataFrame]:
     """``(the table after the messages, rejects)``."""
     known = Staged(versions(relation_messages(messages)), "relations")
-    good, bad, fields = read_messages(messages, known, table, keys, target.schema)
+    read, fields = read_messages(messages, known, table, keys, target.schema)
+    good, bad = split_read(read)
     return apply_changes(widen(target, fields), good, keys, mode), bad

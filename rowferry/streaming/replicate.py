@@ -13,7 +13,7 @@ from rowferry.model import FieldMapping, JobSpec
 from rowferry.operators.changes import fold_events, map_feed, settle, split_feed
 from rowferry.operators.keyless import ROW_KEY, as_bag, bag_fields, deleted_keys, merge_bag, surviving_inserts
 from rowferry.operators.mapping import rename_feed
-from rowferry.operators.relations import read_messages, relation_messages, versions, widen
+from rowferry.operators.relations import read_messages, relation_messages, split_read, versions, widen
 from rowferry.plans.jobs import run_job
 from rowferry.plans.store import KeyedTable, LostClaim
 from rowferry.session import Staged, exists, small_frame
@@ -138,16 +138,15 @@ def replicate_messages(
     def apply(batch: DataFrame, batch_id: int) -> None:
         if batch_id <= target.applied(stream):
             return
-        held = batch.persist()
-        try:
-            at = f"{checkpoint}/relations"
-            relation_messages(held).coalesce(1).write.mode("overwrite").parquet(f"{at}/batch={batch_id}")
-            with Staged(versions(spark.read.parquet(at).where(F.col("batch") <= batch_id).drop("batch")), "relations") as known:
-                good, bad, fields = read_messages(held, known, table, target.keys, target.schema())
+        at = f"{checkpoint}/relations"
+        relation_messages(batch).repartition(1).write.mode("overwrite").parquet(f"{at}/batch={batch_id}")
+        with Staged(versions(spark.read.parquet(at).where(F.col("batch") <= batch_id).drop("batch")), "relations") as known:
+            read, fields = read_messages(batch, known, table, target.keys, target.schema())
+            # Events are read once; every step after that takes what it needs of the outcome.
+            with Staged(read, "events") as events:
+                good, bad = split_read(events.df)
                 _reject(bad, dead_letter, batch_id)
                 _merge_feed(target, good, mode, (stream, batch_id), fields)
-        finally:
-            held.unpersist()
 
     return _start(messages, apply, checkpoint, name, trigger)
 

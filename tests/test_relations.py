@@ -138,3 +138,29 @@ def test_events_are_not_moved_to_be_read(spark):
         plan = feed._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
         assert feed.where(F.col("op") == "I").count() == 1
+
+
+def test_a_batch_is_read_once_and_by_many_tasks(spark, out, monkeypatch):
+    plans = []
+
+    def merge(target, good, *rest, was=S._merge_feed):
+        plans.append(good._jdf.queryExecution().executedPlan().toString())
+        return was(target, good, *rest)
+
+    monkeypatch.setattr(S, "_merge_feed", merge)
+    monkeypatch.setattr(S, "relation_messages", lambda messages, was=S.relation_messages: was(messages).withColumn("task", F.spark_partition_id()))
+    table = KeyedTable(spark, f"{out}/t", ["k"], 3)
+    table.commit(target(spark))
+    for messages in (
+        [told(0, ["k", "v"]), event(1, "U", [2, 5]), event(2, "I", [1, 7])],
+        [told(3, ["v", "k"]), event(4, "U", ["x", 4]), event(5, "U", [1, 6], relation=9), event(6, "U", [8, 6])],
+    ):
+        spark.createDataFrame(messages, R.MESSAGES).coalesce(1).write.mode("append").parquet(f"{out}/feed")
+    S.replicate_messages(spark.readStream.schema(R.MESSAGES).parquet(f"{out}/feed"), table, "public.t", f"{out}/c", f"{out}/dead").awaitTermination()
+    # Descriptions come from the tasks that read them, and what is folded and merged is an outcome that was written.
+    assert spark.read.parquet(f"{out}/c/relations").select("task").distinct().count() == 2
+    assert len(plans) == 1 and "Join" not in plans[0] and "InMemoryTableScan" not in plans[0]
+    rows = as_rows(table.read())
+    assert rows[1] == {"k": "1", "v": "7"} and [rows[k]["v"] for k in (2, 4, 6)] == ["5", "4", "8"]
+    dead = spark.read.json(f"{out}/dead").select(F.from_json("event", "seq long, kind string, relation long").alias("e"), "reason")
+    assert sorted(tuple(r["e"]) + (r["reason"],) for r in dead.collect()) == [(4, "U", None, "value of another type"), (5, "U", 9, "unknown relation")]
