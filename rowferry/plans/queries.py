@@ -173,9 +173,9 @@ def shard_counts(spark, d):
 
 
 def _squared_lines(spark, d) -> DataFrame:
-    """Lines with a key whose values thin out as they grow, and as a text and a time."""
+    """Lines with a key whose values thin out as they grow, and as a text and a time (of microseconds, which every bigint is)."""
     square = F.col("l_orderkey") * F.col("l_orderkey")
-    return table(spark, d, "lineitem").select("*", square.alias("squared"), F.concat(F.lit("k"), square.cast("string")).alias("name"), F.timestamp_seconds(square).alias("at"))
+    return table(spark, d, "lineitem").select("*", square.alias("squared"), F.concat(F.lit("k"), square.cast("string")).alias("name"), F.timestamp_micros(square).alias("at"))
 
 
 def balanced_shards(spark, d):

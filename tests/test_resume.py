@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowferry.model import Endpoint, JobSpec, Watermark
 from rowferry.operators import shards
-from rowferry.plans import jobs
+from rowferry.plans import jobs, queries
 from rowferry.plans.store import KeyedTable, copy_ledger
 from rowferry.sources import jdbc
 
@@ -104,6 +104,14 @@ def test_ranges_hold_like_numbers_of_rows(spark):
         assert numbered.where(" OR ".join(f"p{i} <> (s = {i})" for i in range(5))).isEmpty()
 
 
+@pytest.mark.parametrize("top", [9_000_000, 3_000_000_000])
+def test_balanced_shards_of_many_orders(spark, out, top):
+    step = top // 8000
+    spark.range(8001).select((F.col("id") * step).alias("l_orderkey"), F.lit(1).alias("l_linenumber")).write.parquet(f"{out}/lineitem.parquet")
+    got = queries.balanced_shards(spark, out)
+    assert rows_of(got) == [("at", 8, True, 8001), ("name", 8, True, 8001), ("squared", 8, True, 8001)]
+
+
 def test_ranges_of_one_key_and_of_nothing(spark):
     same = spark.range(50).selectExpr("'x' AS t")
     assert shards.balanced_cuts(same, "t", 4).predicates("t") == ["true"]
